@@ -95,8 +95,8 @@ _SQL = {
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) > 0),
-        at AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM w, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
-        hits AS (SELECT doc_id, p, at.n AS n, item_id FROM at JOIN g ON g.n = at.n AND g.g = array_to_string(w[p:p + at.n - 1], ' ')),
+        spots AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM w, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+        hits AS (SELECT doc_id, p, g.n AS n, item_id FROM spots JOIN g ON g.n = spots.n AND g.g = array_to_string(w[p:p + spots.n - 1], ' ')),
         words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
         SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
