@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Word separators of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(rows: DataFrame, columns: str) -> StructType:
+    """The schema of rows' column key, whatever its type, followed by columns."""
+    return StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL(columns).fields])
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
@@ -73,13 +79,19 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def ranges(df: DataFrame, key: str, parts: int) -> list:
     """Up to parts - 1 cut points that split df evenly by key (approximate quantiles; only these reach the driver)."""
-    cuts = df.where(F.col(key).isNotNull()).stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts)
+    df = df.where(F.col(key).isNotNull()).select(key)
+    if parts < 2 or not df.head(1):
+        return []
+    cuts = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts)
     return sorted(set(cuts))
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
-    """The number of cut points at or below key; nulls come after all others."""
+    """The number of cut points at or below key, counted in blocks first; nulls come after all others."""
     if not cuts:
         return F.when(key.isNull(), F.lit(1)).otherwise(F.lit(0))
-    points = F.array(*[F.lit(c) for c in cuts])
-    return F.when(key.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(points, lambda c: c <= key)))
+    step = max(1, round(len(cuts) ** 0.5))
+    below = lambda points: F.size(F.filter(points, lambda c: c <= key))
+    whole = below(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]]))
+    rest = below(F.slice(F.array(*[F.lit(c) for c in cuts]), whole * step + 1, F.lit(step)))
+    return F.when(key.isNull(), F.lit(len(cuts) + 1)).otherwise(whole * step + rest)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed
+
 WINDOW = 10
 #: Bytes of item texts in one automaton at most.
 PATTERN_BYTES = 16_000_000
@@ -107,11 +109,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     total = tests.agg(F.sum(F.octet_length("text") + F.octet_length("id"))).first()[0] or 0
     parts = int(total // PATTERN_BYTES) + 1
     found = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"), F.expr("CAST(array() AS array<struct<first:bigint,end:bigint>>)").alias("ranges"), F.expr("CAST(array() AS array<string>)").alias("items"))
-    kind = found.schema["key"].dataType.simpleString()
     for part in range(parts):
         mine = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
         items = spark.sparkContext.broadcast(sorted((r["id"], r["text"]) for r in mine.toLocalIterator()))
-        found = found.select("key", "text", "ranges", "items").mapInArrow(lambda it, items=items, name=uuid.uuid4().hex: _scan(it, items, name), f"key {kind}, text string, {_HITS}")
-    found = found.mapInArrow(_spans, f"key {kind}, {_HITS}, spans array<struct<start:bigint,end:bigint>>")
+        found = found.select("key", "text", "ranges", "items").mapInArrow(lambda it, items=items, name=uuid.uuid4().hex: _scan(it, items, name), keyed(found, f"text string, {_HITS}"))
+    found = found.mapInArrow(_spans, keyed(found, f"{_HITS}, spans array<struct<start:bigint,end:bigint>>"))
     hits = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
     return found.select(F.col("key").alias(key), "n_words", hits.alias("n_hit"), "items", "spans")

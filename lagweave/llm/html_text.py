@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed
+
 # Element names of HTML by their part in a page, and words of class, id and role that name such parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed iframe".split())
@@ -198,13 +200,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(t) for t in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
+            [batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+            ["key", "url", "text", "n_chars"],
         )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").alias("key"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(_extract, keyed(rows, "url string, text string, n_chars long")).withColumnRenamed("key", "page_id")

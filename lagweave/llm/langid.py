@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed
+
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 6
 SAMPLE = 8000
@@ -153,5 +155,5 @@ def identify(docs: DataFrame, model: tuple[list[str], ByteCNN | None], key: str
     """(key, lang_pred, score) for every row of docs(key, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(lambda it: _predict(it, shared), f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(lambda it: _predict(it, shared), keyed(rows, "lang_pred string, score double"))
     return found.select(F.col("key").alias(key), "lang_pred", "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import keyed, stored
 
 #: Common English insults.
 LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb imbecile jerk garbage vermin filth ugly retard bastard bitch"
@@ -172,5 +172,5 @@ def toxicity(docs: DataFrame, model: tuple[dict[str, float], float], key: str =
     """(key, score) for every row of docs(key, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(lambda it: _score(it, shared), f"key {rows.schema['key'].dataType.simpleString()}, score double")
+    scored = rows.mapInArrow(lambda it: _score(it, shared), keyed(rows, "score double"))
     return scored.select(F.col("key").alias(key), "score")
