@@ -7,16 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import granger, panel, predictive, suite
-from ..operators.panel import round6
 from . import bindings as b
 
 BLOCK, SAMPLES, DAYS = 3, 5, 30
 
 
 def _rounded(df: DataFrame, *exact: str) -> DataFrame:
-    """Doubles to 6 places, integers as long."""
+    """Doubles to 6 places, or to 9 if their decimals may end in a 5 there; integers as long."""
     kinds = dict(df.dtypes)
-    return df.select(*[round6(f"`{c}`").alias(c) if kinds[c] == "double" else F.col(f"`{c}`").cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[(F.round(f"`{c}`", 9 if c in exact else 6) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(f"`{c}`").cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(f"`{c}`") for c in df.columns])
 
 
 def q01_panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +128,6 @@ def q65_method_grid_bootstraps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _Z = "SELECT traj_id, t, variable, (value - avg(value) OVER s) / CASE WHEN stddev_pop(value) OVER s > {eps} THEN stddev_pop(value) OVER s ELSE 1 END AS value FROM {p} WINDOW s AS (PARTITION BY traj_id, variable)"
 _W = "OVER (PARTITION BY traj_id, variable ORDER BY t)"
-_R = "round({0}, 6) + 0.0"
 
 
 def _r(*columns: str) -> str:
