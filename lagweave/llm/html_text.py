@@ -3,8 +3,8 @@
 A page is read into a tree leniently: optional end tags are implied, script and style contents are skipped, unknown or
 broken markup is dropped. Subtrees that page structure names as menus, headers, footers, sidebars, adverts, notices,
 forms or reader comments go first. For every other node the composite density is its characters per tag, adjusted by
-the logarithm of how rarely its characters and tags are links; the node whose children's densities sum highest is the
-article. The least density on its path up to the body is the threshold: siblings of the same tag join the article from
+the logarithm of how rarely its characters and tags are links; the group of blocks whose children's densities sum
+highest is the article. The least density on its path up to the body is the threshold: siblings of the same tag join the article from
 it on, and blocks of links below it are left out.
 
 Edge cases: null and empty pages and pages without text give ''. Texts are never cut. Rows that repeat are each
@@ -33,6 +33,8 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea head title dialog menu object video audio".split())
 CONTENT = frozenset("article main".split())
+#: Elements that can be an article: those that group blocks, not single paragraphs, headings, items or inline elements.
+GROUPS = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption summary br hr option".split())
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus replies respond "
@@ -178,7 +180,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = measure(root)
-    best = max(order, key=lambda n: n.sum)
+    best = max((n for n in order if n.tag in GROUPS), key=lambda n: n.sum)
     if not best.sum:
         best = root
     path, up = [best.density], best
