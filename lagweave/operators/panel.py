@@ -67,9 +67,8 @@ def differences(obs: DataFrame, orders: dict[str, int] | int) -> DataFrame:
     pick = F.col("d0")
     for v in orders:
         pick = F.when(F.col("variable") == v, F.col(f"d{order(v)}")).otherwise(pick)
-    first = Window.partitionBy("traj_id")
     rank = F.row_number().over(series()) - 1
-    return d.withColumn("rank", rank).where(F.col("rank") >= most).select("traj_id", "t", "variable", pick.alias("value")).withColumn("n", F.count("*").over(first)).drop("n")
+    return d.withColumn("rank", rank).where(F.col("rank") >= most).select("traj_id", "t", "variable", pick.alias("value"))
 
 
 def lags(obs: DataFrame, most: int) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import granger, panel, predictive, suite
+from ..operators import granger, panel, predictive, preprocess, suite
 from . import bindings as b
 
 BLOCK, SAMPLES, DAYS = 3, 5, 30
@@ -114,10 +114,26 @@ def q57_var_lingam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "VARLiNGAM")
 
 
+def q58_ges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, "GES")
+
+
 def q61_neural_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "NeuralGrangercMLP")
 
 
+def q62_forward_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..methods.score_based import run_score_based_bic
+    from ..operators.registry import MethodSpec
+
+    obs = suite.with_bootstraps(panel.zscore(b.trajectories(spark, sf_dir)), 0)
+    return suite.fit_grid(obs, {"ScoreBasedBIC": MethodSpec("ScoreBasedBIC", run_score_based_bic)}, 2)
+
+
+def q63_adf_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(preprocess.differencing_orders(b.orders_panel(spark, sf_dir)))
+
+
 def q64_granger_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(granger.tests_any_order(panel.zscore(b.orders_panel(spark, sf_dir)), 3))
 

@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
 
-from lagweave.methods import classical_granger, dynotears, neural_granger, pcmci, score_based, var_lingam
+from lagweave.methods import classical_granger, dynotears, ges, neural_granger, pcmci, score_based, var_lingam
 from lagweave.methods._tools import t_two_sided
-from lagweave.operators import generators, registry, suite
+from lagweave.operators import generators, preprocess, registry, suite
 
 NAMES = list("XYZ")
 
@@ -102,3 +102,29 @@ def test_grid_and_panel(spark):
     assert {(r.traj_id, r.run_id, r.method) for r in got.select("traj_id", "run_id", "method").distinct().collect()} == {(j, r, m) for j in (0, 1) for r in (0, 1) for m in specs}
     pairs = suite.panel_pcmci(obs, 1).collect()
     assert {(r.source, r.target) for r in pairs} == {("X", "Y"), ("X", "Z"), ("Y", "Z")}
+
+
+def test_ges_recovers_a_collider_and_the_lags(x):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 3000))
+    c = a + b + 0.3 * rng.normal(size=3000)
+    g, _ = ges.search(np.cov(np.column_stack([a, b, c]), rowvar=False), 3000, 3, 1.0, np.zeros((3, 3), bool))
+    assert g.tolist() == [[0, 0, 1], [0, 0, 1], [0, 0, 0]]
+    found = _links(ges.run_ges(x, 2, NAMES))
+    assert {("X", "Y", 2), ("Y", "Z", 1)} <= found and all(lag >= 1 for *_, lag in found)
+
+
+def test_adf_tells_walks_from_noise():
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=400)
+    assert preprocess.adf_p(e) < 0.01 < 0.1 < preprocess.adf_p(np.cumsum(e))
+    assert preprocess.adf_p(np.ones(50)) == 1.0 == preprocess.adf_p(e[:4])
+
+
+def test_preprocessor_differences_walks(spark):
+    rng = np.random.default_rng(4)
+    walk, noise = np.cumsum(rng.normal(size=300)), rng.normal(size=300)
+    obs = spark.createDataFrame([(0, t, v, float(s[t])) for v, s in (("w", walk), ("n", noise)) for t in range(300)], "traj_id long, t long, variable string, value double")
+    p = preprocess.Preprocessor()
+    out = p.fit_transform(obs)
+    assert p.orders == {"w": 1, "n": 0} and out.count() == 598
