@@ -48,7 +48,7 @@ def chi2_even_sf(half: Column, k: Column) -> Column:
 
 def fisher(p: Column) -> Column:
     """Combined p-value of a group; invalid values don't count, none gives null."""
-    logs = F.sum(-F.log(F.greatest(valid_p(p), number(LEAST_P))))
+    logs = F.sum(-F.log(clip(valid_p(p), LEAST_P, 1)))
     return clip(chi2_even_sf(logs, F.count(valid_p(p))), 0, 1)
 
 
@@ -67,7 +67,7 @@ def posterior(factor: Column, prior: float) -> Column:
 
 def score_probability(score: Column, scale: Column) -> Column:
     """Logistic of the score's size against a scale: 0.5 or more, 0.5 where there is no score."""
-    usable = F.greatest(finite(scale), number(TINY))
+    usable = F.greatest(F.coalesce(finite(scale), number(1)), number(TINY))
     return F.coalesce(clip_probability(1 / (1 + F.exp(-F.abs(finite(score)) / usable))), number(0.5))
 
 
