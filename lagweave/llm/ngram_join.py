@@ -31,9 +31,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, stored
 from .hashing import U, mix, shingles
 
-#: A token is common from one document in so many on.
-COMMON_ONE_IN = 2000
-#: Documents and tokens of the chunks in which recurring tokens are counted; a common token recurs in some chunk.
+#: Documents and tokens of the chunks in which recurring tokens are counted; a common token recurs so often in some chunk.
 CHUNK_DOCS, CHUNK_TOKENS, CHUNK_LEAST = 8192, 4_000_000, 3
 #: Most common tokens that are told apart (12 MB); the rest keep their hash order, which is as right an order.
 MOST_COMMON = 1 << 20
@@ -134,11 +132,18 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(shingles(t, k)) for t in _texts(batch)], pa.int64())], ["doc_id", "tokens"])
 
 
-def _common_tokens(profile: DataFrame, documents: int):
+def _common_tokens(profile: DataFrame):
     """Broadcast (tokens in ascending order, their rank by document count): at most MOST_COMMON of them."""
     pairs = profile.where("n < 0").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("t.tokens", "t.counts")
-    often = pairs.groupBy(F.col("tokens").alias("token")).agg(F.sum("counts").alias("df")).where(F.col("df") >= max(CHUNK_LEAST, documents // COMMON_ONE_IN))
-    rows = often.orderBy(F.desc("df"), "token").limit(MOST_COMMON).toPandas()
+    often = pairs.groupBy(F.col("tokens").alias("token")).agg(F.sum("counts").alias("df"))
+    often = stored(often.withColumn("step", F.floor(F.log2("df") * 8).cast("int")))
+    kept, least = 0, 0
+    for step, count in sorted(((r["step"], r["count"]) for r in often.groupBy("step").count().collect()), reverse=True):
+        kept, least = kept + count, step
+        if kept > MOST_COMMON:
+            least = step + 1
+            break
+    rows = often.where(F.col("step") >= least).select("token", "df").toPandas().sort_values(["df", "token"], ascending=[False, True])
     token = rows["token"].to_numpy(np.int64).view(U)
     order = np.argsort(token)
     return profile.sparkSession.sparkContext.broadcast((token[order], -np.arange(len(token), dtype=np.int64)[order]))
@@ -175,7 +180,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     profile = stored(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n int, d1 long, d2 long, tokens array<long>, counts array<int>"))
     rows = profile.where("n >= 0")
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    common = _common_tokens(profile, rows.count())
+    common = _common_tokens(profile)
     signatures = docs.mapInArrow(
         lambda it: _signatures(it, k, percent, common),
         "doc_id long, n int, d1 long, d2 long, prefix array<long>, b array<int>, c array<int>, need_b int, need_c int",
