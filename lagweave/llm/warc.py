@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import hashed_sample, scratch
 
 LEAST = 100
 #: Bytes of the dictionary; records and bytes of each that it is trained on.
@@ -42,7 +42,7 @@ _SCHEMA = "page_id {}, payload_bytes long, payload_digest string, record_type st
 def dictionary(payloads: DataFrame) -> bytes:
     """A trained dictionary from SAMPLE payloads in hash order, or their plain bytes if they are too few to train on."""
     cut = payloads.where("payload IS NOT NULL").select(F.substring("payload", 1, SAMPLE_BYTES).alias("cut"), F.xxhash64("key").alias("order"))
-    samples = [r["cut"].encode() for r in cut.orderBy("order", "cut").limit(SAMPLE).collect()]
+    samples = [r["cut"].encode() for r in sorted(hashed_sample(cut, "order", SAMPLE).collect(), key=lambda r: (r["order"], r["cut"]))]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, threads=1).as_bytes()
     except (zstandard.ZstdError, ValueError, MemoryError):
