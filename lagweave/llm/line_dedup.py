@@ -72,18 +72,19 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs(doc_id, text, ...) with the later repeated runs cut from text, and _n_lines, _n_removed beside it."""
-    keyed = docs.withColumns({"_hash": F.xxhash64("text"), "_doc": F.col("doc_id")})
-    runs = repeated_runs(docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text")), min_words)
-    runs = runs.select(F.col("_doc").alias("_doc2"), F.col("_hash").alias("_hash2"), "_runs")
+    """docs(doc_id, text, ...) with the later repeated runs cut from text, and _n_lines, _n_removed beside it.
+
+    Input columns of these two names are replaced; all others go through whole.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    runs = repeated_runs(keyed.select(*_KEY, "_text"), min_words).select(F.col("_doc").alias("_doc2"), F.col("_hash").alias("_hash2"), "_runs")
     joined = keyed.join(runs, keyed["_doc"].eqNullSafe(F.col("_doc2")) & (keyed["_hash"] == F.col("_hash2")), "left")
-    lines = F.split("text", "\n")
+    lines = F.split("_text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: i.between(r["first"], r["last"])))
     cut = F.col("_runs").isNotNull()
     removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    out = joined.withColumns({
-        "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "_n_removed": F.when(cut, removed).otherwise(0).cast("long"),
-        "_cut": F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text")),
-    })
-    return out.select(*[F.col("_cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_n_removed")
+    text = F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("_text")).alias("text")
+    return joined.select(
+        *[text if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_n_lines", "_n_removed")],
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"), F.when(cut, removed).otherwise(0).cast("long").alias("_n_removed"),
+    )
