@@ -118,6 +118,10 @@ def q58_ges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "GES")
 
 
+def q59_fci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, "FCI")
+
+
 def q61_neural_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "NeuralGrangercMLP")
 

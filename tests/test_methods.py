@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lagweave.methods import classical_granger, dynotears, ges, neural_granger, pcmci, score_based, var_lingam
+from lagweave.methods import classical_granger, dynotears, fci, ges, neural_granger, pcmci, score_based, var_lingam
 from lagweave.methods._tools import t_two_sided
 from lagweave.operators import generators, preprocess, registry, suite
 
@@ -128,3 +128,17 @@ def test_preprocessor_differences_walks(spark):
     p = preprocess.Preprocessor()
     out = p.fit_transform(obs)
     assert p.orders == {"w": 1, "n": 0} and out.count() == 598
+
+
+def test_fci_separates_and_orients(x):
+    rng = np.random.default_rng(2)
+    a, b, e = rng.normal(size=(3, 4000))
+    c = a + b + 0.5 * rng.normal(size=4000)
+    d = c + 0.5 * e
+    s = fci.Search(np.cov(np.column_stack([a, b, c, d]), rowvar=False), 4000, np.zeros(4, bool), 0.001, 3)
+    m = s.run()
+    assert m[0, 1] == fci.NONE and m[0, 3] == fci.NONE and m[0, 2] == fci.ARROW == m[1, 2]
+    assert m[2, 3] == fci.ARROW and m[3, 2] == fci.TAIL
+    every = _links(fci.run_fci(x, 2, NAMES, alpha=0.001, include_partial=True))
+    assert {("X", "Y", 2), ("Y", "Z", 1)} <= every
+    assert all(r["score"] == 1.0 for r in fci.run_fci(x, 2, NAMES))
