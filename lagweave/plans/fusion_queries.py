@@ -9,7 +9,7 @@ from ..functions.special import bayes_factor, posterior, score_probability, vali
 from ..functions.special import fisher as fisher_p
 from ..operators import calibration, consensus, expert, fusion, metrics, plotdata, predictive, selection, structure
 from . import bindings as b
-from .panel_queries import _r, _rounded
+from .panel_queries import _FISHER, _r, _rounded
 
 EDGE = fusion.EDGE
 BOOT = b.RUNS - 1
@@ -259,7 +259,6 @@ _SIGNS = f"""coalesce(string_agg(method, ',' ORDER BY method) FILTER (method IN
       count(*) FILTER (method IN {_IN} AND score > 0) AS positive_votes, count(*) FILTER (method IN {_IN} AND score < 0) AS negative_votes"""
 _SIGN_OUT = """CASE WHEN positive_votes > 0 AND negative_votes > 0 THEN 'mixed' WHEN positive_votes > 0 THEN 'positive' WHEN negative_votes > 0 THEN 'negative' ELSE 'unknown' END AS sign_consensus,
       round(CASE WHEN positive_votes + negative_votes > 0 THEN greatest(positive_votes, negative_votes) / (positive_votes + negative_votes) END, 6) + 0.0 AS sign_agreement"""
-_FISHER = "least(1.0, greatest(0.0, list_sum(list_transform(range(0, k), lambda i: exp(-l + CASE WHEN i = 0 THEN 0 ELSE i * ln(greatest(l, 1e-300)) END - lgamma(i + 1.0))))))"
 _BF = "CASE WHEN {p} >= 1 / exp(1.0) THEN 1.0 ELSE 1 / (-exp(1.0) * least(greatest({p}, 1e-16), 1 - 1e-16) * ln(least(greatest({p}, 1e-16), 1 - 1e-16))) END"
 _POST = "least(1 - 1e-12, greatest(1e-12, (0.1::DOUBLE / 0.9::DOUBLE) * {b} / (1 + (0.1::DOUBLE / 0.9::DOUBLE) * {b})))"
 _Z975 = "1.959963984540054::DOUBLE"

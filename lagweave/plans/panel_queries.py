@@ -90,12 +90,12 @@ def q32_predictive_gain_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(predictive.gains_order_one(panel.zscore(b.events_panel(spark, sf_dir))))
 
 
-def _fit(spark: SparkSession, sf_dir: str, *names: str, bootstraps: int = 0) -> DataFrame:
+def _fit(spark: SparkSession, sf_dir: str, *names: str, bootstraps: int = 0, **options) -> DataFrame:
     from ..operators.registry import discover
 
     obs = suite.with_bootstraps(panel.zscore(b.trajectories(spark, sf_dir)), bootstraps)
     specs = {k: v for k, v in discover().items() if k in names}
-    return suite.fit_grid(obs, specs, 2)
+    return suite.fit_grid(obs, specs, 2, {k: options for k in specs})
 
 
 def q54_pcmci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def q58_ges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q59_fci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, "FCI")
+    return _fit(spark, sf_dir, "FCI", include_partial=True)
 
 
 def q61_neural_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +146,19 @@ def q65_method_grid_bootstraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "PCMCI", "ClassicalGranger", "VARLiNGAM", bootstraps=4)
 
 
+def q66_heterogeneous_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = granger.segmented(panel.segments(panel.zscore(b.orders_panel(spark, sf_dir)), 2, 20), 0.6)
+    return _rounded(suite.segment_votes(found, 2, 1).withColumn("segments", F.array_join("segments", ",")))
+
+
+def q67_mlp_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..methods.mlp_heuristic import run_mlp_permutation
+    from ..operators.registry import MethodSpec
+
+    obs = suite.with_bootstraps(panel.zscore(b.trajectories(spark, sf_dir)), 0)
+    return suite.fit_grid(obs, {"MLPPermutationHeuristic": MethodSpec("MLPPermutationHeuristic", run_mlp_permutation)}, 2)
+
+
 _Z = "SELECT traj_id, t, variable, (value - avg(value) OVER s) / CASE WHEN stddev_pop(value) OVER s > {eps} THEN stddev_pop(value) OVER s ELSE 1 END AS value FROM {p} WINDOW s AS (PARTITION BY traj_id, variable)"
 _W = "OVER (PARTITION BY traj_id, variable ORDER BY t)"
 
@@ -184,6 +197,10 @@ def _granger(source: str, keys: str = "traj_id") -> str:
       tested AS (SELECT *, pow(1 + 2 * f / dof, -dof / 2.0) AS p, {_student('t1', 'dof')} AS p1, {_student('t2', 'dof')} AS p2 FROM fs)"""
 
 
+#: Combined p-value of a group with k values and the sum l of their negative logarithms.
+_FISHER = "least(1.0, greatest(0.0, list_sum(list_transform(range(0, k), lambda i: exp(-l + CASE WHEN i = 0 THEN 0 ELSE i * ln(greatest(l, 1e-300)) END - lgamma(i + 1.0))))))"
+
+
 def _index() -> str:
     """VALUES of the bootstrap index, from the same seeded stream."""
     rng, rows = np.random.default_rng(42), []
@@ -223,6 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "q12_granger_joint": f"WITH {c('ev')}, z AS ({z('ev')}), {_granger('z')} SELECT traj_id, source, target, n, {_r('b1', 'b2', 'f', 'p', 't1', 'p1', 't2', 'p2')} FROM tested",
         "q13_granger_edges": f"WITH {c('ord')}, z AS ({z('ord')}), {_granger('z')}, e AS ({_EDGE_ROWS.format(keys='traj_id', alpha=0.5)}) SELECT traj_id, source, target, lag::BIGINT AS lag, {_r('score', 'p_value', 'joint_p_value', 'joint_statistic')} FROM e",
         "q14_granger_segmented": f"WITH {c('ord')}, z AS ({z('ord')}), {_SEGMENT.format(p='z', count=2, least=20)}, {_granger('segmented', 'traj_id, segment')}, e AS ({_EDGE_ROWS.format(keys='traj_id, segment', alpha=0.6)}) SELECT traj_id, segment, source, target, lag::BIGINT AS lag, {_r('score', 'p_value')} FROM e",
+        "q66_heterogeneous_granger": f"WITH {c('ord')}, z AS ({z('ord')}), {_SEGMENT.format(p='z', count=2, least=20)}, {_granger('segmented', 'traj_id, segment')}, e AS ({_EDGE_ROWS.format(keys='traj_id, segment', alpha=0.6)}), f AS (SELECT traj_id, source, target, lag, avg(score) AS score, count(p_value) AS k, sum(-ln(greatest(p_value, 1e-16))) AS l, count(DISTINCT segment) AS segment_votes, string_agg(segment::VARCHAR, ',' ORDER BY segment) AS segments FROM e GROUP BY ALL) SELECT traj_id, source, target, lag::BIGINT AS lag, {_r('score')}, round({_FISHER}, 6) + 0.0 AS p_value, segment_votes, segments, segment_votes / 2 + 0.0 AS support_ratio FROM f",
         "q15_block_bootstrap_sample": f"WITH {c('ev')}, i AS ({_index()}) SELECT run_id::BIGINT AS run_id, traj_id, new_t::BIGINT AS t, variable, {_r('value')} FROM ev JOIN i USING (t)",
         "q16_granger_bootstrap_runs": f"WITH {c('ev')}, z AS ({z('ev')}), i AS ({_index()}), s AS (SELECT run_id::BIGINT AS run_id, new_t AS t, variable, value FROM z JOIN i USING (t)), {_granger('s', 'run_id')} SELECT run_id, source, target, n, {_r('f', 'p')} FROM tested",
         "q32_predictive_gain_l1": f"""WITH {c('ev')}, z AS ({z('ev')}), l AS (SELECT *, lag(value, 1) {_W} AS l1 FROM z), k AS (SELECT *, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY traj_id, variable) AS size FROM l WHERE l1 IS NOT NULL),

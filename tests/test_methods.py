@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lagweave.methods import classical_granger, dynotears, fci, ges, neural_granger, pcmci, score_based, var_lingam
+from lagweave.methods import classical_granger, dynotears, fci, ges, mlp_heuristic, neural_granger, pcmci, score_based, var_lingam
 from lagweave.methods._tools import t_two_sided
 from lagweave.operators import generators, preprocess, registry, suite
 
@@ -142,3 +142,8 @@ def test_fci_separates_and_orients(x):
     every = _links(fci.run_fci(x, 2, NAMES, alpha=0.001, include_partial=True))
     assert {("X", "Y", 2), ("Y", "Z", 1)} <= every
     assert all(r["score"] == 1.0 for r in fci.run_fci(x, 2, NAMES))
+
+
+def test_mlp_heuristic(x):
+    found = _links(mlp_heuristic.run_mlp_permutation(x, 2, NAMES))
+    assert {("X", "Y", 2), ("Y", "Z", 1)} <= found and all(lag in (1, 2) for *_, lag in found)
