@@ -1,13 +1,15 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Features are words and word beginnings of 4 to 6 letters. Voters are the words of a fixed lexicon, word beginnings that
+Features are words and word beginnings of 4 to 8 letters: that one occurs, that it occurs twice or three times, and that
+it is at least one word in a hundred. Voters are the words of a fixed lexicon, word beginnings that
 labelled toxic rows share and clean rows lack (chosen greedily by the toxic rows they newly cover), the annotators'
 labels, and patterns: several hits, dense hits, no hit, shouting. The label model is fitted by expectation
 maximisation: a table of vote probabilities per class and voter, with each voter's log odds divided by its correlation
-with the others given the class. A logistic regression on the features learns its posteriors.
+with the others given the class. A logistic regression on the features learns its posteriors; its
+bias is then set so that 0.7 is the cut that parts the fitted rows best.
 
 Fitting uses at most SAMPLE labelled rows of each class, in hash order. Scoring reads every whole text: one automaton
-over the chosen features scans the letters, and presence of each feature counts once.
+over the words and beginnings of the chosen features counts their occurrences.
 
 Edge cases: null, empty or letterless texts get the score of a text without features. Labels that repeat an id count
 as toxic if any is. Null labels and ids teach nothing. Without labels of both classes the lexicon alone scores.
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored
+from .common import hashed_sample, keyed, stored
 
 #: Common English insults.
 LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb imbecile jerk garbage vermin filth ugly retard bastard bitch"
 SAMPLE = 6000
-CANDIDATES, FEATURES, VOTERS = 40_000, 600, 60
+CANDIDATES, FEATURES, VOTERS = 60_000, 1200, 80
 PURITY = 0.95
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -40,10 +42,21 @@ def _line(text: str) -> bytes:
     return b" " + text.lower().encode().translate(_FOLD) + b" "
 
 
+BEGINNINGS = range(4, 9)
+#: What is asked of the occurrences n of a word or beginning in a text of so many words, by the feature's suffix.
+ASKED = {"": lambda n, words: n >= 1, "#2": lambda n, words: n >= 2, "#3": lambda n, words: n >= 3, "%": lambda n, words: n >= 2 and n * 100 >= words}
+
+
 def _features(text: str) -> set[str]:
-    """Every distinct word as ' word ' and every word's beginnings as ' begin'."""
-    words = {w.decode() for w in _line(text).split()}
-    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n}
+    """The features of a text: every word as ' word ', every beginning as ' begin', with the suffixes that hold."""
+    words = _line(text).decode().split()
+    found: Counter = Counter()
+    for w, n in Counter(words).items():
+        found[f" {w} "] += n
+        for size in BEGINNINGS:
+            if len(w) >= size:
+                found[f" {w[:size]}"] += n
+    return {f + suffix for f, n in found.items() for suffix, holds in ASKED.items() if holds(n, len(words))}
 
 
 def _counts(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iterator[pa.RecordBatch]:
@@ -68,7 +81,10 @@ def _rows(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[
 
 
 def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of class 1 per row of votes (1, 0 abstains, -1), by expectation maximisation from the given start."""
+    """Posterior of class 1 per row of votes (1, 0 abstains, -1), by expectation maximisation from the given start.
+
+    The last voter is the annotators.
+    """
     posterior = start.astype(float)
     kinds = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(rounds):
@@ -82,20 +98,21 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
         related = np.abs(rest.T @ rest / len(rest) / np.outer(spread, spread))
         related[related < 0.2] = 0
         shared = np.maximum(related.sum(1), 1.0)
+        shared[-1] = 1.0  # the annotators don't see the other voters
         odds = np.log(table[1]) - np.log(table[0])
         logit = np.log(prior / (1 - prior)) + np.einsum("nmv,mv->n", kinds, odds / shared[:, None])
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on soft labels, by accelerated gradient steps."""
-    n = len(x)
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 1200, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on soft labels, classes weighing alike, by adaptive gradient steps."""
+    share = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        gw, gb = x.T @ error / n + ridge * w, float(error.mean())
+        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * share / 2
+        gw, gb = x.T @ error + ridge * w, float(error.sum())
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         up, down = 1 - 0.9**t, 1 - 0.99**t
         w = (w - 0.1 * (mw / up) / (np.sqrt(vw / down) + 1e-8)).astype(np.float32)
@@ -103,6 +120,17 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 2e-
     return w, float(b)
 
 
+def operating_point(logit: np.ndarray, posterior: np.ndarray) -> float:
+    """The cut with the most toxic rows above it less twice the clean ones, in the middle of the widest such gap."""
+    order = np.argsort(-logit, kind="stable")
+    value = np.cumsum(np.where(posterior[order] > 0.5, 1.0, -2.0))
+    sorted_ = np.append(logit[order], logit.min() - 2)
+    gap = sorted_[:-1] - sorted_[1:]
+    value[gap <= 0] = -np.inf
+    best = max(range(len(value)), key=lambda i: (value[i], gap[i]))
+    return float(sorted_[best] + sorted_[best + 1]) / 2
+
+
 def _voters(dense: np.ndarray, toxic: np.ndarray) -> list[int]:
     """Features chosen one by one for the toxic rows they newly cover, less the clean rows they hit."""
     left, chosen = toxic.astype(np.float32), []
@@ -123,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, fl
     lexicon = [f" {w} " for w in LEXICON.split()]
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("order", F.xxhash64("doc_id"))
-    some = [known.where(F.col("toxic") == v).orderBy("order", "doc_id").limit(SAMPLE).select("doc_id", "toxic") for v in (1, 0)]
+    some = [hashed_sample(known.where(F.col("toxic") == v), "order", SAMPLE).select("doc_id", "toxic") for v in (1, 0)]
     # at most 2 * SAMPLE rows of two numbers
     texts = stored(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some[0].union(some[1])), "doc_id").select("toxic", "text"))
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
@@ -143,27 +171,43 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, fl
     dense = np.zeros((len(rows), len(index)), np.float32)
     for i, found in enumerate(rows["found"]):
         dense[i, found] = 1
+    # features that hold for the same rows are one, the first
+    once = np.sort(np.unique(dense, axis=1, return_index=True)[1])
+    known_lexicon = [f for f in lexicon if index[f] in once]
+    index = {f: k for k, f in enumerate(f for i, f in enumerate(index) if i in set(once))}
+    dense = dense[:, once]
     toxic = rows["toxic"].to_numpy(np.float32)
     hits, words = dense.sum(1), rows["words"].to_numpy()
-    chosen = list(dict.fromkeys([*_voters(dense, toxic), *(index[f] for f in lexicon)]))
+    chosen = list(dict.fromkeys([*_voters(dense, toxic), *(index[f] for f in known_lexicon)]))
     votes = np.column_stack([dense[:, chosen], hits >= 3, hits * 50 >= words.clip(1), -(hits == 0).astype(np.float32), rows["loud"].to_numpy(), 2 * toxic - 1])
     prior = float(toxic.mean())
     posterior = label_model(votes, prior, np.where(toxic > 0, 0.9, 0.1))
     weights, bias = logistic(dense, posterior.astype(np.float32))
+    bias += float(np.log(0.7 / 0.3)) - operating_point(dense @ weights + bias, posterior)
     return {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3}, bias
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     weights, bias = model.value
-    automaton = ahocorasick.Automaton()
+    asked: dict[str, list[tuple[str, float]]] = {}
     for feature, weight in weights.items():
-        automaton.add_word(feature.encode().decode("latin-1"), (feature, weight))
-    automaton.make_automaton() if len(automaton) else None
+        suffix = next((x for x in ("#2", "#3", "%") if feature.endswith(x)), "")
+        asked.setdefault(feature.removesuffix(suffix), []).append((suffix, weight))
+    automaton = ahocorasick.Automaton()
+    for text in asked:
+        automaton.add_word(text.encode().decode("latin-1"), text)
+    if asked:
+        automaton.make_automaton()
     for batch in batches:
         total = []
         for text in batch.column("text").to_pylist():
-            found = {value for _, value in automaton.iter(_line(text).decode("latin-1"))} if text and len(automaton) else ()
-            total.append(bias + sum(sorted(w for _, w in found)))
+            value = bias
+            if text and asked:
+                line = _line(text)
+                found = Counter(x for _, x in automaton.iter(line.decode("latin-1")))
+                words = len(line.split()) if found else 0
+                value += sum(sorted(w for x, n in found.items() for suffix, w in asked[x] if ASKED[suffix](n, words)))
+            total.append(value)
         score = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score)], ["key", "score"])
 

@@ -373,7 +373,7 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
     got = toxicity.toxicity(docs, model).join(labels, "doc_id").where(crc_mod(F.col("doc_id"), 3) == 1)
     seen = Counter((r.toxic, r.score >= 0.7) for r in got.collect())
-    assert seen[1, True] / (seen[1, True] + seen[1, False]) >= 0.85
+    assert seen[1, True] / (seen[1, True] + seen[1, False]) >= 0.9
     assert seen[0, True] <= 0.02 * (seen[0, True] + seen[0, False])
 
 
