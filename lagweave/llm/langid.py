@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import hashed_sample, keyed
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 6
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, learn: Column) -> tuple[list[str], ByteCNN | None]:
     order = F.xxhash64("doc_id", "text")
     start = F.pmod(order, F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
     rows = docs.where(learn).where("text IS NOT NULL AND lang IS NOT NULL").select(order.alias("order"), "lang", F.substring(F.col("text"), start.cast("int"), F.lit(WINDOW)).alias("cut"))
-    sample = rows.orderBy("order", "lang", "cut").limit(SAMPLE).toPandas()
+    sample = hashed_sample(rows, "order", SAMPLE).toPandas().sort_values(["order", "lang", "cut"])
     if sample.empty:
         return [], None
     names = sorted(sample["lang"].unique())
