@@ -200,7 +200,8 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         automaton.make_automaton()
     for batch in batches:
         total = []
-        for text in batch.column("text").to_pylist():
+        texts = batch.column("text") if "text" in batch.schema.names else batch.column("key").field("text")
+        for text in texts.to_pylist():
             value = bias
             if text and asked:
                 line = _line(text)
@@ -213,8 +214,9 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 
 def toxicity(docs: DataFrame, model: tuple[dict[str, float], float], key: str = "doc_id") -> DataFrame:
-    """(key, score) for every row of docs(key, text)."""
+    """(key, score) for every row of docs(key, text); a struct as key may hold the text itself."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    text = [F.col("text").cast("string").alias("text")] if "text" in docs.columns else []
+    rows = docs.select(F.col(key).alias("key"), *text)
     scored = rows.mapInArrow(lambda it: _score(it, shared), keyed(rows, "score double"))
     return scored.select(F.col("key").alias(key), "score")
