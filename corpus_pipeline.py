@@ -30,7 +30,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
-    return toxicity.toxicity(_rows(docs), model, key="row").where(F.col("score") < TOXIC).select("row.*")
+    return toxicity.toxicity(_rows(docs).drop("text"), model, key="row").where(F.col("score") < TOXIC).select("row.*")
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
