@@ -46,7 +46,10 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge table drawn from orders: run 0 is the base sample, the method is the customer's region."""
+    """An edge table drawn from orders: run 0 is the base sample, the method is the customer's region.
+
+    Only orders with (o_orderkey * 7 + o_custkey) % 11 = 0 are in it, about one in eleven, as SQL["edges"] has it.
+    """
     c, n, r = (read(spark, sf_dir, x) for x in ("customer", "nation", "region"))
     o = read(spark, sf_dir, "orders").where((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 11 == 0)
     places = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "r_name")
