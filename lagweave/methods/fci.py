@@ -1,7 +1,8 @@
 """Fast causal inference over a time-unrolled design: skeleton, possible d-separation, colliders and orientation rules.
 
 m[i, j] is the mark at j of the edge between i and j: NONE, CIRCLE, ARROW or TAIL. Current variables can't cause lagged
-ones, so an edge between them has an arrow at the current end from the start. Rules for selection bias aren't applied.
+ones, so an edge between them has an arrow at the current end from the start. The rules for selection bias (5 to 7) aren't
+applied.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ class Search:
     """State of one run: covariance, marks, separating sets and, per node, whether it is lagged."""
 
     def __init__(self, cov: np.ndarray, n: int, lagged: np.ndarray, alpha: float, depth: int):
-        self.cov, self.n, self.lagged, self.alpha, self.depth = cov, n, lagged, alpha, depth
+        self.cov, self.n, self.lagged, self.alpha = cov, n, lagged, alpha
         self.size = len(cov)
+        self.depth = self.size if depth < 0 else depth
         self.m = np.full((self.size, self.size), CIRCLE)
         np.fill_diagonal(self.m, NONE)
         self.sets: dict[tuple[int, int], set[int]] = {}
@@ -40,6 +42,8 @@ class Search:
         """Edges go at the first separating set; neighbours are those from the start of each depth."""
         for size in range(self.depth + 1):
             before = {i: self.near(i) for i in range(self.size)}
+            if max(map(len, before.values()), default=0) <= size:
+                break
             for i, j in [(i, j) for i in range(self.size) for j in before[i]]:
                 if self.m[i, j] == NONE:
                     continue
@@ -144,21 +148,60 @@ class Search:
                             done |= self.mark(c, a, TAIL)
         return done
 
+    def _may_lead(self, a: int, b: int) -> bool:
+        """Whether the edge from a to b is not into a and not out of b."""
+        return self.m[a, b] in (ARROW, CIRCLE) and self.m[b, a] != ARROW
+
+    def _reaches(self, a: int, b: int, end: int, without: int = -1) -> bool:
+        """Whether an uncovered potentially directed path a, b, ... leads to end and misses a node."""
+        if not self._may_lead(a, b):
+            return False
+        todo = [(a, b)]
+        while todo:
+            path = todo.pop()
+            if path[-1] == end:
+                return True
+            for c in self.near(path[-1]):
+                if c != without and c not in path and self.m[path[-2], c] == NONE and self._may_lead(path[-1], c):
+                    todo.append((*path, c))
+        return False
+
+    def _paths(self) -> bool:
+        """Rules 9 and 10: uncovered potentially directed paths from a make a circle-arrow edge from a to c directed.
+
+        Rule 9: a path to c whose second node isn't next to c. Rule 10: paths to two parents of c whose second nodes differ
+        and aren't next to each other.
+        """
+        m, done = self.m, False
+        for a in range(self.size):
+            for c in self.near(a):
+                if m[a, c] != ARROW or m[c, a] != CIRCLE:
+                    continue
+                seconds = [b for b in self.near(a) if b != c]
+                if any(m[b, c] == NONE and self._reaches(a, b, c) for b in seconds):
+                    done |= self.mark(c, a, TAIL)
+                    continue
+                parents = [p for p in self.near(c) if p != a and m[p, c] == ARROW and m[c, p] == TAIL]
+                firsts = [[b for b in seconds if self._reaches(a, b, p, c)] for p in parents]
+                if any(x != y and m[x, y] == NONE for one, two in combinations(firsts, 2) for x in one for y in two):
+                    done |= self.mark(c, a, TAIL)
+        return done
+
     def run(self) -> np.ndarray:
         self.skeleton()
         self.colliders()
         self.prune()
         self.colliders()
-        while self._triples() or self._discriminating() or self._tails():
+        while self._triples() or self._discriminating() or self._tails() or self._paths():
             pass
         return self.m
 
 
 @causal_method("FCI")
-def run_fci(data: np.ndarray, max_lag: int, names: list[str] = (), alpha: float = 0.05, depth: int = 3, include_partial: bool = False) -> list[dict]:
+def run_fci(data: np.ndarray, max_lag: int, names: list[str] = (), alpha: float = 0.05, depth: int = -1, include_partial: bool = False) -> list[dict]:
     """Directed edges from lagged to current variables, score 1; with include_partial also circle-arrow ones, score 0.5.
 
-    depth bounds the size of separating sets.
+    depth bounds the size of separating sets, if it isn't negative.
     """
     x = np.asarray(data, float)
     v = x.shape[1]

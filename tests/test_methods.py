@@ -147,3 +147,46 @@ def test_fci_separates_and_orients(x):
 def test_mlp_heuristic(x):
     found = _links(mlp_heuristic.run_mlp_permutation(x, 2, NAMES))
     assert {("X", "Y", 2), ("Y", "Z", 1)} <= found and all(lag in (1, 2) for *_, lag in found)
+
+
+def test_fci_separates_by_sets_of_any_size():
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=(20001, 1))
+    z = 0.8 * np.vstack([[[0.0]], w[:-1]]) + rng.normal(size=(20001, 5))
+    y = z.sum(1, keepdims=True) + rng.normal(size=(20001, 1))
+    names = ["W", *"ABCDE", "Y"]
+    found = lambda **kw: _links(fci.run_fci(np.hstack([w, z, y]), 1, names, alpha=1e-4, include_partial=True, **kw))
+    assert {("W", v, 1) for v in "ABCDE"} <= found() and ("W", "Y", 1) not in found()
+    assert ("W", "Y", 1) in found(depth=3)
+
+
+def _marks(size, *edges):
+    """A search with the marks of (i, mark at i, mark at j, j)."""
+    s = fci.Search(np.eye(size), 100, np.zeros(size, bool), 0.05, -1)
+    s.m[:] = fci.NONE
+    for i, at_i, at_j, j in edges:
+        s.m[j, i], s.m[i, j] = at_i, at_j
+    return s
+
+
+def test_fci_rule_9():
+    o, to, tail = fci.CIRCLE, fci.ARROW, fci.TAIL
+    s = _marks(4, (0, o, to, 3), (0, o, o, 1), (1, o, to, 2), (2, tail, to, 3))
+    assert s._paths() and s.m[3, 0] == tail and s.m[0, 3] == to
+    assert not s._paths()
+    for other in ((1, o, o, 3), (0, o, o, 2)):  # the second node is next to the target, or the path isn't uncovered
+        s = _marks(4, (0, o, to, 3), (0, o, o, 1), (1, o, to, 2), (2, tail, to, 3), other)
+        assert not s._paths()
+    s = _marks(4, (0, o, to, 3), (0, to, to, 1), (1, o, to, 2), (2, tail, to, 3))
+    assert not s._paths()
+
+
+def test_fci_rule_10():
+    o, to, tail = fci.CIRCLE, fci.ARROW, fci.TAIL
+    # 0 o-> 4 with parents 2 and 3 of 4, which paths by way of 1 and straight from 0 lead to
+    s = _marks(5, (0, o, to, 4), (0, o, o, 1), (1, o, o, 2), (0, o, o, 3), (2, tail, to, 4), (3, tail, to, 4), (1, o, o, 4))
+    assert s._paths() and s.m[4, 0] == tail
+    s = _marks(5, (0, o, to, 4), (0, o, o, 1), (1, o, o, 2), (0, o, o, 3), (2, tail, to, 4), (3, tail, to, 4), (1, o, o, 4), (1, o, o, 3))
+    assert not s._paths()
+    s = _marks(5, (0, o, to, 4), (0, o, o, 1), (1, to, o, 2), (0, o, o, 3), (2, tail, to, 4), (3, tail, to, 4), (1, o, o, 4))
+    assert not s._paths()
