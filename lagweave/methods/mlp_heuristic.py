@@ -7,23 +7,33 @@ import numpy as np
 from ._tools import design, edge, standardised
 
 
-def _train(x: np.ndarray, y: np.ndarray, hidden: int, steps: int, seed: int):
-    """A one-layer network by Adam on all rows; returns its prediction function."""
+def _train(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], steps: int, seed: int):
+    """A network with hidden layers of these sizes by Adam on all rows; returns its prediction function."""
     rng = np.random.default_rng(seed)
-    p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
+    sizes = [x.shape[1], *hidden, 1]
+    p = [q for n, k in zip(sizes, sizes[1:], strict=False) for q in (rng.normal(0, 1 / np.sqrt(n), (n, k)), np.zeros(k))]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+
+    def layers(q: np.ndarray) -> list[np.ndarray]:
+        out = [q]
+        for i in range(0, len(p), 2):
+            z = out[-1] @ p[i] + p[i + 1]
+            out.append(np.maximum(z, 0) if i + 2 < len(p) else z)
+        return out
+
     for t in range(1, steps + 1):
-        z = x @ p[0] + p[1]
-        a = np.maximum(z, 0)
-        e = 2 * (a @ p[2] + p[3] - y) / len(y)
-        back = np.outer(e, p[2]) * (z > 0)
-        for i, g in enumerate((x.T @ back, back.sum(0), a.T @ e, np.array([e.sum()]))):
-            m[i], s[i] = 0.9 * m[i] + 0.1 * g, 0.999 * s[i] + 0.001 * g * g
+        a = layers(x)
+        back, g = 2 * (a[-1] - y[:, None]) / len(y), []
+        for i in range(len(hidden), -1, -1):
+            g[:0] = [a[i].T @ back, back.sum(0)]
+            back = back @ p[2 * i].T * (a[i] > 0)
+        for i, d in enumerate(g):
+            m[i], s[i] = 0.9 * m[i] + 0.1 * d, 0.999 * s[i] + 0.001 * d * d
             p[i] -= 0.01 * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
-    return lambda q: np.maximum(q @ p[0] + p[1], 0) @ p[2] + p[3]
+    return lambda q: layers(q)[-1][:, 0]
 
 
-def run_mlp_permutation(data: np.ndarray, max_lag: int, names: list[str] = (), holdout: float = 0.2, threshold: float = 0.01, hidden: int = 16, steps: int = 300, repeats: int = 5, seed: int = 42) -> list[dict]:
+def run_mlp_permutation(data: np.ndarray, max_lag: int, names: list[str] = (), holdout: float = 0.2, threshold: float = 0.0, hidden: tuple[int, ...] = (64, 32), steps: int = 300, repeats: int = 10, seed: int = 42) -> list[dict]:
     """Lagged inputs whose shuffling raises the error on the last rows by more than the threshold; no p-values."""
     x = standardised(np.asarray(data, float))
     v = x.shape[1]

@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 
@@ -190,3 +192,25 @@ def test_fci_rule_10():
     assert not s._paths()
     s = _marks(5, (0, o, to, 4), (0, o, o, 1), (1, to, o, 2), (0, o, o, 3), (2, tail, to, 4), (3, tail, to, 4), (1, o, o, 4))
     assert not s._paths()
+
+
+def test_mlp_heuristic_does_the_whole_job(x, monkeypatch):
+    kinds = inspect.signature(mlp_heuristic.run_mlp_permutation).parameters
+    assert {k: kinds[k].default for k in ("hidden", "repeats", "threshold")} == {"hidden": (64, 32), "repeats": 10, "threshold": 0.0}
+    calls = []
+
+    def linear(past, y, *_):
+        w = np.linalg.lstsq(past, y, rcond=None)[0]
+        return lambda q: calls.append(1) or q @ w
+
+    monkeypatch.setattr(mlp_heuristic, "_train", linear)
+    scores = [r["score"] for r in mlp_heuristic.run_mlp_permutation(x, 2, NAMES)]
+    assert min(scores) > 0 and any(s <= 0.01 for s in scores)
+    assert len(calls) == 3 * (1 + 6 * 10)
+
+
+def test_mlp_fits_what_one_line_cannot():
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(400, 2))
+    y = np.abs(q[:, 0]) - np.abs(q[:, 1])
+    assert ((mlp_heuristic._train(q, y, (64, 32), 300, 1)(q) - y) ** 2).mean() < 0.01 * y.var()
