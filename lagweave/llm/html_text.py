@@ -2,10 +2,12 @@
 
 A page is read into a tree leniently: optional end tags are implied, script and style contents are skipped, unknown or
 broken markup is dropped. Subtrees that page structure names as menus, headers, footers, sidebars, adverts, notices,
-forms or reader comments go first. For every other node the composite density is its characters per tag, adjusted by
+forms or reader comments go first. A class, id or role all of whose words are such names is one; with other words beside
+them ("content has-sidebar") it only counts if the subtree doesn't hold most of the page's unlinked text. For every other node the composite density is its characters per tag, adjusted by
 the logarithm of how rarely its characters and tags are links; the group of blocks whose children's densities sum
 highest is the article. The least density on its path up to the body is the threshold: siblings of the same tag join the article from
-it on, and blocks of links below it are left out.
+it on. Nothing inside the article goes, be it linked or not; only if it is the whole body, groups of links before its first
+and after its last other text are menus.
 
 Edge cases: null and empty pages and pages without text give ''. Texts are never cut. Rows that repeat are each
 returned; an empty table gives an empty result.
@@ -40,6 +42,10 @@ NAMED = frozenset(
     "newsletter subscribe subscription signup sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus replies respond "
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager login search skip contentinfo complementary hidden".split()
 )
+#: Those of NAMED that hold readers' texts, which may be articles themselves.
+READERS = frozenset("comment comments disqus replies respond".split())
+#: Words of names that say what stands beside or inside a part, not what it is.
+BESIDE = frozenset("has with without no".split())
 HEADERS = frozenset("header masthead banner topbar".split())
 #: An open element that a start tag of the key's kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,28 +58,54 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "links", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "items", "link_chars", "links", "named", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, named: bool = False):
+        self.tag, self.parent, self.named, self.items = tag, parent, named, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
 
 
-def _unwanted(tag: str, attributes: str, stack: list[Node]) -> bool:
-    if tag in DROPPED:
-        return True
-    words: set[str] = set()
-    if attributes:
-        for m in _NAME.finditer(attributes):
-            words.update(w.lower() for w in _PART.findall(m[2] or m[3] or m[4] or ""))
-        if _GONE.search(attributes):
-            return True
+def _names(attributes: str) -> list[list[set[str]]]:
+    """The words of each name in each class, id and role."""
+    return [[{w.lower() for w in _PART.findall(name)} for name in (m[2] or m[3] or m[4] or "").split()] for m in _NAME.finditer(attributes)]
+
+
+def _unwanted(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, bool, bool]:
+    """Whether an element is no content, whether its names say so beside others, and whether it holds readers' texts."""
+    names = _names(attributes) if attributes else []
+    readers = any(w and w <= NAMED and w & READERS for x in names for w in x)
+    if tag in DROPPED or attributes and _GONE.search(attributes):
+        return True, False, readers
     if tag in ("body", "html", *CONTENT):
-        return False
-    if tag == "header" or words & HEADERS:
-        return not any(n.tag in CONTENT for n in stack)
-    return bool(words & NAMED)
+        return False, False, False
+    top = tag == "header" or any(w & HEADERS for x in names for w in x)
+    inside = top and any(n.tag in CONTENT for n in stack)
+    if tag == "header":
+        return not inside, False, readers
+    bad = NAMED - HEADERS if inside else NAMED | HEADERS
+    if any(x and all(w and w <= bad for w in x) for x in names):
+        return True, False, readers
+    return False, any(w & bad and not w & BESIDE for x in names for w in x), readers
+
+
+def _closed(page: str) -> set[int]:
+    """Where the start tags stand that an end tag of their own answers."""
+    found: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    at = 0
+    for m in _TAG.finditer(page):
+        tag = (m[2] or m[4] or "").lower()
+        if m.start() < at or not tag:
+            continue
+        if m[1] if m[2] else m[0].startswith("</"):
+            if opened.get(tag):
+                found.add(opened[tag].pop())
+        elif tag in RAW:
+            at = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(page, m.end()).end()
+        else:
+            opened.setdefault(tag, []).append(m.start())
+    return found
 
 
 def parse(page: str) -> Node:
@@ -81,6 +113,7 @@ def parse(page: str) -> Node:
     root = Node("body", None)
     stack = [root]
     at, skip, depth = 0, "", 0  # skip: the tag of an unwanted subtree, open depth times
+    whole, closed = False, None  # whole: the subtree goes with any articles in it; closed: found once needed
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
@@ -99,7 +132,7 @@ def parse(page: str) -> Node:
             if tag == skip:
                 depth += -1 if closes else 1
                 skip = skip if depth else ""
-            elif tag in CONTENT or closes and tag in ("body", "html"):
+            elif tag in CONTENT and not whole or closes and tag in ("body", "html"):
                 skip = ""  # an unwanted part that never ended
             if skip or closes or tag not in CONTENT:
                 continue
@@ -120,11 +153,15 @@ def parse(page: str) -> Node:
                 break
             if stack[i].tag in SCOPE:
                 break
-        if tag not in VOID and _unwanted(tag, (m[3] if m[2] else m[5]) or "", stack):
+        drop, named, readers = _unwanted(tag, (m[3] if m[2] else m[5]) or "", stack) if tag not in VOID else (False, False, False)
+        if drop:
             if not (m[0].endswith("/>")):
                 skip, depth = tag, 1
+                if readers and closed is None:
+                    closed = _closed(page)
+                whole = readers and m.start() in closed
             continue
-        node = Node(tag, stack[-1])
+        node = Node(tag, stack[-1], named)
         stack[-1].items.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
             stack.append(node)
@@ -146,6 +183,7 @@ def measure(root: Node) -> list[Node]:
         node.link_chars = node.chars if node.tag == "a" else sum(x.link_chars for x in inside)
     share = root.link_chars / max(root.chars, 1)
     for node in reversed(order):
+        node.density = 0.0
         if node.chars:
             rest = max(node.chars - node.link_chars, 1)
             base = math.log(node.chars / rest * node.link_chars + share * node.chars + math.e)
@@ -155,7 +193,23 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def _write(node: Node, blocks: list[list[str]], threshold: float) -> None:
+def _prune(order: list[Node]) -> bool:
+    """Takes named subtrees out that don't hold most of the unlinked text."""
+    most = (order[0].chars - order[0].link_chars) / 2
+    gone = {n for n in order if n.named and n.chars - n.link_chars <= most}
+    for up in {n.parent for n in gone}:
+        up.items = [x for x in up.items if x not in gone]
+    return bool(gone)
+
+
+def _trim(root: Node) -> None:
+    """Takes groups of links out that stand at either end of a body, unless it is all links."""
+    text = [i for i, x in enumerate(root.items) if (x.strip() if isinstance(x, str) else x.chars and not (x.tag in GROUPS and x.links > 1 and x.link_chars == x.chars))]
+    if text and root.chars > root.link_chars:
+        root.items = root.items[text[0] : text[-1] + 1]
+
+
+def _write(node: Node, blocks: list[list[str]]) -> None:
     """Depth first without recursion: text goes to the last block, block elements open a new one on either side."""
     todo: list = [node]
     while todo:
@@ -165,9 +219,6 @@ def _write(node: Node, blocks: list[list[str]], threshold: float) -> None:
         elif isinstance(x, str):
             blocks[-1].append(html.unescape(x) if "&" in x else x)
         else:
-            if x is not node and x.tag in BLOCK and x.link_chars * 2 > x.chars and x.density < threshold:
-                blocks.append([])
-                continue
             if x.tag in BLOCK:
                 blocks.append([])
                 todo.append(None)
@@ -180,6 +231,8 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = measure(root)
+    if _prune(order):
+        order = measure(root)
     best = max((n for n in order if n.tag in GROUPS), key=lambda n: n.sum)
     if not best.sum:
         best = root
@@ -189,11 +242,13 @@ def main_text(page: str | None) -> str:
         path.append(up.density)
     threshold = min(path)
     chosen = [best]
-    if best.parent is not None:
+    if best.parent is None:
+        _trim(root)
+    else:
         chosen = [x for x in best.parent.items if x is best or isinstance(x, Node) and x.tag == best.tag and x.sum and x.density >= threshold]
     blocks: list[list[str]] = [[]]
     for node in chosen:
-        _write(node, blocks, threshold)
+        _write(node, blocks)
         blocks.append([])
     return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
 

@@ -354,6 +354,36 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+TEXT = "<p>Many plain words stand in this long paragraph</p><p>and as many in the one after it, too</p>"
+PLAIN = "Many plain words stand in this long paragraph and as many in the one after it, too"
+
+
+@pytest.mark.parametrize("name", ['class="content has-sidebar"', 'id="post-with-comments"', 'class="comments-open post"', 'class="page widget"', 'class="has-header"'])
+def test_names_beside_others_keep_the_article(name):
+    assert html_text.main_text(f"<body><nav>menu</nav><div {name}>{TEXT}</div><div>few</div></body>").startswith(PLAIN)
+
+
+def test_names_still_drop_parts():
+    for name in ('class="sidebar"', 'class="sidebar-left box"', 'class="adBanner"', 'id="main-nav"', 'class="cookie-notice big"', 'class="share"'):
+        assert html_text.main_text(f"<body><div {name}><p>other words of a part</p></div>{TEXT}</body>") == PLAIN
+
+
+def test_linked_blocks_stay_in_the_article():
+    linked = '<p><a href="/a">all of it a link</a></p><ul><li><a href="/b">one</a></li><li><a href="/c">two</a></li></ul>'
+    for page in (f"<article>{TEXT}{linked}</article>", f"<div>{TEXT}{linked}</div>", f"{TEXT}{linked}<p>More plain words</p>"):
+        assert html_text.main_text(f"<body>{page}</body>").removesuffix(" More plain words") == PLAIN + " all of it a link one two"
+    menu = '<ul><li><a href="/b">one</a></li><li><a href="/c">two</a></li></ul>'
+    assert html_text.main_text(f"<body>{menu}{TEXT}{menu}</body>") == PLAIN
+    assert html_text.main_text(f"<body>{menu}</body>") == "one two"
+
+
+def test_articles_in_comments_stay_out():
+    notes = "<article><p>A reader says this and that</p></article>" * 3
+    for page in (f"<article>{TEXT}</article><div class='comments'>{notes}</div>", f"{TEXT}<section id=comments>{notes}</section>", f"<div class='content'>{TEXT}</div><div class='comments'><div>{notes}</div></div>"):
+        assert html_text.main_text(f"<body>{page}</body>") == PLAIN
+    assert html_text.main_text(f"<body><div class='comments'>old<article>{TEXT}</article></body>") == PLAIN
+
+
 def test_pages_keep_the_article(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
