@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import granger, panel, predictive, preprocess, suite
 from . import bindings as b
 
-BLOCK, SAMPLES, DAYS = 3, 5, 30
+BLOCK, SAMPLES = 3, 5
+#: Steps of the given tables, which the bootstrap's SQL lists.
+DAYS = 30
 
 
 def _rounded(df: DataFrame, *exact: str) -> DataFrame:
@@ -75,13 +77,20 @@ def q14_granger_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(granger.segmented(panel.segments(panel.zscore(b.orders_panel(spark, sf_dir)), 2, 20), 0.6))
 
 
+def _index_of(obs: DataFrame) -> DataFrame:
+    """The bootstrap index of all steps of a panel."""
+    last = obs.agg(F.max("t")).first()[0]
+    return panel.block_index(obs.sparkSession, (last or 0) + 1, SAMPLES, BLOCK)
+
+
 def q15_block_bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = b.events_panel(spark, sf_dir)
-    return _rounded(panel.bootstrap(obs, panel.block_index(spark, DAYS, SAMPLES, BLOCK)))
+    return _rounded(panel.bootstrap(obs, _index_of(obs)))
 
 
 def q16_granger_bootstrap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = panel.bootstrap(panel.zscore(b.events_panel(spark, sf_dir)), panel.block_index(spark, DAYS, SAMPLES, BLOCK))
+    obs = b.events_panel(spark, sf_dir)
+    sample = panel.bootstrap(panel.zscore(obs), _index_of(obs))
     tested = granger.tests(sample.drop("traj_id").withColumnRenamed("run_id", "traj_id"))
     return _rounded(tested.select(F.col("traj_id").alias("run_id"), "source", "target", "n", "f", "p"))
 

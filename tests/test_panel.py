@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.operators import generators, granger, panel, predictive, suite
+from lagweave.plans import panel_queries
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,15 @@ def test_segment_votes(spark):
     rows = spark.createDataFrame([(0, 0, "a", "b", 1, 1.0, 0.01), (0, 1, "a", "b", 1, 2.0, 0.02), (0, 0, "b", "a", 1, 1.0, 0.01)], "traj_id long, segment int, source string, target string, lag int, score double, p_value double")
     got = suite.segment_votes(rows, 4).collect()
     assert [(r.source, r.score, r.segments, r.support_ratio) for r in got] == [("a", 1.5, [0, 1], 0.5)]
+
+
+def test_bootstrap_queries_sample_all_days(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1, 12)
+    rows = [(start + dt.timedelta(days=d), v, float((d * d * 7919 + d * 31 + i * 104729) % 100003)) for d in range(45) for i, v in enumerate(("click", "view"))]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = panel_queries.q15_block_bootstrap_sample(spark, str(tmp_path)).collect()
+    assert {(r.run_id, r.t, r.variable) for r in got} == {(k, t, v) for k in range(1, 6) for t in range(45) for v in ("click", "view")}
+    assert {(v, x) for ts, v, x in rows if ts >= start + dt.timedelta(days=30)} & {(r.variable, r.value) for r in got}
+    assert {r.n for r in panel_queries.q16_granger_bootstrap_runs(spark, str(tmp_path)).collect()} == {43}
