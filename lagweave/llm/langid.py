@@ -2,8 +2,8 @@
 
 Bytes are embedded, convolved with filters of several widths, rectified, pooled by maximum over a window and classified
 by softmax. A text is cut into overlapping windows of fixed length that cover all of it; its probabilities are the
-means over its windows, weighted by their bytes. Training takes one window from each of at most SAMPLE labelled rows,
-in hash order.
+means over its windows, weighted by their bytes. Training takes one window from each of about SAMPLE labelled rows, the
+first of each language in hash order: all rows of a rare language, and equally many of each of the others.
 
 Edge cases: null texts and texts without a letter are 'und' with score 0, as is every text if no row is labelled. Null
 labels teach nothing. Rows that repeat are each returned. An empty table gives an empty result.
@@ -14,15 +14,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, keyed
+from .common import keyed
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 6
 SAMPLE = 8000
+#: Rows of each language at least, if it has them.
+LEAST = 100
 EPOCHS, BATCH = 10, 64
 #: Windows that go through the network at once.
 AT_ONCE = 64
@@ -103,15 +106,41 @@ def windows_of(text: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
 
 
+def _share(counts: list[int]) -> int:
+    """Rows of each language at most, so that all together come to SAMPLE, or LEAST if that is more."""
+    left, level = SAMPLE, 0
+    for i, n in enumerate(sorted(counts)):
+        level = left // (len(counts) - i)
+        if n > level:
+            break
+        left -= n
+    return max(level, LEAST)
+
+
+def _sample(rows: DataFrame) -> tuple[list[str], pd.DataFrame]:
+    """All languages of rows(order, lang, cut), and the first rows of each by hash, read as unsigned.
+
+    A cut from the counts lets about twice as many through, so what tasks send doesn't grow with their number.
+    """
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = _share(list(counts.values()))
+    high = (1 << 63) - 1
+    cuts = rows.sparkSession.createDataFrame([(k, min(high, (2 * most << 63) // n) if n > 4 * most else high) for k, n in counts.items()], "lang string, last long")
+    order = F.shiftrightunsigned("order", 1)
+    some = rows.join(F.broadcast(cuts), "lang").where(order <= F.col("last")).dropDuplicates(["order", "lang"])
+    found = some.select(order.alias("half"), "order", "lang", "cut").toPandas().sort_values(["half", "order", "lang"])
+    return sorted(counts), found.groupby("lang").head(most)
+
+
 def fit(docs: DataFrame, learn: Column) -> tuple[list[str], ByteCNN | None]:
     """The learned languages and the network, from rows of docs(doc_id, text, lang) for which learn holds."""
     order = F.xxhash64("doc_id", "text")
     start = F.pmod(order, F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
     rows = docs.where(learn).where("text IS NOT NULL AND lang IS NOT NULL").select(order.alias("order"), "lang", F.substring(F.col("text"), start.cast("int"), F.lit(WINDOW)).alias("cut"))
-    sample = hashed_sample(rows, "order", SAMPLE).toPandas().sort_values(["order", "lang", "cut"])
+    names, sample = _sample(rows)
     if sample.empty:
         return [], None
-    names = sorted(sample["lang"].unique())
+    sample = sample.sort_values(["order", "lang", "cut"])
     windows = np.stack([windows_of(t.encode()[:WINDOW])[0] for t in sample["cut"]])
     net = ByteCNN(len(names))
     net.train(windows, sample["lang"].map(names.index).to_numpy())

@@ -337,6 +337,27 @@ def test_neighbours_across_ranges(spark, monkeypatch):
         assert r.next_text == f"t{(r.doc_id // 3 + 1) % 100}"
 
 
+# --- rare languages
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 200)
+    rows = [(i, " ".join("abcdefgh"[(i * k) % 8] * (1 + k % 4) for k in range(1, 30)) + f" {i}", "aa") for i in range(3000)]
+    rows += [(7000 + i, " ".join("uvwxyz"[(i + k) % 6] * (1 + k % 3) for k in range(1, 30)), "zz") for i in range(4)] + [(1, rows[1][1], "aa")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model[0] == ["aa", "zz"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id < 40 OR doc_id >= 7000"), model).collect()}
+    assert all(v == ("zz" if k >= 7000 else "aa") for k, v in got.items())
+    names, sample = langid._sample(docs.select(F.xxhash64("doc_id", "text").alias("order"), "lang", F.col("text").alias("cut")))
+    assert names == ["aa", "zz"] and sample["lang"].value_counts().to_dict() == {"aa": 196, "zz": 4}
+
+
+def test_shares_of_languages(monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 1000)
+    assert langid._share([10**9, 10, 10**6]) == 495 and langid._share([600, 300]) >= 600 and langid._share([5000] * 50) == langid.LEAST and langid._share([]) == langid.LEAST
+
+
 # --- pages
 
 
