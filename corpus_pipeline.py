@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.llm import toxicity
-from lagweave.llm.common import WORD, crc_mod, stored, table
+from lagweave.llm.common import WORD, crc_mod, discard, stored, table
 from lagweave.llm.decontaminate import decontaminate
 from lagweave.llm.line_dedup import line_dedup
 from lagweave.llm.mixing import emitted, mix
@@ -23,14 +23,14 @@ RUN_WORDS = 50
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column beside their text, for operators that hand a key through."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    """Whole rows as one column, their text within, for operators that hand a key through."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
-    return toxicity.toxicity(_rows(docs).drop("text"), model, key="row").where(F.col("score") < TOXIC).select("row.*")
+    return toxicity.toxicity(_rows(docs), model, key="row").where(F.col("score") < TOXIC).select("row.*")
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go."""
-    return decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), key="row").where("n_hit = 0").select("row.*")
+    return decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), key="row", spans=False).where("n_hit = 0").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +71,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is stored before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
+    for at, (_, stage) in enumerate(STAGES, 1):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if at < len(STAGES):
             docs = stored(docs)
+            if at > 1:
+                discard(before)
     return docs

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Word separators of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
@@ -15,13 +18,16 @@ WORD = rf"[^{SPACES}]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which every executor sees; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder name below spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset, a session of this machine alone takes a temporary folder; any other is refused.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lagweave.scratch.dir", None)
     if not base:
-        base = spark.conf.get("lagweave.scratch.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="lagweave-")
-            spark.conf.set("lagweave.scratch.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lagweave-")
+        spark.conf.set("lagweave.scratch.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -29,20 +35,108 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a task turns few texts into Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hashed_sample(df: DataFrame, order: str, size: int) -> DataFrame:
-    """The first size rows by a 64-bit hash column, read as unsigned. A cut from a count lets about twice as many reach
-    the sort, so what tasks send doesn't grow with their number."""
-    n = df.count()
-    if n > 4 * size:
-        df = df.where(F.shiftrightunsigned(order, 1) < F.lit(int((1 << 63) * 2 * size / n)))
-    return df.orderBy(F.shiftrightunsigned(order, 1), order).limit(size)
+#: Bits of the order that are counted at once; a round has at most 2 ** bits counts a stratum.
+DIGITS = (15, 16, 16, 16)
+
+
+def _last_values(rows: DataFrame, sizes: dict) -> dict:
+    """By stratum k of rows(k, u), the value of u up to which there are sizes[k] rows, and at most as many too many.
+
+    Counts per leading digits are refined in the one group that holds the last row wanted, until that is small or a
+    single value. Only counts reach the driver, whatever the number of rows or of equal ones.
+    """
+    found, open_, shift = {}, {k: (0, n) for k, n in sizes.items()}, sum(DIGITS)
+    for bits in DIGITS:
+        some = rows
+        if shift < sum(DIGITS):
+            groups = rows.sparkSession.createDataFrame([(k, p) for k, (p, _) in open_.items()], StructType([rows.schema["k"], StructField("p", LongType())])).withColumnRenamed("k", "k2")
+            some = rows.join(F.broadcast(groups), F.col("k").eqNullSafe(F.col("k2")) & (F.shiftright("u", shift) == F.col("p")))
+        shift -= bits
+        counts: dict = {k: [] for k in open_}
+        for r in some.groupBy("k", F.shiftright("u", shift).alias("b")).count().collect():
+            counts[r["k"]].append((r["b"], r["count"]))
+        todo = {}
+        for k, (_, left) in open_.items():
+            for b, n in sorted(counts[k]):
+                if n >= left:
+                    if n <= sizes[k] or not shift:
+                        found[k] = ((b + 1) << shift) - 1
+                    else:
+                        todo[k] = (b, left)
+                    break
+                left -= n
+            else:
+                found[k] = (1 << sum(DIGITS)) - 1
+        open_ = todo
+        if not open_:
+            break
+    return found
+
+
+def hashed_sample(df: DataFrame, order: str, size: int | dict, by: str | None = None) -> DataFrame:
+    """The first size rows by a 64-bit hash column, read as unsigned; with by, the first size[value] of each value.
+
+    Equal rows are counted, not moved: up to twice the size distinct rows leave the tasks, however often each occurs.
+    """
+    sizes = size if by else {0: size}
+    half, stratum = F.shiftrightunsigned(order, 1), F.col(by) if by else F.lit(0)
+    rows = df.select(stratum.alias("k"), half.alias("u"))
+    last = [(k, u, sizes[k]) for k, u in _last_values(rows, sizes).items()]
+    cuts = df.sparkSession.createDataFrame(last, StructType([StructField("_k", rows.schema["k"].dataType), StructField("_last", LongType()), StructField("_size", LongType())]))
+    near = df.join(F.broadcast(cuts), stratum.eqNullSafe(F.col("_k"))).where(half <= F.col("_last"))
+    counted = near.groupBy(*df.columns, "_size").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(half, *df.columns).rowsBetween(Window.unboundedPreceding, 0)
+    take = F.least(F.col("_n"), F.col("_size") - F.sum("_n").over(over) + F.col("_n"))
+    taken = counted.withColumn("_take", take).where("_take > 0").withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int"))))
+    return taken.select(*df.columns)
+
+
+#: Keys that are looked up before a join for the number of tasks that their rows go to, at most; rows a task from which a key is split, at least.
+HOT_KEYS, HOT_ROWS = 100_000, 1024
+
+
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], salt: Column, count: str = "n") -> DataFrame:
+    """rows joined with keys, which has one row per value of on and, in count, how many of rows have it.
+
+    The most frequent keys go to as many tasks as they hold HOT_ROWS, or twice as many rows, and so on, until at most HOT_KEYS
+    keys are split; only those are broadcast. salt is a hash of a row that differs among the rows of one key.
+    """
+    power = F.floor(F.log2(F.col(count))).cast("int")
+    most, least = 0, HOT_ROWS.bit_length() - 1
+    for p, n in sorted(((r["p"], r["count"]) for r in keys.groupBy(power.alias("p")).count().collect()), reverse=True):
+        if most + n > HOT_KEYS:
+            least = max(least, p + 1)
+            break
+        most += n
+    parts = F.ceil(F.col(count) / F.lit(float(1 << least))).cast("int")
+    hot = keys.where(F.col(count) > (1 << least)).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(salt, F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > (1 << least), parts - 1).otherwise(0))))
+    return dealt.join(spread.drop(count), [*on, "_salt"]).drop("_salt")
 
 
 def keyed(rows: DataFrame, columns: str) -> StructType:
@@ -59,31 +153,33 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of links(a, b); component is the smallest id reachable.
 
     Each round hooks every component to its smallest neighbour, jumps twice along those pointers and contracts the
-    links; a hub's links only ever meet in a partial aggregate. Rounds end when no link joins two components.
+    links; a hub's links only ever meet in a partial aggregate. Rounds end when no link joins two components. Only the
+    last round's tables are kept.
     """
-    spark = links.sparkSession
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     labels = stored(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("component", F.col("id")))
-    while True:
-        if not links.head(1):
-            return labels
+    while links.head(1):
         both = links.union(links.select("b", "a")).toDF("node", "peer")
-        hook = both.groupBy("node").agg(F.least(F.min("peer"), F.first("node")).alias("up"))
-        hook = stored(hook)
+        near = stored(both.groupBy("node").agg(F.least(F.min("peer"), F.first("node")).alias("up")))
+        hook = near
         for _ in range(2):
             over = hook.select(F.col("node").alias("up"), F.col("up").alias("next"))
             hook = hook.join(over, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
         hook = stored(hook)
-        labels = stored(
+        placed = stored(
             labels.join(hook.select(F.col("node").alias("component"), "up"), "component", "left")
             .select("id", F.coalesce("up", "component").alias("component"))
         )
         one, two = (hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
-        links = stored(
+        left = stored(
             links.join(one, "a").join(two, "b")
             .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
             .where("a <> b").distinct()
         )
+        discard(near, hook, labels, links)
+        labels, links = placed, left
+    discard(links)
+    return labels
 
 
 def ranges(df: DataFrame, key: str, parts: int) -> list:

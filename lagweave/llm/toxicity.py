@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, keyed, stored
+from .common import discard, hashed_sample, keyed, pieces, stored
 
 #: Common English insults.
 LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb imbecile jerk garbage vermin filth ugly retard bastard bitch"
@@ -60,7 +60,7 @@ def _features(text: str) -> set[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1024):
         found: Counter = Counter()
         for text in batch.column("text").to_pylist():
             seen = _features(text)
@@ -69,7 +69,7 @@ def _counts(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iter
 
 
 def _rows(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
         found = [sorted(index[f] for f in _features(t) if f in index) for t in texts]
         words = [len(_line(t).split()) for t in texts]
@@ -198,7 +198,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         automaton.add_word(text.encode().decode("latin-1"), text)
     if asked:
         automaton.make_automaton()
-    for batch in batches:
+    for batch in pieces(batches):
         total = []
         texts = batch.column("text") if "text" in batch.schema.names else batch.column("key").field("text")
         for text in texts.to_pylist():

@@ -190,8 +190,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         return len(w), len(hit), sorted(ids)
 
     want = sorted((i, *expect(t)) for i, t in texts)
-    for size in (16_000_000, 60):
-        monkeypatch.setattr(deco, "PATTERN_BYTES", size)
+    for nodes in (2_000_000, 150):
+        monkeypatch.setattr(deco, "MOST_NODES", nodes)
+        monkeypatch.setattr(deco, "PIECE", 5000 if nodes > 150 else 3)
         rows = deco.decontaminate(docs, tests).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in rows) == want
     spans = {r.doc_id: r.spans for r in rows}
