@@ -1,18 +1,20 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 Features are words and word beginnings of 4 to 8 letters: that one occurs, that it occurs twice or three times, and that
-it is at least one word in a hundred. Voters are the words of a fixed lexicon, word beginnings that
-labelled toxic rows share and clean rows lack (chosen greedily by the toxic rows they newly cover), the annotators'
-labels, and patterns: several hits, dense hits, no hit, shouting. The label model is fitted by expectation
-maximisation: a table of vote probabilities per class and voter, with each voter's log odds divided by its correlation
-with the others given the class. A logistic regression on the features learns its posteriors; its
-bias is then set so that 0.7 is the cut that parts the fitted rows best.
+it is at least one word in a hundred. Voters are the words of a fixed lexicon, word beginnings, and patterns: several hits,
+dense hits, no hit, shouting. The annotators' labels are no voter and no start of the label model; they only choose which word
+beginnings may vote (those that toxic rows share and clean rows lack, taken greedily by the toxic rows they newly cover).
+The label model estimates accuracies and correlations of the voters from their votes alone, by expectation maximisation. A
+logistic regression on the features learns its posteriors; its bias is then set so that 0.7 is the cut that parts the
+fitted rows best, as the posteriors see them.
 
-Fitting uses at most SAMPLE labelled rows of each class, in hash order. Scoring reads every whole text: one automaton
-over the words and beginnings of the chosen features counts their occurrences.
+Fitting uses at most SAMPLE labelled rows of each class, in hash order; of them the CANDIDATES most frequent features,
+the FEATURES most frequent of those that are pure, and VOTERS voters. Scoring reads every whole text: one automaton
+over the words and beginnings of the features counts their occurrences.
 
 Edge cases: null, empty or letterless texts get the score of a text without features. Labels that repeat an id count
-as toxic if any is. Null labels and ids teach nothing. Without labels of both classes the lexicon alone scores.
+as toxic if any is. Null labels and ids teach nothing. Without labels of both classes the lexicon alone scores. Rows that
+repeat are each returned; an empty table gives an empty result; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clo
 SAMPLE = 6000
 CANDIDATES, FEATURES, VOTERS = 60_000, 1200, 80
 PURITY = 0.95
+#: Kinds of toxic rows that the label model tells apart.
+KINDS = 4
+#: Power of the posteriors' odds as which the classifier learns them.
+SHARP = 4
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -80,32 +86,69 @@ def _rows(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[
         )
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> np.ndarray:
+def _spanning_tree(weight: np.ndarray) -> list[tuple[int, int]]:
+    """(voter, parent) of a maximum spanning tree, the root (0, -1) first."""
+    best, parent = weight[0].copy(), np.zeros(len(weight), int)
+    best[0], found = -np.inf, [(0, -1)]
+    for _ in range(1, len(weight)):
+        at = int(best.argmax())
+        found.append((at, int(parent[at])))
+        near = (weight[at] > best) & (best > -np.inf)
+        best[near], parent[near] = weight[at][near], at
+        best[at] = -np.inf
+    return found
+
+
+def _kinds_of_votes(votes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """First weights per row and class: class 0, then KINDS groups of the rows that start as class 1, from farthest rows."""
+    points = votes[start > 0.5].astype(float)
+    centres = points[:1] if len(points) else votes[:1].astype(float)
+    while len(points) and len(centres) < KINDS:
+        gap = ((points[:, None] - centres) ** 2).sum(2).min(1)
+        centres = np.vstack([centres, points[gap.argmax()]])
+    for _ in range(20 if len(points) else 0):
+        near = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres = np.array([points[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)])
+    near = ((votes[:, None] - centres) ** 2).sum(2).argmin(1)
+    return np.column_stack([1 - start, *[start * (near == k) for k in range(len(centres))]])
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20, least: float = 1.0) -> np.ndarray:
     """Posterior of class 1 per row of votes (1, 0 abstains, -1), by expectation maximisation from the given start.
 
-    The last voter is the annotators.
+    The model knows nothing but the votes. Class 1 is a mixture of KINDS kinds of rows. In each round it estimates, from
+    the current posteriors, the share of each kind, each voter's accuracy as its vote probabilities per kind, and the
+    correlations of voters as their mutual information given the kind; along the maximum spanning tree of those, a
+    voter's vote depends on the kind and on its neighbour's vote, so voters that repeat one another count once.
     """
-    posterior = start.astype(float)
-    kinds = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    n, m = votes.shape
+    kinds = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float32).reshape(n, 3 * m)
+    own = votes.astype(int) + 1
+    posterior = _kinds_of_votes(votes, start)
     for _ in range(rounds):
-        table = []
-        for weight in (1 - posterior, posterior):
-            share = (np.einsum("n,nmv->mv", weight, kinds) + 0.5) / (weight.sum() + 1.5)
-            table.append(share)
-        expected = np.stack([1 - posterior, posterior], axis=1) @ np.stack([t[:, 2] - t[:, 0] for t in table])
-        rest = votes - expected
-        spread = np.sqrt((rest**2).mean(0)) + 1e-9
-        related = np.abs(rest.T @ rest / len(rest) / np.outer(spread, spread))
-        related[related < 0.2] = 0
-        shared = np.maximum(related.sum(1), 1.0)
-        shared[-1] = 1.0  # the annotators don't see the other voters
-        odds = np.log(table[1]) - np.log(table[0])
-        logit = np.log(prior / (1 - prior)) + np.einsum("nmv,mv->n", kinds, odds / shared[:, None])
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior
-
-
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 1200, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+        joint, single, related = [], [], np.zeros((m, m))
+        for weight in posterior.T:
+            both = ((kinds * weight[:, None].astype(np.float32)).T @ kinds).reshape(m, 3, m, 3).astype(float)
+            alone = (np.einsum("mama->ma", both) + least) / (weight.sum() + 3 * least)
+            near = (both + least * alone[:, :, None, None] * alone[None, None]) / (weight.sum() + least)
+            related += weight.sum() / n * np.einsum("manb,manb->mn", near, np.log(near / (near.sum(3, keepdims=True) * near.sum(1, keepdims=True))))
+            joint.append(both)
+            single.append(alone)
+        tree = _spanning_tree(related)
+        logit = np.tile(np.log((posterior.sum(0) + 1) / (n + posterior.shape[1])), (n, 1))
+        for kind, (both, alone) in enumerate(zip(joint, single, strict=True)):
+            for voter, parent in tree:
+                if parent < 0:
+                    logit[:, kind] += np.log(alone[voter])[own[:, voter]]
+                else:
+                    table = both[parent, :, voter, :] + least * alone[voter]
+                    logit[:, kind] += np.log(table / table.sum(1, keepdims=True))[own[:, parent], own[:, voter]]
+        posterior = np.exp(logit - logit.max(1, keepdims=True))
+        posterior /= posterior.sum(1, keepdims=True)
+    return 1 - posterior[:, 0]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 1200, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels, classes weighing alike, by adaptive gradient steps."""
     share = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
@@ -156,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, fl
     texts = stored(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some[0].union(some[1])), "doc_id").select("toxic", "text"))
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
+        discard(texts)
         return {f: 4.0 for f in lexicon}, -2.5
 
     def counted(toxic: int, wanted: frozenset | None) -> DataFrame:
@@ -179,12 +223,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, fl
     toxic = rows["toxic"].to_numpy(np.float32)
     hits, words = dense.sum(1), rows["words"].to_numpy()
     chosen = list(dict.fromkeys([*_voters(dense, toxic), *(index[f] for f in known_lexicon)]))
-    votes = np.column_stack([dense[:, chosen], hits >= 3, hits * 50 >= words.clip(1), -(hits == 0).astype(np.float32), rows["loud"].to_numpy(), 2 * toxic - 1])
-    prior = float(toxic.mean())
-    posterior = label_model(votes, prior, np.where(toxic > 0, 0.9, 0.1))
-    weights, bias = logistic(dense, posterior.astype(np.float32))
+    votes = np.column_stack([dense[:, chosen], hits >= 3, hits * 50 >= words.clip(1), -(hits == 0).astype(np.float32), rows["loud"].to_numpy()])
+    spoken = dense[:, chosen].any(1)
+    posterior = label_model(votes, np.where(spoken, 0.9, 0.1))
+    discard(texts)
+    odds = (posterior / np.maximum(1 - posterior, 1e-13)) ** SHARP
+    weights, bias = logistic(dense, (odds / (1 + odds)).astype(np.float32))
     bias += float(np.log(0.7 / 0.3)) - operating_point(dense @ weights + bias, posterior)
-    return {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3}, bias
+    return {f: float(weights[i]) for f, i in index.items() if weights[i]}, bias
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
