@@ -1,7 +1,7 @@
 """WARC archives with Zstandard-compressed records and a dictionary of their own.
 
 An archive starts with a skippable frame (magic 5D 2A 4D 18) that holds the dictionary; every record follows as one
-frame. The dictionary is trained on a bounded sample of the payloads to be archived. Archives are written by Spark's
+frame. The dictionary is trained on a bounded sample of the records to be archived, heads included. Archives are written by Spark's
 text sink, so any file system that Spark writes serves and lost tasks are simply run again: a row is one frame, and the
 line separator is an empty skippable frame, which readers of such files pass over.
 
@@ -10,7 +10,8 @@ revisits that refer to it and carry no payload; smaller payloads are always resp
 
 Edge cases: a null payload is empty. Rows with a null key are written without one; null is no smallest key unless all
 keys of a payload are null, which then are all responses. Rows that repeat the smallest key are all responses. An empty
-table gives no archive and reads back as no rows. Control characters in an address are percent-encoded.
+table gives no archive and reads back as no rows. Control characters in an address are percent-encoded. Extra columns of
+any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, scratch
+from .common import discard, hashed_sample, pieces, salted_join, scratch, stored
 
 LEAST = 100
-#: Bytes of the dictionary; records and bytes of each that it is trained on.
-DICTIONARY, SAMPLE, SAMPLE_BYTES = 32_768, 400, 8192
+#: Bytes of the dictionary; records that it is trained on, and code points of a payload that training sees at most.
+DICTIONARY, SAMPLE, RECORD_BYTES = 32_768, 400, 65_536
 LEVEL = 3
 _MAGIC, _EMPTY = 0x184D2A5D, "P*M\x18\x00\x00\x00\x00"
 _STEP = 1 << 14
@@ -39,16 +40,6 @@ _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _SCHEMA = "page_id {}, payload_bytes long, payload_digest string, record_type string, refers_to {}, record_id string, target_uri string, payload string"
 
 
-def dictionary(payloads: DataFrame) -> bytes:
-    """A trained dictionary from SAMPLE payloads in hash order, or their plain bytes if they are too few to train on."""
-    cut = payloads.where("payload IS NOT NULL").select(F.substring("payload", 1, SAMPLE_BYTES).alias("cut"), F.xxhash64("key").alias("order"))
-    samples = [r["cut"].encode() for r in sorted(hashed_sample(cut, "order", SAMPLE).collect(), key=lambda r: (r["order"], r["cut"]))]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples, threads=1).as_bytes()
-    except (zstandard.ZstdError, ValueError, MemoryError):
-        return b"".join(samples)[-DICTIONARY:]
-
-
 def _record_id(key, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{key}:{digest}'.encode()).hexdigest())}>"
 
@@ -65,6 +56,22 @@ def _record(key, url: str | None, payload: bytes, digest: str, refers_to) -> byt
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary(pages: DataFrame) -> bytes:
+    """A dictionary trained on SAMPLE records of pages(key, url, payload, digest), each up to RECORD_BYTES, in hash order.
+
+    If they are too few to train on, their plain bytes are the dictionary, as Zstandard allows.
+    """
+    head = pages.select("key", "url", F.expr(f"left(payload, {RECORD_BYTES})").alias("payload"), "digest").withColumn("order", F.xxhash64("key", "digest"))
+    rows = sorted(hashed_sample(head, "order", SAMPLE).collect(), key=lambda r: (r["order"], r["url"] or "", r["payload"]))
+    records = [_record(r["key"], r["url"], r["payload"].encode(), r["digest"], None) for r in rows]
+    if not records:
+        return b""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, records, threads=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(records)[-DICTIONARY:]
+
+
 def _compress(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     raw = shared.value
     book = zstandard.ZstdCompressionDict(raw) if raw else None
@@ -72,7 +79,7 @@ def _compress(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         book.precompute_compress(level=LEVEL)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=book, write_content_size=True) if book else zstandard.ZstdCompressor(level=LEVEL)
     lead = [struct.pack("<II", _MAGIC, len(raw)) + raw] if raw else []
-    for batch in batches:
+    for batch in pieces(batches):
         rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
         frames = [packer.compress(_record(key, url, text.encode(), digest, to)) for key, url, text, digest, to in rows]
         yield pa.RecordBatch.from_arrays([pa.array(lead + frames, pa.binary())], ["frame"])
@@ -85,12 +92,14 @@ def write(pages: DataFrame, path: str) -> None:
     pages = pages.withColumn("digest", F.sha2("payload", 256))
     book = pages.sparkSession.sparkContext.broadcast(dictionary(pages))
     large = pages.where(F.octet_length("payload") >= LEAST).select("key", "digest")
-    firsts = large.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("same"), "first")
+    firsts = stored(large.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"))
     # a small payload's digest can't equal a large one's, so no length is asked for here
-    joined = pages.join(firsts, pages["digest"] == firsts["same"], "left")
+    joined = salted_join(pages, firsts, ["digest"], F.xxhash64("key", "url"), how="left")
     refers = F.when(~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
     frames = joined.select("key", "url", "payload", "digest", refers.alias("to")).mapInArrow(lambda it: _compress(it, book), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _EMPTY).option("maxRecordsPerFile", 0).text(path)
+    discard(firsts)
+    book.destroy()
 
 
 def frames_of(archive: bytes) -> Iterator[bytes]:
