@@ -2,8 +2,9 @@
 
 Bytes are embedded, convolved with filters of several widths, rectified, pooled by maximum over a window and classified
 by softmax. A text is cut into overlapping windows of fixed length that cover all of it; its probabilities are the
-means over its windows, weighted by their bytes. Training takes one window from each of about SAMPLE labelled rows, the
-first of each language in hash order: all rows of a rare language, and equally many of each of the others.
+means over its windows, weighted by their bytes. Training takes one window, at a place anywhere in the text that its hash
+draws, from each of about SAMPLE labelled rows, the first of each language in hash order: all rows of a rare language, and
+equally many of each of the others.
 
 Edge cases: null texts and texts without a letter are 'und' with score 0, as is every text if no row is labelled. Null
 labels teach nothing. Rows that repeat are each returned. An empty table gives an empty result.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import hashed_sample, keyed, pieces
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 6
@@ -118,18 +119,11 @@ def _share(counts: list[int]) -> int:
 
 
 def _sample(rows: DataFrame) -> tuple[list[str], pd.DataFrame]:
-    """All languages of rows(order, lang, cut), and the first rows of each by hash, read as unsigned.
-
-    A cut from the counts lets about twice as many through, so what tasks send doesn't grow with their number.
-    """
+    """All languages of rows(order, lang, cut), and the first rows of each by hash, read as unsigned."""
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     most = _share(list(counts.values()))
-    high = (1 << 63) - 1
-    cuts = rows.sparkSession.createDataFrame([(k, min(high, (2 * most << 63) // n) if n > 4 * most else high) for k, n in counts.items()], "lang string, last long")
-    order = F.shiftrightunsigned("order", 1)
-    some = rows.join(F.broadcast(cuts), "lang").where(order <= F.col("last")).dropDuplicates(["order", "lang"])
-    found = some.select(order.alias("half"), "order", "lang", "cut").toPandas().sort_values(["half", "order", "lang"])
-    return sorted(counts), found.groupby("lang").head(most)
+    found = hashed_sample(rows, "order", dict.fromkeys(counts, most), by="lang").toPandas() if counts else pd.DataFrame(columns=rows.columns)
+    return sorted(counts), found.sort_values(["order", "lang", "cut"])
 
 
 def fit(docs: DataFrame, learn: Column) -> tuple[list[str], ByteCNN | None]:
@@ -140,7 +134,6 @@ def fit(docs: DataFrame, learn: Column) -> tuple[list[str], ByteCNN | None]:
     names, sample = _sample(rows)
     if sample.empty:
         return [], None
-    sample = sample.sort_values(["order", "lang", "cut"])
     windows = np.stack([windows_of(t.encode()[:WINDOW])[0] for t in sample["cut"]])
     net = ByteCNN(len(names))
     net.train(windows, sample["lang"].map(names.index).to_numpy())
@@ -149,7 +142,7 @@ def fit(docs: DataFrame, learn: Column) -> tuple[list[str], ByteCNN | None]:
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     names, net = model.value
-    for batch in batches:
+    for batch in pieces(batches):
         lang, score = [], []
         keep, owner, bytes_in = [], [], []
         total = np.zeros((batch.num_rows, max(len(names), 1)))
