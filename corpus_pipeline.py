@@ -54,8 +54,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate asks for."""
-    return emitted(mix(docs)).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_copy").alias("copy"))
+    """Each document as often as its source's rate asks for; a column copy of the input is replaced."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"])
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")
+    mixed = emitted(mix(kept.select(row, "doc_id", "text", "source")))
+    return mixed.select(*[F.col(f"row.`{c}`") for c in kept.columns], F.col("_copy").alias("copy"))
 
 
 STAGES = [

@@ -5,7 +5,8 @@ Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all
 floor(rate) times, rate being target / words of its source, and once more if a hash of its id falls below the fraction.
 
 Edge cases: a null text has no words; a source without words has target 0 and its documents are taken once. Rows that
-repeat an id draw alike; a null id draws by its text. An empty table gives an empty result. Extra columns stay.
+repeat an id draw alike; a null id draws by its text. An empty table gives an empty result. Extra columns
+of any name stay, but for those of ADDED, and of _copy in emitted(), which are replaced.
 """
 
 from __future__ import annotations
@@ -42,23 +43,30 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return weighed.select("source", "source_size", F.least(F.col("weight") * F.lit(float(unit)), (F.col("source_size") * MOST).cast("double")).alias("target"))
 
 
-def _draw() -> Column:
+def _draw(key: Column, text: Column) -> Column:
     """A number from 0 to 1 that depends on the id and the seed only."""
-    key = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    seeded = F.concat(F.lit(f"{SEED}:"), F.coalesce(key.cast("string"), F.md5(text), F.lit("")))
+    return F.conv(F.substring(F.md5(seeded), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+ADDED = ("_size", "_source_size", "_target", "_copies")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source, ...) with _size, _source_size, _target and _copies of each row."""
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(sizes).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(MOST)))).otherwise(1.0)
-    copies = F.floor(rate) + F.when(_draw() < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("_copies", copies.cast("int"))
+    """docs(doc_id, text, source, ...) with ADDED: _size, _source_size, _target and _copies of each row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = docs.select(row, size, F.col("source").cast("string").alias("own"))
+    sizes = sized.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes)
+    joined = sized.join(targets, F.col("own").eqNullSafe(F.col("source")))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(1.0)
+    copies = F.floor(rate) + F.when(_draw(F.col("row.doc_id"), F.col("row.text")) < rate - F.floor(rate), 1).otherwise(0)
+    added = dict(zip(ADDED, (F.col("size"), F.col("source_size"), F.col("target"), copies.cast("int")), strict=True))
+    return joined.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *[x.alias(c) for c, x in added.items()])
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """The rows of mix(), each as often as it is taken, numbered by _copy from 1."""
-    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    copy = F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")
+    return mixed.where("_copies > 0").select(*[F.col(f"`{c}`") for c in mixed.columns if c != "_copy"], copy)
