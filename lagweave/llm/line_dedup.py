@@ -3,13 +3,16 @@
 A run of consecutive lines with at least min_words words counts as repeated when the same lines stand earlier, by
 (doc_id, line). The later run goes; the first stays. Steps:
 
-1. from each line, the shortest windows of at least min_words words to its right and to its left; the smallest line
-   hash in a window is its fingerprint. Equal windows have equal fingerprints, so none is missed;
-2. fingerprints are joined by hash: windows whose fingerprint stands at one position only go no further;
-3. the remaining fingerprints are extended both ways to their windows, whose hashes give the first position of each;
+1. from each line, the shortest windows of at least min_words words to its right and to its left; the line with the smallest
+   hash in a window is its fingerprint, the first of equal ones. Only these positions are kept, each with the windows that chose it. Equal
+   windows have equal fingerprints, so none is missed;
+2. positions are joined by fingerprint: those whose fingerprint stands at one position only are done with;
+3. the others are extended both ways, by the hashes of the lines to the left and to the right of the position, to the ends of
+   their windows; positions that agree on all three match, and the first of them is their origin;
 4. later windows that overlap or touch are one run, and its lines are deleted.
 
-No pair of positions is ever listed: each hash is reduced to its first position, whatever its count.
+No pair of positions is ever listed: each match is reduced to its first position, whatever its count, and the joins deal
+frequent fingerprints and matches to several tasks.
 
 Edge cases: null text stays null. Blank lines count no words, split no run and go only within one. Rows that repeat an
 id and text are one document. Null ids come after all others, ties between texts are broken by their hash. Within one
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, discard, salted_join, stored
 
 _KEY = ["_doc", "_hash"]
 
@@ -30,37 +33,51 @@ def _place(*columns: str) -> Column:
     return F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_hash", *columns)
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per window: its first and last line, fingerprint, the fingerprint's line and a hash of all its lines."""
-    lines = docs.select(*_KEY, F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    lines = lines.select(*_KEY, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words")).where("words > 0")
-    lines = lines.repartition(*_KEY).dropDuplicates([*_KEY, "pos"])
-    before = Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("end", F.sum("words").over(before)).withColumn("begin", F.col("end") - F.col("words"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row per document: where its lines with words stand, their hashes and words."""
+    lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    rows = docs.select(*_KEY, F.filter(lines, lambda x: x["words"] > 0).alias("lines")).where(F.size("lines") > 0)
+    return rows.dropDuplicates(_KEY)
+
+
+def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """A row per position that some window chose: its line's number, hash and the windows, as numbers of lines."""
+    each = lines.repartition(*_KEY).select(*_KEY, F.posexplode("lines").alias("i", "line")).select(*_KEY, "i", "line.h", "line.words")
+    before = Window.partitionBy(*_KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum("words").over(before)).withColumn("begin", F.col("end") - F.col("words"))
     found = []
     for by, frame in (("begin", (0, min_words - 1)), ("end", (1 - min_words, 0))):
         over = Window.partitionBy(*_KEY).orderBy(by).rangeBetween(*frame)
-        found.append(
-            F.struct(
-                F.min("pos").over(over).alias("first"), F.max("pos").over(over).alias("last"), F.sum("words").over(over).alias("words"),
-                F.min(F.struct("h", "pos")).over(over).alias("least"), F.collect_list("h").over(over).alias("all"),
-            )
-        )
-    each = lines.select(*_KEY, *[f.alias(f"w{i}") for i, f in enumerate(found)])
-    each = each.select(*_KEY, F.explode(F.array("w0", "w1")).alias("w")).where(F.col("w.words") >= min_words)
+        ends = F.min("i").over(over), F.max("i").over(over)
+        found.append(F.struct(F.struct(ends[0].alias("first"), ends[1].alias("last")).alias("span"), F.sum("words").over(over).alias("words"), F.min(F.struct("h", "i")).over(over).alias("least")))
+    each = each.select(*_KEY, F.array(*found).alias("both")).select(*_KEY, F.explode("both").alias("w")).where(F.col("w.words") >= min_words)
+    return each.groupBy(*_KEY, F.col("w.least.i").alias("at"), F.col("w.least.h").alias("mark")).agg(F.collect_set("w.span").alias("windows"))
+
+
+def _extended(anchors: DataFrame, lines: DataFrame) -> DataFrame:
+    """A row per window of anchors(doc, at, mark, windows): its lines' places and the hashes to both sides of the position."""
+    per_doc = anchors.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "mark", "windows")).alias("anchors"))
+    both = per_doc.toDF("_doc2", "_hash2", "anchors").join(lines, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_hash") == F.col("_hash2")))
+    each = both.select(*_KEY, F.col("lines.pos").alias("pos"), F.col("lines.h").alias("h"), F.explode("anchors").alias("a"))
+    each = each.select(*_KEY, "pos", "h", "a.at", "a.mark", F.explode("a.windows").alias("w"))
     return each.select(
-        *_KEY, "w.first", "w.last", F.col("w.least.h").alias("mark"), F.col("w.least.pos").alias("at"),
-        F.xxhash64("w.all").alias("c1"), F.xxhash64(F.lit(1), "w.all").alias("c2"),
+        *_KEY, "mark", F.get("pos", F.col("w.first")).alias("first"), F.get("pos", F.col("w.last")).alias("last"),
+        F.xxhash64(F.slice("h", F.col("w.first") + 1, F.col("at") - F.col("w.first"))).alias("left"),
+        F.xxhash64(F.lit(1), F.slice("h", F.col("at") + 2, F.col("w.last") - F.col("at"))).alias("right"),
     )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(_doc, _hash, _runs) for docs(_doc, _hash, _text) that lose lines; _runs are first and last lines, in order."""
-    windows = stored(_windows(docs, min_words))
-    marks = windows.groupBy("mark").agg(F.min(_place("at")).alias("lo"), F.max(_place("at")).alias("hi")).where("lo <> hi")
-    windows = stored(windows.join(marks.select("mark"), "mark", "left_semi"))
-    origin = windows.groupBy("c1", "c2").agg(F.min(_place("first", "last")).alias("from"), F.max(_place("first", "last")).alias("to")).where("from <> to")
-    later = windows.join(origin.select("c1", "c2", "from"), ["c1", "c2"]).where(_place("first", "last") > F.col("from"))
+    lines = stored(_lines(docs))
+    prints = stored(_fingerprints(lines, min_words))
+    marks = stored(prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"))
+    anchors = salted_join(prints, marks, ["mark"], F.xxhash64(*_KEY, "at"))
+    windows = stored(_extended(anchors, lines))
+    match = ["mark", "left", "right"]
+    origin = windows.groupBy(*match).agg(F.min(_place("first", "last")).alias("from"), F.max(_place("first", "last")).alias("to"), F.count("*").alias("n"))
+    origin = stored(origin.where("from <> to").drop("to"))
+    later = salted_join(windows, origin, match, F.xxhash64(*_KEY, "first")).where(_place("first", "last") > F.col("from"))
     same = F.col("_doc").eqNullSafe(F.col("from._doc")) & (F.col("_hash") == F.col("from._hash"))
     start = F.when(same, F.greatest("first", F.col("from.last") + 1)).otherwise(F.col("first"))
     later = later.select(*_KEY, start.alias("first"), "last").distinct()
@@ -68,7 +85,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(reach + 1 >= F.col("first"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     runs = later.groupBy(*_KEY, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
+    found = stored(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs")))
+    discard(lines, prints, marks, windows, origin)
+    return found
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
