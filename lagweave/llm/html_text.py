@@ -3,14 +3,18 @@
 A page is read into a tree leniently: optional end tags are implied, script and style contents are skipped, unknown or
 broken markup is dropped. Subtrees that page structure names as menus, headers, footers, sidebars, adverts, notices,
 forms or reader comments go first. A class, id or role all of whose words are such names is one; with other words beside
-them ("content has-sidebar") it only counts if the subtree doesn't hold most of the page's unlinked text. For every other node the composite density is its characters per tag, adjusted by
-the logarithm of how rarely its characters and tags are links; the group of blocks whose children's densities sum
-highest is the article. The least density on its path up to the body is the threshold: siblings of the same tag join the article from
-it on. Nothing inside the article goes, be it linked or not; only if it is the whole body, groups of links before its first
-and after its last other text are menus.
+them ("content has-sidebar", "sidebar-left") it only counts if the subtree doesn't hold most of the page's unlinked text, and for
+names that articles use as well ("related-work") only if the subtree is mostly links.
+
+For every other node the composite density is its characters per tag, adjusted by the logarithm of how rarely its characters and
+tags are links. The container whose children's densities sum highest lies in the article; quotations, lists, tables and
+single paragraphs are no containers, so they don't win alone. The least density on its path up to the body is the threshold. The article is
+the article or main element around it if that holds most of the unlinked text; else it reaches up that path to the last node that has another
+child at or above the threshold, or a heading. Nothing inside goes, be it linked or not, but groups of links before the first
+and after the last other text of a node that was reached so; of the body itself only the children at or above the threshold are taken.
 
 Edge cases: null and empty pages and pages without text give ''. Texts are never cut. Rows that repeat are each
-returned; an empty table gives an empty result.
+returned; an empty table gives an empty result. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, pieces
 
 # Element names of HTML by their part in a page, and words of class, id and role that name such parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,8 +39,11 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea head title dialog menu object video audio".split())
 CONTENT = frozenset("article main".split())
-#: Elements that can be an article: those that group blocks, not single paragraphs, headings, items or inline elements.
+#: Elements that group blocks, not single paragraphs, headings, items or inline elements.
 GROUPS = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption summary br hr option".split())
+#: Those that can be an article by themselves.
+CONTAINERS = frozenset("article main section div body center td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus replies respond "
@@ -44,6 +51,8 @@ NAMED = frozenset(
 )
 #: Those of NAMED that hold readers' texts, which may be articles themselves.
 READERS = frozenset("comment comments disqus replies respond".split())
+#: Those of NAMED that also name parts of articles, when they stand beside other words.
+SHARED = frozenset("related recommended recommendations social share sharing notice notices alert search login skip hidden promo promotion respond replies banner widget subscription".split())
 #: Words of names that say what stands beside or inside a part, not what it is.
 BESIDE = frozenset("has with without no".split())
 HEADERS = frozenset("header masthead banner topbar".split())
@@ -60,7 +69,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     __slots__ = ("chars", "density", "items", "link_chars", "links", "named", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, named: str = ""):
         self.tag, self.parent, self.named, self.items = tag, parent, named, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
@@ -71,22 +80,23 @@ def _names(attributes: str) -> list[list[set[str]]]:
     return [[{w.lower() for w in _PART.findall(name)} for name in (m[2] or m[3] or m[4] or "").split()] for m in _NAME.finditer(attributes)]
 
 
-def _unwanted(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, bool, bool]:
-    """Whether an element is no content, whether its names say so beside others, and whether it holds readers' texts."""
+def _unwanted(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, str, bool]:
+    """Whether an element is no content, what its names say of it beside others, and whether it holds readers' texts."""
     names = _names(attributes) if attributes else []
     readers = any(w and w <= NAMED and w & READERS for x in names for w in x)
     if tag in DROPPED or attributes and _GONE.search(attributes):
-        return True, False, readers
+        return True, "", readers
     if tag in ("body", "html", *CONTENT):
-        return False, False, False
+        return False, "", False
     top = tag == "header" or any(w & HEADERS for x in names for w in x)
     inside = top and any(n.tag in CONTENT for n in stack)
     if tag == "header":
-        return not inside, False, readers
+        return not inside, "", readers
     bad = NAMED - HEADERS if inside else NAMED | HEADERS
     if any(x and all(w and w <= bad for w in x) for x in names):
-        return True, False, readers
-    return False, any(w & bad and not w & BESIDE for x in names for w in x), readers
+        return True, "", readers
+    beside = set().union(*[w & bad for x in names for w in x if not w & BESIDE])
+    return False, "plain" if beside - SHARED else "shared" if beside else "", readers
 
 
 def _closed(page: str) -> set[int]:
@@ -153,7 +163,7 @@ def parse(page: str) -> Node:
                 break
             if stack[i].tag in SCOPE:
                 break
-        drop, named, readers = _unwanted(tag, (m[3] if m[2] else m[5]) or "", stack) if tag not in VOID else (False, False, False)
+        drop, named, readers = _unwanted(tag, (m[3] if m[2] else m[5]) or "", stack) if tag not in VOID else (False, "", False)
         if drop:
             if not (m[0].endswith("/>")):
                 skip, depth = tag, 1
@@ -194,16 +204,16 @@ def measure(root: Node) -> list[Node]:
 
 
 def _prune(order: list[Node]) -> bool:
-    """Takes named subtrees out that don't hold most of the unlinked text."""
+    """Takes named subtrees out that don't hold most of the unlinked text, of names that articles share only those mostly of links."""
     most = (order[0].chars - order[0].link_chars) / 2
-    gone = {n for n in order if n.named and n.chars - n.link_chars <= most}
+    gone = {n for n in order if n.named and n.chars - n.link_chars <= most and (n.named == "plain" or 2 * n.link_chars > n.chars)}
     for up in {n.parent for n in gone}:
         up.items = [x for x in up.items if x not in gone]
     return bool(gone)
 
 
 def _trim(root: Node) -> None:
-    """Takes groups of links out that stand at either end of a body, unless it is all links."""
+    """Takes groups of links out that stand at either end of a node, unless it is all links."""
     text = [i for i, x in enumerate(root.items) if (x.strip() if isinstance(x, str) else x.chars and not (x.tag in GROUPS and x.links > 1 and x.link_chars == x.chars))]
     if text and root.chars > root.link_chars:
         root.items = root.items[text[0] : text[-1] + 1]
@@ -225,6 +235,36 @@ def _write(node: Node, blocks: list[list[str]]) -> None:
             todo.extend(reversed(x.items))
 
 
+def _article(root: Node, order: list[Node]) -> list[Node]:
+    """The nodes to write, in page order."""
+    best = max((n for n in order if n.tag in CONTAINERS), key=lambda n: n.sum)
+    if not best.sum:
+        best = root
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    most = (root.chars - root.link_chars) / 2
+    around = next((n for n in path if n.tag in CONTENT and n.chars - n.link_chars >= most), None)
+    if around:
+        return [x for x in around.parent.items if x is around or isinstance(x, Node) and x.tag == around.tag and x.sum and x.density >= threshold]
+
+    def joins(x: Node | str, on_path: Node) -> bool:
+        if not isinstance(x, Node) or x is on_path or x.chars == x.link_chars:
+            return False
+        return x.tag in HEADINGS or x.density >= threshold and (x.tag not in CONTAINERS or x.tag == on_path.tag and x.sum > 0)
+
+    top, under = best, best
+    for below, node in zip(path, path[1:]):  # noqa: B905
+        if any(joins(x, below) for x in node.items):
+            top, under = node, below
+    if top is root and top is not best:
+        return [x for x in root.items if x is under or joins(x, under)]
+    if top is root or top is not best:
+        _trim(top)
+    return [top]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by one space."""
     if not page:
@@ -233,28 +273,15 @@ def main_text(page: str | None) -> str:
     order = measure(root)
     if _prune(order):
         order = measure(root)
-    best = max((n for n in order if n.tag in GROUPS), key=lambda n: n.sum)
-    if not best.sum:
-        best = root
-    path, up = [best.density], best
-    while up.parent is not None:
-        up = up.parent
-        path.append(up.density)
-    threshold = min(path)
-    chosen = [best]
-    if best.parent is None:
-        _trim(root)
-    else:
-        chosen = [x for x in best.parent.items if x is best or isinstance(x, Node) and x.tag == best.tag and x.sum and x.density >= threshold]
     blocks: list[list[str]] = [[]]
-    for node in chosen:
+    for node in _article(root, order):
         _write(node, blocks)
         blocks.append([])
     return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [main_text(t) for t in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

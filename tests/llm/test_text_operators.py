@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 from collections import Counter
@@ -399,6 +400,44 @@ def test_linked_blocks_stay_in_the_article():
     assert html_text.main_text(f"<body>{menu}</body>") == "one two"
 
 
+P1, P2 = "<p>The first paragraph says many plain words before the part</p>", "<p>The last paragraph says just as many plain words after it</p>"
+T1, T2 = "The first paragraph says many plain words before the part", "The last paragraph says just as many plain words after it"
+PARTS = {
+    "quotation": ("<blockquote>" + "".join(f"<p>Quoted paragraph number {i} holds a good many words of its own</p>" for i in range(5)) + "</blockquote>", " ".join(f"Quoted paragraph number {i} holds a good many words of its own" for i in range(5))),
+    "list": ("<ul>" + "".join(f"<li>Item {i} holds several words</li>" for i in range(12)) + "</ul>", " ".join(f"Item {i} holds several words" for i in range(12))),
+    "table": ("<table>" + "".join(f"<tr><td>Row {i}</td><td>its value</td></tr>" for i in range(12)) + "</table>", " ".join(f"Row {i} its value" for i in range(12))),
+    "link": ('<p><a href="/x">a whole paragraph as a link</a></p>', "a whole paragraph as a link"),
+    "related work": ('<div class="related-work"><p>Others wrote about it before us</p></div>', "Others wrote about it before us"),
+    "box": ("<div class=box>" + "".join(f"<p>Boxed paragraph number {i} holds a good many words of its own</p>" for i in range(12)) + "</div>", " ".join(f"Boxed paragraph number {i} holds a good many words of its own" for i in range(12))),
+}
+
+
+@pytest.mark.parametrize("part", PARTS)
+@pytest.mark.parametrize("around", ["", "article", "main", "div", "section"])
+def test_parts_inside_an_article_stay(part, around):
+    inner, text = PARTS[part]
+    page = f"<{around}>{P1}{inner}{P2}</{around}>" if around else P1 + inner + P2
+    menu = '<nav><a href="/a">menu</a></nav><ul><li><a href="/b">one</a></li><li><a href="/c">two</a></li></ul>'
+    assert html_text.main_text(f"<body>{menu}{page}<footer>foot</footer></body>") == f"{T1} {text} {T2}"
+
+
+def test_headings_above_the_article_stay():
+    assert html_text.main_text(f"<body><div><h1>Title</h1><div>{TEXT}</div></div><div><a href=/a>x</a></div></body>") == "Title " + PLAIN
+
+
+def test_densities_equal_the_formula():
+    page = "<div><p>one two <a href=/a>three</a></p><p>four</p></div><ul><li><a href=/b>five</a></li></ul>"
+    order = html_text.measure(html_text.parse(page))
+    # characters, tags, characters of links, links of each node; the logarithm's base from the whole page
+    counts = {"body": (19, 7, 9, 2), "div": (15, 3, 5, 1), "ul": (4, 2, 4, 1)}
+    for node in order:
+        if node.tag in counts:
+            chars, tags, linked, links = counts[node.tag]
+            assert (node.chars, node.tags, node.link_chars, node.links) == counts[node.tag]
+            base = math.log(chars / max(chars - linked, 1) * linked + 9 / 19 * chars + math.e)
+            assert node.density == pytest.approx(chars / tags * max(math.log(chars / linked * tags / links), 0) / max(math.log(base), 0.1))
+
+
 def test_articles_in_comments_stay_out():
     notes = "<article><p>A reader says this and that</p></article>" * 3
     for page in (f"<article>{TEXT}</article><div class='comments'>{notes}</div>", f"{TEXT}<section id=comments>{notes}</section>", f"<div class='content'>{TEXT}</div><div class='comments'><div>{notes}</div></div>"):
