@@ -1,14 +1,16 @@
 """Personal data: fixed base patterns, and identifiers that bootstrapped contexts reveal.
 
 Base spans are leftmost non-overlapping matches per kind; a match that fails its kind's test is dropped. They are the
-seeds. A looser grammar per kind lists candidates beside them; the words around seeds and candidates are their
-contexts. Spark keeps the graph of (context, instance) and scores it in rounds: a context's score is the share of
-seed-like weight among its distinct instances, damped for few of them; an instance's weight is 1 for a seed and else
-the noisy-or of its contexts. Contexts that score at least SCORE with at least SUPPORT distinct seeds are trusted, and
-the candidates in them become spans of the contexts' kind, unless they overlap a base span.
+seeds. A looser grammar per kind lists candidates beside them; the words around seeds and candidates, as far as NEAR code
+points away, are their contexts, the patterns. Spark keeps the graph of (context, instance) and scores it in rounds: a context's score is the
+share of weight among its distinct instances, damped for few of them; an instance's weight is 1 for a seed and else
+the noisy-or of the scores of its supported contexts, from HEARD on. A context is supported when at least SUPPORT distinct
+instances of weight SCORE or more stand in it, seeds or learned ones: so instances learned in one round support contexts
+without any seed in the next. The candidates in supported contexts that score at least SCORE in the last round become spans of the contexts'
+kind, unless they overlap a base span.
 
 Edge cases: null text is empty. Rows that repeat an id and text get the same spans; they count as one document in the
-graph. Spans are code points, end exclusive. An empty table gives an empty result.
+graph. Spans are code points, end exclusive. An empty table gives an empty result. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored
+from .common import discard, keyed, pieces, salted_join, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, SCORE = 3, 5, 0.9
+#: Score from which a supported context lends weight to its instances in the next round.
+HEARD = 0.5
 #: Weight of instances that a context may hold without being doubted; damps contexts with few instances.
 DOUBT = 0.5
 
@@ -45,7 +49,8 @@ LOOSE = {
 _MAY = {"email": re.compile(r"@|\bat\b"), "ip": re.compile(r"[0-9][.,][0-9]|:[0-9A-Fa-f]{0,4}:"), "card": re.compile(r"[0-9][ .-]?[0-9]"), "phone": re.compile(r"[0-9]")}
 _DIGIT = re.compile(r"[0-9]")
 _BEFORE, _AFTER = re.compile(r"\S+(?=\s*\Z)"), re.compile(r"\s*(\S+)")
-_NEAR = 48
+#: Code points on either side of an instance in which the words of its contexts lie.
+NEAR = 48
 
 
 def _luhn(digits: str) -> bool:
@@ -79,8 +84,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
     """The word before, the word after, both, and the two words before, in lower case."""
-    left = text[max(0, start - _NEAR) : start].split()[-2:]
-    right = text[end : end + _NEAR].split()[:1]
+    left = text[max(0, start - NEAR) : start].split()[-2:]
+    right = text[end : end + NEAR].split()[:1]
     one, two, after = (left[-1:] or ["^"])[0].lower(), " ".join(left).lower(), (right or ["$"])[0].lower()
     return [f"{one} _", f"_ {after}", f"{one} _ {after}", f"{two} _"]
 
@@ -88,7 +93,7 @@ def _contexts(text: str, start: int, end: int) -> list[str]:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("contexts", pa.list_(pa.string()))])
-    for batch in batches:
+    for batch in pieces(batches):
         spans, items = [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text) if text else []
@@ -105,19 +110,27 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trusted_contexts(uses: DataFrame) -> DataFrame:
-    """(kind, context) that bootstrapping trusts, from uses(kind, context, instance, seed) with one row per use."""
-    graph = stored(uses.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed")))
+    """(kind, context, n) that bootstrapping trusts, with their numbers of uses, from uses(kind, context, instance, seed)."""
+    graph = stored(uses.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("uses")))
     weight = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("learned", F.lit(0.0)))
-    learned = None
-    for _ in range(ROUNDS):
-        weighed = graph.withColumn("learned", F.lit(0.0)) if learned is None else graph.join(learned, ["kind", "instance"], "left")
+    old: list[DataFrame] = []
+    weighed = graph.withColumn("learned", F.lit(0.0))
+    for turn in range(ROUNDS):
         contexts = weighed.groupBy("kind", "context").agg(
-            (F.sum(weight) / (F.count("*") + DOUBT)).alias("score"), F.count_if("seed").alias("seeds")
+            (F.sum(weight) / (F.count("*") + DOUBT)).alias("score"), F.count_if(weight >= SCORE).alias("support"), F.count("*").alias("n"), F.sum("uses").alias("uses")
         )
-        contexts = stored(contexts.where(F.col("seeds") >= SUPPORT))
-        unknown = graph.where("NOT seed").join(contexts, ["kind", "context"])
-        learned = stored(unknown.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("score") * 0.999)))).alias("learned")))
-    return contexts.where(F.col("score") >= SCORE).select("kind", "context")
+        contexts = stored(contexts.where((F.col("support") >= SUPPORT) & (F.col("score") >= HEARD)))
+        discard(*old)
+        if turn == ROUNDS - 1:
+            break
+        unknown = salted_join(graph.where("NOT seed").drop("uses"), contexts.select("kind", "context", "score", "n"), ["kind", "context"], F.xxhash64("instance"))
+        learned = unknown.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("score") * 0.999)))).alias("learned"))
+        learned = stored(learned.join(graph.groupBy("kind", "instance").agg(F.count("*").alias("n")), ["kind", "instance"]))
+        weighed = salted_join(graph, learned, ["kind", "instance"], F.xxhash64("context"), how="left")
+        old = [contexts, learned]
+    trusted = stored(contexts.where(F.col("score") >= SCORE).select("kind", "context", F.col("uses").alias("n")))
+    discard(graph, contexts)
+    return trusted
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -129,7 +142,7 @@ def find(docs: DataFrame) -> DataFrame:
     uses = items.select("i.kind", "i.instance", "i.seed", F.explode("i.contexts").alias("context"))
     trusted = trusted_contexts(uses)
     open_items = items.where("NOT i.seed").select("key", "hash", "i.start", "i.end", "i.kind", F.explode("i.contexts").alias("context"))
-    new = open_items.join(trusted, ["kind", "context"], "left_semi").select("key", "hash", "start", "end", "kind").distinct()
+    new = salted_join(open_items, trusted, ["kind", "context"], F.xxhash64("key", "hash", "start")).select("key", "hash", "start", "end", "kind").distinct()
     per_text = new.groupBy("key", "hash").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
     per_text = per_text.select(F.col("key").alias("key2"), F.col("hash").alias("hash2"), "more")
     joined = found.join(per_text, found["key"].eqNullSafe(per_text["key2"]) & (found["hash"] == per_text["hash2"]), "left")

@@ -309,6 +309,83 @@ def test_contexts_find_unseen(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_learned_instances_support_new_contexts(spark):
+    """A context without any seed is trusted once instances that another context revealed stand in it."""
+    luhn = [n for n in range(4000000000000000, 4000000000001000) if pii._luhn(str(n))]
+    wrong = [str(n + 1) for n in luhn]  # no base span
+    rows = [(i, f"é pay with account {n} today") for i, n in enumerate(luhn[:60])]
+    rows += [(100 + i, f"é pay with account {n} today") for i, n in enumerate(wrong[:6])]
+    rows += [(200 + i, f"é the old ledger {n} closed") for i, n in enumerate(wrong[:6])] + [(300, f"the old ledger {wrong[40]} closed"), (301, f"some thing {wrong[41]} else")]
+    by = {r.doc_id: r for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(by[100 + i].spans == "card:19:35" for i in range(6))
+    assert by[300].n_card == 0 and by[300].spans == "card:15:31" and by[301].spans == ""
+
+
+def plain_base(text):
+    """The base spans by a scan of one character after another."""
+    def digits(x):
+        return [c for c in x if "0" <= c <= "9"]
+
+    def take(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    tens, letters = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found, at = [], 0
+    while at < len(text):  # email
+        end = take(at, letters + tens + "._%+-")
+        if end == at:
+            at += 1
+        elif text[end : end + 1] != "@":
+            at = end
+        else:
+            stop, parts = take(end + 1, letters + tens + "-"), 0
+            while stop > end + 1 and text[stop : stop + 1] == "." and take(stop + 1, letters + tens + "-") > stop + 1:
+                stop, parts = take(stop + 1, letters + tens + "-"), parts + 1
+            if parts:
+                found.append((at, 0, stop))
+            at = stop if parts else end + 1
+    at = 0
+    while at < len(text):  # ip
+        end, parts = take(at, tens), 1
+        while end > at and parts < 4 and text[end : end + 1] == "." and take(end + 1, tens) > end + 1:
+            end, parts = take(end + 1, tens), parts + 1
+        if parts == 4 and all(int(x) <= 255 for x in text[at:end].split(".")):
+            found.append((at, 1, end))
+        at = end if parts == 4 else max(at + 1, take(at, tens))
+    at = 0
+    while at < len(text):  # card
+        end = take(at, tens)
+        while end > at and text[end : end + 1] in (" ", "-") and take(end + 1, tens) > end + 1:
+            end = take(end + 1, tens)
+        number = digits(text[at:end])
+        if 14 <= len(number) <= 19 and sum(sum(map(int, str(int(d) * (1 + i % 2)))) for i, d in enumerate(reversed(number))) % 10 == 0:
+            found.append((at, 2, end))
+        at = max(end, at + 1)
+    at = 0
+    while at < len(text):  # phone
+        if text[at] == "+" and text[at + 1 : at + 2] in [*tens]:
+            end = take(at + 2, tens + " ().-")
+            while end > at + 1 and text[end - 1] not in tens:
+                end -= 1
+            if end >= at + 4:
+                if 10 <= len(digits(text[at:end])) <= 15:
+                    found.append((at, 3, end))
+                at = end
+                continue
+        at += 1
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans_equal_a_plain_scan(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").where("text IS NOT NULL").collect()]
+    rng = random.Random(3)
+    texts += ["".join(rng.choices("0123456789+-. ().@ab", weights=[3] * 10 + [2, 1, 3, 2, 1, 1, 3, 2, 2, 2], k=80)) for _ in range(400)]
+    for t in texts:
+        assert ",".join(f"{k}:{a}:{b}" for a, b, k in pii.base_spans(t)) == plain_base(t), t
+
+
 # --- fingerprints
 
 
