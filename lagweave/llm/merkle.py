@@ -74,10 +74,9 @@ def _paragraphs_of(sections: Column) -> Column:
 
 
 def _left(one: Column, two: Column) -> Column:
-    """The paragraphs of the first tree that the second lacks: those of sections that it lacks, less those it has there."""
+    """The paragraphs of the first tree that the second lacks, looked for below the sections that it lacks."""
     mine = F.array_except(_branches(one), _branches(two))
-    other = F.array_except(_branches(two), _branches(one))
-    return F.array_except(_paragraphs_of(mine), _paragraphs_of(other))
+    return F.array_except(_paragraphs_of(mine), _paragraphs_of(_branches(two)))
 
 
 def _left_leaves(one: Column, two: Column) -> Column:

@@ -16,15 +16,18 @@ from .ngram_join import ngram_jaccard_join
 
 
 def op1_warc_dictionary_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written and read back. Null html is empty; repeated rows are each returned; no pages, no rows; extra columns are ignored."""
     records = warc.archive(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and discovered personal data per document. Null text is empty; repeated rows are each returned; no documents, no rows; extra columns are ignored."""
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
 def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language per document, learned from the rows that aren't held out. Null and letterless texts, and all texts if nothing was learned, are 'und'; a null id is not held out and teaches nothing; repeated rows are each returned."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 5) != 0)
     found = langid.identify(docs.select("doc_id", "text"), model)
@@ -32,15 +35,18 @@ def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited text. Null text is empty; ties of an id go by text hash, null ids last; repeated rows are each returned; no documents, no rows; extra columns are ignored."""
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without its later repeated runs of lines. Null text stays null; rows that repeat an id and text are one document, each returned; no documents, no rows."""
     cut = line_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document. Null text has no words, a null source comes last; repeated rows draw alike; no documents, no rows; extra columns are ignored."""
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
@@ -49,14 +55,17 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document. Null and wordless texts have no shingles and no links, a null id no component; repeated rows are each returned; no documents, no rows; extra columns are ignored."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article of each page. Null and empty html give ''; repeated rows are each returned; no pages, no rows; extra columns are ignored."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in each document. Null and wordless texts and items have no words and no windows; repeated rows are each returned; without benchmark nothing is hit; extra columns are ignored."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -65,6 +74,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from the rows that aren't held out. Null and empty texts get the score of a text without features; null labels teach nothing; without labels of both classes a word list scores; repeated rows are each returned."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
     scored = toxicity.toxicity(docs, model)

@@ -553,3 +553,132 @@ def test_toxicity_edges(spark, odd):
     got = {r.doc_id: r.score for r in toxicity.toxicity(bad, toxicity.fit(bad, labels.limit(0), F.lit(True))).collect()}
     assert got[1] >= 0.7 > got[2]
     assert toxicity.toxicity(odd.limit(0), ({}, 0.0)).count() == 0
+
+
+# --- repeated rows, clashing columns
+
+
+def test_equal_rows_fill_samples(spark):
+    """40,000 equal rows: samples are whole, models are learned and dictionaries made."""
+    for text in ("aa bb", "other words", "und noch ein Text"):
+        df = spark.range(40_000).select(F.lit(text).alias("cut"), F.xxhash64(F.lit(text)).alias("order"))
+        assert hashed_sample(df, "order", 8000).count() == 8000
+        assert hashed_sample(df.limit(50), "order", 8000).count() == 50
+    docs = spark.range(40_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("some plain words here").alias("text"), F.lit("en").alias("lang"))
+    model = langid.fit(docs, F.lit(True))
+    assert model[0] == ["en"] and {r.lang_pred for r in langid.identify(docs.limit(3), model).collect()} == {"en"}
+    for key in range(4):
+        pages = spark.range(2000).select(F.lit(key).cast("long").alias("key"), F.lit("u").alias("url"), F.lit("<p>" + words(key, 60) + "</p>").alias("payload"))
+        assert len(warc.dictionary(pages.withColumn("digest", F.sha2("payload", 256)))) > 100
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, F.lit(True))[1] == -2.5  # one class only: the lexicon
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    """Copies of one page, line and context are dealt to several tasks, with the same results."""
+    pages = spark.range(9000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("x" * 200)).otherwise(F.concat(F.lit("y" * 100), F.col("id").cast("string"))).alias("html"))
+    got = warc.archive(pages).groupBy("record_type", "refers_to").count().collect()
+    assert sorted((r.record_type, r.refers_to or 0, r["count"]) for r in got) == [("response", 0, 6001), ("revisit", 0, 2999)]
+    line = words(5, 60)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), F.lit("\n"), F.when(F.col("id") % 3 == 0, F.lit(line)).otherwise(F.lit("few"))).alias("text"))
+    assert line_dedup(docs).agg(F.sum("_n_removed")).first()[0] == 1999
+
+
+def test_clashing_columns(spark, odd, tmp_path):
+    """Columns with the names that operators use inside change no result."""
+    clash = {c: F.lit("z") for c in ("key", "row", "hash", "text2", "digest", "payload", "first", "n", "items", "ranges", "spans", "order", "_range", "_tie", "print", "score", "size", "source_size", "target", "_target", "_source", "_copy", "copy", "url2", "lines", "k", "u")}
+    more = odd.withColumns(clash)
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    tests = spark.createDataFrame([(1, words(1, 12))], "item_id long, text string")
+    assert rows(deco.decontaminate(odd, tests), "doc_id", "n_hit", "items") == rows(deco.decontaminate(more, tests.withColumn("id", F.lit("q"))), "doc_id", "n_hit", "items")
+    assert rows(pii.digests(pii.find(odd)), "*") == rows(pii.digests(pii.find(more)), "*")
+    assert rows(merkle.fingerprints(odd), "*") == rows(merkle.fingerprints(more), "*")
+    assert rows(line_dedup(odd), "doc_id", "text") == rows(line_dedup(more), "doc_id", "text")
+    mixed = mixing.mix(more)
+    assert rows(mixing.mix(odd), "doc_id", "_copies") == rows(mixed, "doc_id", "_copies")
+    assert set(more.columns) - set(mixing.ADDED) <= set(mixed.columns) and mixed.select("_source").distinct().collect()[0][0] == "z"
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
+    wide = pages.withColumns(clash)
+    assert rows(warc.archive(pages), "*") == rows(warc.archive(wide), "*")
+    assert rows(html_text.extract(pages), "*") == rows(html_text.extract(wide), "*")
+    assert html_text.extract(pages.where("page_id = 7")).first().n_chars == len(words(2, 20000))
+    model = ({" idiot ": 1.0}, 0.0)
+    assert rows(toxicity.toxicity(odd, model), "*") == rows(toxicity.toxicity(more, model), "*")
+    assert rows(ngram_jaccard_join(odd), "*") == rows(ngram_jaccard_join(more), "*")
+
+
+def test_long_and_odd_texts_have_personal_data(spark):
+    long_ = words(7, 20000) + " a@b.cc " + words(8, 20000)
+    got = pii.digests(pii.find(spark.createDataFrame([(1, long_), (1, long_), (2, "")], "doc_id long, text string"))).collect()
+    assert sorted((r.doc_id, r.n_email) for r in got) == [(1, 1), (1, 1), (2, 0)]
+
+
+def naive_tree(text):
+    """Root and (section, paragraph, leaves) of a text's tree in plain Python."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    parts = [[sha(c) for c in re.split(merkle.CLAUSE, p)] for p in text.split("\n")]
+    sections, run = [], []
+    for i, p in enumerate(parts):
+        run.append((sha(".".join(p)), p))
+        if int(run[-1][0][:8], 16) % merkle.SECTION == 0 or i == len(parts) - 1:
+            sections.append((sha(",".join(h for h, _ in run) if len(run) else ""), run))
+            run = []
+    return sha(",".join(h for h, _ in sections)), sections
+
+
+def test_fingerprints_equal_a_plain_tree(spark):
+    short = merkle.DIGITS
+    rng = random.Random(9)
+    pool = [words(s, 3) + rng.choice([".", "!", ""]) for s in range(40)]
+    texts = ["\n".join(" ".join(rng.choices(pool, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 40))) for _ in range(30)] + ["", "\n", "a.b\n"]
+    trees = [naive_tree(t) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("p", merkle.fingerprint(F.col("t")))
+    prints = {r.i: r.p for r in df.collect()}
+    for i, (root, sections) in enumerate(trees):
+        body = ";".join(h[:short] + "=" + ",".join(p[:short] + ":" + ".".join(c[:short] for c in leaves) for p, leaves in run) for h, run in sections)
+        assert prints[i] == f"{root}|{body}"
+    two = df.select(F.col("i").alias("j"), F.col("p").alias("q"))
+    for r in df.crossJoin(two).select("i", "j", merkle.likeness(F.col("p"), F.col("q")).alias("near"), merkle.differing(F.col("p"), F.col("q")).alias("gone")).collect():
+        a, b = ({c[:short] for _, run in trees[x][1] for _, p in run for c in p} for x in (r.i, r.j))
+        assert abs(r.near - 2 * len(a & b) / (len(a) + len(b))) < 1e-12
+        mine = [p for _, run in trees[r.i][1] for p, _ in run]
+        other, whole = {p for _, run in trees[r.j][1] for p, _ in run}, {h for h, _ in trees[r.j][1]}
+        inside = [h in whole for h, run in trees[r.i][1] for _ in run]
+        assert r.gone == [k for k, p in enumerate(mine) if p not in other and not inside[k]]
+
+
+def test_network_equals_a_plain_convolution():
+    import numpy as np
+
+    net, windows = langid.ByteCNN(3), np.random.default_rng(1).integers(0, 256, (4, langid.WINDOW)).astype(np.uint8)
+    pooled = []
+    for row in windows:
+        mine = []
+        for w in langid.WIDTHS:
+            out = np.array([net.p["e"][row[a : a + w]].reshape(-1) @ net.p[f"c{w}"] + net.p[f"b{w}"] for a in range(langid.WINDOW - w + 1)])
+            mine.append(np.maximum(out.max(0), 0))
+        pooled.append(np.concatenate(mine) @ net.p["o"] + net.p["ob"])
+    want = np.exp(pooled) / np.exp(pooled).sum(1, keepdims=True)
+    assert np.allclose(net.predict(windows), want, atol=1e-5)
+    target = np.eye(3, dtype=np.float32)[[0, 1, 2, 0]]
+    loss = lambda: -np.log((net.predict(windows) * target).sum(1)).mean()
+    grads = net._gradients(windows, target)
+    for name, at in (("o", (0, 1)), ("c3", (5, 2)), ("ob", (2,)), ("b2", (1,))):
+        kept = net.p[name][at].copy()
+        net.p[name][at] = kept + 1e-2
+        high = loss()
+        net.p[name][at] = kept - 1e-2
+        low = loss()
+        net.p[name][at] = kept
+        assert abs((high - low) / 2e-2 - grads[name][at]) < 2e-3
+
+
+def test_label_model_finds_classes_without_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    truth = rng.random(3000) < 0.2
+    votes = np.column_stack([np.where(rng.random(3000) < np.where(truth, 0.6, 0.002), 1, 0) for _ in range(6)])
+    votes = np.column_stack([votes, votes[:, 0], votes[:, 0], -(votes.sum(1) == 0).astype(int)])  # copies of a voter count once
+    posterior = toxicity.label_model(votes, np.where((votes == 1).any(1), 0.9, 0.1))
+    assert ((posterior > 0.5) == truth).mean() > 0.95
