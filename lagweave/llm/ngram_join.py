@@ -6,6 +6,8 @@ A document is the set of its distinct k-word shingles (64-bit hashes). Two docum
 * order A puts tokens that recur in many documents last and sorts the rest by hash, so that the prefixes of documents
   that merely hold the same passage or template rarely meet. Candidates come from equal tokens here, kept only if
   lengths and positions leave room for the overlap.
+  Tokens that no chunk shows to recur but that stand in more than HEAVY prefixes, counted over all documents, are put last as well, and the
+  prefixes that hold them are made again;
 * orders B and C are two unrelated hash orders. A linked pair shares at least l tokens of its first p + l - 1 there
   (p: prefix length). Candidates must pass under both before their whole sets are compared.
 
@@ -14,7 +16,7 @@ components of those links then stand for their members, and a second round compa
 centre's component with its other documents. So a group of mutual near copies costs as many pairs as it has members.
 
 Edge cases: null text and text without words have no shingles and link with nothing. A null id takes part in nothing and has
-a null component. Rows that repeat an id and text are one document (each row is returned); classes of different texts
+a null component. Ids are whole numbers; other types are refused. Rows that repeat an id and text are one document (each row is returned); classes of different texts
 with the same smallest id count as one node. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -24,17 +26,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import connected_components, stored
+from .common import connected_components, discard, pieces, salted_join, stored
 from .hashing import U, mix, shingles
 
 #: Documents and tokens of the chunks in which recurring tokens are counted; a common token recurs so often in some chunk.
 CHUNK_DOCS, CHUNK_TOKENS, CHUNK_LEAST = 8192, 4_000_000, 3
 #: Most common tokens that are told apart (12 MB); the rest keep their hash order, which is as right an order.
 MOST_COMMON = 1 << 20
+#: Documents with a token in their prefix from which it counts as common after all, and turns of looking for such tokens.
+HEAVY, TURNS = 256, 3
 #: Ids of documents to verify that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _ORDERS = (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))
@@ -67,7 +73,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     names = ["doc_id", "n", "d1", "d2", "tokens", "counts"]
     kept: list[np.ndarray] = []
     size = 0
-    for batch in batches:
+    for batch in pieces(batches, 1024):
         n, d1, d2 = [], [], []
         for text in _texts(batch):
             found = shingles(text, k)
@@ -97,7 +103,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, common)
     need: tokens that a linked pair shares under B or C at least, less what equal 32-bit values may hide.
     """
     token, rank = common.value
-    for batch in batches:
+    for batch in pieces(batches, 1024):
         ids, n, d1, d2, first, more, need = [], [], [], [], [], ([], []), ([], [])
         for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
             found = shingles(text, k)
@@ -128,12 +134,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, common)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1024):
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(shingles(t, k)) for t in _texts(batch)], pa.int64())], ["doc_id", "tokens"])
 
 
-def _common_tokens(profile: DataFrame):
-    """Broadcast (tokens in ascending order, their rank by document count): at most MOST_COMMON of them."""
+def _common_tokens(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(Tokens in ascending order, their rank by document count), at most MOST_COMMON of them."""
     pairs = profile.where("n < 0").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("t.tokens", "t.counts")
     often = pairs.groupBy(F.col("tokens").alias("token")).agg(F.sum("counts").alias("df"))
     often = stored(often.withColumn("step", F.floor(F.log2("df") * 8).cast("int")))
@@ -146,7 +152,25 @@ def _common_tokens(profile: DataFrame):
     rows = often.where(F.col("step") >= least).select("token", "df").toPandas().sort_values(["df", "token"], ascending=[False, True])
     token = rows["token"].to_numpy(np.int64).view(U)
     order = np.argsort(token)
-    return profile.sparkSession.sparkContext.broadcast((token[order], -np.arange(len(token), dtype=np.int64)[order]))
+    discard(often)
+    return token[order], -np.arange(len(token), dtype=np.int64)[order]
+
+
+def _signed_documents(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    return docs.mapInArrow(
+        lambda it: _signatures(it, k, percent, shared),
+        "doc_id long, n int, d1 long, d2 long, prefix array<long>, b array<int>, c array<int>, need_b int, need_c int",
+    )
+
+
+def _heavy_tokens(centres: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Tokens that stand in more than HEAVY prefixes and aren't common yet, the most frequent first; common ones stay below 2 * MOST_COMMON."""
+    room = max(2 * MOST_COMMON - len(common[0]), 0)
+    rows = centres.where(F.col("size") > HEAVY).orderBy(F.desc("size"), "token").limit(room).select("token").toPandas()
+    found = rows["token"].to_numpy(np.int64).view(U)
+    at = np.minimum(np.searchsorted(common[0], found), max(len(common[0]) - 1, 0))
+    return found[common[0][at] != found] if len(common[0]) else found
 
 
 def _room(one: str, two: str, percent: int) -> Column:
@@ -171,26 +195,42 @@ def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, k: int,
     sets = stored(sets.dropDuplicates())
     side = [sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"]
     met = passed.join(side[0], "a").join(side[1], "b").withColumn("met", F.size(F.array_intersect("ta", "tb")))
-    return stored(met.where(F.col("met") * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select("a", "b").distinct())
+    found = stored(met.where(F.col("met") * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select("a", "b").distinct())
+    discard(passed, sets)
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n int, d1 long, d2 long, tokens array<long>, counts array<int>"))
     rows = profile.where("n >= 0")
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    common = _common_tokens(profile)
-    signatures = docs.mapInArrow(
-        lambda it: _signatures(it, k, percent, common),
-        "doc_id long, n int, d1 long, d2 long, prefix array<long>, b array<int>, c array<int>, need_b int, need_c int",
-    )
     kept = classes.select("d1", "d2", F.col("rep").alias("doc_id"))
-    signatures = stored(signatures.join(kept, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"]))
-
-    tokens = signatures.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    centres = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "doc_id")).alias("centre")).where("size > 1")
-    shared = stored(tokens.join(centres.select("token", "centre"), "token").select("token", F.struct("doc_id", "n", "pos").alias("x"), "centre"))
+    common = _common_tokens(profile)
+    signatures = _signed_documents(docs, k, percent, common).join(kept, ["d1", "d2", "doc_id"], "left_semi")
+    signatures = stored(signatures.dropDuplicates(["d1", "d2", "doc_id"]))
+    for turn in range(TURNS + 1):
+        tokens = signatures.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+        centres = stored(tokens.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "doc_id")).alias("centre")).where("size > 1"))
+        heavy = _heavy_tokens(centres, common) if turn < TURNS else []
+        if not len(heavy):
+            break
+        old, discarded = signatures, centres
+        common = np.concatenate((common[0], heavy)), np.concatenate((common[1], -len(common[0]) - np.arange(len(heavy), dtype=np.int64)))
+        order = np.argsort(common[0])
+        common = common[0][order], common[1][order]
+        again = spark.createDataFrame(pd.DataFrame({"token": _signed(heavy)}), "token long")
+        ids = stored(tokens.join(F.broadcast(again), "token").select("doc_id").distinct())
+        renewed = _signed_documents(docs.join(ids, "doc_id", "left_semi"), k, percent, common).join(kept, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
+        signatures = stored(old.join(ids, "doc_id", "left_anti").unionByName(renewed))
+        discard(old, discarded, ids)
+
+    shared = stored(salted_join(tokens, centres.select("token", "centre", "size"), ["token"], F.xxhash64("doc_id"), "size").select("token", F.struct("doc_id", "n", "pos").alias("x"), "centre"))
+    discard(centres)
 
     first = shared.where("x.doc_id <> centre.doc_id").where(_room("x", "centre", percent))
     first = stored(first.select(F.least("x.doc_id", "centre.doc_id").alias("a"), F.greatest("x.doc_id", "centre.doc_id").alias("b")).distinct())
@@ -205,10 +245,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     second = placed.join(outside, (placed["token"] == outside["token"]) & meet)
     second = second.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     second = stored(second.join(first, ["a", "b"], "left_anti"))
+    discard(shared, first)
     if second.head(1):
         more = _verified(second, signatures, docs, k, percent)
         if more.head(1):
             parts = connected_components(links.union(more))
+        discard(more)
+    discard(placed, second, signatures, links)
 
     named = rows.join(classes, ["d1", "d2"], "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.llm import decontaminate as deco
-from lagweave.llm import html_text, langid, merkle, mixing, pii, toxicity, warc
+from lagweave.llm import html_text, langid, merkle, mixing, ngram_join, pii, toxicity, warc
 from lagweave.llm.common import bucket_of, connected_components, crc_mod, hashed_sample, table
 from lagweave.llm.line_dedup import line_dedup
 from lagweave.llm.ngram_join import ngram_jaccard_join
@@ -68,8 +68,9 @@ def components(rows, k, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_join_equals_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "heavy"), [(3, 90, 256), (5, 80, 2)])
+def test_join_equals_brute_force(spark, monkeypatch, k, percent, heavy):
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     some = docs.where("doc_id < 120")
     near = some.where("doc_id < 20").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat("text", F.lit(" tail of new words")).alias("text"))
