@@ -81,6 +81,12 @@ def wilson(votes: Column, total: Column, confidence: float) -> tuple[Column, Col
     return clip((middle - reach) / bottom, 0, 1), clip((middle + reach) / bottom, 0, 1)
 
 
+def local_bic(variance: Column, rows: Column, parents: int, penalty: float = 0.5) -> Column:
+    """Score of a variable given its parents, from the variance that they leave: half the log-likelihood's size less penalty times parameters times ln n."""
+    floor = F.greatest(variance, F.lit(2.220446049250313e-16))
+    return -0.5 * rows * (1 + F.log(floor)) - penalty * (parents + 1) * F.log(rows)
+
+
 def f_sf_two(f: Column, m: Column) -> Column:
     """Upper tail of the F distribution with 2 and m degrees of freedom."""
     return F.pow(1 + 2 * f / m, -m / 2)

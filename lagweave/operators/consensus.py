@@ -134,6 +134,21 @@ def blended(summary: DataFrame, edges: DataFrame, combos: DataFrame, bootstraps:
     return out.withColumns({"ensemble_score": clip(local_weight * F.col("local_expert_score") + (1 - local_weight) * F.col("consensus_score"), 0, 1), "uncertainty": 1 - F.col("edge_probability")}).drop("best")
 
 
+def vote_stability(edges: DataFrame, methods: int, iterations: int, min_votes: int = 1, threshold: float = 0.6, forbidden: DataFrame | None = None) -> DataFrame:
+    """Stability of edges by votes alone: every edge of a run with min_votes methods counts as selected there.
+
+    forbidden(source, target, lag): edges that no run may hold; a null lag forbids all.
+    """
+    if iterations <= 0:
+        raise ValueError("at least one iteration is needed")
+    rows = edges.where("run_id > 0 AND source <> target").groupBy("run_id", *EDGE).agg(F.count_distinct("method").alias("votes")).where(F.col("votes") >= min_votes)
+    if forbidden is not None:
+        f = F.broadcast(forbidden.select(*[F.col(c).alias(f"f_{c}") for c in EDGE]))
+        rows = rows.join(f, (F.col("source") == F.col("f_source")) & (F.col("target") == F.col("f_target")) & (F.col("f_lag").isNull() | (F.col("f_lag") == F.col("lag"))), "left_anti")
+    found = rows.groupBy(*EDGE).agg(F.count("*").alias("selected_count"), F.avg(F.col("votes") / methods).alias("mean_support"))
+    return found.withColumns({"selection_frequency": F.col("selected_count") / iterations, "appearance_frequency": F.col("selected_count") / iterations, "stability_selected": F.col("selected_count") / iterations >= threshold})
+
+
 def stability_selection(summary: DataFrame, iterations: int, probability: float = 0.5, threshold: float = 0.6) -> DataFrame:
     """How often each edge of summary(combo_id, run_id, edge, edge_probability, confidence) appears and is selected."""
     found = summary.groupBy("combo_id", *EDGE).agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import bayes_factor, clip, finite, fisher, posterior, score_probability, valid_p, wilson
@@ -16,6 +16,11 @@ from ..functions.special import bayes_factor, clip, finite, fisher, posterior, s
 EDGE = ["source", "target", "lag"]
 
 
+def compact(edges: DataFrame) -> DataFrame:
+    """One row per run, method and edge, self-links and all: what every fusion makes of the table first, so it can be kept."""
+    return edges.groupBy("run_id", "method", *EDGE).agg(F.avg(finite(F.col("score"))).alias("score"), F.min(valid_p(F.col("p_value"))).alias("p_value"))
+
+
 def dedup(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per edge and method: mean score, least p-value. Self-links go; a missing method is unknown."""
     named = edges.withColumn("method", F.coalesce("method", F.lit("unknown"))).where("source <> target")
@@ -33,6 +38,14 @@ def sign_columns(signed: Sequence[str]) -> list[Column]:
     ]
 
 
+def universe(spark: SparkSession, observed: DataFrame, weights: dict[str, float] | None = None, named: Sequence[str] = ()) -> DataFrame:
+    """(method, weight): the methods named, or else those that observed(method) holds, and all that have a weight; 1 without one."""
+    given = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()], "method string, weight double")
+    first = spark.createDataFrame([(m,) for m in dict.fromkeys(named)], "method string") if named else observed.select(F.coalesce("method", F.lit("unknown")).alias("method"))
+    every = first.union(given.select("method")).distinct()
+    return every.join(F.broadcast(given), "method", "left").select("method", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)).alias("weight"))
+
+
 def votes(edges: DataFrame, signed: Sequence[str], min_votes: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Vote summary: methods, count, mean score and signs of each edge with at least min_votes."""
     found = dedup(edges, by).where("lag IS NOT NULL").groupBy(*by, *EDGE).agg(

@@ -37,17 +37,19 @@ def structural(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -
     return rows.withColumn("shd", F.col("fp") + F.col("fn") - F.col("reversed_edges"))
 
 
-def skeleton(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, evaluated: DataFrame | None = None, nodes: int | None = None) -> DataFrame:
-    """Undirected pairs: counts and scores, prevalence and the F1 of predicting every pair."""
+def skeleton(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, evaluated: DataFrame | None = None, nodes: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Undirected pairs: counts and scores, prevalence and the F1 of predicting every pair; by: groups of predictions, judged by the same truth."""
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
     p = predicted.where(F.coalesce("edge_probability", F.lit(0.0)) >= threshold) if "edge_probability" in predicted.columns else predicted
-    p, t = (with_pair(x.where("source <> target")).select(*PAIR).distinct() for x in (p, truth))
+    p, t = (with_pair(x.where("source <> target")).select(*k, *PAIR).distinct() for x, k in ((p, by), (truth, ())))
     if evaluated is not None:
         mask = with_pair(evaluated.where("source <> target")).select(*PAIR).distinct()
         p, t = p.join(mask, PAIR, "left_semi"), t.join(mask, PAIR, "left_semi")
-    both = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), PAIR, "full")
-    rows = _scores(both.agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn")))
+    if by:
+        t = predicted.select(*by).distinct().join(F.broadcast(t))  # the known pairs, once a group
+    both = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), [*by, *PAIR], "full")
+    rows = _scores(both.groupBy(*by).agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn")))
     if nodes is None:
         return rows
     rows = rows.withColumn("prevalence", (F.col("tp") + F.col("fn")) / (nodes * (nodes - 1) / 2))
@@ -66,8 +68,7 @@ def complete_pairs(edges: DataFrame, nodes: Sequence[str], evidence: str = "edge
     # the pairs of a panel's nodes, from its schema
     grid = edges.sparkSession.createDataFrame([(min(a, b), max(a, b)) for a, b in _combinations(nodes, 2)], "pair_lo string, pair_hi string")
     if by:
-        keys = edges.select(*by).distinct()
-        grid = keys.crossJoin(F.broadcast(grid)) if len(nodes) <= 1000 else keys.crossJoin(grid)
+        grid = edges.select(*by).distinct().crossJoin(grid)
     return grid.join(best, [*by, *PAIR], "left").select(*by, *PAIR, F.coalesce("v", F.lit(float(default))).alias("score"))
 
 
@@ -77,6 +78,48 @@ def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(t, PAIR, "left").withColumn("label", F.coalesce("t", F.lit(0))).drop("t")
 
 
+def pair_checks(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per group of labelled pairs: how many repeat, join a variable to itself, lack a finite score, and the classes seen."""
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    return with_pair(labelled.withColumnsRenamed({"pair_lo": "source", "pair_hi": "target"})).groupBy(*by).agg(
+        (F.count("*") - F.count_distinct(*PAIR)).alias("repeated_pairs"), F.count_if(F.col("pair_lo") == F.col("pair_hi")).alias("self_pairs"),
+        F.count_if(bad).alias("invalid_scores"), F.count_distinct("label").alias("classes"),
+    )
+
+
+def ranked_checked(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """ranked(), after an error for repeated or self pairs, scores that are no numbers, or a group of a single class."""
+    wrong = pair_checks(labelled, by).where("repeated_pairs > 0 OR self_pairs > 0 OR invalid_scores > 0 OR classes < 2").head(1)
+    if wrong or not labelled.head(1):
+        raise ValueError(f"pairs can't be ranked: {wrong[0].asDict() if wrong else 'none'}")
+    return ranked(labelled, by)
+
+
+def described(results: DataFrame, metrics: Sequence[str], by: str = "strategy") -> DataFrame:
+    """Mean, sample deviation and median of each metric per group."""
+    return results.groupBy(by).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median))])
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("count"))
+
+
+def evidence_mode(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, evidence): 1 - p where a group has any p-value, else the size of its scores."""
+    return edges.groupBy(*by).agg(F.when(F.count(valid_p(F.col("p_value"))) > 0, "one_minus_p_value").otherwise("absolute_score").alias("evidence"))
+
+
+def baselines(keys: DataFrame, nodes: Sequence[str], truth: DataFrame, seed: int = 42) -> DataFrame:
+    """(strategy, key, source, target) of two predictions per row of keys(key): every pair, and as many pairs, by a seeded hash, as are true."""
+    grid = keys.sparkSession.createDataFrame(list(_combinations(sorted(nodes), 2)), "source string, target string")
+    every = keys.select("key").crossJoin(grid)  # the pairs of a panel's nodes, from its schema
+    count = with_pair(truth.where("source <> target")).select(*PAIR).distinct().count()
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"), "source", "target"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(draw))
+    some = every.withColumn("_rank", rank).where(F.col("_rank") <= count).drop("_rank")
+    return every.select(F.lit("ALL_PAIRS").alias("strategy"), "*").union(some.select(F.lit("RANDOM_DENSITY").alias("strategy"), "*"))
+
+
 def ranked(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """AUROC by mid-ranks and average precision over distinct thresholds of (by, score, label); null for a single class."""
     levels = labelled.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("label").alias("pos"))

@@ -126,6 +126,61 @@ def seasonal_residual(obs: DataFrame, period: int) -> DataFrame:
     return out.select("traj_id", "t", "variable", "trend", "seasonal", (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
 
 
+def detrended(obs: DataFrame, period: int, model: str = "additive") -> DataFrame:
+    """Residual of a decomposition over whole series: the centred moving average as the trend, carried on at both ends along the
+    line through the nearest period of it, and seasonal means of what is left, centred.
+
+    Series of under two periods, and of values not above 0 in a multiplicative model, stay as they are.
+    """
+    if model not in ("additive", "multiplicative"):
+        raise ValueError(f"unknown model {model}")
+    part = (lambda x, y: x - y) if model == "additive" else (lambda x, y: x / y)
+    half, w, whole = period // 2, series(), Window.partitionBy(*SERIES)
+    inner = F.sum("value").over(w.rowsBetween(-half, half))
+    mean = (inner - (F.lag("value", half).over(w) + F.lead("value", half).over(w)) / 2) / period if period % 2 == 0 else inner / period
+    enough = F.lag("value", half).over(w).isNotNull() & F.lead("value", half).over(w).isNotNull()
+    d = obs.withColumns({"pos": F.row_number().over(w) - 1, "size": F.count("*").over(whole), "least": F.min("value").over(whole)})
+    d = d.withColumns({"inner": F.when(enough, mean)})
+    first, last = F.col("pos") < half + period, F.col("pos") >= F.col("size") - half - period
+    lines = [f(F.when(c, F.col("inner")), F.col("pos")).alias(n + end) for end, c in (("0", first), ("1", last)) for n, f in (("slope", F.regr_slope), ("at", F.regr_intercept))]
+    d = d.join(d.where("inner IS NOT NULL").groupBy(*SERIES).agg(*lines), SERIES, "left")
+    trend = F.coalesce("inner", F.when(F.col("pos") < half, F.col("at0") + F.col("slope0") * F.col("pos")).otherwise(F.col("at1") + F.col("slope1") * F.col("pos")))
+    d = d.withColumns({"trend": trend, "phase": F.col("pos") % period})
+    by_phase = d.groupBy(*SERIES, "phase").agg(F.avg(part(F.col("value"), F.col("trend"))).alias("raw"))
+    seasonal = by_phase.withColumn("seasonal", part(F.col("raw"), F.avg("raw").over(Window.partitionBy(*SERIES))))
+    out = d.join(seasonal.select(*SERIES, "phase", "seasonal"), [*SERIES, "phase"], "left")
+    whole_enough = (F.col("size") >= 2 * period) & ((F.col("least") > 0) | F.lit(model == "additive")) & F.col("seasonal").isNotNull()
+    return out.select("traj_id", "t", "variable", F.when(whole_enough, part(part(F.col("value"), F.col("trend")), F.col("seasonal"))).otherwise(F.col("value")).alias("value"))
+
+
+def design(obs: DataFrame, most: int) -> DataFrame:
+    """Wide rows: all variables at t as x__t and at lags 1 to most as x__lag_k; steps without all of them go."""
+    names = variables(obs)
+    columns = [f"{v}__t" for v in names] + [f"{v}__lag_{k}" for k in range(1, most + 1) for v in names]
+    name = F.when(F.col("lag") == 0, F.concat("variable", F.lit("__t"))).otherwise(F.concat("variable", F.lit("__lag_"), F.col("lag").cast("string")))
+    return lag_rows(obs, most, 0).withColumn("column", name).groupBy("traj_id", "t").pivot("column", columns).agg(F.first("value")).dropna()
+
+
+def holdout(obs: DataFrame, fraction: float = 0.2) -> DataFrame:
+    """obs with part, train or validation: the last fraction of each series' steps is validation."""
+    size = F.count("*").over(Window.partitionBy(*SERIES))
+    rank = F.row_number().over(series()) - 1
+    return obs.withColumn("part", F.when(rank < F.floor(size * F.lit(1 - fraction)), "train").otherwise("validation"))
+
+
+def sample_trajectories(trajectories: DataFrame, count: int, seed: int, without: DataFrame | None = None) -> DataFrame:
+    """So many of trajectories(traj_id), not among those of without(traj_id), in the order of a seeded hash."""
+    rows = trajectories.select("traj_id").distinct()
+    rows = rows.join(without.select("traj_id").distinct(), "traj_id", "left_anti") if without is not None else rows
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("traj_id").cast("string")))).limit(count)
+
+
+def month_ends(spark, first: str, last: str) -> DataFrame:
+    """(t, ts): the last day of every month between two dates, numbered from 0."""
+    months = F.posexplode(F.sequence(F.trunc(F.lit(first), "month"), F.trunc(F.lit(last), "month"), F.expr("interval 1 month"))).alias("t", "month")
+    return spark.range(1).select(months).select(F.col("t").cast("long").alias("t"), F.last_day("month").alias("ts"))
+
+
 def lagged_covariance(obs: DataFrame, most: int) -> DataFrame:
     """Population covariance of each target at t with each source at t - lag, lags 0 to most."""
     sources = lag_rows(obs, most, 0).select("traj_id", "t", F.col("variable").alias("source"), "lag", F.col("value").alias("x"))
@@ -141,6 +196,24 @@ def pearson(obs: DataFrame) -> DataFrame:
     return both.withColumn("r", F.when(F.col("n") >= 3, F.col("r")))
 
 
+def pearson_test(obs: DataFrame) -> DataFrame:
+    """pearson() with the two-sided p-value of r."""
+    from ..functions.special import student_p
+
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    return pearson(obs).withColumn("p_value", F.when(F.abs("r") < 1, student_p(t, F.col("n") - 2)).when(F.col("r").isNotNull(), 0.0))
+
+
+def temporal_links(graph: DataFrame, obs: DataFrame) -> DataFrame:
+    """Links of graph(source, target, lag, mark) with any mark, from lagged to current variables, scored by the correlation at that lag."""
+    most = graph.agg(F.max("lag")).first()[0] or 0
+    past = lag_rows(obs, most, 0).select("traj_id", "t", F.col("variable").alias("source"), "lag", F.col("value").alias("x"))
+    now = obs.select("traj_id", "t", F.col("variable").alias("target"), F.col("value").alias("y"))
+    some = graph.where("mark IS NOT NULL AND trim(mark) <> ''").select("source", "target", "lag").distinct()
+    both = past.join(some, ["source", "lag"]).join(now, ["traj_id", "t", "target"])
+    return both.groupBy("source", "target", "lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("score"))
+
+
 def block_index(spark, steps: int, runs: int, block: int, seed: int = 42) -> DataFrame:
     """(run_id, new_t, t) of moving-block bootstrap samples: one random stream over all runs, blocks joined and cut."""
     import numpy as np

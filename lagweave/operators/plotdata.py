@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import sign_label
 from .fusion import EDGE
 
 #: A colour per sign consensus.
-COLOURS = {"positive": "#2ca02c", "negative": "#d62728", "mixed": "#ff7f0e", "unknown": "#7f7f7f"}
+COLOURS = {"positive": "#1e88e5", "negative": "#d32f2f", "mixed": "#f57c00", "unknown": "#607d8b"}
 
 
 def _placed(edges: DataFrame, nodes: list[str]) -> DataFrame:
@@ -20,13 +20,23 @@ def _placed(edges: DataFrame, nodes: list[str]) -> DataFrame:
     return edges.withColumns({"source_angle": at("source"), "target_angle": at("target")})
 
 
+def sign_text() -> Column:
+    """What a graph says of an edge's sign: consensus, votes and agreement."""
+    agreement = F.when(F.col("sign_agreement").isNotNull(), F.format_string("%.1f%%", F.col("sign_agreement") * 100)).otherwise("n/a")
+    return F.concat(
+        F.lit("sign="), sign_label(F.col("sign_consensus")), F.lit("<br>positive_votes="), F.coalesce("positive_votes", F.lit(0)).cast("string"),
+        F.lit("<br>negative_votes="), F.coalesce("negative_votes", F.lit(0)).cast("string"), F.lit("<br>sign_agreement="), agreement,
+    )
+
+
 def circular(summary: DataFrame, nodes: list[str]) -> DataFrame:
     """Edges of a circular graph: ends on the unit circle, width by probability, colour by sign, opacity by confidence."""
     rows = _placed(summary, nodes).withColumn("sign", sign_label(F.col("sign_consensus")))
     colour = F.coalesce(*[F.when(F.col("sign") == k, F.lit(v)) for k, v in COLOURS.items()])
     return rows.select(
         *EDGE, F.cos("source_angle").alias("x0"), F.sin("source_angle").alias("y0"), F.cos("target_angle").alias("x1"), F.sin("target_angle").alias("y1"),
-        (1 + 5 * F.col("edge_probability")).alias("width"), (0.2 + 0.8 * F.col("confidence")).alias("opacity"), "sign", colour.alias("colour"), (F.col("source") == F.col("target")).alias("self_loop"),
+        (1 + 5 * F.col("edge_probability")).alias("width"), (0.2 + 0.8 * F.col("confidence")).alias("opacity"), "sign", colour.alias("colour"), sign_text().alias("text"),
+        (F.col("source") == F.col("target")).alias("self_loop"),
     )
 
 
@@ -42,3 +52,11 @@ def temporal(summary: DataFrame, nodes: list[str], most: int = 12) -> DataFrame:
 def heatmap(consistency: DataFrame) -> DataFrame:
     """The consistency matrix with a column per method."""
     return consistency.groupBy("method_l").pivot("method_r").agg(F.first("jaccard")).orderBy("method_l")
+
+
+def self_loops(placed: DataFrame, radius: float = 0.12, points: int = 24) -> DataFrame:
+    """Points of an arc outside the circle for each edge of a variable to itself, from circular()."""
+    turn = 2 * math.pi * F.col("point") / (points - 1)
+    rows = placed.where("self_loop").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    centre = {c: F.col(f"{c}0") * (1 + radius) for c in "xy"}
+    return rows.select(*EDGE, "point", (centre["x"] + radius * F.cos(turn)).alias("x"), (centre["y"] + radius * F.sin(turn)).alias("y"), "width", "opacity", "colour")

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import clip
@@ -62,6 +62,11 @@ def gains(obs: DataFrame, edges: DataFrame, max_lag: int = 2, count: int = 3, al
     return rows.mapInPandas(solve, f"traj_id {obs.schema['traj_id'].dataType.simpleString()}, source string, target string, lag int, split int, gain double")
 
 
+def parent_order() -> list[Column]:
+    """Candidate parents of a target: the strongest first."""
+    return [F.desc("ensemble_score"), F.col("source"), F.col("lag")]
+
+
 def gate(summary: DataFrame, gain_rows: DataFrame, weight: float = 0.75, penalty: float = 0.0, exponent: float = 0.5, by: Sequence[str] = ("combo_id",)) -> DataFrame:
     """Damps ensemble scores by the rank of the edges' predictive gain among those that gain anything."""
     per = gain_rows.groupBy(*EDGE).agg(

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import stored
 from .consensus import adaptive_weights, blended, consistency, stability_selection
 from .expert import apply_rules
 from .fusion import EDGE, probabilities
@@ -38,7 +39,7 @@ def evaluate(
     density: float | None = None, nodes: int | None = None, **options,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary, stability, weights) of all combinations over the base run and all bootstrap runs."""
-    weights = adaptive_weights(edges, runs, combo)
+    weights = stored(adaptive_weights(edges, runs, combo))
     used = weights.select("combo_id", "method", F.col("adaptive_weight").alias("weight")) if adaptive else combo.select("combo_id", "method", "weight")
     rows = per_combo(edges, combo)
     base = probabilities(rows.where("run_id = 0"), used, signed, min_votes, by=["combo_id"], universe_by=["combo_id"])
@@ -47,6 +48,7 @@ def evaluate(
         summary = apply_rules(summary, rules)
     if density is not None:
         summary = ranked_structure(summary, density, nodes, ["combo_id"])
+    summary = stored(summary)
     each = probabilities(rows.where("run_id > 0"), used, signed, min_votes, by=["combo_id", "run_id"], universe_by=["combo_id"])
     return summary, stability_selection(each, bootstraps), weights
 

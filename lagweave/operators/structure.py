@@ -47,6 +47,39 @@ def relations(nodes: Sequence[str], objective: str, source: str | None = None, t
     raise ValueError(f"unknown objective {objective}")
 
 
+def relation_rows(nodes: DataFrame, objective: str, source: str | None = None, target: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """relations() of nodes(node) as rows (source, target), each node joined with those that the objective asks for."""
+    a, b = nodes.select(F.col("node").alias("source")).distinct(), nodes.select(F.col("node").alias("target")).distinct()
+    if objective == "causes_of_target":
+        a, b = a, b.where(F.col("target") == target)
+    elif objective == "effects_of_source":
+        a, b = a.where(F.col("source") == source), b
+    elif objective == "compare_directions":
+        a, b = a.where(F.col("source").isin(source, target)), b.where(F.col("target").isin(source, target))
+    elif objective == "specific_relations":
+        a = a.join(pairs.select("source").distinct(), "source", "left_semi")
+    elif objective != "full_structure":
+        raise ValueError(f"unknown objective {objective}")
+    every = a.join(b, F.col("source") != F.col("target"))
+    return every.join(pairs.select("source", "target"), ["source", "target"], "left_semi") if objective == "specific_relations" else every
+
+
+def directed(links: DataFrame) -> DataFrame:
+    """Links of a graph over time whose mark is an arrow from the lagged to the later variable."""
+    return links.where(F.trim("mark") == "-->")
+
+
+def temporal_endpoints(links: DataFrame, method: str, include_partial: bool = False) -> DataFrame:
+    """Links (tail, head) that a method's graph lets count as edges from the tail: for GES arrows and undirected lines,
+    for FCI arrows, and circles with an arrow if partial ones are asked for."""
+    tail, head = F.upper(F.trim("tail")), F.upper(F.trim("head"))
+    if method == "GES":
+        return links.where((tail == "TAIL") & head.isin("ARROW", "TAIL"))
+    if method == "FCI":
+        return links.where((head == "ARROW") & tail.isin("TAIL", *(["CIRCLE"] if include_partial else [])))
+    raise ValueError(f"{method} has no endpoint marks")
+
+
 def _at_least(column: str, threshold: float) -> Column:
     if not 0 <= threshold <= 1:
         raise ValueError("thresholds lie between 0 and 1")
@@ -91,5 +124,26 @@ def selected(summary: DataFrame, threshold: float = 0.5) -> DataFrame:
     return summary.where("ensemble_selected") if "ensemble_selected" in summary.columns else summary.where(F.col("edge_probability") >= threshold)
 
 
+def vote_order() -> list[Column]:
+    return [F.desc("votes"), F.desc_nulls_last("mean_score"), *map(F.col, EDGE)]
+
+
+def probability_order() -> list[Column]:
+    return [F.desc("edge_probability"), *vote_order()]
+
+
 def best_order() -> list[Column]:
     return [F.desc("edge_probability"), F.desc("bootstrap_probability"), F.desc("votes"), *map(F.col, EDGE)]
+
+
+def stability_order() -> list[Column]:
+    return [F.desc("selection_frequency"), F.desc("appearance_frequency"), *map(F.col, EDGE)]
+
+
+def granger_order() -> list[Column]:
+    return [F.col(c) for c in ("target", "source", "lag")]
+
+
+def placed(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """rows with their position, from 1, in an order; edges of one summary are few, those of several have by."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))

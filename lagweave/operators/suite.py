@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .panel import block_index, bootstrap, variables
-from .registry import CANONICAL, MethodSpec
+from .registry import CANONICAL, MethodSpec, check_records
 
 #: Steps times variables of one fit at most: a fit's panel is one group.
 MOST_CELLS = 20_000_000
@@ -30,6 +30,7 @@ def fit_grid(obs: DataFrame, specs: Mapping[str, MethodSpec], max_lag: int, opti
         data = frame.pivot_table(index="t", columns="variable", values="value")[[n for n in names if n in set(frame["variable"])]].dropna()
         function, kwargs = functions[head["method"]]
         found = function(data.to_numpy(), max_lag, names=list(data.columns), **kwargs) if len(data) > 2 else []
+        check_records(found, list(data.columns), head["method"])
         out = pd.DataFrame(found, columns=["source", "target", "lag", "score", "p_value"])
         out.insert(0, "method", head["method"])
         out.insert(0, "run_id", head["run_id"])
@@ -96,13 +97,29 @@ def pooled_covariance(obs: DataFrame, max_lag: int) -> tuple[np.ndarray, int, li
     return cov, (found[0]["n"] if found else 0), names
 
 
+def reduce_pairs(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The strongest effect and the least p-value of every unordered pair, over both directions and all lags."""
+    from .structure import PAIR, with_pair
+
+    best = with_pair(links.where("source <> target")).groupBy(*by, *PAIR).agg(F.max(F.abs("score")).alias("score"), F.min("p_value").alias("p_value"))
+    return best.select(*by, F.col("pair_lo").alias("source"), F.col("pair_hi").alias("target"), "score", "p_value")
+
+
+def union(frames: Sequence[DataFrame]) -> DataFrame:
+    """The edges of several methods in one table; columns that a method lacks are null."""
+    if not frames:
+        raise ValueError("no method has edges")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def panel_pcmci(obs: DataFrame, max_lag: int = 1, alpha: float = 1.0) -> DataFrame:
     """The strongest momentary correlation and least p-value of every unordered pair over all trajectories."""
     from ..methods.pcmci import mci
     from .panel import zscore
-    from .structure import PAIR, with_pair
 
     cov, n, names = pooled_covariance(zscore(obs, 1e-12), 2 * max_lag)
     links = obs.sparkSession.createDataFrame(pd.DataFrame(mci(cov, n, names, max_lag, alpha, 0.2)), CANONICAL)
-    best = with_pair(links.where("source <> target")).groupBy(*PAIR).agg(F.max(F.abs("score")).alias("score"), F.min("p_value").alias("p_value"))
-    return best.select(F.col("pair_lo").alias("source"), F.col("pair_hi").alias("target"), "score", "p_value")
+    return reduce_pairs(links)

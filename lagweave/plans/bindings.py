@@ -46,12 +46,9 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge table drawn from orders: run 0 is the base sample, the method is the customer's region.
-
-    Only orders with (o_orderkey * 7 + o_custkey) % 11 = 0 are in it, about one in eleven, as SQL["edges"] has it.
-    """
+    """An edge table drawn from all orders: run 0 is the base sample, the method is the customer's region."""
     c, n, r = (read(spark, sf_dir, x) for x in ("customer", "nation", "region"))
-    o = read(spark, sf_dir, "orders").where((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 11 == 0)
+    o = read(spark, sf_dir, "orders")
     places = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "r_name")
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
@@ -93,7 +90,7 @@ SQL = {
     "traj": _dense(f"SELECT user_id % 8 AS traj_id, {_DAY} AS t, event_type AS variable, sum(value) AS value FROM events GROUP BY ALL"),
     "edges": f"""SELECT (o_orderkey % {RUNS})::INT AS run_id, r_name AS method, o_orderpriority AS source, c_mktsegment AS target, (quarter(o_orderdate) - 1)::INT AS lag,
       (o_totalprice - 250000.0) / 100000.0 AS score, (o_custkey % 97) / 100.0::DOUBLE AS p_value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-      JOIN region ON n_regionkey = r_regionkey WHERE (o_orderkey * 7 + o_custkey) % 11 = 0""",
+      JOIN region ON n_regionkey = r_regionkey""",
     "truth": f"SELECT * FROM (VALUES {_values(TRUTH)}) x(source, target, lag)",
     "rules": f"SELECT * FROM (VALUES {_values(RULES)}) x(rule_ord, source, target, lag, relation, confidence, kind, prior)",
     "methods": f"SELECT *, 1.0::DOUBLE AS weight FROM (VALUES {_values([(m, i) for i, m in enumerate(METHODS)])}) x(method, method_ord)",

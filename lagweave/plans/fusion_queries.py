@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import bayes_factor, posterior, score_probability, valid_p, wilson
 from ..functions.special import fisher as fisher_p
+from ..sources.checkpoints import stored
 from ..operators import calibration, consensus, expert, fusion, metrics, plotdata, predictive, selection, structure
 from . import bindings as b
 from .panel_queries import _FISHER, _r, _rounded
@@ -63,7 +64,8 @@ def q24_score_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q25_probabilistic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_text(fusion.probabilities(_base(spark, sf_dir), b.methods(spark), b.SIGNED, 1), "method", "signed_methods"), "mean_score")
+    rows = _text(fusion.probabilities(_base(spark, sf_dir), b.methods(spark), b.SIGNED, 1), "method", "signed_methods")
+    return _rounded(rows.withColumn("log_bayes_factor", F.log("bayes_factor_10")).drop("bayes_factor_10"), "mean_score")
 
 
 def q26_method_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +137,10 @@ def q37_precision_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf_dir: str):
-    """Each table is used by several steps, so it is kept; lost parts are computed again."""
-    edges, runs, combo = b.edge_table(spark, sf_dir).persist(), b.run_table(spark), _combos(spark)
+    """The compacted edges, the weights and the summary are used by several steps, so they are stored."""
+    edges, runs, combo = stored(fusion.compact(b.edge_table(spark, sf_dir))), stored(b.run_table(spark)), stored(_combos(spark).coalesce(1))
     summary, stable, weights = selection.evaluate(edges, runs, combo, b.SIGNED, BOOT)
-    return edges, runs, combo, summary.persist(), stable, weights.persist()
+    return edges, runs, combo, summary, stable, weights
 
 
 def q38_stability_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +246,7 @@ def q52_graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q53_temporal_dag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(plotdata.temporal(_predicted(spark, sf_dir), list(b.NODES)).drop("width"))
+    return _rounded(plotdata.temporal(_predicted(spark, sf_dir), list(b.NODES)))
 
 
 def queries() -> dict:
@@ -329,7 +331,8 @@ def _weights(redundancy_penalty: str) -> str:
       weighed AS (SELECT *, raw / avg(raw) OVER (PARTITION BY combo_id) AS adaptive_weight FROM raw)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def parts() -> dict:
+    """Common table expressions and texts that several queries share."""
     c = b.ctes
     d = f"{c('edges')}, d AS MATERIALIZED ({_D})"
     summary = f"{d}, {c('methods')}, base AS (SELECT 0 AS combo_id, * FROM ({_prob(where='run_id = 0')})), one AS (SELECT 0 AS combo_id, method, method_ord, weight FROM methods), {_blend('base', 'one')}"
@@ -337,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
     nodes = "nodes AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in b.NODES) + "]) AS v), grid_p AS (SELECT a.v AS pair_lo, z.v AS pair_hi FROM nodes a JOIN nodes z ON a.v < z.v)"
     known = f"{c('truth')}, tp AS (SELECT DISTINCT least(source, target) AS pair_lo, greatest(source, target) AS pair_hi FROM truth)"
     pair = "least(source, target) AS pair_lo, greatest(source, target) AS pair_hi"
-    wide = "round(mean_score, 9) + 0.0 AS mean_score, " + _r("support_ratio", "weighted_votes", "weighted_support_ratio", "combined_p_value", "posterior_probability", "edge_probability", "uncertainty", "confidence")
+    wide = "round(mean_score, 11) + 0.0 AS mean_score, " + _r("support_ratio", "weighted_votes", "weighted_support_ratio", "combined_p_value", "posterior_probability", "edge_probability", "uncertainty", "confidence")
     steps, last = [], "b0"
     for i, (_, s, t, lag, relation, conf, kind, prior) in enumerate(b.RULES):
         match = f"source = '{s}' AND target = '{t}'" + ("" if lag is None else f" AND lag = {lag}")
@@ -372,17 +375,25 @@ def oracle_sql() -> dict[str, str]:
       met AS (SELECT ofm.combo_id, combination, num_methods, coalesce(num_edges, 0) AS num_edges, coalesce(mean_edge_probability, 0.0) AS mean_edge_probability, coalesce(mean_confidence, 0.0) AS mean_confidence, coalesce(mean_uncertainty, 1.0) AS mean_uncertainty, coalesce(mean_stability, 0.0) AS mean_stability, coalesce(stable_edge_ratio, 0.0) AS stable_edge_ratio,
         coalesce(num_candidate_edges, 0) AS num_candidate_edges, coalesce(mean_method_agreement, 1.0) AS mean_method_agreement, mean_method_stability, mean_method_diversity, least(coalesce(num_edges, 0) / (90.0 * ml), 1.0) AS edge_density FROM ofm LEFT JOIN sel USING (combo_id) LEFT JOIN cand USING (combo_id) LEFT JOIN agr USING (combo_id) CROSS JOIN ml),
       perf AS (SELECT *, CASE WHEN num_edges > 0 THEN 0.40::DOUBLE * mean_stability + 0.20::DOUBLE * mean_confidence + 0.15::DOUBLE * mean_edge_probability + 0.15::DOUBLE * stable_edge_ratio + 0.10::DOUBLE * (1 - sqrt(edge_density)) ELSE 0.0 END AS performance_score FROM met)"""
+    return {k: v for k, v in locals().items() if k in ("d", "summary", "predicted", "nodes", "known", "pair", "wide", "steps", "last", "ranked", "counts", "prf", "run_pairs", "auc", "candidates", "combined")}
+
+
+def oracle_sql() -> dict[str, str]:
+    c, s = b.ctes, parts()
+    d, summary, predicted, nodes, known, pair, wide, steps, last = (s[k] for k in "d summary predicted nodes known pair wide steps last".split())
+    ranked, counts, prf, run_pairs, auc, candidates, combined = (s[k] for k in "ranked counts prf run_pairs auc candidates combined".split())
     angle = lambda x: f"(2 * pi() * (list_position([{', '.join(repr(n) for n in b.NODES)}], {x}) - 1) / {len(b.NODES)})"
+    place = lambda x: f"(list_position([{', '.join(repr(n) for n in b.NODES)}], {x}) - 1)::BIGINT"
     return {
-        "q17_dedup_edges": f"WITH {d} SELECT {_OUT}, method, round(score, 9) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d WHERE run_id = 0",
-        "q18_vote_summary": f"WITH {d}, v AS (SELECT {_KEY}, string_agg(method, ',' ORDER BY method) AS method, count(*) AS votes, avg(score) AS mean_score, {_SIGNS} FROM d WHERE run_id = 0 GROUP BY ALL) SELECT {_OUT}, method, votes, round(mean_score, 9) + 0.0 AS mean_score, signed_methods, positive_votes, negative_votes, {_SIGN_OUT} FROM v WHERE votes >= 2",
+        "q17_dedup_edges": f"WITH {d} SELECT {_OUT}, method, round(score, 11) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d WHERE run_id = 0",
+        "q18_vote_summary": f"WITH {d}, v AS (SELECT {_KEY}, string_agg(method, ',' ORDER BY method) AS method, count(*) AS votes, avg(score) AS mean_score, {_SIGNS} FROM d WHERE run_id = 0 GROUP BY ALL) SELECT {_OUT}, method, votes, round(mean_score, 11) + 0.0 AS mean_score, signed_methods, positive_votes, negative_votes, {_SIGN_OUT} FROM v WHERE votes >= 2",
         "q19_sign_summary": f"WITH {d}, v AS (SELECT run_id, {_KEY}, {_SIGNS} FROM d GROUP BY ALL) SELECT run_id::BIGINT AS run_id, {_OUT}, signed_methods, positive_votes, negative_votes, {_SIGN_OUT} FROM v",
         "q20_score_scale": f"WITH {d} SELECT run_id::BIGINT AS run_id, method, round(median(abs(score)), 6) + 0.0 AS scale FROM d GROUP BY ALL",
         "q21_fisher": f"WITH {d}, f AS (SELECT run_id, {_KEY}, count(p) AS k, sum(-ln(greatest(p, 1e-16))) AS l FROM d GROUP BY ALL) SELECT run_id::BIGINT AS run_id, {_OUT}, k, round({_FISHER}, 6) + 0.0 AS combined_p_value FROM f",
         "q22_bayes_posterior": f"WITH {d}, f AS (SELECT *, {_BF.format(p='p')} AS bf FROM d WHERE run_id = 0) SELECT method, {_OUT}, round(bf, 6) + 0.0 AS bayes_factor_10, round({_POST.format(b='bf')}, 6) + 0.0 AS posterior_probability FROM f",
         "q23_wilson": f"WITH {d}, v AS (SELECT run_id, {_KEY}, count(*) AS votes FROM d GROUP BY ALL) SELECT run_id::BIGINT AS run_id, {_OUT}, votes, round({_wilson('votes', '5')[0]}, 6) + 0.0 AS low, round({_wilson('votes', '5')[1]}, 6) + 0.0 AS high FROM v",
         "q24_score_probability": f"WITH {d}, s AS (SELECT run_id, method, median(abs(score)) AS scale FROM d GROUP BY ALL) SELECT run_id::BIGINT AS run_id, method, {_OUT}, round(1 / (1 + exp(-abs(score) / greatest(scale, 1e-12))), 6) + 0.0 AS probability FROM d JOIN s USING (run_id, method)",
-        "q25_probabilistic_summary": f"WITH {predicted} SELECT {_OUT}, method, votes, signed_methods, positive_votes, negative_votes, {_SIGN_OUT}, {wide}, round(low, 6) + 0.0 AS support_ci_low, round(high, 6) + 0.0 AS support_ci_high, round(bf, 6) + 0.0 AS bayes_factor_10 FROM base",
+        "q25_probabilistic_summary": f"WITH {predicted} SELECT {_OUT}, method, votes, signed_methods, positive_votes, negative_votes, {_SIGN_OUT}, {wide}, round(low, 6) + 0.0 AS support_ci_low, round(high, 6) + 0.0 AS support_ci_high, round(ln(bf), 6) + 0.0 AS log_bayes_factor FROM base",
         "q26_method_consistency": f"WITH {c('edges', 'methods')}, {_SIMILAR} SELECT method_l, method_r, round(coalesce(jaccard, 1.0), 6) + 0.0 AS jaccard FROM sim WHERE run_id = 0",
         "q27_bootstrap_stability_by_method": f"WITH {c('edges', 'methods')}, {_SIMILAR} SELECT method, {_r('bootstrap_stability', 'mean_edge_count')} FROM stable JOIN counts USING (method)",
         "q28_adaptive_weights": f"WITH {c('edges', 'methods')}, {_SIMILAR}, {_COMBOS}, {_weights('0.2::DOUBLE')} SELECT combo_id, method, 1.0::DOUBLE AS prior_weight, {_r('bootstrap_stability', 'diversity', 'mean_edge_count', 'relative_density', 'density_factor', 'redundancy', 'redundancy_factor', 'adaptive_weight')} FROM weighed",
@@ -406,5 +417,6 @@ def oracle_sql() -> dict[str, str]:
         "q48_combine_candidates": f"WITH {c('edges', 'methods')}, {nodes}, {known}, {candidates} SELECT run_id::BIGINT AS traj_id, pair_lo, pair_hi, round(sum((method_ord + 1) / 15.0 * score), 6) + 0.0 AS score, max(label)::BIGINT AS label FROM cd GROUP BY ALL",
         "q49_top_k_f1": f"WITH {c('edges')}, {nodes}, {known}, {run_pairs('abs(score)')}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, pair_lo DESC, pair_hi DESC) AS rk FROM rp), k AS (SELECT unnest(range(1, 11)) AS k), s AS (SELECT k, run_id, sum(CASE WHEN rk <= k THEN label ELSE 0 END) AS tp, count(*) FILTER (rk <= k) AS n, sum(label) AS p FROM o CROSS JOIN k GROUP BY ALL) SELECT k, round(avg(tp / n), 6) + 0.0 AS precision, round(avg(tp / p), 6) + 0.0 AS recall, round(avg(2 * tp / (n + p)), 6) + 0.0 AS f1, round(avg(n + p - 2 * tp), 6) + 0.0 AS shd FROM s GROUP BY k",
         "q51_filter_edges": f"WITH {predicted} SELECT {_OUT}, {_r('edge_probability')} FROM base WHERE edge_probability >= 0.2::DOUBLE AND lag <= 2 AND source = '1-URGENT'",
-        "q52_graph_layout": f"WITH {predicted}, s AS (SELECT *, {_SIGN_OUT} FROM base) SELECT {_OUT}, round(cos({angle('source')}), 6) + 0.0 AS x0, round(sin({angle('source')}), 6) + 0.0 AS y0, round(cos({angle('target')}), 6) + 0.0 AS x1, round(sin({angle('target')}), 6) + 0.0 AS y1, round(1 + 5 * edge_probability, 6) + 0.0 AS width, round(0.2::DOUBLE + 0.8::DOUBLE * confidence, 6) + 0.0 AS opacity, sign_consensus AS sign, CASE sign_consensus WHEN 'positive' THEN '#2ca02c' WHEN 'negative' THEN '#d62728' WHEN 'mixed' THEN '#ff7f0e' ELSE '#7f7f7f' END AS colour, source = target AS self_loop FROM s",
+        "q53_temporal_dag_rows": f"WITH {predicted}, top AS (SELECT * FROM base ORDER BY edge_probability DESC, confidence DESC, lag DESC, source, target LIMIT 12) SELECT {_OUT}, CASE WHEN lag = 0 THEN 't' ELSE 't-' || lag END AS level, -lag::BIGINT AS x0, {place('source')} AS y0, 0::BIGINT AS x1, {place('target')} AS y1, round(1.5 + 5.5::DOUBLE * edge_probability, 6) + 0.0 AS width FROM top",
+        "q52_graph_layout": f"WITH {predicted}, s AS (SELECT *, {_SIGN_OUT} FROM base) SELECT {_OUT}, round(cos({angle('source')}), 6) + 0.0 AS x0, round(sin({angle('source')}), 6) + 0.0 AS y0, round(cos({angle('target')}), 6) + 0.0 AS x1, round(sin({angle('target')}), 6) + 0.0 AS y1, round(1 + 5 * edge_probability, 6) + 0.0 AS width, round(0.2::DOUBLE + 0.8::DOUBLE * confidence, 6) + 0.0 AS opacity, sign_consensus AS sign, CASE sign_consensus WHEN 'positive' THEN '#1e88e5' WHEN 'negative' THEN '#d32f2f' WHEN 'mixed' THEN '#f57c00' ELSE '#607d8b' END AS colour, concat('sign=', sign_consensus, '<br>positive_votes=', positive_votes, '<br>negative_votes=', negative_votes, '<br>sign_agreement=', CASE WHEN positive_votes + negative_votes > 0 THEN printf('%.1f%%', 100.0 * greatest(positive_votes, negative_votes) / (positive_votes + negative_votes)) ELSE 'n/a' END) AS text, source = target AS self_loop FROM s",
     }

@@ -4,12 +4,36 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset, a session of this machine alone takes a temporary folder; any other is refused.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lagweave.scratch.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lagweave-")
+        spark.conf.set("lagweave.scratch.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read back: what several steps use is computed once, and lost executors cost nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def signature(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 

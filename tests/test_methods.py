@@ -84,7 +84,26 @@ def test_registry_names_and_errors():
         registry.causal_method("Bad")(lambda data: [])
     with pytest.raises(ValueError):
         registry.causal_method("Bad", default_kwargs={"max_lag": 1})(lambda data, max_lag: [])
-    assert registry.method_kwargs(3)["DYNOTEARS"] == {"max_iter": 50, "max_lag": 3}
+    assert dict(registry.discover()["DYNOTEARS"].default_kwargs) == {"max_iter": 50}
+    assert registry.default_name("run_local_PC") == "LocalPC"
+    with pytest.raises(TypeError):
+        registry.discover()["DYNOTEARS"].default_kwargs["max_iter"] = 1
+
+
+def test_spec_table(spark):
+    rows = {r.method: r for r in registry.spec_table(spark).collect()}
+    assert rows["DYNOTEARS"].options == '{"max_iter": 50}' and all(r.weight >= 0 for r in rows.values())
+
+
+def test_fits_are_checked(spark):
+    """A method whose edges break the contract fails the fit, by name."""
+    obs = spark.createDataFrame([(0, 0, t, v, float(t % 3)) for t in range(8) for v in "ab"], "run_id int, traj_id long, t long, variable string, value double")
+    good = {"source": "a", "target": "b", "lag": 1, "score": 1.0, "p_value": None}
+    for bad in ({"source": "zz"}, {"lag": -1}, {"lag": 0.5}, {"score": float("nan")}, {"p_value": 2.0}):
+        spec = registry.MethodSpec("Odd", lambda data, max_lag, names, bad=bad: [{**good, **bad}])
+        with pytest.raises(Exception, match="Odd"):
+            suite.fit_grid(obs, {"Odd": spec}, 1).collect()
+    assert suite.fit_grid(obs, {"Odd": registry.MethodSpec("Odd", lambda data, max_lag, names: [good])}, 1).count() == 1
 
 
 def test_validation(spark):
