@@ -18,6 +18,19 @@ def design(x: np.ndarray, max_lag: int) -> np.ndarray:
     return np.column_stack([x[max_lag - k : max_lag - k + n] for k in range(max_lag + 1)])
 
 
+def moments(x: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Covariance, means and rows of a design."""
+    d = design(np.asarray(x, float), max_lag)
+    return np.atleast_2d(np.cov(d, rowvar=False)), d.mean(0), len(d)
+
+
+def correlation(cov: np.ndarray) -> np.ndarray:
+    """Covariance of the standardised columns; columns that don't vary stay 0."""
+    s = np.sqrt(np.diag(cov))
+    s = np.where(s > 0, s, 1.0)
+    return cov / np.outer(s, s)
+
+
 def t_two_sided(t: float, nu: int) -> float:
     """Two-sided p-value of Student's t for whole nu, by the finite sums."""
     if nu < 1:

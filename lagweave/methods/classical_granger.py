@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..operators.registry import causal_method
+from ..operators.registry import Moments, causal_method
 from ._tools import edge, t_two_sided
 
 
@@ -38,7 +38,34 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, in
     return beta, np.divide(beta, error, out=np.zeros_like(beta), where=error > 0), rss, dof
 
 
-@causal_method("ClassicalGranger", signed_score=True)
+def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, alpha: float = 0.05, include_self_links: bool = False) -> list[dict]:
+    """The same tests on covariances, in which the constant is taken out."""
+    v, out = len(names), []
+    if max_lag < 1 or n <= 2 * max_lag + 1:
+        return []
+
+    def fit(j: int, at: list[int]) -> tuple[np.ndarray, np.ndarray, float, int]:
+        inverse = np.linalg.pinv(cov[np.ix_(at, at)])
+        beta = inverse @ cov[at, j]
+        rss, dof = max(float(cov[j, j] - cov[j, at] @ beta), 0.0) * (n - 1), n - len(at) - 1
+        error = np.sqrt(np.maximum(np.diag(inverse), 0) / (n - 1) * rss / max(dof, 1))
+        return beta, np.divide(beta, error, out=np.zeros_like(beta), where=error > 0), rss, dof
+
+    lagged = lambda i: [k * v + i for k in range(1, max_lag + 1)]
+    for j in range(v):
+        beta0, t0, rss0, dof0 = fit(j, lagged(j))
+        if include_self_links:
+            out += [edge(names[j], names[j], k + 1, beta0[k], p) for k in range(max_lag) if (p := t_two_sided(t0[k], dof0)) <= alpha]
+        for i in range(v):
+            if i != j:
+                beta, t, rss, dof = fit(j, lagged(j) + lagged(i))
+                if dof < 1 or rss <= 0 or f_upper((rss0 - rss) / max_lag / (rss / dof), max_lag, dof) > alpha:
+                    continue
+                out += [edge(names[i], names[j], k + 1, beta[max_lag + k], p) for k in range(max_lag) if (p := t_two_sided(t[max_lag + k], dof)) <= alpha]
+    return out
+
+
+@causal_method("ClassicalGranger", signed_score=True, moments=Moments(from_moments))
 def run_classical_granger(data: np.ndarray, max_lag: int, names: list[str] = (), alpha: float = 0.05, include_self_links: bool = False) -> list[dict]:
     """Lags whose joint and own tests both pass; self-links by the target's autoregression."""
     x = np.asarray(data, float)

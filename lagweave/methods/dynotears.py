@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..operators.registry import causal_method
-from ._tools import design, edge, standardised
+from ..operators.registry import Moments, causal_method
+from ._tools import edge, moments, standardised
 
 
 def expm(a: np.ndarray) -> np.ndarray:
@@ -51,16 +51,21 @@ def _solve(gram: np.ndarray, cross: np.ndarray, v: int, lam: float, rho: float,
     return w
 
 
-@causal_method("DYNOTEARS", signed_score=True, default_kwargs={"max_iter": 50})
+def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, lam: float = 0.05, threshold: float = 0.05, max_iter: int = 50, h_tol: float = 1e-8, rho_max: float = 1e16) -> list[dict]:
+    return _search(cov * (n - 1) / n + np.outer(mean, mean), names, lam, threshold, max_iter, h_tol, rho_max) if n > 2 else []
+
+
+@causal_method("DYNOTEARS", signed_score=True, moments=Moments(from_moments, standardised=True), default_kwargs={"max_iter": 50})
 def run_dynotears(data: np.ndarray, max_lag: int, names: list[str] = (), lam: float = 0.05, threshold: float = 0.05, max_iter: int = 50, h_tol: float = 1e-8, rho_max: float = 1e16) -> list[dict]:
     """Instantaneous (lag 0) and lagged weights above the threshold, by an augmented Lagrangian."""
-    x = standardised(np.asarray(data, float))
-    v = x.shape[1]
-    if len(x) <= max_lag + 2:
+    if len(data) <= max_lag + 2:
         return []
-    d = design(x, max_lag)
-    gram = d.T @ d / len(d)
-    cross, w = gram[:, :v].copy(), np.zeros((d.shape[1], v))
+    return from_moments(*moments(standardised(np.asarray(data, float)), max_lag), names, max_lag, lam, threshold, max_iter, h_tol, rho_max)
+
+
+def _search(gram: np.ndarray, names: list[str], lam: float, threshold: float, max_iter: int, h_tol: float, rho_max: float) -> list[dict]:
+    v = len(names)
+    cross, w = gram[:, :v].copy(), np.zeros((len(gram), v))
     rho, alpha, h = 1.0, 0.0, np.inf
     for _ in range(max_iter):
         while True:

@@ -11,8 +11,8 @@ from itertools import combinations
 
 import numpy as np
 
-from ..operators.registry import causal_method
-from ._tools import design, edge, fisher_z_p, partial, standardised
+from ..operators.registry import Moments, causal_method
+from ._tools import correlation, edge, fisher_z_p, moments, partial
 
 NONE, CIRCLE, ARROW, TAIL = range(4)
 
@@ -197,17 +197,24 @@ class Search:
         return self.m
 
 
-@causal_method("FCI")
+def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, alpha: float = 0.05, depth: int = -1, include_partial: bool = False) -> list[dict]:
+    if max_lag < 1 or n <= 5:
+        return []
+    v = len(names)
+    m = Search(correlation(cov), n, np.arange(len(cov)) >= v, alpha, depth).run()
+    wanted = {TAIL: 1.0} | ({CIRCLE: 0.5} if include_partial else {})
+    return [edge(names[i % v], names[j], i // v, wanted[m[j, i]]) for i in range(v, len(m)) for j in range(v) if m[i, j] == ARROW and m[j, i] in wanted]
+
+
+@causal_method("FCI", moments=Moments(from_moments))
 def run_fci(data: np.ndarray, max_lag: int, names: list[str] = (), alpha: float = 0.05, depth: int = -1, include_partial: bool = False) -> list[dict]:
     """Directed edges from lagged to current variables, score 1; with include_partial also circle-arrow ones, score 0.5.
 
     depth bounds the size of separating sets, if it isn't negative.
     """
-    x = np.asarray(data, float)
-    v = x.shape[1]
-    if max_lag < 1 or len(x) <= max_lag + 5:
-        return []
-    d = standardised(design(x, max_lag))
-    m = Search(np.cov(d, rowvar=False), len(d), np.arange(d.shape[1]) >= v, alpha, depth).run()
-    wanted = {TAIL: 1.0} | ({CIRCLE: 0.5} if include_partial else {})
-    return [edge(names[i % v], names[j], i // v, wanted[m[j, i]]) for i in range(v, len(m)) for j in range(v) if m[i, j] == ARROW and m[j, i] in wanted]
+    return from_moments(*moments(data, max_lag), names, max_lag, alpha, depth, include_partial) if max_lag >= 1 and len(data) > max_lag + 5 else []
+
+
+def run_heterogeneous_fci(data: np.ndarray, max_lag: int, names: list[str] = (), **options) -> list[dict]:
+    """Another name of fast causal inference."""
+    return run_fci(data, max_lag, names, **options)

@@ -10,8 +10,8 @@ from itertools import combinations
 
 import numpy as np
 
-from ..operators.registry import causal_method
-from ._tools import design, edge, standardised
+from ..operators.registry import Moments, causal_method
+from ._tools import correlation, edge, moments
 
 
 class Score:
@@ -169,13 +169,16 @@ def search(cov: np.ndarray, n: int, max_parents: int, discount: float, forbidden
     return g, sum(score(i, frozenset(map(int, np.flatnonzero(dag[:, i])))) for i in range(size)) if dag is not None else float("nan")
 
 
-@causal_method("GES", default_kwargs={"max_parents": 6, "penalty_discount": 0.5})
-def run_ges(data: np.ndarray, max_lag: int, names: list[str] = (), max_parents: int = 6, penalty_discount: float = 0.5) -> list[dict]:
-    """Edges from lagged to current variables, directed or undirected in the pattern; scores are 1 and unsigned."""
-    x = np.asarray(data, float)
-    v = x.shape[1]
-    if max_lag < 1 or len(x) <= max_lag + 3:
+def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, max_parents: int = 6, penalty_discount: float = 0.5) -> list[dict]:
+    if max_lag < 1 or n <= 3:
         return []
-    d = standardised(design(x, max_lag))
-    g, _ = search(np.cov(d, rowvar=False), len(d), max_parents, penalty_discount, np.zeros((d.shape[1],) * 2, bool))
+    v = len(names)
+    # population variances are 1 after scaling, which leaves the sample covariance a little above
+    g, _ = search(correlation(cov) * n / (n - 1), n, max_parents, penalty_discount, np.zeros((len(cov),) * 2, bool))
     return [edge(names[i % v], names[j], i // v, 1.0) for i in range(v, len(g)) for j in range(v) if g[i, j]]
+
+
+@causal_method("GES", moments=Moments(from_moments), default_kwargs={"max_parents": 6, "penalty_discount": 0.5})
+def run_ges(data: np.ndarray, max_lag: int, names: list[str] = (), max_parents: int = 6, penalty_discount: float = 0.5) -> list[dict]:
+    """Edges from lagged to current variables, directed or undirected in the pattern; scores are 1 and unsigned."""
+    return from_moments(*moments(data, max_lag), names, max_lag, max_parents, penalty_discount) if max_lag >= 1 and len(data) > max_lag + 3 else []

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..operators.registry import causal_method
-from ._tools import design, edge, partial, partial_p
+from ..operators.registry import Moments, causal_method
+from ._tools import edge, moments, partial, partial_p
 
 
 def condition_sets(cov: np.ndarray, n: int, variables: int, max_lag: int, alpha: float) -> list[list[tuple[int, int]]]:
@@ -51,10 +51,13 @@ def mci(cov: np.ndarray, n: int, names: list[str], max_lag: int, alpha: float, p
     return out
 
 
-@causal_method("PCMCI", signed_score=True)
+def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, alpha: float = 0.05, pc_alpha: float = 0.2) -> list[dict]:
+    return mci(cov, n, list(names), max_lag, alpha, pc_alpha) if max_lag >= 1 and n > 3 else []
+
+
+@causal_method("PCMCI", signed_score=True, moments=Moments(from_moments, reach=2))
 def run_pcmci(data: np.ndarray, max_lag: int, names: list[str] = (), alpha: float = 0.05, pc_alpha: float = 0.2) -> list[dict]:
     """Lagged links at level alpha; autoregressive links count. Fewer rows than lags need give none."""
     if max_lag < 1 or len(data) <= 2 * max_lag + 3:
         return []
-    x = design(np.asarray(data, float), 2 * max_lag)
-    return mci(np.cov(x, rowvar=False), len(x), list(names), max_lag, alpha, pc_alpha)
+    return from_moments(*moments(data, 2 * max_lag), list(names), max_lag, alpha, pc_alpha)

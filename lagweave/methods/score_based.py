@@ -6,18 +6,20 @@ import math
 
 import numpy as np
 
-from ._tools import design, edge, t_two_sided
+from ._tools import edge, moments, t_two_sided
+
+
+def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, min_bic_improvement: float = 1.0) -> list[dict]:
+    return _forward(cov * (n - 1), n, names, max_lag, min_bic_improvement) if max_lag >= 1 and n > 3 else []
 
 
 def run_score_based_bic(data: np.ndarray, max_lag: int, names: list[str] = (), min_bic_improvement: float = 1.0) -> list[dict]:
     """Adds the best parent while BIC falls by more than the improvement. p-values after selection aren't reported."""
-    x = np.asarray(data, float)
-    v = x.shape[1]
-    if max_lag < 1 or len(x) <= max_lag + 3:
-        return []
-    d = design(x, max_lag)
-    d = d - d.mean(0)
-    gram, n, out = d.T @ d, len(d), []
+    return from_moments(*moments(data, max_lag), names, max_lag, min_bic_improvement) if max_lag >= 1 and len(data) > max_lag + 3 else []
+
+
+def _forward(gram: np.ndarray, n: int, names: list[str], max_lag: int, min_bic_improvement: float) -> list[dict]:
+    v, out = len(names), []
     bic = lambda rss, k: n * math.log(max(rss / n, 1e-300)) + (k + 1) * math.log(n)
 
     def rss(target: int, chosen: list[int]) -> float:
@@ -44,3 +46,10 @@ def run_score_based_bic(data: np.ndarray, max_lag: int, names: list[str] = (), m
 def coefficient_p(beta: float, error: float, dof: int) -> float:
     """The p-value that a coefficient would have without selection."""
     return t_two_sided(beta / error if error else 0.0, dof)
+
+
+def run_score_based_ges(data: np.ndarray, max_lag: int, names: list[str] = (), **options) -> list[dict]:
+    """Another name of greedy equivalence search."""
+    from .ges import run_ges
+
+    return run_ges(data, max_lag, names, **options)

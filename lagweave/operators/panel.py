@@ -71,6 +71,25 @@ def differences(obs: DataFrame, orders: dict[str, int] | int) -> DataFrame:
     return d.withColumn("rank", rank).where(F.col("rank") >= most).select("traj_id", "t", "variable", pick.alias("value"))
 
 
+def differences_by(obs: DataFrame, orders: DataFrame) -> DataFrame:
+    """Iterated first differences by orders(traj_id, variable, differencing_order), 0 where absent.
+
+    The steps that the highest order of a trajectory takes from one variable go for all of them. If nothing would be left,
+    the series stay as they are.
+    """
+    per = orders.select(*SERIES, F.col("differencing_order").alias("_order"))
+    most = per.agg(F.max("_order")).first()[0] or 0
+    d = obs.join(per, SERIES, "left").fillna(0, ["_order"]).withColumn("d0", F.col("value"))
+    for k in range(1, most + 1):
+        d = d.withColumn(f"d{k}", F.col(f"d{k - 1}") - F.lag(f"d{k - 1}").over(series()))
+    pick = F.element_at(F.array(*[F.col(f"d{k}") for k in range(most + 1)]), F.col("_order") + 1)
+    whole = Window.partitionBy("traj_id")
+    d = d.withColumns({"_rank": F.row_number().over(series()) - 1, "_lost": F.max("_order").over(whole), "_size": F.count("*").over(Window.partitionBy(*SERIES))})
+    short = F.min("_size").over(whole) <= F.col("_lost")
+    d = d.withColumn("_short", short).where(F.col("_short") | (F.col("_rank") >= F.col("_lost")))
+    return d.select("traj_id", "t", "variable", F.when(F.col("_short"), F.col("value")).otherwise(pick).alias("value"))
+
+
 def lags(obs: DataFrame, most: int) -> DataFrame:
     """Each value beside its own lag_1 to lag_most; steps without all lags go."""
     out = obs

@@ -20,13 +20,13 @@ def _placed(edges: DataFrame, nodes: list[str]) -> DataFrame:
     return edges.withColumns({"source_angle": at("source"), "target_angle": at("target")})
 
 
-def sign_text() -> Column:
-    """What a graph says of an edge's sign: consensus, votes and agreement."""
-    agreement = F.when(F.col("sign_agreement").isNotNull(), F.format_string("%.1f%%", F.col("sign_agreement") * 100)).otherwise("n/a")
-    return F.concat(
-        F.lit("sign="), sign_label(F.col("sign_consensus")), F.lit("<br>positive_votes="), F.coalesce("positive_votes", F.lit(0)).cast("string"),
-        F.lit("<br>negative_votes="), F.coalesce("negative_votes", F.lit(0)).cast("string"), F.lit("<br>sign_agreement="), agreement,
-    )
+def sign_text(columns: list[str]) -> Column:
+    """What a graph says of an edge's sign: consensus, votes and agreement; votes that are absent count 0."""
+    known = lambda c, kind: F.col(c) if c in columns else F.lit(None).cast(kind)
+    votes = [F.coalesce(known(f"{s}_votes", "long"), F.lit(0)).cast("string") for s in ("positive", "negative")]
+    share = known("sign_agreement", "double")
+    agreement = F.when(share.isNotNull(), F.format_string("%.1f%%", share * 100)).otherwise("n/a")
+    return F.concat(F.lit("sign="), sign_label(F.col("sign_consensus")), F.lit("<br>positive_votes="), votes[0], F.lit("<br>negative_votes="), votes[1], F.lit("<br>sign_agreement="), agreement)
 
 
 def circular(summary: DataFrame, nodes: list[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def circular(summary: DataFrame, nodes: list[str]) -> DataFrame:
     colour = F.coalesce(*[F.when(F.col("sign") == k, F.lit(v)) for k, v in COLOURS.items()])
     return rows.select(
         *EDGE, F.cos("source_angle").alias("x0"), F.sin("source_angle").alias("y0"), F.cos("target_angle").alias("x1"), F.sin("target_angle").alias("y1"),
-        (1 + 5 * F.col("edge_probability")).alias("width"), (0.2 + 0.8 * F.col("confidence")).alias("opacity"), "sign", colour.alias("colour"), sign_text().alias("text"),
+        (1 + 5 * F.col("edge_probability")).alias("width"), (0.2 + 0.8 * F.col("confidence")).alias("opacity"), "sign", colour.alias("colour"), sign_text(rows.columns).alias("text"),
         (F.col("source") == F.col("target")).alias("self_loop"),
     )
 

@@ -35,31 +35,57 @@ def ridge_error(x: np.ndarray, y: np.ndarray, train: int, end: int, alpha: float
     return float(((b[train:end] - a[train:end] @ beta) ** 2).mean())
 
 
-def gains(obs: DataFrame, edges: DataFrame, max_lag: int = 2, count: int = 3, alpha: float = 1.0) -> DataFrame:
-    """(traj_id, source, target, lag, split, gain) of each edge by general order: one small regression per edge and group.
+def _other_parents(edges: DataFrame, by: Sequence[str], count: int) -> DataFrame:
+    """(by, edge, parents): for each edge the strongest other candidate parents of its target, as (place, source, lag).
 
-    A group holds one series pair of a trajectory, as arrays that Spark gathers.
+    edges: (by, source, target, lag, ensemble_score). A parent is another variable at some lag; the candidates of a target meet its edges only.
     """
-    gathered = obs.groupBy("traj_id", "variable").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("series"))
-    rows = edges.select(*EDGE).distinct().join(gathered.select("traj_id", F.col("variable").alias("source"), F.col("series").alias("x")), "source")
-    rows = rows.join(gathered.select("traj_id", F.col("variable").alias("target"), F.col("series").alias("y")), ["traj_id", "target"])
+    candidates = edges.where("source <> target").groupBy(*by, "target", F.col("source").alias("parent"), F.col("lag").alias("parent_lag")).agg(F.max("ensemble_score").alias("strength"))
+    rows = edges.select(*by, *EDGE).distinct().join(candidates, [*by, "target"]).where("parent <> source")
+    rank = F.row_number().over(Window.partitionBy(*by, *EDGE).orderBy(F.desc("strength"), "parent", "parent_lag"))
+    return rows.withColumn("place", rank).where(F.col("place") <= count).select(*by, *EDGE, "place", "parent", "parent_lag")
+
+
+def gains(obs: DataFrame, edges: DataFrame, max_lag: int = 2, count: int = 3, alpha: float = 1.0, parents: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, traj_id, source, target, lag, split, gain) of each edge: one small regression per edge and trajectory.
+
+    The baseline knows the target's own lags and so many of the strongest other candidate parents of the target in the same
+    group by; parents need ensemble_score in edges. Series meet at equal steps. Rows whose lag exceeds max_lag have no gain.
+    """
+    steps = F.array_sort(F.collect_list(F.struct("t", "value")))
+    gathered = obs.groupBy("traj_id", "variable").agg(steps.alias("steps"))
+    of = lambda name, column: gathered.select("traj_id", F.col("variable").alias(name), F.col("steps").alias(column))
+    rows = edges.select(*by, *EDGE).distinct().join(of("source", "x"), "source").join(of("target", "y"), ["traj_id", "target"])
+    if parents:
+        others = _other_parents(edges, by, parents).where(F.col("parent_lag") <= max_lag).join(of("parent", "steps"), "parent")
+        others = others.groupBy("traj_id", *by, *EDGE).agg(F.array_sort(F.collect_list(F.struct("place", "parent_lag", "steps"))).alias("others"))
+        rows = rows.join(others, ["traj_id", *by, *EDGE], "left")
+    else:
+        rows = rows.withColumn("others", F.lit(None).cast("array<struct<place:int,parent_lag:int,steps:array<struct<t:bigint,value:double>>>>"))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series = lambda s: {r["t"]: r["value"] for r in s}
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                x, y = np.asarray(r.x, float), np.asarray(r.y, float)
-                n = min(len(x), len(y)) - max_lag
-                if n < 12 or r.lag > max_lag or r.source == r.target:
+            for r in frame.to_dict("records"):
+                x, y, others = series(r["x"]), series(r["y"]), [(o["parent_lag"], series(o["steps"])) for o in (r["others"] if r["others"] is not None else ())]
+                shared = sorted(set(x).intersection(y, *[s for _, s in others]))
+                at = lambda s, lag, n: np.array([s[t] for t in shared[max_lag - lag : max_lag - lag + n]], float)  # noqa: E731, B023
+                n = len(shared) - max_lag
+                if n < 12 or r["lag"] > max_lag or r["source"] == r["target"]:
+                    continue
+                target = at(y, 0, n)
+                own = np.column_stack([*[at(y, k, n) for k in range(1, max_lag + 1)], *[at(s, k, n) for k, s in others]])
+                with_source = np.column_stack([own, at(x, r["lag"], n)])
+                if not np.isfinite(with_source).all() or not np.isfinite(target).all():
                     continue
-                own = np.column_stack([y[max_lag - k : max_lag - k + n] for k in range(1, max_lag + 1)])
-                with_source = np.column_stack([own, x[max_lag - r.lag : max_lag - r.lag + n]])
                 for split, train, end in splits(n, count):
-                    a, b = (ridge_error(m, y[max_lag : max_lag + n], train, end, alpha) for m in (own, with_source))
-                    out.append((r.traj_id, r.source, r.target, r.lag, split, (a - b) / max(a, 1e-12)))
-            yield pd.DataFrame(out, columns=["traj_id", *EDGE, "split", "gain"])
+                    a, b = (ridge_error(m, target, train, end, alpha) for m in (own, with_source))
+                    out.append([*[r[c] for c in by], r["traj_id"], r["source"], r["target"], r["lag"], split, (a - b) / max(a, 1e-12)])
+            yield pd.DataFrame(out, columns=[*by, "traj_id", *EDGE, "split", "gain"])
 
-    return rows.mapInPandas(solve, f"traj_id {obs.schema['traj_id'].dataType.simpleString()}, source string, target string, lag int, split int, gain double")
+    head = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
+    return rows.mapInPandas(solve, f"{head}traj_id {obs.schema['traj_id'].dataType.simpleString()}, source string, target string, lag int, split int, gain double")
 
 
 def parent_order() -> list[Column]:
@@ -68,14 +94,18 @@ def parent_order() -> list[Column]:
 
 
 def gate(summary: DataFrame, gain_rows: DataFrame, weight: float = 0.75, penalty: float = 0.0, exponent: float = 0.5, by: Sequence[str] = ("combo_id",)) -> DataFrame:
-    """Damps ensemble scores by the rank of the edges' predictive gain among those that gain anything."""
-    per = gain_rows.groupBy(*EDGE).agg(
+    """Damps ensemble scores by the rank of the edges' predictive gain among those that gain anything.
+
+    Gains may be those of all groups, or of each group by if they have its columns.
+    """
+    own = [c for c in by if c in gain_rows.columns]
+    per = gain_rows.groupBy(*own, *EDGE).agg(
         F.avg("gain").alias("predictive_gain_mean"), F.coalesce(F.stddev_samp("gain"), F.lit(0.0)).alias("predictive_gain_std"), F.count("*").alias("k"),
         F.avg((F.col("gain") > 0).cast("double")).alias("predictive_positive_split_ratio"),
     )
     per = per.withColumn("predictive_gain_standard_error", F.col("predictive_gain_std") / F.sqrt(F.col("k").cast("double"))).drop("k")
     per = per.withColumn("predictive_gain", F.greatest(F.lit(0.0), F.col("predictive_gain_mean") - penalty * F.col("predictive_gain_standard_error")))
-    rows = summary.join(per, EDGE, "left").fillna(0.0, [c for c in per.columns if c.startswith("predictive")])
+    rows = summary.join(per, [*own, *EDGE], "left").fillna(0.0, [c for c in per.columns if c.startswith("predictive")])
     up = F.col("predictive_gain") > 0
     group = Window.partitionBy(*by, up)
     ties = F.count("*").over(Window.partitionBy(*by, up, "predictive_gain"))

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .panel import differences, seasonal_residual, zscore
+from ..sources.checkpoints import stored
+from .panel import detrended, differences_by, zscore
 
 
 def adf_p(x: np.ndarray) -> float:
@@ -62,17 +63,25 @@ def differencing_orders(obs: DataFrame, alpha: float = 0.05, most: int = 2) -> D
 
 
 class Preprocessor:
-    """Detrends, differences to stationarity and scales, in this order; keeps the orders it chose."""
+    """Detrends, differences to stationarity and scales, in this order; keeps the orders it chose, one for each series."""
 
-    def __init__(self, alpha: float = 0.05, max_diffs: int = 2, decomposition_period: int | None = None):
-        self.alpha, self.max_diffs, self.period = alpha, max_diffs, decomposition_period
+    def __init__(self, alpha: float = 0.05, max_diffs: int = 2, decomposition_period: int | None = None, model: str = "additive"):
+        self.alpha, self.max_diffs, self.period, self.model = alpha, max_diffs, decomposition_period, model
         self.orders: dict[str, int] = {}
+        self.chosen: DataFrame | None = None
 
     def fit_transform(self, obs: DataFrame, make_stationary: bool = True, normalize: bool = True, remove_trend: bool = False) -> DataFrame:
         if remove_trend and self.period:
-            obs = seasonal_residual(obs, self.period).select("traj_id", "t", "variable", "residual").withColumnRenamed("residual", "value")
+            obs = detrended(obs, self.period, self.model)
         if make_stationary:
-            # one number per variable of the panel's schema
-            self.orders = {r["variable"]: r["o"] for r in differencing_orders(obs, self.alpha, self.max_diffs).groupBy("variable").agg({"differencing_order": "max"}).toDF("variable", "o").collect()}
-            obs = differences(obs, self.orders)
+            self.chosen = stored(differencing_orders(obs, self.alpha, self.max_diffs))
+            # one number per variable of the panel's schema: the highest over its trajectories
+            self.orders = {r["variable"]: r["o"] for r in self.chosen.groupBy("variable").agg({"differencing_order": "max"}).toDF("variable", "o").collect()}
+            obs = differences_by(obs, self.chosen)
         return zscore(obs) if normalize else obs
+
+    def summary(self) -> DataFrame:
+        """(traj_id, variable, differencing_order, p_value) of the last fit."""
+        if self.chosen is None:
+            raise ValueError("nothing was made stationary yet")
+        return self.chosen

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import stored
 from .consensus import adaptive_weights, blended, consistency, stability_selection
 from .expert import apply_rules
-from .fusion import EDGE, probabilities
+from .fusion import EDGE, compact, probabilities
+from .predictive import gate
 from .structure import ranked_structure, selected
 
 
@@ -36,14 +37,20 @@ def per_combo(edges: DataFrame, combo: DataFrame) -> DataFrame:
 
 def evaluate(
     edges: DataFrame, runs: DataFrame, combo: DataFrame, signed: Sequence[str], bootstraps: int, min_votes: int = 1, adaptive: bool = True, rules: DataFrame | None = None,
-    density: float | None = None, nodes: int | None = None, **options,
+    density: float | None = None, nodes: int | None = None, gain_rows: DataFrame | None = None, predictive: tuple[float, float, float] = (0.75, 0.0, 0.5), **options,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summary, stability, weights) of all combinations over the base run and all bootstrap runs."""
+    """(summary, stability, weights) of all combinations over the base run and all bootstrap runs.
+
+    gain_rows: predictive gains of edges, by which scores are damped before rules and structure; predictive: weight, penalty and
+    exponent of that gate.
+    """
     weights = stored(adaptive_weights(edges, runs, combo))
     used = weights.select("combo_id", "method", F.col("adaptive_weight").alias("weight")) if adaptive else combo.select("combo_id", "method", "weight")
     rows = per_combo(edges, combo)
     base = probabilities(rows.where("run_id = 0"), used, signed, min_votes, by=["combo_id"], universe_by=["combo_id"])
     summary = blended(base, edges, used.join(combo.select("combo_id", "method", "method_ord"), ["combo_id", "method"]), bootstraps, **options)
+    if gain_rows is not None and predictive[0] > 0:
+        summary = gate(summary, gain_rows, *predictive)
     if rules is not None:
         summary = apply_rules(summary, rules)
     if density is not None:
@@ -81,3 +88,30 @@ def ranking_order() -> list:
 def best(ranking: DataFrame, summary: DataFrame) -> DataFrame:
     """The summary rows of the best combination."""
     return summary.join(ranking.orderBy(*ranking_order()).limit(1).select("combo_id"), "combo_id", "left_semi").select("combo_id", *EDGE, "edge_probability", "ensemble_score", "bootstrap_probability", "dominant_method")
+
+
+def select_robust(
+    obs: DataFrame, specs: dict, max_lag: int, bootstraps: int = 8, least: int = 2, most: int = 3, signed: Sequence[str] = (), min_votes: int = 1, rules: DataFrame | None = None,
+    density: float | None = None, predictive_weight: float = 0.0, parents: int = 0, block: int | None = None, seed: int = 42,
+) -> dict[str, DataFrame]:
+    """From one panel to its best method combination: every method on the sample and its bootstrap samples, all combinations
+    of least to most methods evaluated in one plan, ranked, and the best one's edges.
+
+    Returns edges, weights, summary, stability, ranking (best first by position) and best.
+    """
+    from . import suite
+    from .predictive import gains
+
+    if obs.select("traj_id").distinct().count() != 1:
+        raise ValueError("a combination is chosen for one trajectory")
+    names = suite.variables(obs)
+    samples = suite.with_bootstraps(obs, bootstraps, block, seed)
+    edges = stored(compact(suite.fit_grid(samples, specs, max_lag)))
+    combo = combos(obs.sparkSession, [(k, s.weight) for k, s in specs.items()], least, most)
+    found = gains(obs, edges.where("run_id = 0").withColumn("ensemble_score", F.abs("score")), max_lag, parents=parents) if predictive_weight > 0 else None
+    summary, stable, weights = evaluate(
+        edges, suite.run_table(samples, list(specs)), combo, signed, bootstraps, min_votes, rules=rules, density=density, nodes=len(names), gain_rows=found, predictive=(predictive_weight, 0.0, 0.5),
+    )
+    scored = stored(metrics(summary, weights, edges, suite.run_table(samples, list(specs)), combo, len(names)))
+    ranking = scored.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ranking_order())))  # one row per combination
+    return {"edges": edges, "weights": weights, "summary": summary, "stability": stable, "ranking": ranking, "best": best(scored, summary)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import local_bic
-from ..operators import calibration, consensus, fusion, granger, metrics, panel, plotdata, predictive, registry, structure, suite
+from ..operators import calibration, consensus, fusion, granger, metrics, panel, plotdata, predictive, registry, selection, structure, suite
 from ..sources import checkpoints, datasets
 from . import bindings as b
 from . import fusion_queries as fq
@@ -319,6 +319,25 @@ def q107_evidence_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.evidence_mode(rows, ["run_id", "method"]))
 
 
+def q108_lagged_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lagged covariances of every user group that the methods of the grid fit on."""
+    obs = panel.zscore(b.trajectories(spark, sf_dir)).withColumn("run_id", F.lit(0))
+    parts = suite.lagged_moments(obs, 2).select("traj_id", "n", "m2", F.sqrt(F.size("m2").cast("double")).cast("int").alias("d"))
+    cells = parts.select("traj_id", "n", "d", F.posexplode("m2").alias("at", "value"))
+    name = lambda i: F.element_at(F.array(*map(F.lit, sorted(b.EVENTS))), (i % len(b.EVENTS) + 1).cast("int"))
+    i, j = F.floor(F.col("at") / F.col("d")), F.col("at") % F.col("d")
+    rows = cells.select("traj_id", "n", name(i).alias("one"), F.floor(i / len(b.EVENTS)).alias("lag_one"), name(j).alias("two"), F.floor(j / len(b.EVENTS)).alias("lag_two"), (F.col("value") / (F.col("n") - 1)).alias("covariance"))
+    return _rounded(rows)
+
+
+def q109_robust_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the daily panel to the ranked combinations of three methods, with predictive gates and four bootstrap samples."""
+    specs = {k: v for k, v in registry.discover().items() if k in ("PCMCI", "ClassicalGranger", "DYNOTEARS")}
+    signed = [k for k, v in specs.items() if v.signed_score]
+    found = selection.select_robust(panel.zscore(b.events_panel(spark, sf_dir)), specs, 2, 4, 2, 3, signed, density=0.5, predictive_weight=0.5, parents=1)
+    return _rounded(found["ranking"].select("position", "combination", "num_edges", "performance_score"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
@@ -407,5 +426,7 @@ def oracle_sql() -> dict[str, str]:
         "q105_local_bic": f"WITH {c('ev')}, z AS ({z('ev')}), p AS (SELECT x.variable AS source, y.variable AS target, count(*) AS n, covar_pop(x.value, y.value) AS cov, var_pop(x.value) AS vs, var_pop(y.value) AS vt FROM z x JOIN z y ON x.t = y.t AND x.variable <> y.variable GROUP BY ALL) SELECT source, target, round(-0.5 * n * (1 + ln(vt)) - 0.5 * ln(n), 6) + 0.0 AS alone, round(-0.5 * n * (1 + ln(greatest(vt - cov * cov / vs, 2.220446049250313e-16))) - ln(n), 6) + 0.0 AS with_source FROM p",
         "q106_temporal_links": f"""WITH {c('ev')}, z AS ({z('ev')}), {lagged.format(w=pq._W, p='z')}, cv AS (SELECT source, variable AS target, lag, covar_pop(x, value) AS cv FROM l JOIN z USING (traj_id, t) WHERE x IS NOT NULL GROUP BY ALL), raw AS (SELECT traj_id, t, variable AS source, unnest([0, 1, 2]) AS lag, unnest([value, lag(value, 1) {pq._W}, lag(value, 2) {pq._W}]) AS x FROM ev)
           SELECT source, variable AS target, lag::BIGINT AS lag, count(*) AS n, round(corr(x, value), 6) + 0.0 AS score FROM raw JOIN ev USING (traj_id, t) SEMI JOIN (SELECT source AS s, target AS g, lag AS k FROM cv WHERE abs(cv) > 0.1) ok ON raw.source = ok.s AND ev.variable = ok.g AND raw.lag = ok.k WHERE x IS NOT NULL GROUP BY ALL""",
+        "q108_lagged_moments": f"""WITH {c('traj')}, z AS ({z('traj')}), l AS (SELECT traj_id, t, variable, unnest([0, 1, 2]) AS lag, unnest([value, lag(value, 1) {pq._W}, lag(value, 2) {pq._W}]) AS x FROM z), k AS (SELECT * FROM l SEMI JOIN (SELECT traj_id AS g, t AS u FROM l WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) = 15) ok ON l.traj_id = ok.g AND l.t = ok.u)
+          SELECT p.traj_id, count(*) AS n, p.variable AS one, p.lag::BIGINT AS lag_one, q.variable AS two, q.lag::BIGINT AS lag_two, round(covar_samp(p.x, q.x), 6) + 0.0 AS covariance FROM k p JOIN k q ON p.traj_id = q.traj_id AND p.t = q.t GROUP BY ALL""",
         "q107_evidence_modes": f"WITH {c('edges')} SELECT DISTINCT {_RUN}, method, CASE WHEN method = 'ASIA' THEN 'absolute_score' ELSE 'one_minus_p_value' END AS evidence FROM edges",
     }

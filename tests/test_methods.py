@@ -233,3 +233,37 @@ def test_mlp_fits_what_one_line_cannot():
     q = rng.normal(size=(400, 2))
     y = np.abs(q[:, 0]) - np.abs(q[:, 1])
     assert ((mlp_heuristic._train(q, y, (64, 32), 300, 1)(q) - y) ** 2).mean() < 0.01 * y.var()
+
+
+def test_moments_give_the_same_edges(spark):
+    """Fits on Spark's sums equal fits on whole panels, for all methods that have both."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for traj in range(3):
+        s = generators.system(200, 0.2, 20 + traj)
+        names = NAMES if traj < 2 else NAMES[:2]  # one trajectory lacks a variable
+        rows += [(0, traj, t, v, float(s[t, i])) for t in range(200) for i, v in enumerate(names) if not (traj == 1 and v == "Y" and t in (50, 51))]
+    obs = spark.createDataFrame(rows, "run_id int, traj_id long, t long, variable string, value double").repartition(7)
+    specs = {k: v for k, v in registry.discover().items() if v.moments}
+    assert specs.keys() == {"PCMCI", "GES", "FCI", "DYNOTEARS", "ClassicalGranger"}
+    plain = {k: registry.MethodSpec(k, v.function, default_kwargs=v.default_kwargs) for k, v in specs.items()}
+    got, want = ({(r.traj_id, r.method, r.source, r.target, r.lag): (r.score, r.p_value) for r in suite.fit_grid(obs, x, 2).collect()} for x in (specs, plain))
+    assert got.keys() == want.keys() and len(got) > 10
+    for k, (score, p) in want.items():
+        assert abs(got[k][0] - score) < 1e-6 and (p is None) == (got[k][1] is None) and (p is None or abs(got[k][1] - p) < 1e-8)
+
+
+def test_series_keep_their_own_orders(spark):
+    rng = np.random.default_rng(4)
+    walk, noise = np.cumsum(rng.normal(size=300)), rng.normal(size=300)
+    rows = [(k, t, v, float(s[t])) for k, one, two in ((0, walk, noise), (1, noise, noise)) for v, s in (("a", one), ("b", two)) for t in range(300)]
+    p = preprocess.Preprocessor()
+    out = p.fit_transform(spark.createDataFrame(rows, "traj_id long, t long, variable string, value double"), normalize=False)
+    assert {(r.traj_id, r.variable): r.differencing_order for r in p.summary().collect()} == {(0, "a"): 1, (0, "b"): 0, (1, "a"): 0, (1, "b"): 0}
+    n = {(r.traj_id, r.variable): r["count"] for r in out.groupBy("traj_id", "variable").count().collect()}
+    assert n == {(0, "a"): 299, (0, "b"): 299, (1, "a"): 300, (1, "b"): 300}
+
+
+def test_aliases(x):
+    assert score_based.run_score_based_ges(x[:120], 1, NAMES) == ges.run_ges(x[:120], 1, NAMES)
+    assert fci.run_heterogeneous_fci(x[:120], 1, NAMES) == fci.run_fci(x[:120], 1, NAMES)

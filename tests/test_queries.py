@@ -1,17 +1,15 @@
 import __spark_entry__ as entry
 import pytest
 
-from lagweave.plans import fusion_queries, panel_queries
+from lagweave.plans import fusion_queries, panel_queries, study_queries
 
 from .compare import same
 
-SQL = panel_queries.oracle_sql() | fusion_queries.oracle_sql()
-QUERIES = panel_queries.queries() | fusion_queries.queries()
-#: The rest differ from these in parts that the operators' own tests cover.
-SOME = "q04_standardize_trajectories q07_target_dataset_wide q09_seasonal_residual q13_granger_edges q14_granger_segmented q16_granger_bootstrap_runs q25_probabilistic_summary q28_adaptive_weights q32_predictive_gain_l1 q34_expert_rules q36_rescue q39_combo_metrics q46_paired_differences q49_top_k_f1".split()
+SQL = panel_queries.oracle_sql() | fusion_queries.oracle_sql() | study_queries.oracle_sql()
+QUERIES = panel_queries.queries() | fusion_queries.queries() | study_queries.queries()
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, name):
     same(spark, QUERIES[name], SQL[name], "/root/testdata/sf0.001")
 
