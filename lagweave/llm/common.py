@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,28 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.checkpoints import shared_folder
+
 #: Word separators of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which every executor sees.
-
-    Where that is unset, a session of this machine alone takes a temporary folder; any other is refused.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lagweave.scratch.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lagweave-")
-        spark.conf.set("lagweave.scratch.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = scratch(df.sparkSession)
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path

@@ -27,7 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hashed_sample, pieces, salted_join, scratch, stored
+from ..sources.checkpoints import shared_folder
+from .common import discard, hashed_sample, pieces, salted_join, stored
 
 LEAST = 100
 #: Bytes of the dictionary; records that it is trained on, and code points of a payload that training sees at most.
@@ -172,6 +173,6 @@ def archive(pages: DataFrame, payloads: bool = False) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     integral = kind in ("bigint", "int", "smallint", "tinyint")
     key = F.col("page_id").cast("bigint" if integral else "string")
-    path = scratch(pages.sparkSession)
+    path = shared_folder(pages.sparkSession)
     write(pages.select(key.alias("key"), "url", F.col("html").alias("payload")), path)
     return read(pages.sparkSession, path, "bigint" if integral else "string", payloads)
