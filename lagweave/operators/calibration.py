@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import stored
 from .structure import PAIR, with_pair
 
 
@@ -104,27 +104,33 @@ def greedy(tables: dict, candidates: Sequence[str], members: int) -> list[tuple[
 def cross_validated(scores: DataFrame, members: int) -> DataFrame:
     """(fold, step, candidate, train_ap, held_out_ap): a greedy path per left-out trajectory; fold null uses all.
 
-    The pair tables of all trajectories meet in each fold's task; they have pairs times candidates cells, and the number
-    of folds is the number of trajectories.
+    Each step tries every candidate on every trajectory of every fold as rows of one plan, so the work grows with folds times
+    scores, as leaving one out does, and no task holds more than a trajectory's pairs of one trial.
     """
-    folds = scores.select(F.col("traj_id").alias("fold")).distinct().union(scores.sparkSession.sql("SELECT CAST(NULL AS BIGINT)"))
-    every = folds.withColumn("key", F.coalesce("fold", F.lit(-1))).crossJoin(scores)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fold = frame["fold"].iloc[0]
-        names = sorted(frame["candidate"].unique())
-        tables = {}
-        for k, part in frame.groupby("traj_id"):
-            wide = part.pivot_table(index=PAIR, columns="candidate", values="score")[names]
-            tables[k] = (wide.to_numpy(), part.groupby(PAIR)["label"].max().loc[wide.index].to_numpy())
-        held = tables.pop(fold, None) if not pd.isna(fold) else None
-        out, total = [], 0.0
-        for step, (name, value) in enumerate(greedy(tables, names, members), 1):
-            total = total + held[0][:, names.index(name)] if held is not None else 0.0
-            out.append((fold, step, name, value, average_precision(total / step, held[1]) if held is not None else None))
-        return pd.DataFrame(out, columns=["fold", "step", "candidate", "train_ap", "held_out_ap"])
-
-    return every.groupBy("key").applyInPandas(run, "fold long, step int, candidate string, train_ap double, held_out_ap double")
+    from .metrics import ranked
+
+    trajectories = scores.select("traj_id").distinct()
+    folds = trajectories.select(F.col("traj_id").cast("string").alias("key"), F.col("traj_id").alias("fold"))
+    folds = folds.union(scores.sparkSession.range(1).select(F.lit("all"), F.lit(None).cast(scores.schema["traj_id"].dataType)))
+    pairs = scores.groupBy("traj_id", *PAIR).agg(F.max("label").alias("label"))
+    state = stored(folds.crossJoin(pairs).withColumn("total", F.lit(0.0)))  # every fold judges every trajectory
+    tries = scores.select("traj_id", *PAIR, "candidate", "score")
+    steps = []
+    for step in range(1, members + 1):
+        trial = state.join(tries, ["traj_id", *PAIR]).withColumn("score", F.round((F.col("total") + F.col("score")) / step, 12))
+        ap = ranked(trial, ["key", "fold", "traj_id", "candidate"]).select("key", "fold", "traj_id", "candidate", F.coalesce("average_precision", "prevalence").alias("ap"))
+        held = F.col("traj_id").eqNullSafe(F.col("fold"))
+        value = ap.groupBy("key", "fold", "candidate").agg(F.avg(F.when(~held, F.col("ap"))).alias("train_ap"), F.max(F.when(held, F.col("ap"))).alias("held_out_ap"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("train_ap", 12)), "candidate"))
+        best = stored(value.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+        steps.append(best.select("fold", F.lit(step).alias("step"), "candidate", "train_ap", "held_out_ap"))
+        if step < members:
+            taken = state.join(best.select("key", "candidate"), "key").join(tries, ["traj_id", *PAIR, "candidate"])
+            state = stored(taken.select("key", "fold", "traj_id", *PAIR, "label", (F.col("total") + F.col("score")).alias("total")))
+    out = steps[0]
+    for more in steps[1:]:
+        out = out.union(more)
+    return out
 
 
 def apply_calibrated(pairs: DataFrame, weights: dict[str, float], k: int) -> DataFrame:

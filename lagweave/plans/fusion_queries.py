@@ -234,7 +234,7 @@ def q50_greedy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir)
     every = rows.select("traj_id", *structure.PAIR, "label").distinct().withColumn("candidate", F.explode(F.array(*map(F.lit, b.METHODS))))
     full = every.join(rows.drop("label"), ["traj_id", *structure.PAIR, "candidate"], "left").fillna(0.0, ["score"])
-    return _rounded(calibration.cross_validated(full, 4))
+    return _rounded(calibration.cross_validated(full, 4).withColumn("fold", F.coalesce(F.col("fold").cast("string"), F.lit("all"))))
 
 
 def q51_filter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +331,17 @@ def _weights(redundancy_penalty: str) -> str:
       weighed AS (SELECT *, raw / avg(raw) OVER (PARTITION BY combo_id) AS adaptive_weight FROM raw)"""
 
 
+def _greedy(members: int) -> str:
+    """CTEs of the greedy paths from cd(run_id, method, pair, score, label): the choice of step k is c{k}."""
+    out = ["s0 AS (SELECT key, run_id, pair_lo, pair_hi, label, 0.0::DOUBLE AS total FROM (SELECT DISTINCT run_id::VARCHAR AS key FROM cd UNION SELECT 'all') CROSS JOIN (SELECT DISTINCT run_id, pair_lo, pair_hi, label FROM cd))"]
+    for k in range(1, members + 1):
+        out.append(f"""l{k} AS (SELECT key, s.run_id, method, round((total + score) / {k}, 12) AS m, count(*) AS n, sum(s.label) AS pos FROM s{k - 1} s JOIN cd ON cd.run_id = s.run_id AND cd.pair_lo = s.pair_lo AND cd.pair_hi = s.pair_hi GROUP BY ALL),
+          a{k} AS (SELECT key, run_id, method, sum(pos * hits / seen) / sum(pos) AS ap FROM (SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS hits FROM l{k} WINDOW w AS (PARTITION BY key, run_id, method ORDER BY m DESC)) GROUP BY ALL),
+          c{k} AS (SELECT key, method, avg(ap) FILTER (run_id::VARCHAR <> key) AS v, max(ap) FILTER (run_id::VARCHAR = key) AS held FROM a{k} GROUP BY key, method QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(avg(ap) FILTER (run_id::VARCHAR <> key), 12) DESC, method) = 1),
+          s{k} AS (SELECT s.key, s.run_id, s.pair_lo, s.pair_hi, s.label, total + score AS total FROM s{k - 1} s JOIN c{k} USING (key) JOIN cd ON cd.run_id = s.run_id AND cd.pair_lo = s.pair_lo AND cd.pair_hi = s.pair_hi AND cd.method = c{k}.method)""")
+    return ", ".join(out)
+
+
 def parts() -> dict:
     """Common table expressions and texts that several queries share."""
     c = b.ctes
@@ -416,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "q47_holm": f"WITH {d}, h AS (SELECT concat_ws('>', source, target, lag::VARCHAR) AS test, method, p FROM d WHERE run_id = 0), o AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY method) - row_number() OVER (PARTITION BY method ORDER BY p, test) + 1)) AS raw FROM h) SELECT test, method, round(p, 6) + 0.0 AS p_value, round(max(raw) OVER (PARTITION BY method ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS holm_p FROM o",
         "q48_combine_candidates": f"WITH {c('edges', 'methods')}, {nodes}, {known}, {candidates} SELECT run_id::BIGINT AS traj_id, pair_lo, pair_hi, round(sum((method_ord + 1) / 15.0 * score), 6) + 0.0 AS score, max(label)::BIGINT AS label FROM cd GROUP BY ALL",
         "q49_top_k_f1": f"WITH {c('edges')}, {nodes}, {known}, {run_pairs('abs(score)')}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, pair_lo DESC, pair_hi DESC) AS rk FROM rp), k AS (SELECT unnest(range(1, 11)) AS k), s AS (SELECT k, run_id, sum(CASE WHEN rk <= k THEN label ELSE 0 END) AS tp, count(*) FILTER (rk <= k) AS n, sum(label) AS p FROM o CROSS JOIN k GROUP BY ALL) SELECT k, round(avg(tp / n), 6) + 0.0 AS precision, round(avg(tp / p), 6) + 0.0 AS recall, round(avg(2 * tp / (n + p)), 6) + 0.0 AS f1, round(avg(n + p - 2 * tp), 6) + 0.0 AS shd FROM s GROUP BY k",
+        "q50_greedy_path": f"WITH {c('edges', 'methods')}, {nodes}, {known}, {candidates}, {_greedy(4)} " + " UNION ALL ".join(f"SELECT c{k}.key AS fold, {k}::BIGINT AS step, method AS candidate, round(v, 6) + 0.0 AS train_ap, round(held, 6) + 0.0 AS held_out_ap FROM c{k}" for k in range(1, 5)),
         "q51_filter_edges": f"WITH {predicted} SELECT {_OUT}, {_r('edge_probability')} FROM base WHERE edge_probability >= 0.2::DOUBLE AND lag <= 2 AND source = '1-URGENT'",
         "q53_temporal_dag_rows": f"WITH {predicted}, top AS (SELECT * FROM base ORDER BY edge_probability DESC, confidence DESC, lag DESC, source, target LIMIT 12) SELECT {_OUT}, CASE WHEN lag = 0 THEN 't' ELSE 't-' || lag END AS level, -lag::BIGINT AS x0, {place('source')} AS y0, 0::BIGINT AS x1, {place('target')} AS y1, round(1.5 + 5.5::DOUBLE * edge_probability, 6) + 0.0 AS width FROM top",
         "q52_graph_layout": f"WITH {predicted}, s AS (SELECT *, {_SIGN_OUT} FROM base) SELECT {_OUT}, round(cos({angle('source')}), 6) + 0.0 AS x0, round(sin({angle('source')}), 6) + 0.0 AS y0, round(cos({angle('target')}), 6) + 0.0 AS x1, round(sin({angle('target')}), 6) + 0.0 AS y1, round(1 + 5 * edge_probability, 6) + 0.0 AS width, round(0.2::DOUBLE + 0.8::DOUBLE * confidence, 6) + 0.0 AS opacity, sign_consensus AS sign, CASE sign_consensus WHEN 'positive' THEN '#1e88e5' WHEN 'negative' THEN '#d32f2f' WHEN 'mixed' THEN '#f57c00' ELSE '#607d8b' END AS colour, concat('sign=', sign_consensus, '<br>positive_votes=', positive_votes, '<br>negative_votes=', negative_votes, '<br>sign_agreement=', CASE WHEN positive_votes + negative_votes > 0 THEN printf('%.1f%%', 100.0 * greatest(positive_votes, negative_votes) / (positive_votes + negative_votes)) ELSE 'n/a' END) AS text, source = target AS self_loop FROM s",

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .checkpoints import stored
+
 FORMATS = ("auto", "csv", "parquet", "causaltime", "npy")
 
 
@@ -59,7 +61,7 @@ def long(df: DataFrame, names: Sequence[str], traj_id: int = 0) -> DataFrame:
 
 def positions(df: DataFrame, *order: str) -> DataFrame:
     """Adds t, the position by order, counted per range of rows and shifted by the ranges before."""
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    parted = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = parted.groupBy("_part").agg(F.count("*").alias("n"))
     shift = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_shift"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
