@@ -76,5 +76,16 @@ def fisher_z_p(r: float, n: int, given: int) -> float:
     return math.erfc(math.sqrt(n - given - 3) * abs(z) / math.sqrt(2))
 
 
-def edge(source: str, target: str, lag: int, score: float, p: float | None = None) -> dict:
-    return {"source": source, "target": target, "lag": int(lag), "score": float(score), "p_value": None if p is None else float(p)}
+def adjusted(p: list[float]) -> list[float]:
+    """Benjamini-Hochberg q-values of a family of tests, in its order."""
+    order = sorted(range(len(p)), key=lambda i: p[i])
+    out, least = [1.0] * len(p), 1.0
+    for rank in range(len(p), 0, -1):
+        least = min(least, p[order[rank - 1]] * len(p) / rank)
+        out[order[rank - 1]] = least
+    return out
+
+
+def edge(source: str, target: str, lag: int, score: float, p: float | None = None, **extras) -> dict:
+    """A canonical edge; extras are what the method alone reports of it."""
+    return {"source": source, "target": target, "lag": int(lag), "score": float(score), "p_value": None if p is None else float(p), **extras}

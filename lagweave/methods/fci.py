@@ -203,7 +203,8 @@ def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], ma
     v = len(names)
     m = Search(correlation(cov), n, np.arange(len(cov)) >= v, alpha, depth).run()
     wanted = {TAIL: 1.0} | ({CIRCLE: 0.5} if include_partial else {})
-    return [edge(names[i % v], names[j], i // v, wanted[m[j, i]]) for i in range(v, len(m)) for j in range(v) if m[i, j] == ARROW and m[j, i] in wanted]
+    mark = {TAIL: "-->", CIRCLE: "o->"}
+    return [edge(names[i % v], names[j], i // v, wanted[m[j, i]], edge_pattern=mark[m[j, i]]) for i in range(v, len(m)) for j in range(v) if m[i, j] == ARROW and m[j, i] in wanted]
 
 
 @causal_method("FCI", moments=Moments(from_moments))

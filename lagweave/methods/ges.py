@@ -174,8 +174,9 @@ def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], ma
         return []
     v = len(names)
     # population variances are 1 after scaling, which leaves the sample covariance a little above
-    g, _ = search(correlation(cov) * n / (n - 1), n, max_parents, penalty_discount, np.zeros((len(cov),) * 2, bool))
-    return [edge(names[i % v], names[j], i // v, 1.0) for i in range(v, len(g)) for j in range(v) if g[i, j]]
+    g, total = search(correlation(cov) * n / (n - 1), n, max_parents, penalty_discount, np.zeros((len(cov),) * 2, bool))
+    told = lambda i, j: {"edge_pattern": "---" if g[j, i] else "-->", "orientation_source": "time" if g[j, i] else "pattern", "graph_score": float(total)}
+    return [edge(names[i % v], names[j], i // v, 1.0, **told(i, j)) for i in range(v, len(g)) for j in range(v) if g[i, j]]
 
 
 @causal_method("GES", moments=Moments(from_moments), default_kwargs={"max_parents": 6, "penalty_discount": 0.5})

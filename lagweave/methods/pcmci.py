@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..operators.registry import Moments, causal_method
-from ._tools import edge, moments, partial, partial_p
+from ._tools import adjusted, edge, moments, partial, partial_p
 
 
 def condition_sets(cov: np.ndarray, n: int, variables: int, max_lag: int, alpha: float) -> list[list[tuple[int, int]]]:
@@ -33,22 +33,21 @@ def condition_sets(cov: np.ndarray, n: int, variables: int, max_lag: int, alpha:
 def mci(cov: np.ndarray, n: int, names: list[str], max_lag: int, alpha: float, pc_alpha: float) -> list[dict]:
     """Every lagged link's partial correlation given the target's parents and the source's parents shifted by the lag.
 
-    cov covers lags 0 to 2 * max_lag.
+    cov covers lags 0 to 2 * max_lag. Each edge has its q-value among all tests.
     """
     variables = len(names)
     at = lambda v, lag: lag * variables + v
     parents = condition_sets(cov, n, variables, max_lag, pc_alpha)
-    out = []
+    tested = []
     for target in range(variables):
         for lag in range(1, max_lag + 1):
             for source in range(variables):
                 given = {at(*x) for x in parents[target]} | {at(v, k + lag) for v, k in parents[source]}
                 given -= {at(source, lag), target}
                 r = partial(cov, at(source, lag), target, tuple(sorted(given)))
-                p = partial_p(r, n, len(given))
-                if p <= alpha:
-                    out.append(edge(names[source], names[target], lag, r, p))
-    return out
+                tested.append((source, target, lag, r, partial_p(r, n, len(given))))
+    q = adjusted([t[4] for t in tested])
+    return [edge(names[s], names[t], lag, r, p, q_value=q[i]) for i, (s, t, lag, r, p) in enumerate(tested) if p <= alpha]
 
 
 def from_moments(cov: np.ndarray, mean: np.ndarray, n: int, names: list[str], max_lag: int, alpha: float = 0.05, pc_alpha: float = 0.2) -> list[dict]:

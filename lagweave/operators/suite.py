@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Mapping, Sequence
 
@@ -18,7 +19,9 @@ MOST_CELLS = 20_000_000
 
 
 def fit_grid(obs: DataFrame, specs: Mapping[str, MethodSpec], max_lag: int, options: Mapping[str, dict] | None = None) -> DataFrame:
-    """Canonical edges (traj_id, run_id, method, ...) of every method on every sample of obs(run_id, traj_id, t, variable, value).
+    """Canonical edges (traj_id, run_id, method, ..., extras) of every method on every sample of obs(run_id, traj_id, t, variable, value).
+
+    extras holds, as JSON, what a method alone reports of an edge.
 
     Methods that need no more than moments of the lagged columns get them from Spark's sums and never see a series; the
     others get a sample's panel as one group, of MOST_CELLS cells at most.
@@ -36,14 +39,16 @@ def fit_grid(obs: DataFrame, specs: Mapping[str, MethodSpec], max_lag: int, opti
 
 def _edges_of(records: list[dict], names: list[str], method: str, traj_id, run_id) -> pd.DataFrame:
     check_records(records, names, method)
-    out = pd.DataFrame(records, columns=["source", "target", "lag", "score", "p_value"])
+    named = ["source", "target", "lag", "score", "p_value"]
+    out = pd.DataFrame(records, columns=named)
+    out["extras"] = [json.dumps(more, sort_keys=True) if (more := {k: v for k, v in r.items() if k not in named}) else None for r in records]
     for at, (column, value) in enumerate((("traj_id", traj_id), ("run_id", run_id), ("method", method))):
         out.insert(at, column, value)
     return out.astype({"p_value": float, "score": float})
 
 
 def _edge_schema(obs: DataFrame) -> str:
-    return f"traj_id {obs.schema['traj_id'].dataType.simpleString()}, run_id int, method string, {CANONICAL}"
+    return f"traj_id {obs.schema['traj_id'].dataType.simpleString()}, run_id int, method string, {CANONICAL}, extras string"
 
 
 def _fit_panels(obs: DataFrame, functions: dict, max_lag: int) -> DataFrame:
@@ -213,5 +218,5 @@ def panel_pcmci(obs: DataFrame, max_lag: int = 1, alpha: float = 1.0) -> DataFra
     from .panel import zscore
 
     cov, n, names = pooled_covariance(zscore(obs, 1e-12), 2 * max_lag)
-    links = obs.sparkSession.createDataFrame(pd.DataFrame(mci(cov, n, names, max_lag, alpha, 0.2)), CANONICAL)
+    links = obs.sparkSession.createDataFrame(pd.DataFrame(mci(cov, n, names, max_lag, alpha, 0.2), columns=["source", "target", "lag", "score", "p_value"]), CANONICAL)
     return reduce_pairs(links)

@@ -267,3 +267,13 @@ def test_series_keep_their_own_orders(spark):
 def test_aliases(x):
     assert score_based.run_score_based_ges(x[:120], 1, NAMES) == ges.run_ges(x[:120], 1, NAMES)
     assert fci.run_heterogeneous_fci(x[:120], 1, NAMES) == fci.run_fci(x[:120], 1, NAMES)
+
+
+def test_extras_of_methods(spark, x):
+    found = pcmci.run_pcmci(x, 2, NAMES, alpha=1.0)
+    p, q = np.array([r["p_value"] for r in found]), np.array([r["q_value"] for r in found])
+    assert len(found) == 18 and (q >= p).all() and (np.diff(q[np.argsort(p)]) >= 0).all() and abs(q[p.argmax()] - p.max()) < 1e-12
+    assert {r["edge_pattern"] for r in ges.run_ges(x, 1, NAMES)} <= {"-->", "---"} and all(np.isfinite(r["graph_score"]) for r in ges.run_ges(x, 1, NAMES))
+    obs = spark.createDataFrame([(0, 0, t, v, float(x[t, i])) for t in range(200) for i, v in enumerate(NAMES)], "run_id int, traj_id long, t long, variable string, value double")
+    rows = suite.fit_grid(obs, {k: v for k, v in registry.discover().items() if k in ("PCMCI", "FCI", "ClassicalGranger")}, 2).collect()
+    assert all(("q_value" in (r.extras or "")) == (r.method == "PCMCI") for r in rows)
