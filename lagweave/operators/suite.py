@@ -37,14 +37,18 @@ def fit_grid(obs: DataFrame, specs: Mapping[str, MethodSpec], max_lag: int, opti
     return union(found).withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value")))
 
 
-def _edges_of(records: list[dict], names: list[str], method: str, traj_id, run_id) -> pd.DataFrame:
+_NAMED = ["source", "target", "lag", "score", "p_value"]
+
+
+def _edges_of(records: list[dict], names: list[str], method: str, traj_id, run_id) -> list[tuple]:
+    """Checked rows of _edge_schema()."""
     check_records(records, names, method)
-    named = ["source", "target", "lag", "score", "p_value"]
-    out = pd.DataFrame(records, columns=named)
-    out["extras"] = [json.dumps(more, sort_keys=True) if (more := {k: v for k, v in r.items() if k not in named}) else None for r in records]
-    for at, (column, value) in enumerate((("traj_id", traj_id), ("run_id", run_id), ("method", method))):
-        out.insert(at, column, value)
-    return out.astype({"p_value": float, "score": float})
+    extras = [json.dumps(more, sort_keys=True) if (more := {k: v for k, v in r.items() if k not in _NAMED}) else None for r in records]
+    return [(traj_id, run_id, method, *[r[c] for c in _NAMED], more) for r, more in zip(records, extras, strict=True)]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["traj_id", "run_id", "method", *_NAMED, "extras"]).astype({"p_value": float, "score": float})
 
 
 def _edge_schema(obs: DataFrame) -> str:
@@ -62,7 +66,7 @@ def _fit_panels(obs: DataFrame, functions: dict, max_lag: int) -> DataFrame:
         data = frame.pivot_table(index="t", columns="variable", values="value")[[n for n in names if n in set(frame["variable"])]].dropna()
         function, kwargs = functions[head["method"]]
         found = function(data.to_numpy(), max_lag, names=list(data.columns), **kwargs) if len(data) > 2 else []
-        return _edges_of(found, list(data.columns), head["method"], head["traj_id"], head["run_id"])
+        return _frame(_edges_of(found, list(data.columns), head["method"], head["traj_id"], head["run_id"]))
 
     each = obs.withColumn("method", F.explode(F.array(*map(F.lit, functions))))
     return each.groupBy("traj_id", "run_id", "method").applyInPandas(fit, _edge_schema(obs))
@@ -127,8 +131,8 @@ def _fit_moments(obs: DataFrame, functions: dict, max_lag: int, reach: int) -> D
             total = _together(total, mine) if total else mine
         n, mean, m2 = total
         names, head = list(frame["names"].iloc[0]), frame.iloc[0]
-        out = [_edges_of(f(m2 / max(n - 1, 1), mean, n, names, max_lag, **kwargs), names, k, head["traj_id"], head["run_id"]) for k, (f, kwargs) in functions.items()]
-        return pd.concat(out)
+        found = {k: f(m2 / max(n - 1, 1), mean, n, names, max_lag, **kwargs) for k, (f, kwargs) in functions.items()}
+        return _frame([row for k, records in found.items() for row in _edges_of(records, names, k, head["traj_id"], head["run_id"])])
 
     return lagged_moments(obs, reach).groupBy("traj_id", "run_id").applyInPandas(fit, _edge_schema(obs))
 

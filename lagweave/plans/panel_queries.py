@@ -131,6 +131,10 @@ def q59_fci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "FCI", include_partial=True)
 
 
+def q60_lpcmci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, "LPCMCI")
+
+
 def q61_neural_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "NeuralGrangercMLP")
 

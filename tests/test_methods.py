@@ -3,7 +3,7 @@ import inspect
 import numpy as np
 import pytest
 
-from lagweave.methods import classical_granger, dynotears, fci, ges, mlp_heuristic, neural_granger, pcmci, score_based, var_lingam
+from lagweave.methods import classical_granger, dynotears, fci, ges, lpcmci, mlp_heuristic, neural_granger, pcmci, score_based, var_lingam
 from lagweave.methods._tools import t_two_sided
 from lagweave.operators import generators, preprocess, registry, suite
 
@@ -78,7 +78,7 @@ def test_neural_records(x):
 
 
 def test_registry_names_and_errors():
-    assert {"PCMCI", "ClassicalGranger", "VARLiNGAM", "DYNOTEARS", "NeuralGrangercMLP"} <= registry.discover().keys()
+    assert registry.discover().keys() >= {"PCMCI", "LPCMCI", "ClassicalGranger", "VARLiNGAM", "DYNOTEARS", "NeuralGrangercMLP", "GES", "FCI"}
     assert registry.default_name("run_my_method") == "MyMethod"
     with pytest.raises(TypeError):
         registry.causal_method("Bad")(lambda data: [])
@@ -245,7 +245,7 @@ def test_moments_give_the_same_edges(spark):
         rows += [(0, traj, t, v, float(s[t, i])) for t in range(200) for i, v in enumerate(names) if not (traj == 1 and v == "Y" and t in (50, 51))]
     obs = spark.createDataFrame(rows, "run_id int, traj_id long, t long, variable string, value double").repartition(7)
     specs = {k: v for k, v in registry.discover().items() if v.moments}
-    assert specs.keys() == {"PCMCI", "GES", "FCI", "DYNOTEARS", "ClassicalGranger"}
+    assert specs.keys() == {"PCMCI", "LPCMCI", "GES", "FCI", "DYNOTEARS", "ClassicalGranger"}
     plain = {k: registry.MethodSpec(k, v.function, default_kwargs=v.default_kwargs) for k, v in specs.items()}
     got, want = ({(r.traj_id, r.method, r.source, r.target, r.lag): (r.score, r.p_value) for r in suite.fit_grid(obs, x, 2).collect()} for x in (specs, plain))
     assert got.keys() == want.keys() and len(got) > 10
@@ -277,3 +277,18 @@ def test_extras_of_methods(spark, x):
     obs = spark.createDataFrame([(0, 0, t, v, float(x[t, i])) for t in range(200) for i, v in enumerate(NAMES)], "run_id int, traj_id long, t long, variable string, value double")
     rows = suite.fit_grid(obs, {k: v for k, v in registry.discover().items() if k in ("PCMCI", "FCI", "ClassicalGranger")}, 2).collect()
     assert all(("q_value" in (r.extras or "")) == (r.method == "PCMCI") for r in rows)
+
+
+def test_lpcmci_reports_definite_edges_only(x):
+    found = _links(lpcmci.run_lpcmci(x, 2, NAMES, pc_alpha=0.001))
+    assert {("X", "X", 1), ("Y", "Y", 1), ("Z", "Z", 1), ("Y", "Z", 1)} <= found <= set(generators.TRUTH)
+    rng = np.random.default_rng(1)
+    hidden, a, b, c = (np.zeros(2000) for _ in range(4))
+    hidden[:] = rng.normal(size=2000)
+    for t in range(2, 2000):  # a and b share a hidden cause, c follows a
+        a[t] = 0.4 * a[t - 1] + hidden[t - 1] + 0.5 * rng.normal()
+        b[t] = 0.4 * b[t - 1] + hidden[t - 1] + 0.5 * rng.normal()
+        c[t] = 0.4 * c[t - 1] + 0.7 * a[t - 1] + 0.5 * rng.normal()
+    found = _links(lpcmci.run_lpcmci(np.column_stack([a, b, c]), 2, list("abc"), pc_alpha=0.001))
+    assert ("a", "c", 1) in found and not any({s, t} == {"a", "b"} for s, t, _ in found)
+    assert lpcmci.run_lpcmci(x[:8], 2, NAMES) == lpcmci.run_lpcmci(x, 0, NAMES) == []
