@@ -1,18 +1,18 @@
 """Document fingerprints: a Merkle tree over clauses, paragraphs and sections, in DataFrame functions only.
 
 A text splits into paragraphs at line feeds and each paragraph into clauses after punctuation; nothing is lost, so
-equal roots mean equal texts. Leaves are SHA-256 values of clauses, a paragraph hashes its leaves, a section hashes a run
-of paragraphs that ends where a paragraph's hash is 0 modulo SECTION, which keeps sections aligned after an edit, and the
-root hashes the sections. The fingerprint is the root, whole, and every branch below it by its first DIGITS digits:
-"root|section=paragraph:leaf.leaf,paragraph:leaf;section=paragraph:leaf".
+equal roots mean equal texts. Leaves are SHA-256 values of clauses, a paragraph hashes its leaves, a section hashes a
+run of paragraphs that ends where a paragraph's hash is 0 modulo SECTION, which keeps sections aligned after an edit,
+and the root hashes the sections. The fingerprint is the root, whole, and every branch below it by its first DIGITS
+digits: "root|section=paragraph:leaf.leaf,paragraph:leaf;section=paragraph:leaf".
 
-Two trees are compared from the root down: equal roots end it, then sections that the other tree has are left out, then
-paragraphs. differing() numbers the paragraphs that are left; likeness() is the Dice coefficient of the distinct leaves,
-counted from the leaves that are left.
+Two trees are compared from the root down: equal roots end it, then sections that the other tree has are left out,
+then paragraphs. differing() numbers the paragraphs that are left; likeness() is the Dice coefficient of the distinct
+leaves, counted from the leaves that are left.
 
 Edge cases: null text is empty, one empty leaf. Neighbours are by ascending id, rows of an equal id by text hash, null
-ids last, and the last row's neighbour is the first. Rows that repeat are each returned. An empty table gives none. Extra
-columns of any name are ignored. An id that is no number is ordered as text.
+ids last, and the last row's neighbour is the first. Rows that repeat are each returned. An empty table gives none.
+Extra columns of any name are ignored. An id that is no number is ordered as text.
 """
 
 from __future__ import annotations
@@ -40,19 +40,31 @@ def paragraphs(text: Column) -> Column:
     return F.transform(hashed, lambda p: F.struct(p["leaves"].alias("leaves"), p["hash"].alias("hash"), F.when(ends(p), ";").otherwise(",").alias("mark")))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is named in it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _sections(parts: Column, written) -> Column:
     """What written(paragraph) gives, joined by commas, one string per section."""
     line = F.array_join(F.transform(parts, lambda p, i: F.concat(written(p), F.when(i < F.size(parts) - 1, p["mark"]).otherwise(""))), "")
     return F.split(line, ";")
 
 
-def fingerprint(text: Column) -> Column:
-    parts = paragraphs(text)
-    hashes = F.transform(_sections(parts, lambda p: p["hash"]), lambda s: F.sha2(s, 256))
+def _written(parts: Column) -> Column:
+    """The fingerprint of paragraphs()."""
     short = lambda x: F.substring(x, 1, DIGITS)
     branches = _sections(parts, lambda p: F.concat(short(p["hash"]), F.lit(":"), F.array_join(F.transform(p["leaves"], short), ".")))
-    below = F.array_join(F.zip_with(hashes, branches, lambda h, b: F.concat(short(h), F.lit("="), b)), ";")
-    return F.concat(F.sha2(F.array_join(hashes, ","), 256), F.lit("|"), below)
+
+    def with_root(hashes: Column) -> Column:
+        below = F.array_join(F.zip_with(hashes, branches, lambda h, b: F.concat(short(h), F.lit("="), b)), ";")
+        return F.concat(F.sha2(F.array_join(hashes, ","), 256), F.lit("|"), below)
+
+    return _let(F.transform(_sections(parts, lambda p: p["hash"]), lambda s: F.sha2(s, 256)), with_root)
+
+
+def fingerprint(text: Column) -> Column:
+    return _let(paragraphs(text), _written)
 
 
 def _root(print_: Column) -> Column:
@@ -66,7 +78,7 @@ def _branches(print_: Column) -> Column:
 
 def leaves(print_: Column) -> Column:
     """The leaves of a fingerprint, in order."""
-    return F.split(F.regexp_replace(F.substring_index(print_, "|", -1), "[0-9a-f]+[=:]", ""), "[.,;]")
+    return F.transform(F.split(F.translate(F.substring_index(print_, "|", -1), ",;", ".."), "\\."), lambda x: F.substring_index(x, ":", -1))
 
 
 def _paragraphs_of(sections: Column) -> Column:
@@ -74,31 +86,35 @@ def _paragraphs_of(sections: Column) -> Column:
 
 
 def _left(one: Column, two: Column) -> Column:
-    """The paragraphs of the first tree that the second lacks, looked for below the sections that it lacks."""
-    mine = F.array_except(_branches(one), _branches(two))
-    return F.array_except(_paragraphs_of(mine), _paragraphs_of(_branches(two)))
+    """The paragraphs of the first tree's sections that the second tree lacks, looked for below the sections that it lacks."""
+    return F.array_except(_paragraphs_of(F.array_except(one, two)), _paragraphs_of(two))
 
 
-def _left_leaves(one: Column, two: Column) -> Column:
-    below = F.flatten(F.transform(_left(one, two), lambda p: F.split(F.substring_index(p, ":", -1), "[.]")))
-    return F.array_except(below, leaves(two))
+def _left_leaves(one: Column, two: Column, other: Column) -> Column:
+    """The leaves below those paragraphs that are none of the other tree's leaves."""
+    return F.array_except(F.flatten(F.transform(_left(one, two), lambda p: F.split(F.substring_index(p, ":", -1), "\\."))), other)
 
 
 def likeness(one: Column, two: Column) -> Column:
     """From 0 to 1: the Dice coefficient of the distinct leaves; 1 for equal roots, found without a look below them."""
-    size = F.size(F.array_distinct(leaves(one))) + F.size(F.array_distinct(leaves(two)))
-    apart = F.size(_left_leaves(one, two)) + F.size(_left_leaves(two, one))
-    return F.when(_root(one) == _root(two), 1.0).otherwise(1 - apart / size)
+    trees = F.struct(_branches(one).alias("a"), _branches(two).alias("b"), F.array_distinct(leaves(one)).alias("x"), F.array_distinct(leaves(two)).alias("y"))
+    apart = lambda t: F.size(_left_leaves(t["a"], t["b"], t["y"])) + F.size(_left_leaves(t["b"], t["a"], t["x"]))
+    return F.when(_root(one) == _root(two), 1.0).otherwise(_let(trees, lambda t: 1 - apart(t) / (F.size(t["x"]) + F.size(t["y"]))))
 
 
 def differing(one: Column, two: Column) -> Column:
     """The numbers, from 0, of the paragraphs of the first tree that the second lacks; none for equal roots."""
-    inside = F.array_except(_branches(one), _branches(two))
-    every = F.flatten(F.transform(_branches(one), lambda s: F.transform(F.split(F.substring_index(s, "=", -1), ","), lambda p: F.struct(s.alias("section"), p.alias("paragraph")))))
-    numbered = F.transform(every, lambda x, i: F.struct(i.alias("i"), x["section"].alias("section"), x["paragraph"].alias("paragraph")))
-    gone = _left(one, two)
-    found = F.filter(numbered, lambda x: F.array_contains(inside, x["section"]) & F.array_contains(gone, x["paragraph"]))
-    return F.when(_root(one) == _root(two), F.expr("CAST(array() AS array<int>)")).otherwise(F.transform(found, lambda x: x["i"]))
+    none = F.expr("CAST(array() AS array<int>)")
+
+    def numbers(t: Column) -> Column:
+        marked = F.flatten(F.transform(t["a"], lambda s: _let(F.array_contains(t["inside"], s), lambda gone: F.transform(F.split(F.substring_index(s, "=", -1), ","), lambda p: F.struct(gone.alias("inside"), p.alias("paragraph"))))))
+        numbered = F.transform(marked, lambda x, i: F.struct(i.alias("i"), x["inside"].alias("inside"), x["paragraph"].alias("paragraph")))
+        return F.transform(F.filter(numbered, lambda x: x["inside"] & F.array_contains(t["gone"], x["paragraph"])), lambda x: x["i"])
+
+    def descend(t: Column) -> Column:
+        return _let(F.struct(t["a"].alias("a"), F.array_except(t["a"], t["b"]).alias("inside"), _left(t["a"], t["b"]).alias("gone")), numbers)
+
+    return F.when(_root(one) == _root(two), none).otherwise(_let(F.struct(_branches(one).alias("a"), _branches(two).alias("b")), descend))
 
 
 def changed(one: Column, two: Column) -> Column:
