@@ -108,7 +108,8 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], salt: Column, c
     """rows joined with keys, which has one row per value of on and, in count, how many of rows have it.
 
     The most frequent keys go to as many tasks as they hold HOT_ROWS, or twice as many rows, and so on, until at most HOT_KEYS
-    keys are split; only those are broadcast. salt is a hash of a row that differs among the rows of one key.
+    keys are split; only those are broadcast. salt is a hash of a row that differs among the rows of one key. The join itself
+    is by sorting at every size, since keys grows with the rows.
     """
     power = F.floor(F.log2(F.col(count))).cast("int")
     most, least = 0, HOT_ROWS.bit_length() - 1
@@ -121,7 +122,7 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], salt: Column, c
     hot = keys.where(F.col(count) > (1 << least)).select(*on, parts.alias("_parts"))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(salt, F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > (1 << least), parts - 1).otherwise(0))))
-    return dealt.join(spread.drop(count), [*on, "_salt"], how).drop("_salt")
+    return dealt.join(spread.drop(count).hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def keyed(rows: DataFrame, columns: str) -> StructType:

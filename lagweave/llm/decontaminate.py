@@ -5,12 +5,13 @@ other than ASCII non-alphanumerics, after lower-casing A-Z. The automaton's lett
 numbers of its words (0 for words that no item holds), so a hit ends at a word and, where spans are asked for, maps to
 code points of the original text.
 
-The nodes of one automaton are bounded by MOST_NODES, counted in Spark before any item is collected. A larger benchmark
-is dealt by hash into as many parts as needed, long items in pieces that overlap by a window; the texts then pass through one
-scan per part, and what a scan found is stored before the next one, so one automaton at a time is in memory.
+The nodes of one automaton are bounded by MOST_NODES, counted in Spark before any item is collected. A larger
+benchmark is dealt by hash into as many parts as needed, long items in pieces that overlap by a window; the texts then
+pass through one scan per part, and what a scan found is stored before the next one, so one automaton at a time is in
+memory.
 
-Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; items with a null
-id count as id ''. Items that repeat an id are one. Repeated rows are each returned. Empty tables are fine. Extra
+Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; items with a
+null id count as id ''. Items that repeat an id are one. Repeated rows are each returned. Empty tables are fine. Extra
 columns of any name are ignored.
 """
 

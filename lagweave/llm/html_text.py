@@ -2,16 +2,17 @@
 
 A page is read into a tree leniently: optional end tags are implied, script and style contents are skipped, unknown or
 broken markup is dropped. Subtrees that page structure names as menus, headers, footers, sidebars, adverts, notices,
-forms or reader comments go first. A class, id or role all of whose words are such names is one; with other words beside
-them ("content has-sidebar", "sidebar-left") it only counts if the subtree doesn't hold most of the page's unlinked text, and for
-names that articles use as well ("related-work") only if the subtree is mostly links.
-
-For every other node the composite density is its characters per tag, adjusted by the logarithm of how rarely its characters and
-tags are links. The container whose children's densities sum highest lies in the article; quotations, lists, tables and
-single paragraphs are no containers, so they don't win alone. The least density on its path up to the body is the threshold. The article is
-the article or main element around it if that holds most of the unlinked text; else it reaches up that path to the last node that has another
-child at or above the threshold, or a heading. Nothing inside goes, be it linked or not, but groups of links before the first
-and after the last other text of a node that was reached so; of the body itself only the children at or above the threshold are taken.
+forms or reader comments go first. A class, id or role all of whose words are such names is one; with other words
+beside them ("content has-sidebar", "sidebar-left") it only counts if the subtree doesn't hold most of the page's
+unlinked text, and for names that articles use as well ("related-work") only if the subtree is mostly links.
+
+For every other node the composite density is its characters per tag, adjusted by the logarithm of how rarely its
+characters and tags are links. The container whose children's densities sum highest lies in the article; quotations,
+lists, tables and single paragraphs are no containers, so they don't win alone. The least density on its path up to
+the body is the threshold. The article is the article or main element around it if that holds most of the unlinked
+text; else it reaches up that path to the last node that has another child at or above the threshold, or a heading.
+Nothing inside goes, be it linked or not, but groups of links before the first and after the last other text of a node
+that was reached so; of the body itself only the children at or above the threshold are taken.
 
 Edge cases: null and empty pages and pages without text give ''. Texts are never cut. Rows that repeat are each
 returned; an empty table gives an empty result. Extra columns of any name are ignored.

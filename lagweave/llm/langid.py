@@ -1,10 +1,10 @@
 """Language identification by a byte convolutional network, trained in numpy and applied to windows of bytes.
 
-Bytes are embedded, convolved with filters of several widths, rectified, pooled by maximum over a window and classified
-by softmax. A text is cut into overlapping windows of fixed length that cover all of it; its probabilities are the
-means over its windows, weighted by their bytes. Training takes one window, at a place anywhere in the text that its hash
-draws, from each of about SAMPLE labelled rows, the first of each language in hash order: all rows of a rare language, and
-equally many of each of the others.
+Bytes are embedded, convolved with filters of several widths, rectified, pooled by maximum over a window and
+classified by softmax. A text is cut into overlapping windows of fixed length that cover all of it; its probabilities
+are the means over its windows, weighted by their bytes. Training takes one window, at a place anywhere in the text
+that its hash draws, from each of about SAMPLE labelled rows, the first of each language in hash order: all rows of a
+rare language, and equally many of each of the others.
 
 Edge cases: null texts and texts without a letter are 'und' with score 0, as is every text if no row is labelled. Null
 labels teach nothing. Rows that repeat are each returned. An empty table gives an empty result.

@@ -3,16 +3,16 @@
 A run of consecutive lines with at least min_words words counts as repeated when the same lines stand earlier, by
 (doc_id, line). The later run goes; the first stays. Steps:
 
-1. from each line, the shortest windows of at least min_words words to its right and to its left; the line with the smallest
-   hash in a window is its fingerprint, the first of equal ones. Only these positions are kept, each with the windows that chose it. Equal
-   windows have equal fingerprints, so none is missed;
+1. from each line, the shortest windows of at least min_words words to its right and to its left; the line with the
+   smallest hash in a window is its fingerprint, the first of equal ones. Only these positions are kept, each with the
+   windows that chose it. Equal windows have equal fingerprints, so none is missed;
 2. positions are joined by fingerprint: those whose fingerprint stands at one position only are done with;
-3. the others are extended both ways, by the hashes of the lines to the left and to the right of the position, to the ends of
-   their windows; positions that agree on all three match, and the first of them is their origin;
+3. the others are extended both ways, by the hashes of the lines to the left and to the right of the position, to the
+   ends of their windows; positions that agree on all three match, and the first of them is their origin;
 4. later windows that overlap or touch are one run, and its lines are deleted.
 
-No pair of positions is ever listed: each match is reduced to its first position, whatever its count, and the joins deal
-frequent fingerprints and matches to several tasks.
+No pair of positions is ever listed: each match is reduced to its first position, whatever its count, and the joins
+deal frequent fingerprints and matches to several tasks.
 
 Edge cases: null text stays null. Blank lines count no words, split no run and go only within one. Rows that repeat an
 id and text are one document. Null ids come after all others, ties between texts are broken by their hash. Within one
@@ -97,7 +97,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
     runs = repeated_runs(keyed.select(*_KEY, "_text"), min_words).select(F.col("_doc").alias("_doc2"), F.col("_hash").alias("_hash2"), "_runs")
-    joined = keyed.join(runs, keyed["_doc"].eqNullSafe(F.col("_doc2")) & (keyed["_hash"] == F.col("_hash2")), "left")
+    joined = keyed.join(runs.hint("merge"), keyed["_doc"].eqNullSafe(F.col("_doc2")) & (keyed["_hash"] == F.col("_hash2")), "left")
     lines = F.split("_text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: i.between(r["first"], r["last"])))
     cut = F.col("_runs").isNotNull()

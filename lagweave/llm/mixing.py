@@ -1,12 +1,12 @@
 """Mixing sources to target weights: words per source, repetition rates, then whole copies and one seeded draw.
 
-Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words by weight. No target exceeds
-3 times its source's words; the excess goes to the others by weight until none is above. A document is taken
-floor(rate) times, rate being target / words of its source, and once more if a hash of its id falls below the fraction.
+Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words by weight. No target exceeds 3
+times its source's words; the excess goes to the others by weight until none is above. A document is taken floor(rate)
+times, rate being target / words of its source, and once more if a hash of its id falls below the fraction.
 
 Edge cases: a null text has no words; a source without words has target 0 and its documents are taken once. Rows that
-repeat an id draw alike; a null id draws by its text. An empty table gives an empty result. Extra columns
-of any name stay, but for those of ADDED, and of _copy in emitted(), which are replaced.
+repeat an id draw alike; a null id draws by its text. An empty table gives an empty result. Extra columns of any name
+stay, but for those of ADDED, and of _copy in emitted(), which are replaced.
 """
 
 from __future__ import annotations

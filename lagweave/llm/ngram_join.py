@@ -1,13 +1,12 @@
 """N-gram Jaccard join by prefix filters under several global orders, and the components of its links.
 
-A document is the set of its distinct k-word shingles (64-bit hashes). Two documents link when
-100 * intersection >= percent * union. Every linked pair shares a token in its prefixes, whatever the global order:
+A document is the set of its distinct k-word shingles (64-bit hashes). Two documents link when 100 * intersection >=
+percent * union. Every linked pair shares a token in its prefixes, whatever the global order:
 
 * order A puts tokens that recur in many documents last and sorts the rest by hash, so that the prefixes of documents
   that merely hold the same passage or template rarely meet. Candidates come from equal tokens here, kept only if
-  lengths and positions leave room for the overlap.
-  Tokens that no chunk shows to recur but that stand in more than HEAVY prefixes, counted over all documents, are put last as well, and the
-  prefixes that hold them are made again;
+  lengths and positions leave room for the overlap. Tokens that no chunk shows to recur but that stand in more than
+  HEAVY prefixes, counted over all documents, are put last as well, and the prefixes that hold them are made again;
 * orders B and C are two unrelated hash orders. A linked pair shares at least l tokens of its first p + l - 1 there
   (p: prefix length). Candidates must pass under both before their whole sets are compared.
 
@@ -15,9 +14,10 @@ Copies: equal sets are one class and enter once. Each token's documents are firs
 components of those links then stand for their members, and a second round compares a token's documents outside the
 centre's component with its other documents. So a group of mutual near copies costs as many pairs as it has members.
 
-Edge cases: null text and text without words have no shingles and link with nothing. A null id takes part in nothing and has
-a null component. Ids are whole numbers; other types are refused. Rows that repeat an id and text are one document (each row is returned); classes of different texts
-with the same smallest id count as one node. An empty table gives an empty result. Extra columns are ignored.
+Edge cases: null text and text without words have no shingles and link with nothing. A null id takes part in nothing
+and has a null component. Ids are whole numbers; other types are refused. Rows that repeat an id and text are one
+document (each row is returned); classes of different texts with the same smallest id count as one node. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

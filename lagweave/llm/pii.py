@@ -1,16 +1,17 @@
 """Personal data: fixed base patterns, and identifiers that bootstrapped contexts reveal.
 
 Base spans are leftmost non-overlapping matches per kind; a match that fails its kind's test is dropped. They are the
-seeds. A looser grammar per kind lists candidates beside them; the words around seeds and candidates, as far as NEAR code
-points away, are their contexts, the patterns. Spark keeps the graph of (context, instance) and scores it in rounds: a context's score is the
-share of weight among its distinct instances, damped for few of them; an instance's weight is 1 for a seed and else
-the noisy-or of the scores of its supported contexts, from HEARD on. A context is supported when at least SUPPORT distinct
-instances of weight SCORE or more stand in it, seeds or learned ones: so instances learned in one round support contexts
-without any seed in the next. The candidates in supported contexts that score at least SCORE in the last round become spans of the contexts'
-kind, unless they overlap a base span.
+seeds. A looser grammar per kind lists candidates beside them; the words around seeds and candidates, as far as NEAR
+code points away, are their contexts, the patterns. Spark keeps the graph of (context, instance) and scores it in
+rounds: a context's score is the share of weight among its distinct instances, damped for few of them; an instance's
+weight is 1 for a seed and else the noisy-or of the scores of its supported contexts, from HEARD on. A context is
+supported when at least SUPPORT distinct instances of weight SCORE or more stand in it, seeds or learned ones: so
+instances learned in one round support contexts without any seed in the next. The candidates in supported contexts
+that score at least SCORE in the last round become spans of the contexts' kind, unless they overlap a base span.
 
 Edge cases: null text is empty. Rows that repeat an id and text get the same spans; they count as one document in the
-graph. Spans are code points, end exclusive. An empty table gives an empty result. Extra columns of any name are ignored.
+graph. Spans are code points, end exclusive. An empty table gives an empty result. Extra columns of any name are
+ignored.
 """
 
 from __future__ import annotations

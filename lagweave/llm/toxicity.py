@@ -1,20 +1,20 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Features are words and word beginnings of 4 to 8 letters: that one occurs, that it occurs twice or three times, and that
-it is at least one word in a hundred. Voters are the words of a fixed lexicon, word beginnings, and patterns: several hits,
-dense hits, no hit, shouting. The annotators' labels are no voter and no start of the label model; they only choose which word
-beginnings may vote (those that toxic rows share and clean rows lack, taken greedily by the toxic rows they newly cover).
-The label model estimates accuracies and correlations of the voters from their votes alone, by expectation maximisation. A
-logistic regression on the features learns its posteriors; its bias is then set so that 0.7 is the cut that parts the
-fitted rows best, as the posteriors see them.
+Features are words and word beginnings of 4 to 8 letters: that one occurs, that it occurs twice or three times, and
+that it is at least one word in a hundred. Voters are the words of a fixed lexicon, word beginnings, and patterns:
+several hits, dense hits, no hit, shouting. The annotators' labels are no voter and no start of the label model; they
+only choose which word beginnings may vote (those that toxic rows share and clean rows lack, taken greedily by the
+toxic rows they newly cover). The label model estimates accuracies and correlations of the voters from their votes
+alone, by expectation maximisation. A logistic regression on the features learns its posteriors; its bias is then set
+so that 0.7 is the cut that parts the fitted rows best, as the posteriors see them.
 
 Fitting uses at most SAMPLE labelled rows of each class, in hash order; of them the CANDIDATES most frequent features,
 the FEATURES most frequent of those that are pure, and VOTERS voters. Scoring reads every whole text: one automaton
 over the words and beginnings of the features counts their occurrences.
 
 Edge cases: null, empty or letterless texts get the score of a text without features. Labels that repeat an id count
-as toxic if any is. Null labels and ids teach nothing. Without labels of both classes the lexicon alone scores. Rows that
-repeat are each returned; an empty table gives an empty result; extra columns of any name are ignored.
+as toxic if any is. Null labels and ids teach nothing. Without labels of both classes the lexicon alone scores. Rows
+that repeat are each returned; an empty table gives an empty result; extra columns of any name are ignored.
 """
 
 from __future__ import annotations

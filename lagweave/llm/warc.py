@@ -1,17 +1,17 @@
 """WARC archives with Zstandard-compressed records and a dictionary of their own.
 
 An archive starts with a skippable frame (magic 5D 2A 4D 18) that holds the dictionary; every record follows as one
-frame. The dictionary is trained on a bounded sample of the records to be archived, heads included. Archives are written by Spark's
-text sink, so any file system that Spark writes serves and lost tasks are simply run again: a row is one frame, and the
-line separator is an empty skippable frame, which readers of such files pass over.
+frame. The dictionary is trained on a bounded sample of the records to be archived, heads included. Archives are
+written by Spark's text sink, so any file system that Spark writes serves and lost tasks are simply run again: a row
+is one frame, and the line separator is an empty skippable frame, which readers of such files pass over.
 
-Records: of rows with equal payloads of at least LEAST bytes, those with the smallest key are responses, and the others
-revisits that refer to it and carry no payload; smaller payloads are always responses.
+Records: of rows with equal payloads of at least LEAST bytes, those with the smallest key are responses, and the
+others revisits that refer to it and carry no payload; smaller payloads are always responses.
 
 Edge cases: a null payload is empty. Rows with a null key are written without one; null is no smallest key unless all
-keys of a payload are null, which then are all responses. Rows that repeat the smallest key are all responses. An empty
-table gives no archive and reads back as no rows. Control characters in an address are percent-encoded. Extra columns of
-any name are ignored.
+keys of a payload are null, which then are all responses. Rows that repeat the smallest key are all responses. An
+empty table gives no archive and reads back as no rows. Control characters in an address are percent-encoded. Extra
+columns of any name are ignored.
 """
 
 from __future__ import annotations
