@@ -110,3 +110,29 @@ def test_run_equals_plain_version(spark, tmp_path):
     assert {r.doc_id: (r.text, r.source) for r in got} == {i: want[i] for i in copies}
     assert all(r.n_chars == len(r.text) and r.lang == "en" for r in got)
     assert {i: sorted(r.copy for r in got if r.doc_id == i) for i in copies} == {i: list(range(1, n + 1)) for i, n in copies.items()}
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, empty tables and clashing columns have the results that the stages state."""
+    base = words(1, 60)
+    rows = [(1, base, "en", "a", 1), (1, base, "en", "a", 1), (2, base, "en", None, 1), (4, None, None, "a", None), (5, "", "en", "b", 0), (None, base + " z", "en", "a", 1), (6, "one two", "en", "b", 7), (7, words(2, 3000), "en", "a", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit("q") for c in ("row", "key", "_row", "_doc", "score", "n_hit", "component_id", "_size", "_copies", "_n_removed", "copy", "order", "items")}
+    wide = plain.withColumns(clash)
+    spark.createDataFrame([(1, None), (None, 1), (7, 0), (7, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "--"), (3, words(2, 12)), (3, words(2, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    kept = {"toxicity": {1, 2, 4, 5, None, 6, 7}, "line dedup": {1, 4, 5, 6, 7, None}, "n-gram Jaccard join": {1, 4, 5, None, 6, 7}, "benchmark decontamination": {1, 2, 4, 5, None, 6}}
+    for name, stage in pipeline.STAGES:
+        one, two = stage(spark, plain, str(tmp_path)), stage(spark, wide, str(tmp_path))
+        assert ids(one) == ids(two)
+        assert stage(spark, plain.limit(0), str(tmp_path)).count() == 0
+        if name in kept:
+            assert one.columns == plain.columns and two.columns == wide.columns
+            assert {i for i, _ in ids(one)} == kept[name] and ids(one)[1, base] == 2
+        else:
+            assert one.columns == [*plain.columns, "copy"] and set(two.columns) == set(wide.columns)
+    empty = str(tmp_path / "empty")
+    for table, kind in (("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{empty}/{table}.parquet")
+    assert all(stage(spark, plain, empty).count() >= 5 for _, stage in pipeline.STAGES)
