@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, keyed, pieces, stored
 
 WINDOW = 10
-#: Nodes of one automaton at most, about 100 bytes each; a word of an item makes WINDOW nodes at most.
+#: Nodes of one automaton at most, about 40 bytes each; a word of an item makes WINDOW nodes at most.
 MOST_NODES = 2_000_000
 #: Words of a piece of an item, besides those that it shares with the next one.
 PIECE = 5000
