@@ -9,6 +9,8 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 #: Lower-cases A-Z and turns tab to carriage return into a space; all other bytes stay.
 _FOLD = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Turns tab to carriage return into a space and changes nothing else.
+SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -30,9 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One hash per word of the lower-cased text. Differences of a running polynomial, scaled by inverse powers."""
-    raw = np.frombuffer(text.translate(_FOLD), np.uint8)
+def word_hashes(text: bytes, fold: bytes = _FOLD) -> np.ndarray:
+    """One hash per word of the text as folded, else lower-cased. Differences of a running polynomial, scaled by inverse powers."""
+    raw = np.frombuffer(text.translate(fold), np.uint8)
     gap = np.concatenate(([True], raw == 32, [True]))
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edges[::2], edges[1::2]

@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_jaccard_join
+from .substring_dedup import substring_dedup
 
 
 def op1_warc_dictionary_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,12 @@ def op10_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFra
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words without those of windows of 20 that start earlier too. Null text has no words; rows that repeat an id and text are one document, each returned; null ids come last; no documents, no rows; extra columns are ignored."""
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 20)
+    return cut.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -135,6 +142,17 @@ _SQL = {
         SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM w LEFT JOIN words ON words.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id
     """,
+    "op13_fixed_block_dedup": rf"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        spots AS (
+          SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda p: array_to_string(w[p:p + 19], ' '))) AS g FROM w WHERE len(w) >= 20),
+        ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM spots),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM ranked WHERE n > 1),
+        each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY q) AS t FROM each ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+        SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+    """,
 }
 
 
