@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_text, langid, merkle, pii, toxicity, warc
-from .common import crc_mod, table
+from .common import WORD, crc_mod, table
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_jaccard_join
+from .periodic_runs import periodic_runs
 from .substring_dedup import substring_dedup
 
 
@@ -83,6 +84,26 @@ def op10_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFra
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document, of which a tenth by id is made periodic first. Null text has no words; a null id changes nothing; repeated rows are each returned; no documents, no rows; extra columns are ignored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, w = F.floor(h / 10), F.col("_w")
+    a = F.pmod(g, F.size(w)).cast("int")
+    p = (F.floor((F.size(w) - F.col("_a")) / (3 + g % 8)) + 1).cast("int")
+    again = F.concat(F.slice(w, 1, F.col("_a")), F.transform(F.sequence(F.lit(0), F.size(w) - F.col("_a") - 1), lambda i: F.get(w, F.col("_a") + i % F.col("_p"))))
+    found = F.when((h % 10 == 0), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    docs = docs.withColumn("_w", found).withColumn("_a", F.when(F.size(w) > 0, a)).withColumn("_p", p)
+    docs = docs.withColumn("text", F.when(F.col("_a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text"))).select("doc_id", "text")
+    runs = periodic_runs(docs)
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return runs.select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("_best.length * 1000 div _best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.coalesce("_collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words without those of windows of 20 that start earlier too. Null text has no words; rows that repeat an id and text are one document, each returned; null ids come last; no documents, no rows; extra columns are ignored."""
     cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 20)
