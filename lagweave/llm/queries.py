@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_jaccard_join
 from .periodic_runs import periodic_runs
+from .prefix_trie import prefix_trie, rebuilt_paths
 from .substring_dedup import substring_dedup
 
 
@@ -84,6 +85,11 @@ def op10_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFra
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per distinct prefix of the rebuilt conversations. Null roles and texts are empty, null ids belong to none; turns that tie are ordered by digest, repeated rows are repeated turns; no conversations, no rows; extra columns are ignored."""
+    return prefix_trie(rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of each document, of which a tenth by id is made periodic first. Null text has no words; a null id changes nothing; repeated rows are each returned; no documents, no rows; extra columns are ignored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -163,6 +169,32 @@ _SQL = {
         SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM w LEFT JOIN words ON words.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id
     """,
+    "op11_prefix_trie": r"""
+        WITH RECURSIVE bits AS (SELECT range AS n, 0 AS k, range AS v FROM range(256) UNION ALL SELECT n, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM bits WHERE k < 8),
+        crc AS (SELECT list(v ORDER BY n) AS tab FROM bits WHERE k = 8),
+        t AS (
+          SELECT conv_id, turn, md5(concat_ws(':', length(coalesce(role, '')), coalesce(role, ''), coalesce(text, ''))) AS d, octet_length(encode(coalesce(text, '')))::BIGINT AS b
+          FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list(d ORDER BY turn NULLS FIRST, d) AS d, list(b ORDER BY turn NULLS FIRST, d) AS b FROM t GROUP BY conv_id),
+        cut AS (
+          SELECT own.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda x, y: xor(x >> 8, tab[xor(x & 255, y) + 1])), 4294967295) % 9 AS h FROM own, crc),
+        paths AS (
+          SELECT c.conv_id, list_concat(coalesce(f.d, [])[1:c.h], c.d[c.h + 1:]) AS d, list_concat(coalesce(f.b, [])[1:c.h], c.b[c.h + 1:]) AS b
+          FROM cut c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 5),
+        mark AS (SELECT conv_id, len(d) AS n, list_prepend('', list_transform(range(1, len(d) + 1), lambda k: md5(array_to_string(d[1:k], '')))) AS k, list_prepend(0, b) AS b FROM paths),
+        each AS (SELECT conv_id, n, unnest(k) AS k, unnest(list_prepend(NULL, k[:-2])) AS up, unnest(b) AS b, unnest(range(n + 1)) AS depth FROM mark),
+        node AS (
+          SELECT k, any_value(up) AS up, any_value(b) AS b, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+          FROM each GROUP BY k, depth),
+        kids AS (SELECT up, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up),
+        above AS (SELECT a.k AS top, node.k, (node.n_convs - 1) * node.b AS own, kids.n_children IS NULL AS leaf
+          FROM node JOIN mark ON mark.conv_id = node.conv_id LEFT JOIN kids ON kids.up = node.k, LATERAL (SELECT unnest(mark.k[:node.depth + 1]) AS k) a),
+        sums AS (SELECT top, count(*) FILTER (leaf) AS n_leaves, sum(own) AS saved FROM above GROUP BY top)
+        SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens, node.ends_sha256
+        FROM node JOIN sums ON sums.top = node.k LEFT JOIN kids ON kids.up = node.k LEFT JOIN node p ON p.k = node.up
+    """,
     "op13_fixed_block_dedup": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         spots AS (
