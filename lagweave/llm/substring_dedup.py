@@ -272,9 +272,10 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     spread = _ranges(hits.agg(F.sum(F.size("hits"))).head()[0], spark)
     windows = some.select(*_KEY, "_text", "hits").mapInArrow(lambda it: _windows(it, window, block, ranges, spread, BATCH), _PLACES)
     later = windows.repartition("range").sortWithinPartitions("range").mapInArrow(lambda it: _later(it, spread), "key struct<none:boolean,id:bigint,hash:bigint>, starts array<int>")
-    later = later.groupBy(*[F.col(f"key.{k[1:]}").alias(k) for k in _KEY]).agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    rows = later.join(profile.select(*_KEY, "n").hint("merge"), _KEY).join(copies.hint("merge"), _KEY, "left_anti").select(*_KEY, "starts", F.lit(False).alias("whole"), "n")
-    found = stored(rows.unionByName(copies.select(*_KEY, F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole"), "n")))
+    later = later.select(*[F.col(f"key.{k[1:]}").alias(k) for k in _KEY], "starts", F.lit(False).alias("whole"))
+    both = later.unionByName(copies.select(*_KEY, F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    both = both.groupBy(*_KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("whole").alias("whole"))
+    found = stored(both.join(profile.select(*_KEY, "n").hint("merge"), _KEY))
     discard(profile, copies, hits, known)
     return found
 
