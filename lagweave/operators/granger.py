@@ -1,6 +1,6 @@
 """Pairwise Granger causality from moments: Spark aggregates them, closed forms give tests and coefficients.
 
-For lags 1 and 2 everything is an expression. The target's own lags are partialled out of the moments, which leaves a
+Everything is an expression: for lags 1 and 2 in closed form, for any order by a Cholesky factor. The target's own lags are partialled out of the moments, which leaves a
 two-by-two system per pair. The joint test compares with the target's own past; each lag has a t-test of its own.
 """
 
@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.linear import backward, cholesky, explained, forward, inverse_diagonal, packed
 from ..functions.special import f_sf_two, student_p
 from .panel import lags
 
@@ -68,35 +67,23 @@ def gram(obs: DataFrame, most: int, by: Sequence[str] = ("traj_id",)) -> DataFra
 
 
 def tests_any_order(obs: DataFrame, most: int, by: Sequence[str] = ("traj_id",)) -> DataFrame:
-    """Coefficients and t statistics of each lag for any order, and the joint F: small solves on the statistics."""
-
-    def solve(frames):
-        size = 2 * most + 1
-        upper = np.triu_indices(size)
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                s = np.zeros((size, size))
-                s[upper] = row.cells
-                s = s + s.T - np.diag(np.diag(s))
-                dof = row.n - size
-                if dof < 1:
-                    continue
-                own, full = s[1 : most + 1, 1 : most + 1], s[1:, 1:]
-                ssr0 = s[0, 0] - s[0, 1 : most + 1] @ np.linalg.pinv(own) @ s[0, 1 : most + 1]
-                inverse = np.linalg.pinv(full)
-                beta = inverse @ s[1:, 0]
-                ssr1 = max(s[0, 0] - s[0, 1:] @ beta, 1e-300)
-                error = np.sqrt(np.maximum(np.diag(inverse), 0) * ssr1 / dof)
-                for k in range(1, most + 1):
-                    at = most + k - 1
-                    out.append([*[getattr(row, b) for b in by], row.source, row.target, k, row.n, beta[at], beta[at] / error[at] if error[at] else 0.0, (ssr0 - ssr1) / most / (ssr1 / dof), dof])
-            yield pd.DataFrame(out, columns=[*by, "source", "target", "lag", "n", "score", "t", "joint_statistic", "dof"])
-
-    stats = gram(obs, most, by)
-    kinds = ", ".join(f"`{b}` {stats.schema[b].dataType.simpleString()}" for b in by)
-    solved = stats.mapInPandas(solve, f"{kinds}, source string, target string, lag int, n long, score double, t double, joint_statistic double, dof long")
-    return solved.withColumn("p_value", student_p(F.col("t"), F.col("dof")))
+    """Coefficients and t statistics of each lag for any order, and the joint F, from a Cholesky factor of each pair's moments.
+
+    The target's own lags come first: what they leave, and what the source's lags leave then, are sums of squares of one
+    solve. Columns that depend on others have coefficient and t of zero.
+    """
+    size, cells = 2 * most, F.col("cells")
+    upper = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
+    moment = lambda i, j: F.get(cells, F.lit(upper.index((min(i, j), max(i, j)))))
+    rows = gram(obs, most, by).withColumn("dof", F.col("n") - size - 1).where("dof >= 1")
+    rows = rows.withColumns({"l": cholesky(packed(lambda i, j: moment(i + 1, j + 1), size), size), "yy": moment(0, 0)})
+    rows = rows.withColumn("f", forward(F.col("l"), F.array(*[moment(0, i + 1) for i in range(size)]), size))
+    rows = rows.withColumns({"w": backward(F.col("l"), F.col("f"), size), "r0": F.col("yy") - explained(F.col("f"), most), "r1": F.greatest(F.col("yy") - explained(F.col("f")), F.lit(1e-300))})
+    inverse = inverse_diagonal(F.col("l"), size, range(most, size))
+    each = F.array(*[F.struct(F.lit(k).alias("lag"), F.get("w", F.lit(most + k - 1)).alias("score"), F.sqrt(d * F.col("r1") / F.col("dof")).alias("error")) for k, d in enumerate(inverse, 1)])
+    rows = rows.withColumn("joint_statistic", (F.col("r0") - F.col("r1")) / most / (F.col("r1") / F.col("dof"))).select(*by, "source", "target", "n", "dof", "joint_statistic", F.inline(each))
+    rows = rows.withColumn("t", F.when(F.col("error") > 0, F.col("score") / F.col("error")).otherwise(0.0))
+    return rows.select(*by, "source", "target", "lag", "n", "score", "t", "joint_statistic", "dof", student_p(F.col("t"), F.col("dof")).alias("p_value"))
 
 
 def segmented(obs_with_segment: DataFrame, alpha: float = ALPHA) -> DataFrame:

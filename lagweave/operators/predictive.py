@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.linear import backward, cell, cholesky, forward, packed
 from ..functions.special import clip
 from .fusion import EDGE
 from .panel import lags
+from .ranks import steps
+
+#: Tasks at least that the steps of one variable are dealt to, where they meet the edges that need them.
+PIECES = 16
 
 
 def splits(rows: int, count: int) -> list[tuple[int, int, int]]:
@@ -26,15 +29,6 @@ def splits(rows: int, count: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def ridge_error(x: np.ndarray, y: np.ndarray, train: int, end: int, alpha: float) -> float:
-    """Validation error of a ridge regression with standardised inputs and a centred target."""
-    mean, scale = x[:train].mean(0), x[:train].std(0)
-    scale[scale < 1e-8] = 1.0
-    a, b = (x - mean) / scale, y - y[:train].mean()
-    beta = np.linalg.solve(a[:train].T @ a[:train] + alpha * np.eye(x.shape[1]), a[:train].T @ b[:train])
-    return float(((b[train:end] - a[train:end] @ beta) ** 2).mean())
-
-
 def _other_parents(edges: DataFrame, by: Sequence[str], count: int) -> DataFrame:
     """(by, edge, parents): for each edge the strongest other candidate parents of its target, as (place, source, lag).
 
@@ -46,46 +40,81 @@ def _other_parents(edges: DataFrame, by: Sequence[str], count: int) -> DataFrame
     return rows.withColumn("place", rank).where(F.col("place") <= count).select(*by, *EDGE, "place", "parent", "parent_lag")
 
 
+def _moments(obs: DataFrame, edges: DataFrame, max_lag: int, count: int, parents: int, by: Sequence[str]) -> DataFrame:
+    """(by, edge, traj_id, split, train, test): sums and products of each edge's regression before and after its split.
+
+    The variables are the target's own lags, other parents (none: a constant 0), the source, and the target last. Every
+    row of every series is added once, to the stretch between two neighbouring boundaries; splits add up stretches.
+    """
+    key, size = [*by, *EDGE], max_lag + parents + 1
+    place = lambda slot, variable, lag: F.struct(F.lit(slot).alias("slot"), variable.alias("variable"), lag.alias("shift"))
+    own = [place(k - 1, F.col("target"), F.lit(k)) for k in range(1, max_lag + 1)]
+    used = edges.where((F.col("lag") <= max_lag) & (F.col("source") != F.col("target")))
+    columns = F.array(*own, place(size - 1, F.col("source"), F.col("lag").cast("int")), place(size, F.col("target"), F.lit(0)))
+    design = used.select(*key).distinct().select(*key, F.inline(columns))
+    if parents:
+        others = _other_parents(used.where("ensemble_score IS NOT NULL"), by, parents)
+        design = design.union(others.select(*key, (F.col("place") + max_lag - 1).alias("slot"), F.col("parent").alias("variable"), F.col("parent_lag").cast("int").alias("shift")))
+    parts = F.sequence(F.lit(0), F.lit(PIECES - 1))
+    value = F.when(F.isnan("value") | (F.abs("value") == float("inf")) | F.col("value").isNull(), F.lit(float("nan"))).otherwise(F.col("value").cast("double"))
+    series = obs.join(steps(obs), ["traj_id", "t"]).withColumn("n", F.col("steps") - max_lag).where("n >= 12")
+    series = series.select("traj_id", "variable", "step", "n", value.alias("value"), (F.col("step") % PIECES).cast("int").alias("piece"))
+    cells = design.withColumn("piece", F.explode(parts)).join(series, ["variable", "piece"]).withColumn("row", F.col("step") + F.col("shift") - max_lag)
+    cells = cells.where("row >= 0 AND row < n")
+    absent = [0.0 if max_lag <= i < size - 1 else None for i in range(size + 1)]
+    grid = cells.groupBy(*key, "traj_id", "n", "row").agg(*[F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"v{i}") for i in range(size + 1)])
+    if parents:
+        known = others.groupBy(*key).agg(F.max("place").alias("known"))
+        grid = grid.join(known, key, "left")
+        grid = grid.withColumns({f"v{i}": F.when(F.coalesce("known", F.lit(0)) <= i - max_lag, F.lit(0.0)).otherwise(F.col(f"v{i}")) for i in range(size + 1) if absent[i] is not None})
+    cuts = [(F.greatest(F.lit(6), F.floor(F.col("n") * (0.5 if count == 1 else 0.5 + 0.3 * i / (count - 1))))).cast("long") for i in range(count)]
+    ends = [F.least("n", c + F.greatest(F.lit(3), F.floor(F.col("n") / 6))).cast("long") for c in cuts]
+    bounds = F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.array_distinct(F.array(*cuts, *ends, F.col("n")))))
+    grid = grid.where(" AND ".join(f"v{i} IS NOT NULL" for i in range(size + 1))).withColumn("bounds", bounds)
+    grid = grid.withColumn("low", F.array_max(F.filter("bounds", lambda b: b <= F.col("row")))).withColumn("high", F.array_min(F.filter("bounds", lambda b: b > F.col("row"))))
+    sums = grid.groupBy(*key, "traj_id", "n", "low", "high").agg(
+        F.count("*").alias("m"), F.array(*[F.sum(f"v{i}") for i in range(size + 1)]).alias("s"), packed(lambda i, j: F.sum(F.col(f"v{i}") * F.col(f"v{j}")), size + 1).alias("p")
+    )
+    whole = sums.groupBy(*key, "traj_id", "n").agg(F.collect_list(F.struct("low", "high", "m", "s", "p")).alias("parts"), F.sum("m").alias("rows"))
+    whole = whole.where("rows >= 12").where(~F.exists("parts", lambda x: F.exists(x["p"], F.isnan)))
+    pairs = F.array(*[F.struct(F.lit(i).alias("split"), c.alias("cut"), e.alias("end")) for i, (c, e) in enumerate(zip(cuts, ends, strict=True))])
+    whole = whole.select(*key, "traj_id", "parts", F.inline(pairs)).where("cut < end")
+    zero = F.struct(F.lit(0).cast("long").alias("m"), F.array(*[F.lit(0.0)] * (size + 1)).alias("s"), F.array(*[F.lit(0.0)] * cell(size + 1, 0)).alias("p"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = lambda keep: F.aggregate(F.filter("parts", keep), zero, lambda t, x: F.struct((t["m"] + x["m"]).alias("m"), add(t["s"], x["s"]).alias("s"), add(t["p"], x["p"]).alias("p")))
+    train, test = total(lambda x: x["high"] <= F.col("cut")), total(lambda x: (x["low"] >= F.col("cut")) & (x["high"] <= F.col("end")))
+    return whole.select(*key, "traj_id", "split", train.alias("train"), test.alias("test")).where("train.m > 0 AND test.m > 0")
+
+
 def gains(obs: DataFrame, edges: DataFrame, max_lag: int = 2, count: int = 3, alpha: float = 1.0, parents: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """(by, traj_id, source, target, lag, split, gain) of each edge: one small regression per edge and trajectory.
+    """(by, traj_id, source, target, lag, split, gain) of each edge, from moments that Spark adds up; no task holds a series.
 
     The baseline knows the target's own lags and so many of the strongest other candidate parents of the target in the same
-    group by; parents need ensemble_score in edges. Series meet at equal steps. Rows whose lag exceeds max_lag have no gain.
+    group by; parents need ensemble_score in edges. Lags count the steps of the trajectory; rows in which a series has no
+    step are left out, a value that is no number leaves its edges without a gain, as do lags above max_lag and fewer than 12
+    rows. Inputs are standardised by the training rows, and a ridge of alpha is solved by a Cholesky factor, of which the
+    baseline's is the leading part.
     """
-    steps = F.array_sort(F.collect_list(F.struct("t", "value")))
-    gathered = obs.groupBy("traj_id", "variable").agg(steps.alias("steps"))
-    of = lambda name, column: gathered.select("traj_id", F.col("variable").alias(name), F.col("steps").alias(column))
-    rows = edges.select(*by, *EDGE).distinct().join(of("source", "x"), "source").join(of("target", "y"), ["traj_id", "target"])
-    if parents:
-        others = _other_parents(edges, by, parents).where(F.col("parent_lag") <= max_lag).join(of("parent", "steps"), "parent")
-        others = others.groupBy("traj_id", *by, *EDGE).agg(F.array_sort(F.collect_list(F.struct("place", "parent_lag", "steps"))).alias("others"))
-        rows = rows.join(others, ["traj_id", *by, *EDGE], "left")
-    else:
-        rows = rows.withColumn("others", F.lit(None).cast("array<struct<place:int,parent_lag:int,steps:array<struct<t:bigint,value:double>>>>"))
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series = lambda s: {r["t"]: r["value"] for r in s}
-        for frame in frames:
-            out = []
-            for r in frame.to_dict("records"):
-                x, y, others = series(r["x"]), series(r["y"]), [(o["parent_lag"], series(o["steps"])) for o in (r["others"] if r["others"] is not None else ())]
-                shared = sorted(set(x).intersection(y, *[s for _, s in others]))
-                at = lambda s, lag, n: np.array([s[t] for t in shared[max_lag - lag : max_lag - lag + n]], float)  # noqa: E731, B023
-                n = len(shared) - max_lag
-                if n < 12 or r["lag"] > max_lag or r["source"] == r["target"]:
-                    continue
-                target = at(y, 0, n)
-                own = np.column_stack([*[at(y, k, n) for k in range(1, max_lag + 1)], *[at(s, k, n) for k, s in others]])
-                with_source = np.column_stack([own, at(x, r["lag"], n)])
-                if not np.isfinite(with_source).all() or not np.isfinite(target).all():
-                    continue
-                for split, train, end in splits(n, count):
-                    a, b = (ridge_error(m, target, train, end, alpha) for m in (own, with_source))
-                    out.append([*[r[c] for c in by], r["traj_id"], r["source"], r["target"], r["lag"], split, (a - b) / max(a, 1e-12)])
-            yield pd.DataFrame(out, columns=[*by, "traj_id", *EDGE, "split", "gain"])
-
-    head = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
-    return rows.mapInPandas(solve, f"{head}traj_id {obs.schema['traj_id'].dataType.simpleString()}, source string, target string, lag int, split int, gain double")
+    size = max_lag + parents + 1
+    m = _moments(obs, edges, max_lag, count, parents, by).withColumns({"m": F.col("train.m").cast("double"), "s": F.col("train.s"), "p": F.col("train.p")})
+    m = m.withColumn("mean", F.transform("s", lambda x: x / F.col("m")))
+    get = lambda c, i: F.get(F.col(c), F.lit(i))
+    spread = lambda i: get("p", cell(i, i)) / F.col("m") - get("mean", i) * get("mean", i)
+    m = m.withColumn("scale", F.array(*[F.when((spread(i) > 1e-16) & (spread(i) > get("p", cell(i, i)) / F.col("m") * 1e-13), F.sqrt(spread(i))).otherwise(1.0) for i in range(size)]))
+    centred = lambda i, j: get("p", cell(i, j)) - F.col("m") * get("mean", i) * get("mean", j)
+    m = m.withColumn("a", packed(lambda i, j: centred(i, j) / (get("scale", i) * get("scale", j)) + (alpha if i == j else 0.0), size))
+    m = m.withColumn("b", F.array(*[centred(i, size) / get("scale", i) for i in range(size)])).withColumn("l", cholesky(F.col("a"), size))
+    m = m.withColumn("f", forward(F.col("l"), F.col("b"), size))
+    m = m.withColumns({"w0": backward(F.col("l"), F.col("f"), size - 1), "w1": backward(F.col("l"), F.col("f"), size)})
+    seen = lambda i, j: F.get("test.p", F.lit(cell(i, j))) - get("mean", i) * F.get("test.s", F.lit(j)) - get("mean", j) * F.get("test.s", F.lit(i)) + F.col("test.m") * get("mean", i) * get("mean", j)
+    m = m.withColumn("v", packed(seen, size + 1)).withColumns({f"g{k}": F.zip_with(f"w{k}", "scale", lambda w, c: F.coalesce(w, F.lit(0.0)) / c) for k in (0, 1)})
+
+    def error(k: int) -> Column:
+        w = [get(f"g{k}", i) for i in range(size)] + [F.lit(-1.0)]
+        return sum(w[i] * w[j] * get("v", cell(i, j)) * (1 if i == j else 2) for i in range(size + 1) for j in range(i + 1)) / F.col("test.m")
+
+    m = m.withColumns({"e0": error(0), "e1": error(1)})
+    return m.select(*by, "traj_id", "source", "target", "lag", "split", ((F.col("e0") - F.col("e1")) / F.greatest("e0", F.lit(1e-12))).alias("gain"))
 
 
 def parent_order() -> list[Column]:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.special import bayes_factor, posterior, score_probability, valid_p, wilson
 from ..functions.special import fisher as fisher_p
 from ..sources.checkpoints import stored
-from ..operators import calibration, consensus, expert, fusion, metrics, plotdata, predictive, selection, structure
+from ..operators import calibration, consensus, expert, fusion, granger, metrics, panel, plotdata, predictive, selection, structure
 from . import bindings as b
-from .panel_queries import _FISHER, _r, _rounded
+from .panel_queries import _FISHER, _Z, _any_order, _r, _rounded, sweep
 
 EDGE = fusion.EDGE
 BOOT = b.RUNS - 1
@@ -108,12 +108,12 @@ def q31_bootstrap_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q33_predictive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between priorities, gated by the monthly panel's forecasts."""
-    obs = b.orders_panel(spark, sf_dir)
-    nodes = [n for n in b.NODES if n[0].isdigit()]
-    pairs = obs.select(F.col("variable").alias("source")).distinct().withColumn("target", F.explode(F.array(*map(F.lit, nodes)))).where("source <> target")
-    summary = pairs.withColumns({"lag": F.explode(F.array(F.lit(1), F.lit(2))), "combo_id": F.lit(0), "ensemble_score": F.lit(0.8)})
-    return _rounded(predictive.gate(summary, predictive.gains(obs, summary), penalty=0.5, exponent=0.35))
+    """Lagged edges between priorities, scored by their tests and gated by the monthly panel's forecasts beside one other parent."""
+    obs = panel.zscore(b.orders_panel(spark, sf_dir))
+    tested = granger.tests_any_order(obs, 2)
+    summary = tested.select("source", "target", "lag", F.lit(0).alias("combo_id"), (1 - F.col("p_value")).alias("ensemble_score"))
+    gained = predictive.gains(obs, summary, parents=1, by=["combo_id"])
+    return _rounded(predictive.gate(summary, gained, penalty=0.5, exponent=0.35))
 
 
 def q34_expert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +389,33 @@ def parts() -> dict:
     return {k: v for k, v in locals().items() if k in ("d", "summary", "predicted", "nodes", "known", "pair", "wide", "steps", "last", "ranked", "counts", "prf", "run_pairs", "auc", "candidates", "combined")}
 
 
+def _gated() -> str:
+    """SQL of q33: ridge fits by sweeping the training rows' moments, errors row by row."""
+    names = ["a0", "a1", "a2", "a3", "y"]
+    edge = "source, target, lag, split"
+    moments = ", ".join([*[f"avg({x}) AS m_{x}" for x in names], *[f"stddev_pop({x}) AS s_{x}" for x in names], *[f"count(*) * covar_pop({x}, {y}) AS c_{x}_{y}" for i, x in enumerate(names) for y in names[i:]]])
+    by = lambda x: "" if x == "y" else f" / s_{x}"
+    scaled = ", ".join(f"c_{x}_{y}{by(x)}{by(y)}{' + 1.0' if x == y != 'y' else ''} AS {x}_{y}" for i, x in enumerate(names) for y in names[i:])
+    error = lambda w, k: "avg(pow(y - m_y - (" + " + ".join(f"{w}.a{i}_y * (a{i} - m_a{i}) / s_a{i}" for i in range(k)) + "), 2))"
+    return f"""WITH {b.ctes('ord')}, z AS ({_Z.format(p='ord', eps='0')}), {_any_order('z', 2)},
+      e AS (SELECT source, target, lag, 1 - p_value AS score FROM lag_tests),
+      given AS (SELECT e.*, c.source AS parent, c.lag AS parent_lag FROM e JOIN e c ON c.target = e.target AND c.source <> e.source QUALIFY row_number() OVER (PARTITION BY e.source, e.target, e.lag ORDER BY c.score DESC, c.source, c.lag) = 1),
+      st AS (SELECT variable, t, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, row_number() OVER w - 3 AS r, count(*) OVER (PARTITION BY variable) - 2 AS n FROM z WINDOW w AS (PARTITION BY variable ORDER BY t)),
+      x AS (SELECT g.source, g.target, g.lag, y.r, y.n, y.value AS y, y.l1 AS a0, y.l2 AS a1, CASE parent_lag WHEN 1 THEN p.l1 ELSE p.l2 END AS a2, CASE g.lag WHEN 1 THEN s.l1 ELSE s.l2 END AS a3
+        FROM given g JOIN st y ON y.variable = g.target JOIN st p ON p.variable = g.parent AND p.t = y.t JOIN st s ON s.variable = g.source AND s.t = y.t WHERE y.r >= 0),
+      u AS (SELECT *, greatest(6, floor(n * (0.5::DOUBLE + 0.3::DOUBLE * split / 2))) AS train FROM x, (SELECT unnest([0, 1, 2]) AS split)),
+      v AS (SELECT *, least(n, train + greatest(3, floor(n / 6))) AS stop FROM u), f AS (SELECT {edge}, {moments} FROM v WHERE r < train GROUP BY ALL),
+      cell AS (SELECT {edge}, {scaled} FROM f), {sweep('cell', names, names[:3], edge, 'base_fit')}, {sweep('base_fit', names, names[3:4], edge, 'more_fit')},
+      err AS (SELECT {edge}, {error('w0', 3)} AS e0, {error('w1', 4)} AS e1 FROM v JOIN f USING ({edge}) JOIN base_fit w0 USING ({edge}) JOIN more_fit w1 USING ({edge}) WHERE r >= train AND r < stop GROUP BY ALL),
+      raw AS (SELECT source, target, lag, (e0 - e1) / greatest(e0, 1e-12) AS gain FROM err),
+      g AS (SELECT source, target, lag, avg(gain) AS m, stddev_samp(gain) AS sd, count(*) AS k, avg((gain > 0)::INT) AS pos FROM raw GROUP BY ALL),
+      s AS (SELECT *, sd / sqrt(k) AS se, greatest(0.0, m - 0.5 * sd / sqrt(k)) AS gain FROM g),
+      k AS (SELECT *, CASE WHEN gain > 0 THEN (rank() OVER (PARTITION BY gain > 0 ORDER BY gain) + (count(*) OVER (PARTITION BY gain > 0, gain) - 1) / 2) / count(*) OVER (PARTITION BY gain > 0) ELSE 0.0 END AS rk FROM s),
+      o AS (SELECT source, target, lag, 0::BIGINT AS combo_id, m AS predictive_gain_mean, sd AS predictive_gain_std, pos AS predictive_positive_split_ratio, se AS predictive_gain_standard_error, gain AS predictive_gain,
+        rk AS predictive_rank, score AS pre_validation_ensemble_score, score * (0.25 + 0.75 * pow(rk, 0.35)) AS ensemble_score FROM k JOIN e USING (source, target, lag))
+      SELECT source, target, lag, combo_id, {_r('predictive_gain_mean', 'predictive_gain_std', 'predictive_positive_split_ratio', 'predictive_gain_standard_error', 'predictive_gain', 'predictive_rank', 'pre_validation_ensemble_score', 'ensemble_score')} FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
     c, s = b.ctes, parts()
     d, summary, predicted, nodes, known, pair, wide, steps, last = (s[k] for k in "d summary predicted nodes known pair wide steps last".split())
@@ -411,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "q29_evidence_rank": f"WITH {d}, {_EVIDENCE} SELECT run_id::BIGINT AS run_id, method, {_OUT}, {_r('evidence')} FROM ev",
         "q30_bootstrap_counts": f"WITH {c('edges')}, {_COUNTS} SELECT method, {_OUT}, n FROM cnt",
         "q31_bootstrap_consensus": f"WITH {summary} SELECT {_OUT}, votes, {_r(*_BLEND)} FROM blended",
+        "q33_predictive_gate": _gated(),
         "q34_expert_rules": f"WITH {summary}, b0 AS (SELECT {_KEY}, edge_probability, edge_probability AS p, '' AS adj, NULL::DOUBLE AS conf FROM blended), {', '.join(steps)} SELECT {_OUT}, round(edge_probability, 6) + 0.0 AS data_edge_probability, round(p, 6) + 0.0 AS edge_probability, CASE WHEN adj = '' THEN 'none' ELSE adj END AS expert_adjustment, round(conf, 6) + 0.0 AS expert_confidence, round(1 - p, 6) + 0.0 AS uncertainty FROM {last} WHERE adj NOT LIKE '%hard_forbidden%'",
         "q35_ranked_structure": ranked(9),
         "q36_rescue": ranked(3, rescue="r0 >= 0.4 AND r2 >= 0.25"),

@@ -210,6 +210,52 @@ def _granger(source: str, keys: str = "traj_id") -> str:
       tested AS (SELECT *, pow(1 + 2 * f / dof, -dof / 2.0) AS p, {_student('t1', 'dof')} AS p1, {_student('t2', 'dof')} AS p2 FROM fs)"""
 
 
+def _cell(a: str, c: str, names: list[str]) -> str:
+    return f"{a}_{c}" if names.index(a) <= names.index(c) else f"{c}_{a}"
+
+
+def sweep(table: str, names: list[str], pivots: list[str], keys: str, out: str) -> str:
+    """CTEs that sweep the cells of the symmetric matrices in table by each pivot; the last is called out.
+
+    A swept pair of rows then holds coefficients, the rest what is left, the pivots the negative inverse.
+    """
+    steps, last = [], table
+    for n, k in enumerate(pivots):
+        cell = lambda a, c: _cell(a, c, names)
+        d, cols = cell(k, k), []
+        for i, a in enumerate(names):
+            for c in names[i:]:
+                if a == c == k:
+                    value = f"-1 / {d}"
+                elif k in (a, c):
+                    value = f"{cell(a, c)} / {d}"
+                else:
+                    value = f"{cell(a, c)} - {cell(a, k)} * {cell(c, k)} / {d}"
+                cols.append(f"{value} AS {a}_{c}")
+        name = out if n == len(pivots) - 1 else f"{out}_{n}"
+        steps.append(f"{name} AS (SELECT {keys}, {', '.join(cols)} FROM {last})")
+        last = name
+    return ", ".join(steps)
+
+
+def _any_order(source: str, most: int) -> str:
+    """CTEs from a panel to `lag_tests`: a row per pair and lag."""
+    lags = range(1, most + 1)
+    names = ["y", *[f"y{k}" for k in lags], *[f"x{k}" for k in lags]]
+    moments = ", ".join(f"covar_pop({a}, {c}) AS {a}_{c}" for i, a in enumerate(names) for c in names[i:])
+    shifted = ", ".join(f"lag(value, {k}) OVER w AS l{k}" for k in lags)
+    sides = ", ".join([*[f"p.l{k} AS y{k}" for k in lags], *[f"q.l{k} AS x{k}" for k in lags]])
+    each = " UNION ALL ".join(
+        f"SELECT traj_id, source, target, {k}::BIGINT AS lag, n, dof, y_x{k} AS score, y_x{k} / sqrt(-x{k}_x{k} * y_y / dof) AS t, (r0 - y_y) / {most} / (y_y / dof) AS joint_statistic FROM full_fit" for k in lags)
+    key = "traj_id, source, target, n, dof"
+    return f"""shifted AS (SELECT *, {shifted} FROM {source} WINDOW w AS (PARTITION BY traj_id, variable ORDER BY t)),
+      met AS (SELECT p.traj_id, q.variable AS source, p.variable AS target, p.value AS y, {sides} FROM shifted p JOIN shifted q ON p.traj_id = q.traj_id AND p.t = q.t AND p.variable <> q.variable WHERE p.l{most} IS NOT NULL AND q.l{most} IS NOT NULL),
+      cells AS (SELECT traj_id, source, target, count(*) AS n, count(*) - {2 * most + 1} AS dof, {moments} FROM met GROUP BY ALL HAVING count(*) > {2 * most + 1}),
+      {sweep('cells', names, [f'y{k}' for k in lags], key, 'own_fit')}, with_own AS (SELECT *, y_y AS r0 FROM own_fit),
+      {sweep('with_own', names, [f'x{k}' for k in lags], key + ', r0', 'full_fit')},
+      lag_tests AS (SELECT *, {_student('t', 'dof')} AS p_value FROM ({each}))"""
+
+
 #: Combined p-value of a group with k values and the sum l of their negative logarithms.
 _FISHER = "least(1.0, greatest(0.0, list_sum(list_transform(range(0, k), lambda i: exp(-l + CASE WHEN i = 0 THEN 0 ELSE i * ln(greatest(l, 1e-300)) END - lgamma(i + 1.0))))))"
 
@@ -253,6 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "q12_granger_joint": f"WITH {c('ev')}, z AS ({z('ev')}), {_granger('z')} SELECT traj_id, source, target, n, {_r('b1', 'b2', 'f', 'p', 't1', 'p1', 't2', 'p2')} FROM tested",
         "q13_granger_edges": f"WITH {c('ord')}, z AS ({z('ord')}), {_granger('z')}, e AS ({_EDGE_ROWS.format(keys='traj_id', alpha=0.5)}) SELECT traj_id, source, target, lag::BIGINT AS lag, {_r('score', 'p_value', 'joint_p_value', 'joint_statistic')} FROM e",
         "q14_granger_segmented": f"WITH {c('ord')}, z AS ({z('ord')}), {_SEGMENT.format(p='z', count=2, least=20)}, {_granger('segmented', 'traj_id, segment')}, e AS ({_EDGE_ROWS.format(keys='traj_id, segment', alpha=0.6)}) SELECT traj_id, segment, source, target, lag::BIGINT AS lag, {_r('score', 'p_value')} FROM e",
+        "q64_granger_any_order": f"WITH {c('ord')}, z AS ({z('ord')}), {_any_order('z', 3)} SELECT traj_id, source, target, lag, n, {_r('score', 't', 'joint_statistic')}, dof, {_r('p_value')} FROM lag_tests",
         "q66_heterogeneous_granger": f"WITH {c('ord')}, z AS ({z('ord')}), {_SEGMENT.format(p='z', count=2, least=20)}, {_granger('segmented', 'traj_id, segment')}, e AS ({_EDGE_ROWS.format(keys='traj_id, segment', alpha=0.6)}), f AS (SELECT traj_id, source, target, lag, avg(score) AS score, count(p_value) AS k, sum(-ln(greatest(p_value, 1e-16))) AS l, count(DISTINCT segment) AS segment_votes, string_agg(segment::VARCHAR, ',' ORDER BY segment) AS segments FROM e GROUP BY ALL) SELECT traj_id, source, target, lag::BIGINT AS lag, {_r('score')}, round({_FISHER}, 6) + 0.0 AS p_value, segment_votes, segments, segment_votes / 2 + 0.0 AS support_ratio FROM f",
         "q15_block_bootstrap_sample": f"WITH {c('ev')}, i AS ({_index()}) SELECT run_id::BIGINT AS run_id, traj_id, new_t::BIGINT AS t, variable, {_r('value')} FROM ev JOIN i USING (t)",
         "q16_granger_bootstrap_runs": f"WITH {c('ev')}, z AS ({z('ev')}), i AS ({_index()}), s AS (SELECT run_id::BIGINT AS run_id, new_t AS t, variable, value FROM z JOIN i USING (t)), {_granger('s', 'run_id')} SELECT run_id, source, target, n, {_r('f', 'p')} FROM tested",
