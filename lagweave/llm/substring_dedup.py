@@ -56,6 +56,11 @@ def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> U(40)) * U(ranges) >> U(24)).astype(np.int32)
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """One of so many numbers for each key of a document."""
+    return ((keys.astype(np.int64) & 0x7FFFFFFF) % buckets).astype(np.int32)
+
+
 def _short(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """The number of the range and 30 bits within it, as one number."""
     return (_range(hashes, ranges).astype(np.int64) << 30) | (hashes & U((1 << 30) - 1)).astype(np.int64)
@@ -63,27 +68,42 @@ def _short(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Each value of a sorted array and where it lies."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
-    for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.empty(0, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(keys[a]), slice(a, b)
 
 
-def _lists_by(keys: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, pa.Array]:
-    """The distinct keys and each one's values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pa.array(values, kind))
+def _groups(order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(Order by the last key first, as lexsort has it; where a new combination of keys begins in that order)."""
+    order = np.lexsort(order_by)
+    new = np.zeros(len(order), bool)
+    for key in order_by:
+        sorted_ = key[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
+    new[:1] = True
+    return order, np.flatnonzero(new)
+
 
+def _packed(batch_keys: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """For each key, in order, the bytes of each column's values."""
+    order = np.argsort(batch_keys, kind="stable")
+    keys, rows = [], [[] for _ in columns]
+    for k, part in _slices(batch_keys[order]):
+        keys.append(k)
+        for row, column in zip(rows, columns, strict=True):
+            row.append(column[order[part]].tobytes())
+    return keys, rows
 
-_PROBES = "range int, hashes binary, docs binary, doc int, hits array<long>"
+
+_PROBES = "range int, hashes binary, docs binary"
 
 
 def _probes(batches: Iterator[pa.RecordBatch], block: int, ranges: int, most: int) -> Iterator[pa.RecordBatch]:
     """For docs(mark, key, text), mark being part of the hash key: packed probes by range, and hits that recur within the batch already.
 
     Each distinct hash of the batch travels once, with its first document; its lowest bit says that it stands at a block,
-    the next that it occurs more than once, so that the batch's documents have their hits already.
+    the next that it occurs more than once, so that the batch's documents have their hits already. Those follow as rows of
+    the ranges from ranges on, one range for so many documents.
     """
 
     def reduced() -> Iterator[pa.RecordBatch]:
@@ -96,20 +116,18 @@ def _probes(batches: Iterator[pa.RecordBatch], block: int, ranges: int, most: in
         size = np.diff(np.append(starts, len(h)))
         flags = np.logical_or.reduceat(aligned[order], starts).astype(np.uint32) | ((size > 1).astype(np.uint32) << np.uint32(1))
         often = order[np.repeat(size > 1, size)]
-        ids, lists = _lists_by(doc[often], _short(h[often], ranges), pa.int64())
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ranges + (np.abs(ids.astype(np.int64)) % ranges).astype(np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(ids), lists], names)
+        keys, rows = _packed(ranges + _bucket(doc[often], ranges), _short(h[often], ranges), doc[often])
+        yield _batch(keys, rows)
         first = order[starts]
         back = np.argsort(first)  # as the documents come: equal document marks stand together
         first, flags = first[back], flags[back]
-        by = np.argsort(_range(h[first], ranges), kind="stable")
-        first, flags = first[by], flags[by]
         short = ((h[first] & U((1 << 30) - 1)).astype(np.uint32) << np.uint32(2)) | flags
-        rows = [(k, short[s].tobytes(), doc[first[s]].tobytes()) for k, s in _slices(_range(h[first], ranges))]
-        a, b, c = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.list_(pa.int64()))], names)
+        yield _batch(*_packed(_range(h[first], ranges), short, doc[first]))
+
+    def _batch(keys: list[int], rows: list[list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(r, pa.binary()) for r in rows]], names)
 
-    names = ["range", "hashes", "docs", "doc", "hits"]
+    names = ["range", "hashes", "docs"]
     held, marks, size, seen = [], [], 0, set()
     for batch in pieces(batches):
         for mark, key, text in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
@@ -141,29 +159,44 @@ def _by_range(batches: Iterator[pa.RecordBatch], whole) -> Iterator[pa.RecordBat
 
 
 def _hits(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """(doc, hits) of the hashes that stand at a block and elsewhere; a range lies in one task, a batch of it in a row."""
+    """The hashes that stand at a block and elsewhere, packed by documents' buckets; a range lies in one task."""
 
     def whole(at: int, rows: list) -> Iterator[pa.RecordBatch]:
         if at >= ranges:
-            yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc", "hits"])
-            return
-        h = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
-        doc = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
-        order = np.argsort(h >> np.uint32(2), kind="stable")
-        h, doc = h[order], doc[order]
-        starts = np.flatnonzero(np.concatenate(([True], (h[1:] ^ h[:-1]) > 3)))
-        size = np.diff(np.append(starts, len(h)))
-        flags = np.bitwise_or.reduceat(h & np.uint32(3), starts)
-        recurs = np.repeat((flags & np.uint32(1) > 0) & ((size > 1) | (flags > 1)), size) & (h & np.uint32(2) == 0)
-        ids, lists = _lists_by(doc[recurs], (np.int64(at) << 30) | (h[recurs] >> np.uint32(2)).astype(np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["doc", "hits"])
+            hits, doc = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.int64, np.int32)))
+        else:
+            h, doc = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint32, np.int32)))
+            order = np.argsort(h >> np.uint32(2), kind="stable")
+            h, doc = h[order], doc[order]
+            starts = np.flatnonzero(np.concatenate(([True], (h[1:] ^ h[:-1]) > 3)))
+            size = np.diff(np.append(starts, len(h)))
+            flags = np.bitwise_or.reduceat(h & np.uint32(3), starts)
+            recurs = np.repeat((flags & np.uint32(1) > 0) & ((size > 1) | (flags > 1)), size) & (h & np.uint32(2) == 0)
+            hits, doc = (np.int64(at) << 30) | (h[recurs] >> np.uint32(2)).astype(np.int64), doc[recurs]
+        keys, (a, b) = _packed(_bucket(doc, ranges), hits, doc)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["bucket", "hits", "docs"])
+
+    return _by_range(batches, whole)
+
+
+def _hits_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document: its mark and distinct hits."""
+
+    def whole(_: int, rows: list) -> Iterator[pa.RecordBatch]:
+        hits, doc = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.int64, np.int32)))
+        order, starts = _groups([hits, doc])
+        hits, doc = hits[order[starts]], doc[order[starts]]
+        cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)), pa.int32()), pa.array(hits, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), lists], ["doc", "hits"])
 
     return _by_range(batches, whole)
 
 
 #: Packed places of windows: 96 bits of hash, the document's key, the window's start.
 _PLACE = (("h", np.uint64), ("more", np.uint32), ("none", np.bool_), ("id", np.int64), ("hash", np.int64), ("start", np.int32))
-_PLACES = f"range int, {', '.join(f'{n} binary' for n, _ in _PLACE)}, key struct<none:boolean,id:bigint,hash:bigint>, starts array<int>"
+_PLACES = f"range int, {', '.join(f'{n} binary' for n, _ in _PLACE)}"
+_OWN = _PLACE[2:]
 
 
 def _origins(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,33 +208,21 @@ def _origins(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.logical_or.reduce([p[n][order] != p[n][first] for n in ("none", "id", "hash", "start")])
 
 
-def _repeats(p: dict[str, np.ndarray], at: int | None) -> pa.RecordBatch:
-    """A row per document with the starts of its windows that repeat."""
-    order = np.lexsort([p[n] for n in ("start", "hash", "id", "none")])
-    none, ids, texts, start = (p[n][order] for n in ("none", "id", "hash", "start"))
-    cut = np.flatnonzero(np.concatenate(([True], (none[1:] != none[:-1]) | (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])))) if len(order) else np.empty(0, np.int64)
-    key = pa.StructArray.from_arrays([pa.array(none[cut]), pa.array(ids[cut]), pa.array(texts[cut])], ["none", "id", "hash"])
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)), pa.int32()), pa.array(start, pa.int32()))
-    if at is None:
-        return pa.RecordBatch.from_arrays([key, lists], ["key", "starts"])
-    spread = pa.array((at + (texts[cut] & 0x7FFFFFFF) % at).astype(np.int32))
-    return pa.RecordBatch.from_arrays([spread, *[pa.nulls(len(cut), pa.binary())] * len(_PLACE), key, lists], ["range", *[n for n, _ in _PLACE], "key", "starts"])
-
-
 def _windows(batches: Iterator[pa.RecordBatch], window: int, block: int, ranges: int, spread: int, most: int) -> Iterator[pa.RecordBatch]:
     """For docs(_none, _id, _hash, text, hits): the windows around hits, packed by range; of equal ones of a batch only the first travels, the others are repeats."""
 
     def reduced() -> Iterator[pa.RecordBatch]:
         p = {n: np.concatenate([x[i] for x in held]) for i, (n, _) in enumerate(_PLACE)}
         order, later = _origins(p)
-        yield _repeats({n: v[order[later]] for n, v in p.items()}, spread)
-        keep = order[~later]
-        keep = keep[np.argsort(_range(p["h"][keep], spread), kind="stable")]
-        keep_rows = [(k, *[p[n][keep[s]].astype(kind).tobytes() for n, kind in _PLACE]) for k, s in _slices(_range(p["h"][keep], spread))]
-        cols = list(zip(*keep_rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(len(keep_rows), key), pa.nulls(len(keep_rows), pa.list_(pa.int32()))], ["range", *[n for n, _ in _PLACE], "key", "starts"])
-
-    key = pa.struct([("none", pa.bool_()), ("id", pa.int64()), ("hash", pa.int64())])
+        gone, keep = order[later], order[~later]
+        own = [p[n] for n, _ in _OWN]
+        keys, rows = _packed(spread + _bucket(p["hash"][gone], spread), *[x[gone] for x in own])
+        none = [[None] * len(keys)] * (len(_PLACE) - len(_OWN))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(r, pa.binary()) for r in (*none, *rows)]], names)
+        keys, rows = _packed(_range(p["h"][keep], spread), *[p[n][keep].astype(kind) for n, kind in _PLACE])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(r, pa.binary()) for r in rows]], names)
+
+    names = ["range", *[n for n, _ in _PLACE]]
     held, size, seen = [], 0, set()
     for batch in pieces(batches, 64):
         for none, id_, digest, text, hits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -229,16 +250,36 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, block: int, ranges:
 
 
 def _later(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa.RecordBatch]:
-    """(key, starts) of the windows that have an equal one before them."""
+    """The places of windows that have an equal one before them, packed by documents' buckets."""
 
     def whole(at: int, rows: list) -> Iterator[pa.RecordBatch]:
+        own = len(_PLACE) - len(_OWN)
         if at >= spread:
-            keys = pa.array([r[-2] for r in rows], pa.struct([("none", pa.bool_()), ("id", pa.int64()), ("hash", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([r[-1] for r in rows], pa.list_(pa.int32()))], ["key", "starts"])
-            return
-        p = {n: np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, (n, kind) in enumerate(_PLACE)}
-        order, later = _origins(p)
-        yield _repeats({n: v[order[later]] for n, v in p.items()}, None)
+            p = {n: np.concatenate([np.frombuffer(r[own + i], kind) for r in rows]) for i, (n, kind) in enumerate(_OWN)}
+        else:
+            p = {n: np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, (n, kind) in enumerate(_PLACE)}
+            order, later = _origins(p)
+            p = {n: p[n][order[later]] for n, _ in _OWN}
+        keys, packed = _packed(_bucket(p["hash"], spread), *[p[n] for n, _ in _OWN])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(r, pa.binary()) for r in packed]], ["bucket", *[n for n, _ in _OWN]])
+
+    return _by_range(batches, whole)
+
+
+def _repeats_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document: its key and the starts of its windows that repeat."""
+
+    def whole(_: int, rows: list) -> Iterator[pa.RecordBatch]:
+        p = {n: np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, (n, kind) in enumerate(_OWN)}
+        order, cut = _groups([p["start"], p["hash"], p["id"], p["none"]])
+        p = {n: x[order[cut]] for n, x in p.items()}  # repeated rows repeat their places
+        new = np.zeros(len(cut), bool)
+        for n in ("none", "id", "hash"):
+            new[1:] |= p[n][1:] != p[n][:-1]
+        new[:1] = True
+        cut = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(new)), pa.int32()), pa.array(p["start"], pa.int32()))
+        yield pa.RecordBatch.from_arrays([*[pa.array(p[n][cut]) for n in ("none", "id", "hash")], lists], [*_KEY, "starts"])
 
     return _by_range(batches, whole)
 
@@ -262,8 +303,8 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     copies = stored(copies.select(*_KEY, "n"))
     ranges = _ranges((profile.agg(F.sum("bytes")).head()[0] or 0) // 6, spark)
     probes = docs.select(mark, whole_mark.alias("key"), "_text").mapInArrow(lambda it: _probes(it, block, ranges, BATCH), _PROBES)
-    hits = probes.repartition("range").sortWithinPartitions("range").mapInArrow(lambda it: _hits(it, ranges), "doc int, hits array<long>")
-    hits = stored(hits.groupBy("doc").agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    hits = probes.repartition("range").sortWithinPartitions("range").mapInArrow(lambda it: _hits(it, ranges), "bucket int, hits binary, docs binary")
+    hits = stored(hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_hits_by_document, "doc int, hits array<long>"))
     counts = profile.join(copies, _KEY, "left_anti").groupBy(mark).agg(F.sum("n").alias("m"))
     known = stored(hits.join(counts.hint("merge"), hits["doc"] == F.col("mark")).select("mark", "hits", "m"))
     near = known.select(F.pmod("mark", F.lit(MARKS)).alias("near")).distinct()
@@ -271,8 +312,9 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     some = salted_join(some, known, ["mark"], F.monotonically_increasing_id(), "m")
     spread = _ranges(hits.agg(F.sum(F.size("hits"))).head()[0], spark)
     windows = some.select(*_KEY, "_text", "hits").mapInArrow(lambda it: _windows(it, window, block, ranges, spread, BATCH), _PLACES)
-    later = windows.repartition("range").sortWithinPartitions("range").mapInArrow(lambda it: _later(it, spread), "key struct<none:boolean,id:bigint,hash:bigint>, starts array<int>")
-    later = later.select(*[F.col(f"key.{k[1:]}").alias(k) for k in _KEY], "starts", F.lit(False).alias("whole"))
+    later = windows.repartition("range").sortWithinPartitions("range").mapInArrow(lambda it: _later(it, spread), f"bucket int, {', '.join(f'{n} binary' for n, _ in _OWN)}")
+    later = later.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats_by_document, "_none boolean, _id long, _hash long, starts array<int>")
+    later = later.withColumn("whole", F.lit(False))
     both = later.unionByName(copies.select(*_KEY, F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
     both = both.groupBy(*_KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("whole").alias("whole"))
     found = stored(both.join(profile.select(*_KEY, "n").hint("merge"), _KEY))
