@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import stored
 from .structure import PAIR, with_pair
 
+#: Tasks that the folds of one path are dealt to.
+SALTS = 16
+
 
 def combine(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Convex mean of the candidates' scores per trajectory and pair."""
@@ -76,57 +78,44 @@ def fit_cross_validated(scores: DataFrame, members: int) -> dict:
     return {"member_count": size, "path": chosen, "weights": {c: chosen.count(c) / size for c in dict.fromkeys(chosen)}, "summary": summary}
 
 
-def average_precision(score: np.ndarray, label: np.ndarray) -> float:
-    """Mean precision at the positives, equal scores as one threshold."""
-    order = np.argsort(-score, kind="stable")
-    hits = np.cumsum(label[order])
-    last = np.r_[np.flatnonzero(np.diff(score[order])), len(score) - 1]
-    gained = np.diff(np.r_[0, hits[last]])
-    return float((gained * hits[last] / (last + 1)).sum() / max(hits[-1], 1))
-
-
-def greedy(tables: dict, candidates: Sequence[str], members: int) -> list[tuple[str, float]]:
-    """(candidate, mean average precision) of each step, with replacement; ties go to the first name.
-
-    tables: per trajectory a (pairs, candidates) matrix and labels.
-    """
-    sums = {k: np.zeros(len(y)) for k, (_, y) in tables.items()}
-    path: list[tuple[str, float]] = []
-    for step in range(1, members + 1):
-        value = [np.mean([average_precision((sums[k] + x[:, i]) / step, y) for k, (x, y) in tables.items()]) for i in range(len(candidates))]
-        best = max(range(len(candidates)), key=lambda i: (round(value[i], 12), [-ord(c) for c in candidates[i]]))
-        for k, (x, _) in tables.items():
-            sums[k] = sums[k] + x[:, best]
-        path.append((candidates[best], float(value[best])))
-    return path
-
-
 def cross_validated(scores: DataFrame, members: int) -> DataFrame:
     """(fold, step, candidate, train_ap, held_out_ap): a greedy path per left-out trajectory; fold null uses all.
 
-    Each step tries every candidate on every trajectory of every fold as rows of one plan, so the work grows with folds times
-    scores, as leaving one out does, and no task holds more than a trajectory's pairs of one trial.
+    Folds that have chosen alike share one state: each step tries every candidate once per trajectory and distinct path so
+    far, and a fold's mean is that of all trajectories less its own. Work grows with scores times distinct paths, of which
+    there are few, not with folds times trajectories.
     """
     from .metrics import ranked
 
+    spark, kind = scores.sparkSession, scores.schema["traj_id"].dataType
     trajectories = scores.select("traj_id").distinct()
-    folds = trajectories.select(F.col("traj_id").cast("string").alias("key"), F.col("traj_id").alias("fold"))
-    folds = folds.union(scores.sparkSession.range(1).select(F.lit("all"), F.lit(None).cast(scores.schema["traj_id"].dataType)))
-    pairs = scores.groupBy("traj_id", *PAIR).agg(F.max("label").alias("label"))
-    state = stored(folds.crossJoin(pairs).withColumn("total", F.lit(0.0)))  # every fold judges every trajectory
+    folds = trajectories.select(F.col("traj_id").alias("fold")).union(spark.range(1).select(F.lit(None).cast(kind)))
+    folds = stored(folds.withColumn("path", F.lit("")))
     tries = scores.select("traj_id", *PAIR, "candidate", "score")
+    pairs = scores.groupBy("traj_id", *PAIR).agg(F.max("label").alias("label"))
+    state = stored(pairs.withColumns({"path": F.lit(""), "total": F.lit(0.0)}))
     steps = []
     for step in range(1, members + 1):
         trial = state.join(tries, ["traj_id", *PAIR]).withColumn("score", F.round((F.col("total") + F.col("score")) / step, 12))
-        ap = ranked(trial, ["key", "fold", "traj_id", "candidate"]).select("key", "fold", "traj_id", "candidate", F.coalesce("average_precision", "prevalence").alias("ap"))
-        held = F.col("traj_id").eqNullSafe(F.col("fold"))
-        value = ap.groupBy("key", "fold", "candidate").agg(F.avg(F.when(~held, F.col("ap"))).alias("train_ap"), F.max(F.when(held, F.col("ap"))).alias("held_out_ap"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("train_ap", 12)), "candidate"))
-        best = stored(value.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+        ap = ranked(trial, ["path", "traj_id", "candidate"]).select("path", "traj_id", "candidate", F.coalesce("average_precision", "prevalence").alias("ap"))
+        ap = stored(ap)
+        whole = ap.groupBy("path", "candidate").agg(F.sum("ap").alias("sum"), F.count("*").alias("n"))
+        # many folds share a path: they are dealt to SALTS tasks, which each get the path's few sums
+        dealt = folds.withColumn("salt", F.pmod(F.xxhash64("fold"), F.lit(SALTS)).cast("int"))
+        value = dealt.join(whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["path", "salt"])
+        own = ap.select("path", "candidate", F.col("traj_id").alias("fold"), F.col("ap").alias("held_out_ap"))
+        value = value.join(own, ["path", "candidate", "fold"], "left")
+        out = F.col("fold").isNotNull().cast("int")
+        value = value.withColumn("train_ap", (F.col("sum") - F.coalesce("held_out_ap", F.lit(0.0))) / F.when(F.col("n") > out, F.col("n") - out))
+        rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc(F.round("train_ap", 12)), "candidate"))
+        best = stored(value.withColumn("_rank", rank).where("_rank = 1").select("fold", "path", "candidate", "train_ap", "held_out_ap"))
         steps.append(best.select("fold", F.lit(step).alias("step"), "candidate", "train_ap", "held_out_ap"))
         if step < members:
-            taken = state.join(best.select("key", "candidate"), "key").join(tries, ["traj_id", *PAIR, "candidate"])
-            state = stored(taken.select("key", "fold", "traj_id", *PAIR, "label", (F.col("total") + F.col("score")).alias("total")))
+            chosen = best.select("path", "candidate").distinct()
+            longer = F.concat("path", F.length("candidate").cast("string"), F.lit(":"), "candidate").alias("path")
+            taken = state.join(chosen, "path").join(tries, ["traj_id", *PAIR, "candidate"])
+            state = stored(taken.select("traj_id", *PAIR, "label", longer, (F.col("total") + F.col("score")).alias("total")))
+            folds = stored(best.select("fold", longer))
     out = steps[0]
     for more in steps[1:]:
         out = out.union(more)

@@ -21,7 +21,7 @@ _NAMES = ("y", "y1", "y2", "x1", "x2")
 
 def _pairs(obs: DataFrame, most: int, by: Sequence[str]) -> DataFrame:
     """Rows per step and ordered pair: the target, its lags and the source's lags."""
-    with_lags = lags(obs, most)
+    with_lags = lags(obs, most, by)
     y = with_lags.select(*by, "t", F.col("variable").alias("target"), F.col("value").alias("y"), *[F.col(f"lag_{k}").alias(f"y{k}") for k in range(1, most + 1)])
     x = with_lags.select(*by, "t", F.col("variable").alias("source"), *[F.col(f"lag_{k}").alias(f"x{k}") for k in range(1, most + 1)])
     return y.join(x, [*by, "t"]).where("source <> target")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations as _combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import finite, valid_p
 from .fusion import EDGE
+from .ranks import accumulated, placed
 from .structure import PAIR, with_pair
 
 
@@ -56,22 +56,51 @@ def skeleton(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, eva
     return rows.withColumn("all_pairs_f1", 2 * F.col("prevalence") / (1 + F.col("prevalence")))
 
 
-def complete_pairs(edges: DataFrame, nodes: Sequence[str], evidence: str = "edge_probability", default: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
-    """One score per unordered pair of nodes: the best evidence of its edges, or the default.
+def _node_pairs(groups: DataFrame, nodes: Sequence[str]) -> DataFrame:
+    """groups with every unordered pair of nodes, which tasks count out."""
+    names = F.array(*map(F.lit, sorted(nodes)))
+    firsts = groups.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(nodes) - 2)))).repartition(*groups.columns, "_i")
+    pairs = firsts.withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.lit(len(nodes) - 1))))
+    return pairs.select(*groups.columns, F.get(names, F.col("_i")).alias("pair_lo"), F.get(names, F.col("_j")).alias("pair_hi"))
 
-    evidence: edge_probability, ensemble_score, one_minus_p_value or absolute_score.
-    """
+
+def _scored_pairs(edges: DataFrame, nodes: Sequence[str], evidence: str, by: Sequence[str]) -> DataFrame:
+    """(by, pair, score): the best evidence of each pair of nodes that has any."""
     if len(set(nodes)) < 2 or len(set(nodes)) != len(nodes):
         raise ValueError("at least two different nodes are needed")
     value = {"one_minus_p_value": lambda: 1 - valid_p(F.col("p_value")), "absolute_score": lambda: F.abs(finite(F.col("score")))}.get(evidence, lambda: finite(F.col(evidence)))()
-    best = with_pair(edges.where("source <> target")).withColumn("v", value).where("v IS NOT NULL").groupBy(*by, *PAIR).agg(F.max("v").alias("v"))
-    # the pairs of a panel's nodes, from its schema
-    grid = edges.sparkSession.createDataFrame([(min(a, b), max(a, b)) for a, b in _combinations(nodes, 2)], "pair_lo string, pair_hi string")
-    if by:
-        grid = edges.select(*by).distinct().crossJoin(grid)
+    rows = with_pair(edges.where("source <> target")).withColumn("v", value).where("v IS NOT NULL")
+    return rows.where(F.col("pair_lo").isin(*nodes) & F.col("pair_hi").isin(*nodes)).groupBy(*by, *PAIR).agg(F.max("v").alias("score"))
+
+
+def _groups(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    return edges.select(*by).distinct() if by else edges.sparkSession.range(1).select()
+
+
+def complete_pairs(edges: DataFrame, nodes: Sequence[str], evidence: str = "edge_probability", default: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """One score per unordered pair of nodes: the best evidence of its edges, or the default.
+
+    evidence: edge_probability, ensemble_score, one_minus_p_value or absolute_score. For a ranking, ranked_pairs() needs no
+    row for pairs without evidence.
+    """
+    best = _scored_pairs(edges, nodes, evidence, by).withColumnRenamed("score", "v")
+    grid = _node_pairs(_groups(edges, by), nodes)
     return grid.join(best, [*by, *PAIR], "left").select(*by, *PAIR, F.coalesce("v", F.lit(float(default))).alias("score"))
 
 
+def ranked_pairs(edges: DataFrame, truth: DataFrame, nodes: Sequence[str], evidence: str = "edge_probability", default: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """ranked() of all pairs of nodes from those alone that have evidence: the others are one level, whose pairs are counted."""
+    scored = label(_scored_pairs(edges, nodes, evidence, by), truth)
+    known = with_pair(truth.where("source <> target")).where(F.col("pair_lo").isin(*nodes) & F.col("pair_hi").isin(*nodes)).select(*PAIR).distinct().count()
+    levels = scored.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("label").alias("pos"))
+    seen = levels.groupBy(*by).agg(F.sum("k").alias("k"), F.sum("pos").alias("pos"))
+    every = len(nodes) * (len(nodes) - 1) // 2
+    groups = _groups(edges, by).withColumns({"score": F.lit(float(default)), "_n": F.lit(every), "_p": F.lit(known)})
+    rest = groups.join(seen, list(by), "left") if by else groups.join(F.broadcast(seen))  # one row each
+    rest = rest.select(*by, "score", (F.col("_n") - F.coalesce("k", F.lit(0))).alias("k"), (F.col("_p") - F.coalesce("pos", F.lit(0))).alias("pos")).where("k > 0")
+    return _ranked_levels(levels.unionByName(rest).groupBy(*by, "score").agg(F.sum("k").alias("k"), F.sum("pos").alias("pos")), by)
+
+
 def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds label 1 to pairs that the truth holds."""
     t = with_pair(truth.where("source <> target")).select(*PAIR).distinct().withColumn("t", F.lit(1))
@@ -111,8 +140,7 @@ def evidence_mode(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def baselines(keys: DataFrame, nodes: Sequence[str], truth: DataFrame, seed: int = 42) -> DataFrame:
     """(strategy, key, source, target) of two predictions per row of keys(key): every pair, and as many pairs, by a seeded hash, as are true."""
-    grid = keys.sparkSession.createDataFrame(list(_combinations(sorted(nodes), 2)), "source string, target string")
-    every = keys.select("key").crossJoin(grid)  # the pairs of a panel's nodes, from its schema
+    every = _node_pairs(keys.select("key"), nodes).withColumnsRenamed({"pair_lo": "source", "pair_hi": "target"})
     count = with_pair(truth.where("source <> target")).select(*PAIR).distinct().count()
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"), "source", "target"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(draw))
@@ -120,18 +148,22 @@ def baselines(keys: DataFrame, nodes: Sequence[str], truth: DataFrame, seed: int
     return every.select(F.lit("ALL_PAIRS").alias("strategy"), "*").union(some.select(F.lit("RANDOM_DENSITY").alias("strategy"), "*"))
 
 
+def _ranked_levels(levels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """ranked() from (by, score, k, pos): the pairs and true pairs of each distinct score."""
+    rows = accumulated(levels, [*by, "score"], {"_upto": F.col("k"), "_found": F.col("pos")}, by=by)
+    whole = levels.groupBy(*by).agg(F.sum("k").alias("_n"), F.sum("pos").alias("_p"))
+    rows = rows.join(whole, list(by)) if by else rows.join(F.broadcast(whole))  # one row
+    seen, hits = F.col("_n") - F.col("_upto") + F.col("k"), F.col("_p") - F.col("_found") + F.col("pos")
+    rows = rows.withColumns({"_rank_sum": F.col("pos") * (F.col("_upto") - F.col("k") + (F.col("k") + 1) / 2), "_gain": F.col("pos") * hits / seen})
+    total = rows.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_p").alias("_p"), F.sum("_rank_sum").alias("_r"), F.sum("_gain").alias("_g"))
+    n, p = F.col("_n"), F.col("_p")
+    ok = (p > 0) & (p < n)
+    return total.select(*by, F.when(ok, (F.col("_r") - p * (p + 1) / 2) / (p * (n - p))).alias("auroc"), F.when(ok, F.col("_g") / p).alias("average_precision"), (p / n).alias("prevalence"))
+
+
 def ranked(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """AUROC by mid-ranks and average precision over distinct thresholds of (by, score, label); null for a single class."""
-    levels = labelled.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("label").alias("pos"))
-    key = list(by) or [F.lit(0)]
-    up = Window.partitionBy(*key).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.withColumns({"below": F.coalesce(F.sum("k").over(up), F.lit(0)), "seen": F.sum("k").over(down), "hits": F.sum("pos").over(down)})
-    levels = levels.withColumns({"rank_sum": F.col("pos") * (F.col("below") + (F.col("k") + 1) / 2), "gain": F.col("pos") * F.col("hits") / F.col("seen")})
-    total = levels.groupBy(*by).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum("rank_sum").alias("r"), F.sum("gain").alias("g"))
-    ok = (F.col("p") > 0) & (F.col("p") < F.col("n"))
-    auroc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
-    return total.select(*by, F.when(ok, auroc).alias("auroc"), F.when(ok, F.col("g") / F.col("p")).alias("average_precision"), (F.col("p") / F.col("n")).alias("prevalence"))
+    return _ranked_levels(labelled.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("label").alias("pos")), by)
 
 
 def paired(results: DataFrame, metric: str, candidate: str, baseline: str, higher: bool = True) -> DataFrame:
@@ -182,11 +214,12 @@ def wilcoxon(d: np.ndarray) -> float:
 
 def holm(p_values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(…, p_value) with holm_p: running maximum of p times the tests that remain, 1 at most."""
-    key = list(by) or [F.lit(0)]
-    order = Window.partitionBy(*key).orderBy("p_value", "test")
-    left = F.count("*").over(Window.partitionBy(*key)) - F.row_number().over(order) + 1
-    rows = p_values.withColumn("raw", F.least(left * F.col("p_value"), F.lit(1.0)))
-    return rows.withColumn("holm_p", F.max("raw").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("raw")
+    order = ["p_value", "test"]
+    size = p_values.groupBy(*by).agg(F.count("*").alias("_tests"))
+    rows = placed(p_values, order, by, "_place")
+    rows = rows.join(size, list(by)) if by else rows.join(F.broadcast(size))  # one row
+    raw = F.least((F.col("_tests") - F.col("_place") + 1) * F.col("p_value"), F.lit(1.0))
+    return accumulated(rows.withColumn("_raw", raw), order, maxima={"holm_p": F.col("_raw")}, by=by).drop("_raw", "_tests", "_place")
 
 
 def superior(row: dict, holm_p: float, trajectories: int) -> bool:

@@ -90,11 +90,11 @@ def differences_by(obs: DataFrame, orders: DataFrame) -> DataFrame:
     return d.select("traj_id", "t", "variable", F.when(F.col("_short"), F.col("value")).otherwise(pick).alias("value"))
 
 
-def lags(obs: DataFrame, most: int) -> DataFrame:
-    """Each value beside its own lag_1 to lag_most; steps without all lags go."""
-    out = obs
+def lags(obs: DataFrame, most: int, by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """Each value beside its own lag_1 to lag_most; steps without all lags go. A series is a variable of a group by."""
+    out, own = obs, Window.partitionBy(*by, "variable").orderBy("t")
     for k in range(1, most + 1):
-        out = out.withColumn(f"lag_{k}", F.lag("value", k).over(series()))
+        out = out.withColumn(f"lag_{k}", F.lag("value", k).over(own))
     return out.where(" AND ".join(f"lag_{k} IS NOT NULL" for k in range(1, most + 1)))
 
 
@@ -233,16 +233,19 @@ def temporal_links(graph: DataFrame, obs: DataFrame) -> DataFrame:
     return both.groupBy("source", "target", "lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("score"))
 
 
-def block_index(spark, steps: int, runs: int, block: int, seed: int = 42) -> DataFrame:
-    """(run_id, new_t, t) of moving-block bootstrap samples: one random stream over all runs, blocks joined and cut."""
-    import numpy as np
+def block_index(spark, steps: int, runs: int, block: int, seed: int = 42, first: int = 1) -> DataFrame:
+    """(run_id, new_t, t) of the moving-block bootstrap samples first to runs: blocks of steps joined and cut.
 
+    Where a block starts is a hash of seed, run and block, so that a run is the same whichever others are drawn.
+    """
     block = min(max(block, 1), steps)
-    rng = np.random.default_rng(seed)
-    starts = [(run, b, int(s)) for run in range(1, runs + 1) for b, s in enumerate(rng.integers(0, steps - block + 1, size=-(-steps // block)))]
-    rows = spark.createDataFrame(starts, "run_id int, block int, start long")
+    blocks = -(-steps // block)
+    rows = spark.range(first * blocks, (runs + 1) * blocks) if runs >= first else spark.range(0)
+    rows = rows.select((F.col("id") / blocks).cast("int").alias("run_id"), (F.col("id") % blocks).alias("block"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "run_id", "block")), 1, 12), 16, 10).cast("long")
+    rows = rows.withColumn("start", drawn % (steps - block + 1))
     step = F.posexplode(F.sequence(F.col("start"), F.col("start") + block - 1)).alias("i", "t")
-    return rows.select("run_id", "block", step).select("run_id", (F.col("block").cast("long") * block + F.col("i")).alias("new_t"), "t").where(F.col("new_t") < steps)
+    return rows.select("run_id", "block", step).select("run_id", (F.col("block") * block + F.col("i")).alias("new_t"), "t").where(F.col("new_t") < steps)
 
 
 def bootstrap(obs: DataFrame, index: DataFrame) -> DataFrame:

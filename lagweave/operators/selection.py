@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.checkpoints import stored
+from ..sources.checkpoints import RunCache, fingerprint, shared_folder, stored
+from . import suite
 from .consensus import adaptive_weights, blended, consistency, stability_selection
 from .expert import apply_rules
 from .fusion import EDGE, compact, probabilities
 from .predictive import gate
+from .ranks import placed
 from .structure import ranked_structure, selected
 
 
@@ -90,28 +92,49 @@ def best(ranking: DataFrame, summary: DataFrame) -> DataFrame:
     return summary.join(ranking.orderBy(*ranking_order()).limit(1).select("combo_id"), "combo_id", "left_semi").select("combo_id", *EDGE, "edge_probability", "ensemble_score", "bootstrap_probability", "dominant_method")
 
 
+def _runs(obs: DataFrame, specs: dict, max_lag: int, bootstraps: int, block: int | None, seed: int, known: tuple[DataFrame, int] | None, cache: str | None, wave: int, seconds: float | None) -> tuple[DataFrame, int]:
+    """(edges of run 0 and the bootstrap runs that there are, number of bootstrap runs): those known or cached, cut or extended."""
+    make = lambda first, last: compact(suite.fit_grid(suite.with_bootstraps(obs, last, block, seed, first), specs, max_lag))
+    if known is not None:
+        edges, have = known
+        if have > bootstraps:
+            return stored(edges.where(F.col("run_id") <= bootstraps)), bootstraps
+        if have == bootstraps:
+            return edges, have
+        return stored(edges.unionByName(make(have + 1, bootstraps), allowMissingColumns=True)), bootstraps
+    if cache is None:
+        cache = shared_folder(obs.sparkSession)
+    config = {"data": fingerprint(obs.select("traj_id", "t", "variable", "value")), "max_lag": max_lag, "block": block, "seed": seed, "methods": {k: s.default_kwargs for k, s in specs.items()}}
+    runs = RunCache(obs.sparkSession, cache, config)
+    have = runs.extend(make, bootstraps + 1, wave, seconds)
+    return runs.read(have), have - 1
+
+
 def select_robust(
     obs: DataFrame, specs: dict, max_lag: int, bootstraps: int = 8, least: int = 2, most: int = 3, signed: Sequence[str] = (), min_votes: int = 1, rules: DataFrame | None = None,
-    density: float | None = None, predictive_weight: float = 0.0, parents: int = 0, block: int | None = None, seed: int = 42,
-) -> dict[str, DataFrame]:
+    density: float | None = None, predictive_weight: float = 0.0, parents: int = 0, block: int | None = None, seed: int = 42, known: tuple[DataFrame, int] | None = None,
+    cache: str | None = None, wave: int = 0, seconds: float | None = None,
+) -> dict:
     """From one panel to its best method combination: every method on the sample and its bootstrap samples, all combinations
     of least to most methods evaluated in one plan, ranked, and the best one's edges.
 
-    Returns edges, weights, summary, stability, ranking (best first by position) and best.
+    known: edges (run_id, method, ...) of run 0 and so many bootstrap runs, which are used as they are: if they are more than
+    bootstraps, the first; if fewer, the others are fitted, as a whole fit would have drawn them. cache: a folder of runs of
+    this data and these settings, used and extended likewise, in waves of so many runs; after so many seconds no wave begins
+    any more, and the runs that there are count.
+
+    Returns edges, bootstraps (the number of runs used), weights, summary, stability, ranking (best first by position) and best.
     """
-    from . import suite
     from .predictive import gains
 
     if obs.select("traj_id").distinct().count() != 1:
         raise ValueError("a combination is chosen for one trajectory")
     names = suite.variables(obs)
-    samples = suite.with_bootstraps(obs, bootstraps, block, seed)
-    edges = stored(compact(suite.fit_grid(samples, specs, max_lag)))
+    edges, bootstraps = _runs(obs, specs, max_lag, bootstraps, block, seed, known, cache, wave, seconds)
+    runs = obs.sparkSession.range(bootstraps + 1).select(F.col("id").cast("int").alias("run_id")).withColumn("method", F.explode(F.array(*map(F.lit, specs))))
     combo = combos(obs.sparkSession, [(k, s.weight) for k, s in specs.items()], least, most)
     found = gains(obs, edges.where("run_id = 0").withColumn("ensemble_score", F.abs("score")), max_lag, parents=parents) if predictive_weight > 0 else None
-    summary, stable, weights = evaluate(
-        edges, suite.run_table(samples, list(specs)), combo, signed, bootstraps, min_votes, rules=rules, density=density, nodes=len(names), gain_rows=found, predictive=(predictive_weight, 0.0, 0.5),
-    )
-    scored = stored(metrics(summary, weights, edges, suite.run_table(samples, list(specs)), combo, len(names)))
-    ranking = scored.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ranking_order())))  # one row per combination
-    return {"edges": edges, "weights": weights, "summary": summary, "stability": stable, "ranking": ranking, "best": best(scored, summary)}
+    summary, stable, weights = evaluate(edges, runs, combo, signed, bootstraps, min_votes, rules=rules, density=density, nodes=len(names), gain_rows=found, predictive=(predictive_weight, 0.0, 0.5))
+    scored = stored(metrics(summary, weights, edges, runs, combo, len(names)))
+    ranking = placed(scored, ranking_order())
+    return {"edges": edges, "bootstraps": bootstraps, "weights": weights, "summary": summary, "stability": stable, "ranking": ranking, "best": best(scored, summary)}

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import EDGE
+from .ranks import placed
 
 PAIR = ["pair_lo", "pair_hi"]
 
@@ -31,24 +32,8 @@ def restrict(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     return edges.join(allowed, ["source", "target"], "left_semi")
 
 
-def relations(nodes: Sequence[str], objective: str, source: str | None = None, target: str | None = None, pairs: Sequence[tuple[str, str]] = ()) -> list[tuple[str, str]]:
-    """The ordered pairs of distinct nodes that an objective is about."""
-    every = [(a, b) for a in nodes for b in nodes if a != b]
-    if objective == "full_structure":
-        return every
-    if objective == "causes_of_target":
-        return [x for x in every if x[1] == target]
-    if objective == "effects_of_source":
-        return [x for x in every if x[0] == source]
-    if objective == "compare_directions":
-        return [] if source == target else [(source, target), (target, source)]
-    if objective == "specific_relations":
-        return [x for x in every if x in set(pairs)]
-    raise ValueError(f"unknown objective {objective}")
-
-
 def relation_rows(nodes: DataFrame, objective: str, source: str | None = None, target: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """relations() of nodes(node) as rows (source, target), each node joined with those that the objective asks for."""
+    """The ordered pairs (source, target) of distinct nodes(node) that an objective is about, each node joined with those that it asks for."""
     a, b = nodes.select(F.col("node").alias("source")).distinct(), nodes.select(F.col("node").alias("target")).distinct()
     if objective == "causes_of_target":
         a, b = a, b.where(F.col("target") == target)
@@ -109,8 +94,7 @@ def ranked_structure(summary: DataFrame, density: float, nodes: int, by: Sequenc
         *([F.coalesce(F.max(c), F.lit(0.0)).alias(f"r{i}") for i, c in enumerate(("bootstrap_probability", "predictive_rank", "support_ratio"))] if rescue else []),
     )
     scored = pairs.where("ranked_selection_pair_score IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ranked_selection_pair_score"), *PAIR)) if by else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("ranked_selection_pair_score"), *PAIR))
-    ranked = scored.select(*by, *PAIR, rank.alias("ranked_selection_pair_rank"))
+    ranked = placed(scored, [F.desc("ranked_selection_pair_score"), *PAIR], by, "ranked_selection_pair_rank").select(*by, *PAIR, "ranked_selection_pair_rank")
     pairs = pairs.join(ranked, [*by, *PAIR], "left")
     chosen = F.coalesce(F.col("ranked_selection_pair_rank") <= budget, F.lit(False))
     if rescue:
@@ -142,8 +126,3 @@ def stability_order() -> list[Column]:
 
 def granger_order() -> list[Column]:
     return [F.col(c) for c in ("target", "source", "lag")]
-
-
-def placed(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "position") -> DataFrame:
-    """rows with their position, from 1, in an order; edges of one summary are few, those of several have by."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))

@@ -137,14 +137,15 @@ def _fit_moments(obs: DataFrame, functions: dict, max_lag: int, reach: int) -> D
     return lagged_moments(obs, reach).groupBy("traj_id", "run_id").applyInPandas(fit, _edge_schema(obs))
 
 
-def with_bootstraps(obs: DataFrame, runs: int, block: int | None = None, seed: int = 42) -> DataFrame:
-    """The sample itself as run 0 and so many moving-block samples; all trajectories share the index."""
+def with_bootstraps(obs: DataFrame, runs: int, block: int | None = None, seed: int = 42, first: int = 0) -> DataFrame:
+    """The sample itself as run 0 and so many moving-block samples, from run first on; all trajectories share the index."""
     base = obs.select(F.lit(0).alias("run_id"), "traj_id", "t", "variable", "value")
     if not runs:
         return base
     steps = int(obs.agg(F.max("t")).first()[0]) + 1
-    index = block_index(obs.sparkSession, steps, runs, block or max(2, steps // 10), seed)
-    return base.unionByName(bootstrap(obs, index))
+    index = block_index(obs.sparkSession, steps, runs, block or max(2, steps // 10), seed, max(first, 1))
+    more = bootstrap(obs, index)
+    return more if first else base.unionByName(more)
 
 
 def run_table(obs: DataFrame, methods: Sequence[str]) -> DataFrame:

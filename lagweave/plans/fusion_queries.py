@@ -189,14 +189,16 @@ def _run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q45_ranked_auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.ranked(_run_pairs(spark, sf_dir), ["traj_id"]))
+    """All pairs of nodes ranked by the best absolute score of each run, from the pairs with edges alone."""
+    rows = metrics.ranked_pairs(b.edge_table(spark, sf_dir), b.truth(spark), b.NODES, "absolute_score", by=["run_id"])
+    return _rounded(rows.withColumnRenamed("run_id", "traj_id"))
 
 
 def _run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trajectory_index, strategy, ap): average precision per run of two kinds of evidence."""
     edges, known = b.edge_table(spark, sf_dir), b.truth(spark)
     rows = [
-        metrics.ranked(metrics.label(metrics.complete_pairs(edges, b.NODES, kind, by=["run_id"]), known), ["run_id"]).select(F.col("run_id").alias("trajectory_index"), F.lit(kind).alias("strategy"), F.col("average_precision").alias("ap"))
+        metrics.ranked_pairs(edges, known, b.NODES, kind, by=["run_id"]).select(F.col("run_id").alias("trajectory_index"), F.lit(kind).alias("strategy"), F.col("average_precision").alias("ap"))
         for kind in ("absolute_score", "one_minus_p_value")
     ]
     return rows[0].union(rows[1])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +9,6 @@ from ..operators import granger, panel, predictive, preprocess, suite
 from . import bindings as b
 
 BLOCK, SAMPLES = 3, 5
-#: Steps of the given tables, which the bootstrap's SQL lists.
-DAYS = 30
 
 
 def _rounded(df: DataFrame, *exact: str) -> DataFrame:
@@ -260,13 +257,11 @@ def _any_order(source: str, most: int) -> str:
 _FISHER = "least(1.0, greatest(0.0, list_sum(list_transform(range(0, k), lambda i: exp(-l + CASE WHEN i = 0 THEN 0 ELSE i * ln(greatest(l, 1e-300)) END - lgamma(i + 1.0))))))"
 
 
-def _index() -> str:
-    """VALUES of the bootstrap index, from the same seeded stream."""
-    rng, rows = np.random.default_rng(42), []
-    for run in range(1, SAMPLES + 1):
-        starts = rng.integers(0, DAYS - BLOCK + 1, size=-(-DAYS // BLOCK))
-        rows += [(run, i, int(t)) for i, t in enumerate([t for s in starts for t in range(s, s + BLOCK)][:DAYS])]
-    return "SELECT * FROM (VALUES " + ", ".join(map(str, rows)) + ") x(run_id, new_t, t)"
+def _index(panel: str = "ev") -> str:
+    """SQL of the bootstrap index over all steps of a panel, from the same hash."""
+    starts = f"('0x' || substr(md5('42:' || run_id || ':' || block), 1, 12))::BIGINT % (steps - size + 1)"
+    return f"""SELECT run_id, block * size + i AS new_t, {starts} + i AS t FROM (SELECT max(t) + 1 AS steps, least({BLOCK}, max(t) + 1) AS size FROM {panel}), (SELECT unnest(range(1, {SAMPLES + 1})) AS run_id),
+      LATERAL (SELECT unnest(range(0, (steps + size - 1) // size)) AS block), LATERAL (SELECT unnest(range(0, size)) AS i) WHERE block * size + i < steps"""
 
 
 _EDGE_ROWS = """SELECT {keys}, source, target, 1 AS lag, b1 AS score, p1 AS p_value, p AS joint_p_value, f AS joint_statistic FROM tested WHERE p <= {alpha} AND p1 <= {alpha}

@@ -338,6 +338,23 @@ def q109_robust_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found["ranking"].select("position", "combination", "num_edges", "performance_score"))
 
 
+def q110_extended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal edges of the sample and four bootstrap samples, from a cache that held two runs, grew to six in waves of two and is read up to the fifth."""
+    obs = panel.zscore(b.events_panel(spark, sf_dir))
+    base = lambda last, first: suite.with_bootstraps(obs, last, pq.BLOCK, first=first)
+    make = lambda first, last: granger.edges(granger.tests(base(last, first), ["traj_id", "run_id"]), 0.5, ["traj_id", "run_id"])
+    runs = checkpoints.RunCache(spark, checkpoints.shared_folder(spark), {"data": checkpoints.fingerprint(obs), "block": pq.BLOCK})
+    runs.extend(make, 2)
+    runs.extend(make, pq.SAMPLES + 1, 2)
+    return _rounded(runs.read(pq.SAMPLES).select("run_id", "source", "target", "lag", "score", "p_value", "joint_p_value", "joint_statistic"))
+
+
+def q111_ranked_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked metrics of every run and method over all pairs of nodes, those without evidence counted as one level of a half."""
+    rows = metrics.ranked_pairs(b.edge_table(spark, sf_dir).where("score > 0.3"), b.truth(spark), b.NODES, "one_minus_p_value", 0.5, ["run_id", "method"])
+    return _rounded(rows)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
@@ -370,7 +387,18 @@ def oracle_sql() -> dict[str, str]:
     picked = "round(ensemble_score, 6) AS ensemble_score, round(support_ratio, 6) AS support_ratio"
     forbidden = " OR ".join(f"(source = '{x}' AND target = '{y}'" + ("" if lag is None else f" AND lag = {lag}") + ")" for _, x, y, lag, relation, _, kind, _ in b.RULES if relation == "none" and kind == "hard")
     found = "found AS (SELECT run_id, source, target FROM d GROUP BY run_id, source, target, lag HAVING count(*) >= 4)"
+    listed = ", ".join(f"'{x}'" for x in b.NODES)
+    q110 = f"""WITH {c('ev')}, z AS ({pq._Z.format(p='ev', eps='0')}), i AS ({pq._index('z')}), s AS (SELECT 0::BIGINT AS run_id, t, variable, value FROM z UNION ALL SELECT run_id, new_t, variable, value FROM z JOIN i USING (t) WHERE run_id < {pq.SAMPLES}),
+          {pq._granger('s', 'run_id')}, e AS ({pq._EDGE_ROWS.format(keys='run_id', alpha=0.5)}) SELECT run_id, source, target, lag::BIGINT AS lag, {_r('score', 'p_value', 'joint_p_value', 'joint_statistic')} FROM e"""
+    q111 = f"""WITH {c('edges', 'truth')}, n AS (SELECT unnest([{listed}]) AS v), grid AS (SELECT x.v AS pair_lo, y.v AS pair_hi FROM n x JOIN n y ON x.v < y.v), g AS (SELECT DISTINCT run_id, method FROM edges WHERE score > 0.3),
+          best AS (SELECT run_id, method, {_PAIR}, max(1 - p_value) AS s FROM edges WHERE score > 0.3 AND source <> target GROUP BY ALL), known AS (SELECT DISTINCT {_PAIR} FROM truth WHERE source <> target),
+          every AS (SELECT run_id, method, coalesce(s, 0.5) AS s, (known.pair_lo IS NOT NULL)::INT AS label FROM g CROSS JOIN grid LEFT JOIN best USING (run_id, method, pair_lo, pair_hi) LEFT JOIN known USING (pair_lo, pair_hi)),
+          m AS (SELECT *, rank() OVER (PARTITION BY run_id, method ORDER BY s) + (count(*) OVER (PARTITION BY run_id, method, s) - 1) / 2 AS r, sum(label) OVER (PARTITION BY run_id, method ORDER BY s DESC) AS hits, count(*) OVER (PARTITION BY run_id, method ORDER BY s DESC) AS seen FROM every),
+          o AS (SELECT run_id::BIGINT AS run_id, method, count(*) AS n, sum(label) AS p, sum(label * r) AS r, sum(label * hits / seen) AS ap FROM m GROUP BY ALL)
+          SELECT run_id, method, round((r - p * (p + 1) / 2) / (p * (n - p)), 6) + 0.0 AS auroc, round(ap / p, 6) + 0.0 AS average_precision, round(p / n, 6) + 0.0 AS prevalence FROM o"""
     return {
+        "q110_extended_runs": q110,
+        "q111_ranked_without_rows": q111,
         "q68_loaded_tables": f"WITH {c('ev')} SELECT format, 0::BIGINT AS traj_id, i AS t, (DATE '2024-01-01' + t::INT)::DATE::VARCHAR AS day, variable, {_r('value')} FROM {days} CROSS JOIN (SELECT unnest(['csv', 'parquet']) AS format) WHERE variable IN ('view', 'click')",
         "q69_resumed_study": f"WITH {c('traj')}, tot AS (SELECT traj_id, sum(value) AS total FROM traj GROUP BY ALL), m AS (SELECT *, avg(total) OVER () AS mean FROM tot), r AS (SELECT unnest([false, true]) AS retry_failed) SELECT traj_id::BIGINT AS trajectory_index, retry_failed, {_r('total')} FROM m CROSS JOIN r WHERE total <= mean OR (retry_failed AND total < 1.05::DOUBLE * mean)",
         "q70_cached_edges": f"WITH {d} SELECT {row}, round(score, 11) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d",
