@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hashed_sample, keyed, pieces, stored
+from .common import crc_mod, discard, hashed_sample, keyed, pieces, stored
 
 #: Common English insults.
 LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb imbecile jerk garbage vermin filth ugly retard bastard bitch"
@@ -40,6 +40,8 @@ PURITY = 0.95
 KINDS = 4
 #: Power of the posteriors' odds as which the classifier learns them.
 SHARP = 4
+#: Ridge of the classifier.
+RIDGE = 1e-4
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -99,11 +101,11 @@ def _spanning_tree(weight: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _kinds_of_votes(votes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """First weights per row and class: class 0, then KINDS groups of the rows that start as class 1, from farthest rows."""
+def _kinds_of_votes(votes: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
+    """First weights per row and class: class 0, then most groups of the rows that start as class 1, from farthest rows."""
     points = votes[start > 0.5].astype(float)
     centres = points[:1] if len(points) else votes[:1].astype(float)
-    while len(points) and len(centres) < KINDS:
+    while len(points) and len(centres) < most:
         gap = ((points[:, None] - centres) ** 2).sum(2).min(1)
         centres = np.vstack([centres, points[gap.argmax()]])
     for _ in range(20 if len(points) else 0):
@@ -113,7 +115,7 @@ def _kinds_of_votes(votes: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.column_stack([1 - start, *[start * (near == k) for k in range(len(centres))]])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20, least: float = 1.0) -> np.ndarray:
+def label_model(votes: np.ndarray, start: np.ndarray, kinds_: int | None = None, rounds: int = 20, least: float = 1.0) -> np.ndarray:
     """Posterior of class 1 per row of votes (1, 0 abstains, -1), by expectation maximisation from the given start.
 
     The model knows nothing but the votes. Class 1 is a mixture of KINDS kinds of rows. In each round it estimates, from
@@ -124,7 +126,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20, least: f
     n, m = votes.shape
     kinds = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float32).reshape(n, 3 * m)
     own = votes.astype(int) + 1
-    posterior = _kinds_of_votes(votes, start)
+    posterior = _kinds_of_votes(votes, start, kinds_ or KINDS)
     for _ in range(rounds):
         joint, single, related = [], [], np.zeros((m, m))
         for weight in posterior.T:
@@ -189,8 +191,8 @@ def _voters(dense: np.ndarray, toxic: np.ndarray) -> list[int]:
     return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, float], float]:
-    """Feature weights and bias, from rows of docs(doc_id, text) labelled in labels(doc_id, toxic) for which learn holds."""
+def _table(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
+    """(features, which hold for each fitted row, votes, whether any lexical voter speaks), or None without both classes."""
     lexicon = [f" {w} " for w in LEXICON.split()]
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("order", F.xxhash64("doc_id"))
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, fl
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         discard(texts)
-        return {f: 4.0 for f in lexicon}, -2.5
+        return None
 
     def counted(toxic: int, wanted: frozenset | None) -> DataFrame:
         return texts.where(F.col("toxic") == toxic).mapInArrow(lambda it: _counts(it, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -225,12 +227,52 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, fl
     chosen = list(dict.fromkeys([*_voters(dense, toxic), *(index[f] for f in known_lexicon)]))
     votes = np.column_stack([dense[:, chosen], hits >= 3, hits * 50 >= words.clip(1), -(hits == 0).astype(np.float32), rows["loud"].to_numpy()])
     spoken = dense[:, chosen].any(1)
-    posterior = label_model(votes, np.where(spoken, 0.9, 0.1))
     discard(texts)
-    odds = (posterior / np.maximum(1 - posterior, 1e-13)) ** SHARP
-    weights, bias = logistic(dense, (odds / (1 + odds)).astype(np.float32))
-    bias += float(np.log(0.7 / 0.3)) - operating_point(dense @ weights + bias, posterior)
-    return {f: float(weights[i]) for f, i in index.items() if weights[i]}, bias
+    return list(index), dense, votes, spoken
+
+
+def _trained(dense: np.ndarray, votes: np.ndarray, spoken: np.ndarray, kinds: int, sharp: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the classifier of the posteriors."""
+    posterior = label_model(votes, np.where(spoken, 0.9, 0.1), kinds)
+    odds = (posterior / np.maximum(1 - posterior, 1e-13)) ** sharp
+    weights, bias = logistic(dense, (odds / (1 + odds)).astype(np.float32), ridge=ridge)
+    return weights, bias + float(np.log(0.7 / 0.3)) - operating_point(dense @ weights + bias, posterior)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, float], float]:
+    """Feature weights and bias, from rows of docs(doc_id, text) labelled in labels(doc_id, toxic) for which learn holds."""
+    found = _table(docs, labels, learn)
+    if found is None:
+        return {f" {w} ": 4.0 for w in LEXICON.split()}, -2.5
+    index, dense, votes, spoken = found
+    weights, bias = _trained(dense, votes, spoken, KINDS, SHARP, RIDGE)
+    return {f: float(w) for f, w in zip(index, weights, strict=True) if w}, bias
+
+
+def folds_of_settings(docs: DataFrame, labels: DataFrame, learn: Column, settings: list[tuple[int, float, float]], folds: int = 5) -> list[tuple[int, float, float, float, float]]:
+    """(kinds, sharp, ridge, recall, share of clean rows flagged) over folds of the rows for which learn holds, best first.
+
+    Each fold is left out in turn: features, voters and classifier come from the others, so no row that a score is judged by
+    has taught it. The constants KINDS, SHARP and RIDGE are what this gives; rows outside of learn take no part.
+    """
+    part = crc_mod(F.col("doc_id"), 1009) % folds
+    hits = {s: np.zeros(4) for s in settings}
+    for fold in range(folds):
+        found = _table(docs, labels, learn & (part != fold))
+        if found is None:
+            continue
+        index, dense, votes, spoken = found
+        mine = labels.where(learn & (part == fold)).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        judged = stored(docs.select("doc_id", "text").where("text IS NOT NULL").join(mine, "doc_id"))
+        toxic = {r["doc_id"]: r["toxic"] for r in judged.select("doc_id", "toxic").collect()}
+        for s in settings:
+            weights, bias = _trained(dense, votes, spoken, *s)
+            model = {f: float(w) for f, w in zip(index, weights, strict=True) if w}, bias
+            for r in toxicity(judged, model).collect():
+                hits[s] += np.array([toxic[r["doc_id"]], toxic[r["doc_id"]] * (r["score"] >= 0.7), 1 - toxic[r["doc_id"]], (1 - toxic[r["doc_id"]]) * (r["score"] >= 0.7)])
+        discard(judged)
+    rows = [(*s, float(h[1] / max(h[0], 1)), float(h[3] / max(h[2], 1))) for s, h in hits.items()]
+    return sorted(rows, key=lambda r: (-(r[3] - 5 * r[4]), r[:3]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
