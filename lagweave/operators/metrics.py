@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,42 +173,66 @@ def paired(results: DataFrame, metric: str, candidate: str, baseline: str, highe
     return both.select("trajectory_index", (d if higher else -d).alias("difference"))
 
 
-def superiority(differences: DataFrame, bootstraps: int = 10_000, seed: int = 42) -> dict[str, float]:
-    """Mean difference with a bootstrap interval, Wilcoxon p-value, win and tie rates and effect size.
+def bootstrap_means(differences: DataFrame, bootstraps: int, seed: int = 42) -> DataFrame:
+    """(draw, mean) of so many resamples: each takes as many differences as there are, with the counts that hashes give them.
 
-    One number per trajectory reaches the driver: trajectories are experiments, not data.
+    differences: (trajectory_index, difference). Tasks count the hashes of each draw by position, so a difference enters
+    a draw once, with its weight.
     """
-    d = np.array([r[0] for r in differences.orderBy("trajectory_index").select("difference").collect()], float)
-    rng = np.random.default_rng(seed)
-    means = d[rng.integers(0, len(d), size=(bootstraps, len(d)))].mean(1)
-    sd = d.std(ddof=1) if len(d) > 1 else 0.0
-    return {
-        "mean_difference": float(d.mean()), "ci_low": float(np.quantile(means, 0.025)), "ci_high": float(np.quantile(means, 0.975)), "p_value": wilcoxon(d),
-        "win_rate": float((d > 0).mean()), "tie_rate": float(np.isclose(d, 0).mean()), "effect_size": float(d.mean() / sd) if sd else (0.0 if np.isclose(d.mean(), 0) else float(np.copysign(np.inf, d.mean()))),
-    }
-
-
-def wilcoxon(d: np.ndarray) -> float:
-    """Two-sided signed-rank p-value: exact for up to 25 differences without ties, else the normal approximation."""
-    from statistics import NormalDist
-
-    d = d[~np.isclose(d, 0)]
-    n = len(d)
-    if not n:
-        return 1.0
-    size = np.abs(d)
-    order = np.argsort(size, kind="stable")
-    rank = np.empty(n)
-    values, start, count = np.unique(size[order], return_index=True, return_counts=True)
-    rank[order] = np.repeat(start + (count + 1) / 2, count)
-    w = min(rank[d > 0].sum(), rank[d < 0].sum())
-    if n <= 25 and len(values) == n:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r]
-        return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2**n))
-    variance = n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48
+    rows = placed(differences.where("difference IS NOT NULL"), ["trajectory_index"], name="_at").select((F.col("_at") - 1).alias("at"), F.col("difference").cast("double").alias("d"))
+    size = rows.count()
+    if not size:
+        raise ValueError("there is no difference")
+    picks = differences.sparkSession.range(size * bootstraps).select(F.floor(F.col("id") / size).cast("long").alias("draw"), (F.col("id") % size).alias("pick"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "pick")), 1, 12), 16, 10).cast("long") % size
+    weights = picks.groupBy("draw", drawn.alias("at")).agg(F.count("*").alias("w"))
+    return weights.join(rows, "at").groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("mean"))
+
+
+def signed_ranks(differences: DataFrame) -> DataFrame:
+    """One row (n, levels, w, ties, exact_p): of the differences that aren't close to 0, how many there are, how many sizes, the smaller rank
+    sum, the sum of k^3 - k over sizes of k, and the exact two-sided p-value for up to 25 of different sizes, else null."""
+    d = F.col("difference").cast("double")
+    sizes = differences.where(d.isNotNull() & (F.abs(d) > 1e-8)).groupBy(F.abs(d).alias("size")).agg(F.count("*").alias("k"), F.count_if(d > 0).alias("up"))
+    rows = accumulated(sizes, ["size"], {"upto": F.col("k")}).withColumn("rank", F.col("upto") - F.col("k") + (F.col("k") + 1) / 2)
+    k = F.col("k").cast("double")
+    found = rows.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count("*").alias("levels"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("plus"),
+        F.coalesce(F.sum((F.col("k") - F.col("up")) * F.col("rank")), F.lit(0.0)).alias("minus"), F.coalesce(F.sum(k * k * k - k), F.lit(0.0)).alias("ties"),
+    )
+    found = found.withColumn("w", F.least("plus", "minus"))
+    # how many sign patterns have each rank sum, rank by rank
+    ways = F.aggregate(
+        F.sequence(F.lit(1), F.col("n").cast("int")), F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), 325)),
+        lambda a, r: F.zip_with(a, F.concat(F.array_repeat(F.lit(0.0), r), F.slice(a, F.lit(1), F.lit(326) - r)), lambda x, y: x + y),
+    )
+    low = F.aggregate(F.slice(ways, F.lit(1), F.floor("w").cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
+    exact = F.when(F.col("n") == 0, F.lit(1.0)).when((F.col("n") <= 25) & (F.col("levels") == F.col("n")), F.least(F.lit(1.0), 2 * low / F.pow(F.lit(2.0), F.col("n"))))
+    return found.select("n", "levels", "w", "ties", exact.alias("exact_p"))
+
+
+def superiority_row(differences: DataFrame, bootstraps: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: mean difference with a bootstrap interval, signed ranks, win and tie rates and effect size of (trajectory_index, difference)."""
+    d = F.col("difference").cast("double")
+    base = differences.where(d.isNotNull()).agg(
+        F.avg(d).alias("mean_difference"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), F.avg((d > 0).cast("double")).alias("win_rate"), F.avg((F.abs(d) <= 1e-8).cast("double")).alias("tie_rate"),
+    )
+    means = bootstrap_means(differences, bootstraps, seed).agg(*[F.percentile("mean", q).alias(n) for n, q in (("ci_low", 0.025), ("ci_high", 0.975))])
+    rows = base.join(F.broadcast(means)).join(F.broadcast(signed_ranks(differences)))  # one row each
+    size = F.when(F.abs("mean_difference") <= 1e-8, F.lit(0.0)).otherwise(F.signum("mean_difference") * F.lit(float("inf")))
+    return rows.withColumn("effect_size", F.when(F.col("sd") > 0, F.col("mean_difference") / F.col("sd")).otherwise(size)).drop("sd")
+
+
+def superiority(differences: DataFrame, bootstraps: int = 10_000, seed: int = 42) -> dict[str, float]:
+    """superiority_row() as numbers, with the p-value of the signed ranks: exact, else by the normal approximation."""
+    r = superiority_row(differences, bootstraps, seed).first().asDict()
+    n, levels, w, ties, exact = (r.pop(k) for k in ("n", "levels", "w", "ties", "exact_p"))
+    return r | {"p_value": exact if exact is not None else normal_p(n, w, ties)}
+
+
+def normal_p(n: int, w: float, ties: float) -> float:
+    """Two-sided p-value of a rank sum w of n differences by the normal approximation, corrected for ties."""
+    variance = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return float(min(1.0, 2 * NormalDist().cdf((w - n * (n + 1) / 4) / variance**0.5)))
 
 

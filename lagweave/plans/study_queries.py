@@ -355,6 +355,13 @@ def q111_ranked_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows)
 
 
+def q112_superiority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether absolute scores beat p-values as evidence over the runs: interval of 500 resamples, signed ranks, rates and effect size."""
+    pairs = metrics.paired(fq._run_metrics(spark, sf_dir), "ap", "absolute_score", "one_minus_p_value")
+    rows = metrics.superiority_row(pairs.withColumn("difference", F.round("difference", 6)), 500)
+    return _rounded(rows)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
@@ -398,6 +405,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT run_id, method, round((r - p * (p + 1) / 2) / (p * (n - p)), 6) + 0.0 AS auroc, round(ap / p, 6) + 0.0 AS average_precision, round(p / n, 6) + 0.0 AS prevalence FROM o"""
     return {
         "q110_extended_runs": q110,
+        "q112_superiority": f"""WITH x AS ({fq.oracle_sql()['q46_paired_differences']}), a AS (SELECT row_number() OVER (ORDER BY trajectory_index) - 1 AS spot, difference AS d FROM x), c AS (SELECT count(*) AS size FROM a),
+          picks AS (SELECT draw, ('0x' || substr(md5('42:' || draw || ':' || pick), 1, 12))::BIGINT % size AS spot FROM c, (SELECT unnest(range(500)) AS draw), LATERAL (SELECT unnest(range(size)) AS pick)),
+          means AS (SELECT draw, avg(d) AS m FROM picks JOIN a USING (spot) GROUP BY draw), nz AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM a WHERE abs(d) > 1e-8),
+          t AS (SELECT count(*) AS n, count(DISTINCT abs(d)) AS levels, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM nz), g AS (SELECT count(*)::DOUBLE AS k FROM nz GROUP BY abs(d)),
+          e AS (SELECT CASE WHEN n <= 25 AND levels = n THEN least(1.0, 2 * (SELECT count(*) FROM (SELECT unnest(range((1 << n)::BIGINT)) AS m) WHERE list_sum(list_transform(range(n), lambda i: ((m >> i) & 1) * (i + 1))) <= w) / pow(2, n)) END AS exact_p FROM t)
+          SELECT round((SELECT avg(d) FROM a), 6) + 0.0 AS mean_difference, round((SELECT quantile_cont(m, 0.025) FROM means), 6) + 0.0 AS ci_low, round((SELECT quantile_cont(m, 0.975) FROM means), 6) + 0.0 AS ci_high,
+            round((SELECT avg((d > 0)::INT) FROM a), 6) + 0.0 AS win_rate, round((SELECT avg((abs(d) <= 1e-8)::INT) FROM a), 6) + 0.0 AS tie_rate, round((SELECT avg(d) / stddev_samp(d) FROM a), 6) + 0.0 AS effect_size,
+            n::BIGINT AS n, levels::BIGINT AS levels, round(w, 6) + 0.0 AS w, round((SELECT sum(k * k * k - k) FROM g), 6) + 0.0 AS ties, round(exact_p, 6) + 0.0 AS exact_p FROM t, e""",
         "q111_ranked_without_rows": q111,
         "q68_loaded_tables": f"WITH {c('ev')} SELECT format, 0::BIGINT AS traj_id, i AS t, (DATE '2024-01-01' + t::INT)::DATE::VARCHAR AS day, variable, {_r('value')} FROM {days} CROSS JOIN (SELECT unnest(['csv', 'parquet']) AS format) WHERE variable IN ('view', 'click')",
         "q69_resumed_study": f"WITH {c('traj')}, tot AS (SELECT traj_id, sum(value) AS total FROM traj GROUP BY ALL), m AS (SELECT *, avg(total) OVER () AS mean FROM tot), r AS (SELECT unnest([false, true]) AS retry_failed) SELECT traj_id::BIGINT AS trajectory_index, retry_failed, {_r('total')} FROM m CROSS JOIN r WHERE total <= mean OR (retry_failed AND total < 1.05::DOUBLE * mean)",

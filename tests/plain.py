@@ -44,3 +44,27 @@ def relations(nodes: Sequence[str], objective: str, source: str | None = None, t
     if objective == "specific_relations":
         return [x for x in every if x in set(pairs)]
     raise ValueError(f"unknown objective {objective}")
+
+
+def wilcoxon(d: np.ndarray) -> float:
+    """Two-sided signed-rank p-value: exact for up to 25 differences without ties, else the normal approximation."""
+    from statistics import NormalDist
+
+    d = d[~np.isclose(d, 0)]
+    n = len(d)
+    if not n:
+        return 1.0
+    size = np.abs(d)
+    order = np.argsort(size, kind="stable")
+    rank = np.empty(n)
+    values, start, count = np.unique(size[order], return_index=True, return_counts=True)
+    rank[order] = np.repeat(start + (count + 1) / 2, count)
+    w = min(rank[d > 0].sum(), rank[d < 0].sum())
+    if n <= 25 and len(values) == n:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] = ways[r:] + ways[:-r]
+        return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2**n))
+    variance = n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48
+    return float(min(1.0, 2 * NormalDist().cdf((w - n * (n + 1) / 4) / variance**0.5)))

@@ -67,6 +67,20 @@ def test_folds_share_paths(spark):
             assert np.allclose([steps[i].held_out_ap for i in range(1, 5)], [plain.average_precision(np.round(total[i - 1] / i, 12), y) for i in range(1, 5)])
 
 
+@pytest.mark.parametrize("kind", ["exact", "tied", "many", "zero", "one"])
+def test_signed_ranks_and_interval(spark, kind):
+    rng = np.random.default_rng(3)
+    d = {"exact": rng.normal(0.3, 1, 9), "tied": rng.integers(-2, 5, 30) / 2, "many": rng.normal(0.1, 1, 60), "zero": np.zeros(4), "one": np.array([0.5])}[kind]
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(d)], "trajectory_index int, difference double")
+    got = metrics.superiority(rows, 400)
+    assert abs(got["p_value"] - plain.wilcoxon(np.asarray(d, float))) < 1e-12
+    means = np.array([r["mean"] for r in metrics.bootstrap_means(rows, 400).collect()])
+    assert len(means) == 400 and np.allclose([got["ci_low"], got["ci_high"]], np.quantile(means, [0.025, 0.975]))
+    assert abs(means.mean() - d.mean()) < 4 * d.std() / len(d) ** 0.5 / 20 + 1e-12 and abs(means.std() - d.std() / len(d) ** 0.5) < 0.2 * d.std() / len(d) ** 0.5 + 1e-12
+    assert np.isclose(got["win_rate"], (d > 0).mean()) and np.isclose(got["tie_rate"], (d == 0).mean())
+    assert got["effect_size"] == (0 if kind == "zero" else float("inf") if kind == "one" else pytest.approx(d.mean() / d.std(ddof=1)))
+
+
 def test_runs_are_cut_replayed_and_extended(spark, tmp_path):
     made = []
 
