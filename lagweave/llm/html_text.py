@@ -23,7 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +38,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea head title dialog menu object video audio".split())
+DROPPED = frozenset("nav footer aside form fieldset legend label datalist output progress meter script style noscript template iframe svg canvas button select textarea head title dialog menu object video audio".split())
 CONTENT = frozenset("article main".split())
 #: Elements that group blocks, not single paragraphs, headings, items or inline elements.
 GROUPS = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption summary br hr option".split())
@@ -54,6 +54,8 @@ NAMED = frozenset(
 READERS = frozenset("comment comments disqus replies respond".split())
 #: Those of NAMED that also name parts of articles, when they stand beside other words.
 SHARED = frozenset("related recommended recommendations social share sharing notice notices alert search login skip hidden promo promotion respond replies banner widget subscription".split())
+#: Words of names that say nothing of what a part holds.
+FILLER = frozenset("this that post page us on in at it the our your my all more buttons button links link list items item box bar block wrap wrapper container section area icons icon tools left right top bottom inner outer".split())
 #: Words of names that say what stands beside or inside a part, not what it is.
 BESIDE = frozenset("has with without no".split())
 HEADERS = frozenset("header masthead banner topbar".split())
@@ -61,7 +63,8 @@ HEADERS = frozenset("header masthead banner topbar".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main body td th".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_BROKEN = re.compile(r"<!--|<[a-zA-Z/!?]")
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _GONE = re.compile(r"""\shidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -81,7 +84,7 @@ def _names(attributes: str) -> list[list[set[str]]]:
     return [[{w.lower() for w in _PART.findall(name)} for name in (m[2] or m[3] or m[4] or "").split()] for m in _NAME.finditer(attributes)]
 
 
-def _unwanted(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, str, bool]:
+def _unwanted(tag: str, attributes: str, in_content: bool) -> tuple[bool, str, bool]:
     """Whether an element is no content, what its names say of it beside others, and whether it holds readers' texts."""
     names = _names(attributes) if attributes else []
     readers = any(w and w <= NAMED and w & READERS for x in names for w in x)
@@ -90,12 +93,14 @@ def _unwanted(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, str,
     if tag in ("body", "html", *CONTENT):
         return False, "", False
     top = tag == "header" or any(w & HEADERS for x in names for w in x)
-    inside = top and any(n.tag in CONTENT for n in stack)
+    inside = top and in_content
     if tag == "header":
         return not inside, "", readers
     bad = NAMED - HEADERS if inside else NAMED | HEADERS
     if any(x and all(w and w <= bad for w in x) for x in names):
         return True, "", readers
+    if any(w and w & bad and w <= bad | FILLER for x in names for w in x):
+        return False, "plain", readers
     beside = set().union(*[w & bad for x in names for w in x if not w & BESIDE])
     return False, "plain" if beside - SHARED else "shared" if beside else "", readers
 
@@ -119,10 +124,40 @@ def _closed(page: str) -> set[int]:
     return found
 
 
+class _Open:
+    """The open elements, and where those of each tag and the scopes stand among them, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def end(self, tags: Iterable[str], any_scope: bool = False) -> None:
+        """Ends the last open element of these tags and all within it, if it stands within the last scope or may stand outside."""
+        at = max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+        if not at or not any_scope and self.scopes and at < self.scopes[-1]:
+            return
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
 def parse(page: str) -> Node:
     """The tree of a page without the parts that its structure names as unwanted."""
+    last = page.rfind(">") + 1
+    if broken := _BROKEN.search(page, last):
+        page = page[: broken.start()]
     root = Node("body", None)
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     at, skip, depth = 0, "", 0  # skip: the tag of an unwanted subtree, open depth times
     whole, closed = False, None  # whole: the subtree goes with any articles in it; closed: found once needed
     for m in _TAG.finditer(page):
@@ -148,23 +183,14 @@ def parse(page: str) -> Node:
             if skip or closes or tag not in CONTENT:
                 continue
         if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in BLOCK:
-                    break
+            opened.end((tag,), tag in BLOCK)
             continue
         if tag in ("html", "body", "head"):
             continue
-        ends = {"p"} | ENDS.get(tag, set()) if tag in BLOCK and tag != "br" else ()
-        for i in range(len(stack) - 1, 0, -1) if ends else ():
-            if stack[i].tag in ends:
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPE:
-                break
-        drop, named, readers = _unwanted(tag, (m[3] if m[2] else m[5]) or "", stack) if tag not in VOID else (False, "", False)
+        if tag in BLOCK and tag != "br":
+            opened.end({"p"} | ENDS.get(tag, set()))
+        in_content = any(opened.where.get(t) for t in CONTENT)
+        drop, named, readers = _unwanted(tag, (m[3] if m[2] else m[5]) or "", in_content) if tag not in VOID else (False, "", False)
         if drop:
             if not (m[0].endswith("/>")):
                 skip, depth = tag, 1
@@ -175,7 +201,7 @@ def parse(page: str) -> Node:
         node = Node(tag, stack[-1], named)
         stack[-1].items.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
-            stack.append(node)
+            opened.push(node)
     if at < len(page) and not skip:
         stack[-1].items.append(page[at:])
     return root
