@@ -208,7 +208,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n int, d1 long, d2 long, tokens array<long>, counts array<int>"))
     rows = profile.where("n >= 0")
-    classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
+    classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     kept = classes.select("d1", "d2", F.col("rep").alias("doc_id"))
     common = _common_tokens(profile)
     signatures = _signed_documents(docs, k, percent, common).join(kept, ["d1", "d2", "doc_id"], "left_semi")
@@ -253,6 +253,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         discard(more)
     discard(placed, second, signatures, links)
 
-    named = rows.join(classes, ["d1", "d2"], "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    # a class has its component before its copies, which may be many, meet it; rows without a class meet nothing
+    found = classes.join(parts.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    found = stored(found.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "copies"))
+    inside = F.col("d1").isNotNull() & F.col("doc_id").isNotNull()
+    size = F.col("n").cast("long").alias("n_shingles")
+    named = salted_join(rows.where(inside), found, ["d1", "d2"], F.xxhash64("doc_id"), "copies").select("doc_id", size, "component_id")
+    return named.union(rows.where(~inside).select("doc_id", size, F.col("doc_id").alias("component_id")))
