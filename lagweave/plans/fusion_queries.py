@@ -17,7 +17,17 @@ BOOT = b.RUNS - 1
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.edge_table(spark, sf_dir).where("run_id = 0")
+    """All edges as one run, for queries that aren't about runs."""
+    return b.edge_table(spark, sf_dir).withColumn("run_id", F.lit(0))
+
+
+def as_one_run(sql: str) -> str:
+    """SQL over the edge table with all its rows in run 0."""
+    return sql.replace(f"(o_orderkey % {b.RUNS})::INT AS run_id", "0::INT AS run_id")
+
+
+#: Queries over _base().
+ONE_RUN = "q17 q18 q22 q25 q42 q43 q44 q47 q51 q52 q53".split()
 
 
 def _text(df: DataFrame, *columns: str) -> DataFrame:
@@ -25,7 +35,7 @@ def _text(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def q17_dedup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(fusion.dedup(_base(spark, sf_dir)), "score")
+    return _rounded(fusion.dedup(_base(spark, sf_dir)), "score", places=13)
 
 
 def q18_vote_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,8 +434,8 @@ def oracle_sql() -> dict[str, str]:
     ranked, counts, prf, run_pairs, auc, candidates, combined = (s[k] for k in "ranked counts prf run_pairs auc candidates combined".split())
     angle = lambda x: f"(2 * pi() * (list_position([{', '.join(repr(n) for n in b.NODES)}], {x}) - 1) / {len(b.NODES)})"
     place = lambda x: f"(list_position([{', '.join(repr(n) for n in b.NODES)}], {x}) - 1)::BIGINT"
-    return {
-        "q17_dedup_edges": f"WITH {d} SELECT {_OUT}, method, round(score, 11) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d WHERE run_id = 0",
+    found = {
+        "q17_dedup_edges": f"WITH {d} SELECT {_OUT}, method, round(score, 13) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d WHERE run_id = 0",
         "q18_vote_summary": f"WITH {d}, v AS (SELECT {_KEY}, string_agg(method, ',' ORDER BY method) AS method, count(*) AS votes, avg(score) AS mean_score, {_SIGNS} FROM d WHERE run_id = 0 GROUP BY ALL) SELECT {_OUT}, method, votes, round(mean_score, 11) + 0.0 AS mean_score, signed_methods, positive_votes, negative_votes, {_SIGN_OUT} FROM v WHERE votes >= 2",
         "q19_sign_summary": f"WITH {d}, v AS (SELECT run_id, {_KEY}, {_SIGNS} FROM d GROUP BY ALL) SELECT run_id::BIGINT AS run_id, {_OUT}, signed_methods, positive_votes, negative_votes, {_SIGN_OUT} FROM v",
         "q20_score_scale": f"WITH {d} SELECT run_id::BIGINT AS run_id, method, round(median(abs(score)), 6) + 0.0 AS scale FROM d GROUP BY ALL",
@@ -462,3 +472,4 @@ def oracle_sql() -> dict[str, str]:
         "q53_temporal_dag_rows": f"WITH {predicted}, top AS (SELECT * FROM base ORDER BY edge_probability DESC, confidence DESC, lag DESC, source, target LIMIT 12) SELECT {_OUT}, CASE WHEN lag = 0 THEN 't' ELSE 't-' || lag END AS level, -lag::BIGINT AS x0, {place('source')} AS y0, 0::BIGINT AS x1, {place('target')} AS y1, round(1.5 + 5.5::DOUBLE * edge_probability, 6) + 0.0 AS width FROM top",
         "q52_graph_layout": f"WITH {predicted}, s AS (SELECT *, {_SIGN_OUT} FROM base) SELECT {_OUT}, round(cos({angle('source')}), 6) + 0.0 AS x0, round(sin({angle('source')}), 6) + 0.0 AS y0, round(cos({angle('target')}), 6) + 0.0 AS x1, round(sin({angle('target')}), 6) + 0.0 AS y1, round(1 + 5 * edge_probability, 6) + 0.0 AS width, round(0.2::DOUBLE + 0.8::DOUBLE * confidence, 6) + 0.0 AS opacity, sign_consensus AS sign, CASE sign_consensus WHEN 'positive' THEN '#1e88e5' WHEN 'negative' THEN '#d32f2f' WHEN 'mixed' THEN '#f57c00' ELSE '#607d8b' END AS colour, concat('sign=', sign_consensus, '<br>positive_votes=', positive_votes, '<br>negative_votes=', negative_votes, '<br>sign_agreement=', CASE WHEN positive_votes + negative_votes > 0 THEN printf('%.1f%%', 100.0 * greatest(positive_votes, negative_votes) / (positive_votes + negative_votes)) ELSE 'n/a' END) AS text, source = target AS self_loop FROM s",
     }
+    return {k: as_one_run(v) if k[:3] in ONE_RUN else v for k, v in found.items()}

@@ -11,10 +11,10 @@ from . import bindings as b
 BLOCK, SAMPLES = 3, 5
 
 
-def _rounded(df: DataFrame, *exact: str) -> DataFrame:
-    """Doubles to 6 places, or to 11 if their decimals may end in a 5 there; integers as long."""
+def _rounded(df: DataFrame, *exact: str, places: int = 11) -> DataFrame:
+    """Doubles to 6 places, or to so many if their decimals may end in a 5 there; integers as long."""
     kinds = dict(df.dtypes)
-    return df.select(*[(F.round(f"`{c}`", 11 if c in exact else 6) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(f"`{c}`").cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[(F.round(f"`{c}`", places if c in exact else 6) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(f"`{c}`").cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(f"`{c}`") for c in df.columns])
 
 
 def q01_panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

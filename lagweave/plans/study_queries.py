@@ -52,8 +52,7 @@ def q71_complete_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks of shipping in which every return flag occurs, renumbered."""
     week = F.floor(F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01")) / 7).cast("long")
     rows = b.read(spark, sf_dir, "lineitem").groupBy(F.lit(0).cast("long").alias("traj_id"), week.alias("t"), F.concat("l_returnflag", "l_linestatus").alias("variable")).agg(F.sum("l_quantity").alias("value"))
-    flags = rows.where(~F.col("variable").isin("NF"))
-    return _rounded(panel.complete(flags, 1))
+    return _rounded(panel.complete(rows, 1))
 
 
 def q72_restricted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +283,7 @@ def q103_canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with columns missing, extra and out of order, brought to the canonical form and checked."""
     rows = fusion.dedup(fq._base(spark, sf_dir)).select("target", F.concat("method", F.lit("!")).alias("extra"), "score", F.col("lag").cast("double").alias("lag"), "source")
     checked = registry.validate(registry.canonical(rows).withColumn("method", F.lit("Vote")), list(b.NODES), "Vote")
-    return _rounded(checked.withColumn("no_p_value", F.col("p_value").isNull()).drop("p_value"), "score")
+    return _rounded(checked.withColumn("no_p_value", F.col("p_value").isNull()).drop("p_value"), "score", places=13)
 
 
 def q104_month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,6 +365,8 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
 
+#: Queries over all edges as one run.
+ONE_RUN = "q78 q79 q101 q103".split()
 _PAIR = "least(source, target) AS pair_lo, greatest(source, target) AS pair_hi"
 _RUN = "run_id::BIGINT AS run_id"
 
@@ -403,7 +404,7 @@ def oracle_sql() -> dict[str, str]:
           m AS (SELECT *, rank() OVER (PARTITION BY run_id, method ORDER BY s) + (count(*) OVER (PARTITION BY run_id, method, s) - 1) / 2 AS r, sum(label) OVER (PARTITION BY run_id, method ORDER BY s DESC) AS hits, count(*) OVER (PARTITION BY run_id, method ORDER BY s DESC) AS seen FROM every),
           o AS (SELECT run_id::BIGINT AS run_id, method, count(*) AS n, sum(label) AS p, sum(label * r) AS r, sum(label * hits / seen) AS ap FROM m GROUP BY ALL)
           SELECT run_id, method, round((r - p * (p + 1) / 2) / (p * (n - p)), 6) + 0.0 AS auroc, round(ap / p, 6) + 0.0 AS average_precision, round(p / n, 6) + 0.0 AS prevalence FROM o"""
-    return {
+    found = {
         "q110_extended_runs": q110,
         "q112_superiority": f"""WITH x AS ({fq.oracle_sql()['q46_paired_differences']}), a AS (SELECT row_number() OVER (ORDER BY trajectory_index) - 1 AS spot, difference AS d FROM x), c AS (SELECT count(*) AS size FROM a),
           picks AS (SELECT draw, ('0x' || substr(md5('42:' || draw || ':' || pick), 1, 12))::BIGINT % size AS spot FROM c, (SELECT unnest(range(500)) AS draw), LATERAL (SELECT unnest(range(size)) AS pick)),
@@ -417,7 +418,7 @@ def oracle_sql() -> dict[str, str]:
         "q68_loaded_tables": f"WITH {c('ev')} SELECT format, 0::BIGINT AS traj_id, i AS t, (DATE '2024-01-01' + t::INT)::DATE::VARCHAR AS day, variable, {_r('value')} FROM {days} CROSS JOIN (SELECT unnest(['csv', 'parquet']) AS format) WHERE variable IN ('view', 'click')",
         "q69_resumed_study": f"WITH {c('traj')}, tot AS (SELECT traj_id, sum(value) AS total FROM traj GROUP BY ALL), m AS (SELECT *, avg(total) OVER () AS mean FROM tot), r AS (SELECT unnest([false, true]) AS retry_failed) SELECT traj_id::BIGINT AS trajectory_index, retry_failed, {_r('total')} FROM m CROSS JOIN r WHERE total <= mean OR (retry_failed AND total < 1.05::DOUBLE * mean)",
         "q70_cached_edges": f"WITH {d} SELECT {row}, round(score, 11) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d",
-        "q71_complete_steps": f"WITH w AS (SELECT floor(date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 7)::BIGINT AS t, l_returnflag || l_linestatus AS variable, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag || l_linestatus <> 'NF' GROUP BY ALL), k AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM w GROUP BY t HAVING count(*) = (SELECT count(DISTINCT variable) FROM w)) SELECT 0::BIGINT AS traj_id, i AS t, variable, {_r('value')} FROM w JOIN k USING (t)",
+        "q71_complete_steps": f"WITH w AS (SELECT floor(date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 7)::BIGINT AS t, l_returnflag || l_linestatus AS variable, sum(l_quantity) AS value FROM lineitem GROUP BY ALL), k AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM w GROUP BY t HAVING count(*) = (SELECT count(DISTINCT variable) FROM w)) SELECT 0::BIGINT AS traj_id, i AS t, variable, {_r('value')} FROM w JOIN k USING (t)",
         "q72_restricted_relations": f"WITH {d} SELECT {row}, round(score, 11) + 0.0 AS score, round(p, 6) + 0.0 AS p_value FROM d WHERE target = 'BUILDING' AND source <> target",
         "q73_objective_relations": f"""WITH {c('edges', 'truth')}, {nodes}, e AS (SELECT x.v AS source, y.v AS target FROM node x JOIN node y ON {full}) SELECT 'full_structure' AS objective, * FROM e UNION ALL SELECT 'causes_of_target', * FROM e WHERE target = 'BUILDING' UNION ALL SELECT 'effects_of_source', * FROM e WHERE source = '2-HIGH'
           UNION ALL SELECT 'compare_directions', * FROM e WHERE (source, target) IN (('2-HIGH', 'BUILDING'), ('BUILDING', '2-HIGH')) UNION ALL SELECT 'specific_relations', e.* FROM e SEMI JOIN truth USING (source, target)""",
@@ -464,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
         "q101_method_universe": f"WITH {c('edges')}, m AS (SELECT DISTINCT method FROM edges WHERE run_id = 0 UNION SELECT unnest(['ASIA', 'PCMCI', 'EUROPE'])) SELECT method, CASE method WHEN 'ASIA' THEN 2.0 WHEN 'PCMCI' THEN 0.5 WHEN 'EUROPE' THEN 0.0 ELSE 1.0 END::DOUBLE AS weight FROM m",
         "q102_vote_stability": f"""WITH {c('edges')}, v AS (SELECT run_id, {fq._KEY}, count(DISTINCT method) AS votes FROM edges WHERE run_id > 0 GROUP BY ALL HAVING count(DISTINCT method) >= 3), k AS (SELECT {fq._KEY}, count(*) AS n, avg(votes / 5) AS m FROM v WHERE NOT ({forbidden}) GROUP BY ALL)
           SELECT {out}, n AS selected_count, round(m, 6) + 0.0 AS mean_support, round(n / {fq.BOOT}, 6) + 0.0 AS selection_frequency, round(n / {fq.BOOT}, 6) + 0.0 AS appearance_frequency, n / {fq.BOOT} >= 0.6::DOUBLE AS stability_selected FROM k""",
-        "q103_canonical_edges": f"WITH {d} SELECT {out}, round(score, 11) + 0.0 AS score, 'Vote' AS method, method || '!' AS extra, TRUE AS no_p_value FROM d WHERE run_id = 0",
+        "q103_canonical_edges": f"WITH {d} SELECT {out}, round(score, 13) + 0.0 AS score, 'Vote' AS method, method || '!' AS extra, TRUE AS no_p_value FROM d WHERE run_id = 0",
         "q104_month_ends": "WITH o AS (SELECT last_day(o_orderdate::DATE) AS ts FROM orders), m AS (SELECT last_day(unnest(generate_series(date_trunc('month', (SELECT min(ts) FROM o)), date_trunc('month', (SELECT max(ts) FROM o)), INTERVAL 1 MONTH))::DATE) AS ts) SELECT row_number() OVER (ORDER BY ts) - 1 AS t, ts::VARCHAR AS ts, (SELECT count(*) FROM o WHERE o.ts = m.ts) AS orders FROM m",
         "q105_local_bic": f"WITH {c('ev')}, z AS ({z('ev')}), p AS (SELECT x.variable AS source, y.variable AS target, count(*) AS n, covar_pop(x.value, y.value) AS cov, var_pop(x.value) AS vs, var_pop(y.value) AS vt FROM z x JOIN z y ON x.t = y.t AND x.variable <> y.variable GROUP BY ALL) SELECT source, target, round(-0.5 * n * (1 + ln(vt)) - 0.5 * ln(n), 6) + 0.0 AS alone, round(-0.5 * n * (1 + ln(greatest(vt - cov * cov / vs, 2.220446049250313e-16))) - ln(n), 6) + 0.0 AS with_source FROM p",
         "q106_temporal_links": f"""WITH {c('ev')}, z AS ({z('ev')}), {lagged.format(w=pq._W, p='z')}, cv AS (SELECT source, variable AS target, lag, covar_pop(x, value) AS cv FROM l JOIN z USING (traj_id, t) WHERE x IS NOT NULL GROUP BY ALL), raw AS (SELECT traj_id, t, variable AS source, unnest([0, 1, 2]) AS lag, unnest([value, lag(value, 1) {pq._W}, lag(value, 2) {pq._W}]) AS x FROM ev)
@@ -473,3 +474,4 @@ def oracle_sql() -> dict[str, str]:
           SELECT p.traj_id, count(*) AS n, p.variable AS one, p.lag::BIGINT AS lag_one, q.variable AS two, q.lag::BIGINT AS lag_two, round(covar_samp(p.x, q.x), 6) + 0.0 AS covariance FROM k p JOIN k q ON p.traj_id = q.traj_id AND p.t = q.t GROUP BY ALL""",
         "q107_evidence_modes": f"WITH {c('edges')} SELECT DISTINCT {_RUN}, method, CASE WHEN method = 'ASIA' THEN 'absolute_score' ELSE 'one_minus_p_value' END AS evidence FROM edges",
     }
+    return {k: fq.as_one_run(v) if k.split("_")[0] in ONE_RUN else v for k, v in found.items()}
