@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import local_bic
 from ..operators import calibration, consensus, fusion, granger, metrics, panel, plotdata, predictive, registry, selection, structure, suite
-from ..sources import checkpoints, datasets
+from ..sources import checkpoints, datasets, tensors
 from . import bindings as b
 from . import fusion_queries as fq
 from . import panel_queries as pq
@@ -361,6 +361,16 @@ def q112_superiority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows)
 
 
+def q113_tensor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step sums and extremes of the user groups' panel, written as a tensor by tasks and read back by the data source."""
+    obs, folder = b.trajectories(spark, sf_dir), checkpoints.shared_folder(spark)
+    written = tensors.write_tensor(obs, folder, list(b.EVENTS)).agg(F.sum("steps")).first()[0]
+    rows = tensors.read_tensor(spark, folder, block=2)
+    found = rows.groupBy("traj_id", F.element_at(F.array(*map(F.lit, b.EVENTS)), F.col("node") + 1).alias("variable")).agg(
+        F.count("*").alias("steps"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum(F.col("value") * F.col("t")).alias("moment"))
+    return _rounded(found.withColumn("written", F.lit(written)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
@@ -406,6 +416,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT run_id, method, round((r - p * (p + 1) / 2) / (p * (n - p)), 6) + 0.0 AS auroc, round(ap / p, 6) + 0.0 AS average_precision, round(p / n, 6) + 0.0 AS prevalence FROM o"""
     found = {
         "q110_extended_runs": q110,
+        "q113_tensor_round_trip": f"""WITH {c('traj')}, i AS (SELECT dense_rank() OVER (ORDER BY traj_id) - 1 AS traj_id, dense_rank() OVER (PARTITION BY traj_id ORDER BY t) - 1 AS t, variable, value FROM traj)
+          SELECT traj_id, variable, steps, {_r('total', 'least', 'most', 'moment')}, written FROM (SELECT traj_id, variable, count(*) AS steps, sum(value) AS total, min(value) AS least, max(value) AS most, sum(value * t) AS moment FROM i GROUP BY ALL),
+            (SELECT count(*)::BIGINT AS written FROM (SELECT DISTINCT traj_id, t FROM traj))""",
         "q112_superiority": f"""WITH x AS ({fq.oracle_sql()['q46_paired_differences']}), a AS (SELECT row_number() OVER (ORDER BY trajectory_index) - 1 AS spot, difference AS d FROM x), c AS (SELECT count(*) AS size FROM a),
           picks AS (SELECT draw, ('0x' || substr(md5('42:' || draw || ':' || pick), 1, 12))::BIGINT % size AS spot FROM c, (SELECT unnest(range(500)) AS draw), LATERAL (SELECT unnest(range(size)) AS pick)),
           means AS (SELECT draw, avg(d) AS m FROM picks JOIN a USING (spot) GROUP BY draw), nz AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM a WHERE abs(d) > 1e-8),

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .checkpoints import stored
+from .tensors import parts, read_array, read_tensor
 
 FORMATS = ("auto", "csv", "parquet", "causaltime", "npy")
 
@@ -86,30 +86,19 @@ def matrix_edges(spark: SparkSession, graph: np.ndarray, names: Sequence[str], k
     return spark.createDataFrame(rows, "source string, target string, lag int")
 
 
-def _trajectories(frames: Iterator[pd.DataFrame], path: str, nodes: int) -> Iterator[pd.DataFrame]:
-    tensor = np.load(path, mmap_mode="r", allow_pickle=False)
-    for frame in frames:
-        for i in frame["traj_id"]:
-            cells = np.asarray(tensor[i, :, :nodes], float)
-            yield pd.DataFrame({"traj_id": i, "t": np.arange(len(cells)), "row": list(cells)})
-
-
 def load_daily_climate(spark: SparkSession, path: str) -> Dataset:
     """A CSV of daily climate whose column date is the index, in its order."""
     return load(spark, path, data_format="csv", date_column="date")
 
 
 def load_tensor(spark: SparkSession, path: str, selected: Sequence[str] | None, graph_path: str | None, column_names: Sequence[str] | None, prefix: str, trajectory: int) -> Dataset:
-    """A (trajectory, time, node) array and its square graph; only the graph's nodes are kept.
-
-    Each task maps the file, which its folder must share with all executors, and reads the trajectories of its own rows.
-    """
-    graph = np.load(graph_path or str(Path(path).with_name("graph.npy")), allow_pickle=False)
-    tensor = np.load(path, mmap_mode="r", allow_pickle=False)
-    if tensor.ndim != 3 or graph.ndim != 2 or graph.shape[0] != graph.shape[1]:
+    """A (trajectory, time, node) array and its square graph; only the graph's nodes are kept. tensors.py reads it."""
+    beside = f"{path.rstrip('/')}/graph.npy" if not path.endswith(".npy") else f"{path.rpartition('/')[0]}/graph.npy" if "/" in path else "graph.npy"
+    graph, shapes = read_array(graph_path or beside), [shape for _, shape in parts(path)]
+    if any(len(s) != 3 or s[1:] != shapes[0][1:] for s in shapes) or graph.ndim != 2 or graph.shape[0] != graph.shape[1]:
         raise ValueError("a tensor of three dimensions and a square graph are needed")
-    count, nodes = tensor.shape[0], graph.shape[0]
-    if tensor.shape[2] < nodes:
+    count, nodes = sum(s[0] for s in shapes), graph.shape[0]
+    if shapes[0][2] < nodes:
         raise ValueError("the tensor has fewer channels than the graph has nodes")
     if not 0 <= trajectory < count:
         raise IndexError(f"no trajectory {trajectory}")
@@ -118,8 +107,7 @@ def load_tensor(spark: SparkSession, path: str, selected: Sequence[str] | None,
     if len(available) != nodes:
         raise ValueError("one name per node is needed")
     names = chosen(selected, available)
-    steps = spark.range(count).select(F.col("id").alias("traj_id")).mapInPandas(lambda it: _trajectories(it, path, nodes), "traj_id long, t long, row array<double>")
-    steps = steps.select("traj_id", "t", F.posexplode("row").alias("node", "value"))
+    steps = read_tensor(spark, path, nodes)
     obs = steps.select("traj_id", "t", F.lit(None).cast("timestamp").alias("ts"), F.element_at(F.array(*map(F.lit, available)), F.col("node") + 1).alias("variable"), "value")
     meta = {"path": path, "trajectories": count, "ground_truth_is_symmetric": bool((graph == graph.T).all()), "trajectory": trajectory}
     return Dataset(obs, available, names, "causaltime", matrix_edges(spark, graph, available, names), meta)
