@@ -139,29 +139,31 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of links(a, b); component is the smallest id reachable.
 
     Each round hooks every component to its smallest neighbour, jumps twice along those pointers and contracts the
-    links. The links of a hub, the nodes that follow one pointer and the members of a component are dealt to several
-    tasks where they are many. Rounds end when no link joins two components. Only the last round's tables are kept.
+    links. A hub's links meet in partial aggregates and, where adaptive execution splits it, in several tasks of the joins
+    on them. Rounds end when no link joins two components. Only the
+    last round's tables are kept.
     """
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     labels = stored(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("component", F.col("id")))
     while links.head(1):
         both = links.union(links.select("b", "a")).toDF("node", "peer")
-        near = stored(both.groupBy("node").agg(F.least(F.min("peer"), F.first("node")).alias("up"), F.count("*").alias("n")))
-        hook = near.drop("n")
+        near = stored(both.groupBy("node").agg(F.least(F.min("peer"), F.first("node")).alias("up")))
+        hook = near
         for _ in range(2):
-            followed = hook.groupBy("up").agg(F.count("*").alias("n"))
-            over = stored(hook.select(F.col("node").alias("up"), F.col("up").alias("next")).join(followed.hint("merge"), "up"))
-            jumped = stored(salted_join(hook, over, ["up"], F.xxhash64("node"), how="left").select("node", F.coalesce("next", "up").alias("up")))
-            discard(over, *([hook] if hasattr(hook, "_stored_at") else []))
-            hook = jumped
-        sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
-        moved = stored(hook.select(F.col("node").alias("component"), "up").join(sizes.hint("merge"), "component"))
-        placed = stored(salted_join(labels, moved, ["component"], F.xxhash64("id"), how="left").select("id", F.coalesce("up", "component").alias("component")))
-        ends = stored(hook.join(near.select("node", "n").hint("merge"), "node"))
-        one, two = (ends.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"), "n") for c in "ab")
-        half = stored(salted_join(links, one, ["a"], F.xxhash64("b")).select("a_up", "b"))
-        left = stored(salted_join(half, two, ["b"], F.xxhash64("a_up")).select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).where("a <> b").distinct())
-        discard(near, hook, labels, links, moved, ends, half)
+            over = hook.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            hook = hook.join(over, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
+        hook = stored(hook)
+        placed = stored(
+            labels.join(hook.select(F.col("node").alias("component"), "up"), "component", "left")
+            .select("id", F.coalesce("up", "component").alias("component"))
+        )
+        one, two = (hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
+        left = stored(
+            links.join(one, "a").join(two, "b")
+            .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
+            .where("a <> b").distinct()
+        )
+        discard(near, hook, labels, links)
         labels, links = placed, left
     discard(links)
     return labels
