@@ -83,10 +83,12 @@ def cross_validated(scores: DataFrame, members: int) -> DataFrame:
 
     Folds that have chosen alike share one state: each step tries every candidate once per trajectory and distinct path so
     far, and a fold's mean is that of all trajectories less its own. Work grows with scores times distinct paths, of which
-    there are few, not with folds times trajectories.
+    there are few, not with folds times trajectories. Every step uses the scores, so they are stored: what they are made
+    from is read once.
     """
     from .metrics import ranked
 
+    scores = stored(scores.select("traj_id", *PAIR, "candidate", "score", "label"))
     spark, kind = scores.sparkSession, scores.schema["traj_id"].dataType
     trajectories = scores.select("traj_id").distinct()
     folds = trajectories.select(F.col("traj_id").alias("fold")).union(spark.range(1).select(F.lit(None).cast(kind)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import bayes_factor, posterior, score_probability, valid_p, wilson
+from ..functions.special import bayes_factor, finite, posterior, score_probability, valid_p, wilson
 from ..functions.special import fisher as fisher_p
 from ..sources.checkpoints import stored
 from ..operators import calibration, consensus, expert, fusion, granger, metrics, panel, plotdata, predictive, selection, structure
@@ -224,8 +224,13 @@ def q47_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best absolute score of every pair per run and method, labelled."""
-    rows = metrics.complete_pairs(b.edge_table(spark, sf_dir), b.NODES, "absolute_score", by=["run_id", "method"])
+    """Best absolute score of every pair per run and method, labelled.
+
+    The runs and methods, the pairs and each use of the result need the edges, so their best scores are stored, one row per
+    run, method, source and target, and the orders are read once.
+    """
+    best = stored(b.edge_table(spark, sf_dir).groupBy("run_id", "method", "source", "target").agg(F.max(F.abs(finite(F.col("score")))).alias("score")))
+    rows = metrics.complete_pairs(best, b.NODES, "absolute_score", by=["run_id", "method"])
     return metrics.label(rows, b.truth(spark)).select(F.col("run_id").cast("long").alias("traj_id"), *structure.PAIR, F.col("method").alias("candidate"), "score", "label")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.operators import calibration, metrics, panel, ranks, registry, selection, suite
+from lagweave.plans import bindings, fusion_queries, study_queries
 from lagweave.sources.checkpoints import RunCache, fingerprint
 
 from . import plain
@@ -67,6 +68,34 @@ def test_folds_share_paths(spark):
             assert np.allclose([steps[i].held_out_ap for i in range(1, 5)], [plain.average_precision(np.round(total[i - 1] / i, 12), y) for i in range(1, 5)])
 
 
+def _counted(df):
+    """df, and how many of its rows all jobs have made so far."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def batches(it):
+        for batch in it:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(batches, df.schema), seen
+
+
+def test_scores_of_a_path_are_made_once(spark):
+    rows = [(t, "a", x, c, float(i == (c == "bad")), int(i == 0)) for t in range(3) for i, x in enumerate("bc") for c in ("bad", "good")]
+    scores, seen = _counted(spark.createDataFrame(rows, "traj_id long, pair_lo string, pair_hi string, candidate string, score double, label int"))
+    assert {r.candidate for r in calibration.cross_validated(scores, 2).collect()} == {"good"}
+    assert seen.value == len(rows)
+
+
+@pytest.mark.parametrize("query", [fusion_queries.q48_combine_candidates, fusion_queries.q50_greedy_path, study_queries.q88_size_summary, study_queries.q94_score_table_checks])
+def test_candidates_read_the_edges_once(spark, monkeypatch, query):
+    folder = "/root/testdata/sf0.001"
+    edges, seen = _counted(bindings.edge_table(spark, folder))
+    monkeypatch.setattr(bindings, "edge_table", lambda *_: edges)
+    assert query(spark, folder).collect()
+    assert seen.value == bindings.read(spark, folder, "orders").count()
+
+
 @pytest.mark.parametrize("kind", ["exact", "tied", "many", "zero", "one"])
 def test_signed_ranks_and_interval(spark, kind):
     rng = np.random.default_rng(3)
